@@ -45,3 +45,8 @@ def words(text) -> Column:
 def letters(text) -> Column:
     """Upper-cased ASCII letters only: the symbol sequence of a text row."""
     return F.upper(F.regexp_replace(_col(text), "[^A-Za-z]", ""))
+
+
+def has_words(text) -> Column:
+    """Same truth value as ``size(words(text)) > 0``, without building the list."""
+    return F.coalesce(F.lower(_col(text)).rlike("[a-z]"), F.lit(False))

@@ -13,11 +13,45 @@ from ..functions.vocab import PAD, STOP, SYMBOL_TO_ID, UNK, VOCAB_SIZE
 ALPHABET = string.ascii_uppercase
 
 
-def symbol_histogram(df: DataFrame, seq_col: str, alphabet: str = ALPHABET) -> DataFrame:
-    """A5: ``(symbol, count)`` of every symbol of ``alphabet`` plus ``other``
-    for anything else.  Each row contributes per-symbol counts computed by
-    string length differences (JVM, no per-character rows), summed with one
-    partial aggregation: the shuffle carries one row per partition."""
+def _count_symbols(batches):
+    """Per partition: code-point counts of every string, one numpy pass."""
+    import numpy as np
+    import pandas as pd
+
+    total = None
+    for pdf in batches:
+        text = "".join(v for v in pdf["s"].tolist() if v)
+        if not text:
+            continue
+        cps = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+        c = np.bincount(cps)
+        if total is None:
+            total = c
+        else:
+            if len(c) > len(total):
+                c[: len(total)] += total
+                total = c
+            else:
+                total[: len(c)] += c
+    if total is not None:
+        nz = np.nonzero(total)[0]
+        yield pd.DataFrame({"symbol": [chr(int(x)) for x in nz], "count": total[nz].astype("int64")})
+
+
+def symbol_histogram(df: DataFrame, seq_col: str) -> DataFrame:
+    """A5: exact ``(symbol, count)`` of every character of a string column.
+
+    Each task counts its rows' code points with one vectorised bincount over
+    Arrow batches and emits one row per distinct symbol; the partial counts
+    are summed by a (tiny) shuffle.  No per-character rows are created."""
+    part = df.select(F.col(seq_col).alias("s")).mapInPandas(_count_symbols, "symbol string, count long")
+    return part.groupBy("symbol").agg(F.sum("count").cast("long").alias("count"))
+
+
+def symbol_histogram_alphabet(df: DataFrame, seq_col: str, alphabet: str = ALPHABET) -> DataFrame:
+    """A5, JVM-only variant for a fixed alphabet: per-symbol counts from string
+    length differences, summed with one partial aggregation; anything outside
+    the alphabet is reported as ``other``."""
     s = F.coalesce(F.col(seq_col), F.lit(""))
     aggs = [F.sum(F.length(s) - F.length(F.replace(s, F.lit(ch), F.lit("")))).alias(f"_c{i}")
             for i, ch in enumerate(alphabet)]
@@ -53,7 +87,7 @@ def target_token_counts(df: DataFrame, seq_col: str, mode: str = "unk") -> DataF
 
 def array_token_counts(df: DataFrame, ids_col: str) -> DataFrame:
     """A6 / A7 on id arrays (e.g. padded ``y_seq``): explode + count."""
-    return (df.select(F.explode(F.col(ids_col)).alias("token_id"))
+    return (df.select(F.explode_outer(F.col(ids_col)).alias("token_id")).where(F.col("token_id").isNotNull())
             .groupBy("token_id").agg(F.count(F.lit(1)).alias("count")))
 
 
@@ -80,14 +114,20 @@ def cross_entropy(eval_counts: DataFrame, probs: DataFrame, mode: str = "nll") -
 
     ``nll``: -sum c*ln p / sum c (proper).  ``as_logits``: the reference
     feeds probabilities as logits, loss = LSE(p) - p_y (Q5)."""
-    if mode == "nll":
-        tok = F.log(F.col("p"))
-    elif mode == "as_logits":
-        tok = F.col("p") - F.col("lse")
-    else:
-        raise ValueError(mode)
+    return cross_entropies(eval_counts, probs, (mode,))
+
+
+def cross_entropies(eval_counts: DataFrame, probs: DataFrame, modes=("nll", "as_logits")) -> DataFrame:
+    """Several loss modes from one aggregate over the (vocabulary-bounded)
+    count table: ``(mode, loss, perplexity)`` rows."""
     pr = probs.withColumn("lse", F.log(F.sum(F.exp("p")).over(Window.partitionBy())))
     ev = eval_counts.where(F.col("token_id") != PAD)
     j = ev.join(F.broadcast(pr), "token_id", "left")
-    loss = -F.sum(F.col("count") * tok) / F.sum("count")
-    return j.agg(loss.alias("loss")).select(F.lit(mode).alias("mode"), "loss", F.exp("loss").alias("perplexity"))
+    terms = {"nll": F.log(F.col("p")), "as_logits": F.col("p") - F.col("lse")}
+    for m in modes:
+        if m not in terms:
+            raise ValueError(m)
+    one = j.agg(*[(-F.sum(F.col("count") * terms[m]) / F.sum("count")).alias(f"_l_{m}") for m in modes])
+    rows = F.array(*[F.struct(F.lit(m).alias("mode"), F.col(f"_l_{m}").alias("loss")) for m in modes])
+    out = one.select(F.explode(rows).alias("_r")).select("_r.mode", "_r.loss")
+    return out.withColumn("perplexity", F.exp("loss"))

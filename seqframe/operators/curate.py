@@ -1,5 +1,9 @@
 """Corpus curation operators.
 
+Generators use the ``_outer`` form plus an explicit null filter: plain
+``explode`` makes Catalyst infer ``size(array) > 0`` and push it into the
+scan, which evaluates the (expensive) array expression twice.
+
 Records are any DataFrame with an id column, a category column, an integer
 length column, a tag array column and a sequence column; names are
 parameters so the same code runs on the record schema and on stand-ins.
@@ -18,9 +22,12 @@ def length_filter(df: DataFrame, length_col: str, min_len: int, max_len: int) ->
     return df.where(F.col(length_col).between(min_len, max_len))
 
 
-def drop_untagged(df: DataFrame, tags_col: str) -> DataFrame:
-    """Drop rows whose tag array is empty or null."""
-    return df.where(F.size(F.col(tags_col)) > 0)
+def drop_untagged(df: DataFrame, tags_col: str, has_tags=None) -> DataFrame:
+    """Drop rows whose tag array is empty or null.  ``has_tags`` may
+    give a cheaper equivalent predicate on the raw input, so the filter that
+    Catalyst pushes into the scan does not evaluate the tag extraction a
+    second time."""
+    return df.where(has_tags if has_tags is not None else (F.size(F.col(tags_col)) > 0))
 
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:
@@ -33,10 +40,21 @@ def value_counts(df: DataFrame, col: str) -> DataFrame:
 
 def occurrence_counts(df: DataFrame, tags_col: str) -> DataFrame:
     """A2: counts of tag occurrences over exploded lists (not distinct rows)."""
-    return (df.select(F.explode(F.col(tags_col)).alias("value"))
+    return (df.select(F.explode_outer(F.col(tags_col)).alias("value")).where(F.col("value").isNotNull())
             .groupBy("value").agg(F.count(F.lit(1)).alias("count")))
 
 
+def dictionary_counts(df: DataFrame, category_col: str, tags_col: str) -> DataFrame:
+    """A1 + A2 in one pass: ``(kind, value, count)`` for the category column
+    (one per row, nulls excluded) and for every tag occurrence.  One explode,
+    one partially aggregated shuffle for both dictionaries."""
+    items = F.concat(
+        F.array(F.struct(F.lit("category").alias("kind"), F.col(category_col).cast("string").alias("value"))),
+        F.transform(F.col(tags_col), lambda t: F.struct(F.lit("tag").alias("kind"), t.alias("value"))))
+    e = df.select(F.explode_outer(items).alias("_e")).select("_e.kind", "_e.value").where(F.col("value").isNotNull())
+    return e.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("count"))
+
+
 def threshold(counts: DataFrame, min_count: int) -> DataFrame:
     """A3: ``HAVING count >= min_count`` - the kept dictionary.  Its size is
     bounded by total/min_count, which is what makes the later joins cheap."""
@@ -62,7 +80,8 @@ def keep_tags(df: DataFrame, id_col: str, tags_col: str, kept: DataFrame,
     ``drop_empty`` uses an inner join (rows left without tags vanish);
     otherwise a left join gives them an empty array."""
     out_col = out_col or tags_col
-    exploded = df.select(F.col(id_col).alias("_rid"), F.posexplode(F.col(tags_col)).alias("_pos", "_tag"))
+    exploded = (df.select(F.col(id_col).alias("_rid"), F.posexplode_outer(F.col(tags_col)).alias("_pos", "_tag"))
+                .where(F.col("_tag").isNotNull()))
     kept_vals = kept.select(F.col("value").alias("_tag"))
     survivors = exploded.join(kept_vals, "_tag", "left_semi")
     regrouped = (survivors.groupBy("_rid")

@@ -72,7 +72,8 @@ def lookup(df: DataFrame, id_col: str, col: str, dictionary: DataFrame, out_col:
                                           F.raise_error(F.concat(F.lit("unknown dictionary value: "), F.col(col))))
                              .otherwise(F.col("_i")))
         return j.withColumnRenamed("_i", out_col).drop("_v")
-    ex = df.select(F.col(id_col).alias("_rid"), F.posexplode(F.col(col)).alias("_pos", "_v"))
+    ex = (df.select(F.col(id_col).alias("_rid"), F.posexplode_outer(F.col(col)).alias("_pos", "_v"))
+          .where(F.col("_pos").isNotNull()))
     j = ex.join(d, "_v", "left")
     if strict:
         j = j.withColumn("_i", F.when(F.col("_i").isNull(),

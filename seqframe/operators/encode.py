@@ -70,3 +70,35 @@ def encode_corpus(df: DataFrame, id_col: str, seq_col: str, category_col: str, t
         F.size("sequence").alias("sequence_length"),
     )
     return out
+
+
+def encode_curated(df: DataFrame, id_col: str, seq_col: str, category_col: str, tags_col: str,
+                   dictionary: DataFrame, taxon_dropout: float = 0.0, attribute_dropout: float = 0.0,
+                   reverse: bool = False, seed: int = 0, mode: str = "unk", root: str = "root",
+                   shuffle: bool = True, drop_untagged: bool = True) -> DataFrame:
+    """C2 + C4 fused: fold rare categories to ``root``, keep only dictionary
+    tags and map them to ids with ONE explode / join / regroup (a tag is kept
+    exactly when it has an id).  Same result as ``keep_tags`` followed by
+    ``encode_corpus`` with half the shuffles."""
+    cats = dictionary.where(F.col("kind") == "category").select(F.col("value").alias("_cv"), F.col("idx").alias("_cat"))
+    tags = dictionary.where(F.col("kind") == "tag").select(F.col("value").alias("_tv"), F.col("idx").alias("_ti"))
+    root_id = root_index(dictionary, root)
+    ex = (df.select(F.col(id_col).alias("_rid"), F.posexplode_outer(F.col(tags_col)).alias("_pos", "_tv"))
+          .where(F.col("_tv").isNotNull()))
+    ids = (ex.join(tags, "_tv").groupBy("_rid")
+           .agg(F.array_sort(F.collect_list(F.struct("_pos", "_ti"))).alias("_p"))
+           .select("_rid", F.transform("_p", lambda s: s["_ti"]).alias("_tags")))
+    d = df.join(ids, df[id_col] == ids["_rid"], "inner" if drop_untagged else "left")
+    d = d.withColumn("_tags", F.coalesce(F.col("_tags"), F.array().cast("array<int>")))
+    d = d.join(cats, d[category_col] == cats["_cv"], "left")
+    d = d.withColumn("_cat", F.coalesce(F.col("_cat"), F.lit(root_id)))
+    seq = encode(F.col(seq_col), mode)
+    d = d.withColumn("sequence", seq)
+    return d.select(
+        F.col(id_col).alias("id"),
+        (maybe_reverse(F.col("sequence"), F.lit(seed), F.col(id_col), F.lit("r")) if reverse
+         else F.col("sequence")).alias("sequence"),
+        conditioning_ids(F.col("_cat"), F.col("_tags"), F.col(id_col), F.lit(root_id), taxon_dropout,
+                         attribute_dropout, seed, shuffle).alias("conditioning_tags"),
+        F.size("sequence").alias("sequence_length"),
+    )

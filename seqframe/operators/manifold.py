@@ -13,15 +13,24 @@ from .allpairs import blocked_reduce, merge_topk
 
 
 def compute_manifold(df: DataFrame, k: int = 3, id_col: str = "id", vec_col: str = "embedding",
-                     block_rows: int = 2048) -> DataFrame:
-    """J5 self-join + W1: ``(id, embedding, radius)``.  Raises if N < k + 2."""
+                     block_rows: int = 2048, materialize: bool = True) -> DataFrame:
+    """J5 self-join + W1: ``(id, embedding, radius)``.  Raises if N < k + 2.
+
+    The manifold is reused (coverage both ways, realism), so by default it is
+    checkpointed into the shared checkpoint folder once - the reference's
+    saved-manifold reuse (S11) - instead of being recomputed per use."""
     n = df.count()
     if n < k + 2:
         raise ValueError(f"manifold needs at least k+2={k + 2} rows, got {n}")
     part = blocked_reduce(df, df, "topk", k=k + 1, id_col=id_col, vec_col=vec_col, block_rows=block_rows)
     radii = merge_topk(part, k + 1).groupBy("sid").agg(F.max("dist").alias("radius"))
     base = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("embedding"))
-    return base.join(radii, base["id"] == radii["sid"]).drop("sid")
+    out = base.join(radii, base["id"] == radii["sid"]).drop("sid")
+    if materialize:
+        from ..session import materialize as _materialize
+
+        out = _materialize(out)
+    return out
 
 
 def covered_rows(ball_manifold: DataFrame, points: DataFrame, id_col: str = "id",

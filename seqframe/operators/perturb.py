@@ -25,31 +25,35 @@ def position_key(seed, row_id, rep, i) -> Column:
     return F.concat(hash_order(seed, row_id, rep, i), F.lpad(i.cast("string"), 10, "0"))
 
 
-def substitute(seq: Column, row_id: Column, rep: Column, percent: float, seed: int) -> Column:
+def substitute(df: DataFrame, seq_col: str, id_col: str, rep_col: str, percent: float, seed: int,
+               out_col: str = "gen") -> DataFrame:
     """W6 + F18: change exactly ``int(len * percent)`` distinct positions, each
     to a symbol drawn uniformly from the 21 valid ones (20 standard + X)
     other than the current symbol.  The chosen positions are those whose
-    hash key is among the n smallest: one in-row sort, no shuffle."""
-    c = chars(seq)
-    n_sub = F.floor(F.size(c) * F.lit(float(percent))).cast("int")
-    keys = F.transform(c, lambda x, i: position_key(F.lit(seed), row_id, rep, i))
-    cutoff = F.when(n_sub > 0, F.element_at(F.array_sort(keys), F.greatest(n_sub, F.lit(1))))
+    hash key is among the n smallest: one in-row sort, no shuffle.  Keys and
+    the cut-off are materialised as columns first so the per-position lambda
+    only reads them (no re-evaluation per element)."""
+    row_id, rep = F.col(id_col), F.col(rep_col)
+    d = df.withColumn("_c", chars(F.col(seq_col)))
+    d = d.withColumn("_n", F.floor(F.size("_c") * F.lit(float(percent))).cast("int"))
+    d = d.withColumn("_k", F.transform("_c", lambda x, i: position_key(F.lit(seed), row_id, rep, i)))
+    d = d.withColumn("_cut", F.when(F.col("_n") > 0, F.element_at(F.array_sort("_k"), F.greatest(F.col("_n"), F.lit(1)))))
 
     def pick(x, i):
         cands = F.array_except(_valid(), F.array(x))
         u = hash_uniform(F.lit(seed), row_id, rep, i, F.lit("s"))
         return F.element_at(cands, (F.floor(u * F.size(cands)) + 1).cast("int"))
 
-    out = F.transform(c, lambda x, i: F.when((n_sub > 0) & (F.element_at(keys, i + 1) <= cutoff), pick(x, i))
-                      .otherwise(x))
-    return F.array_join(out, "")
+    chosen = F.zip_with("_c", "_k", lambda x, k: F.struct(x.alias("x"), (k <= F.col("_cut")).alias("hit")))
+    out = F.transform(chosen, lambda s, i: F.when((F.col("_n") > 0) & s["hit"], pick(s["x"], i)).otherwise(s["x"]))
+    return d.withColumn(out_col, F.array_join(out, "")).drop("_c", "_n", "_k", "_cut")
 
 
 def random_substitution(df: DataFrame, id_col: str, seq_col: str, percent: float = 0.1,
                         replicates: int = 1, seed: int = 0) -> DataFrame:
     """``(id, replicate, orig, gen)`` for every row and replicate."""
     r = replicate(df.select(F.col(id_col).alias("id"), F.col(seq_col).alias("orig")), replicates)
-    return r.withColumn("gen", substitute(F.col("orig"), F.col("id"), F.col("replicate"), percent, seed))
+    return substitute(r, "orig", "id", "replicate", percent, seed)
 
 
 def changed_positions(a: Column, b: Column) -> Column:

@@ -95,7 +95,10 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], nbuckets: i
     and each row knows the total, so the two order statistics around every
     position h = (n-1)p + 1 are picked by one conditional aggregate - no join,
     no single-task sort."""
-    hist = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("cnt"))
+    from ..session import materialize
+
+    # one row per distinct value: bounded by the value domain, read 3 times
+    hist = materialize(df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("cnt")))
     bucket = range_bucket(hist, col, nbuckets)
     ranked = prefix_rank(hist, bucket, [F.col(col)], measures=["cnt"], rank_col=None)
     v = F.col(col).cast("double")

@@ -13,11 +13,11 @@ from ..operators import baseline as B
 from ..operators import curate as C
 from ..operators.batches import assign_batches, collate
 from ..operators.dictionary import conditioning_dictionary
-from ..operators.encode import encode_corpus
+from ..operators.encode import encode_curated
 from ..operators.perturb import changed_positions, mask_schedule, random_mask, random_substitution
 from ..operators.ranking import exact_quantiles
 from ..operators.sampling import topk_sample
-from ..session import read_table
+from ..session import materialize, read_table, sized_broadcast
 from .registry import query
 from .standins import (ROUND, SQL_LETTERS, SQL_WORDS, documents, records, sequences, sql_chars,
                        sql_decode_char, sql_encode_char, sql_md5, sql_u)
@@ -53,19 +53,37 @@ spl AS (SELECT doc_id, CASE WHEN r <= e1 THEN 'train' WHEN r <= e2 THEN 'val' EL
 
 
 def _filtered(spark, sf_dir):
-    return C.drop_untagged(C.length_filter(records(spark, sf_dir), "length", MIN_LEN, MAX_LEN), "tags")
+    recs = C.length_filter(records(spark, sf_dir), "length", MIN_LEN, MAX_LEN)
+    return C.drop_untagged(recs, "tags", has_tags=F.col("has_tags")).drop("has_tags")
+
+
+def kept_dictionaries(f):
+    """Both thresholded dictionaries from one counting pass, checkpointed:
+    they are small (bounded by total / min_count) and read several times."""
+    counts = C.dictionary_counts(f, "category", "tags")
+    kept = materialize(counts.where(((F.col("kind") == "category") & (F.col("count") >= MIN_CAT))
+                                    | ((F.col("kind") == "tag") & (F.col("count") >= MIN_TAG))))
+    cats = kept.where(F.col("kind") == "category").select("value", "count")
+    tags = kept.where(F.col("kind") == "tag").select("value", "count")
+    return cats, tags
 
 
 def curated(spark, sf_dir):
     """C2 core on the stand-in: filtered, folded rows with kept tags, plus
     the two kept dictionaries."""
     f = _filtered(spark, sf_dir)
-    cats = C.threshold(C.value_counts(f, "category"), MIN_CAT)
-    tags = C.threshold(C.occurrence_counts(f, "tags"), MIN_TAG)
-    kept = C.keep_tags(C.fold_rare(f, "category", cats), "id", "tags", tags, drop_empty=True)
+    cats, tags = kept_dictionaries(f)
+    kept = C.keep_tags(C.fold_rare(f, "category", sized_broadcast(cats)), "id", "tags", sized_broadcast(tags),
+                       drop_empty=True)
     return kept, cats, tags
 
 
+def conditioning_dictionary_of(spark, sf_dir, compat=False):
+    f = _filtered(spark, sf_dir)
+    cats, tags = kept_dictionaries(f)
+    return f, materialize(conditioning_dictionary(cats, tags, compat_overlap=compat))
+
+
 # ------------------------------------------------------------------ curation
 @query("tag_counts_min1000", "F1 A2 A3 T1", f"""
 SELECT tag, count(*) AS count FROM (SELECT unnest({SQL_WORDS}) AS tag FROM documents)
@@ -209,8 +227,7 @@ UNION ALL SELECT 'tag', value, CAST(count AS BIGINT), CAST(idx{shift} AS BIGINT)
 
 
 def _dictionary(spark, sf_dir, compat):
-    _, cats, tags = curated(spark, sf_dir)
-    d = conditioning_dictionary(cats, tags, compat_overlap=compat)
+    _, d = conditioning_dictionary_of(spark, sf_dir, compat)
     return d.select("kind", "value", F.coalesce(F.col("count"), F.lit(0)).cast("long").alias("count"),
                     F.col("idx").cast("long"))
 
@@ -276,17 +293,15 @@ sh AS (SELECT doc_id, list_transform(list_sort(list_transform(ids,
     lambda s: CAST(split_part(s, ':', 2) AS BIGINT)) AS ids FROM fb)
 SELECT doc_id, array_to_string(ids, ' ') AS cond_ids FROM sh""")
 def conditioning_ids(spark, sf_dir):
-    kept, cats, tags = curated(spark, sf_dir)
-    dic = conditioning_dictionary(cats, tags)
-    enc = encode_corpus(kept, "id", "sequence", "category", "tags", dic, taxon_dropout=TAXON_DROP,
-                        attribute_dropout=ATTR_DROP, seed=COND_SEED)
+    f, dic = conditioning_dictionary_of(spark, sf_dir)
+    enc = encode_curated(f, "id", "sequence", "category", "tags", sized_broadcast(dic), taxon_dropout=TAXON_DROP,
+                         attribute_dropout=ATTR_DROP, seed=COND_SEED)
     return enc.select(F.col("id").alias("doc_id"), F.array_join("conditioning_tags", " ").alias("cond_ids"))
 
 
 def _encoded_plain(spark, sf_dir):
-    kept, cats, tags = curated(spark, sf_dir)
-    dic = conditioning_dictionary(cats, tags)
-    enc = encode_corpus(kept, "id", "sequence", "category", "tags", dic, shuffle=False)
+    f, dic = conditioning_dictionary_of(spark, sf_dir)
+    enc = encode_curated(f, "id", "sequence", "category", "tags", sized_broadcast(dic), shuffle=False)
     classes = dic.where(F.col("kind") == "tag").orderBy("idx").limit(4).select(F.col("idx").alias("class_id"))
     return enc, classes
 
@@ -309,7 +324,7 @@ WITH {SQL_FILT}, {SQL_CATS}, {SQL_EX}, {SQL_TAGC}, {SQL_CI}, {SQL_TI}, {SQL_ROWS
 SELECT CAST(c.class_id AS BIGINT) AS class_id, r.doc_id FROM rws r JOIN cls c ON list_contains(r.tag_ids, c.class_id)""")
 def class_membership(spark, sf_dir):
     enc, classes = _encoded_plain(spark, sf_dir)
-    ids = enc.select(F.col("id").alias("doc_id"), F.explode(id_set("conditioning_tags")).alias("class_id"))
+    ids = enc.select(F.col("id").alias("doc_id"), F.explode_outer(id_set("conditioning_tags")).alias("class_id")).where(F.col("class_id").isNotNull())
     return ids.join(F.broadcast(classes), "class_id").select(F.col("class_id").cast("long"), "doc_id")
 
 
@@ -322,7 +337,7 @@ def class_union_query(spark, sf_dir):
     from ..operators.knn import class_union
 
     enc, classes = _encoded_plain(spark, sf_dir)
-    ids = enc.select(F.col("id").alias("doc_id"), F.explode(id_set("conditioning_tags")).alias("class_id"))
+    ids = enc.select(F.col("id").alias("doc_id"), F.explode_outer(id_set("conditioning_tags")).alias("class_id")).where(F.col("class_id").isNotNull())
     mem = ids.join(F.broadcast(classes), "class_id")
     # the two most frequent tags are the two smallest tag ids
     lo = classes.orderBy("class_id").limit(2)
@@ -504,8 +519,8 @@ def _split_docs(spark, sf_dir, split):
 
 
 def _losses(spark, sf_dir, probs):
-    test = B.target_token_counts(_split_docs(spark, sf_dir, "test"), "sequence")
-    out = B.cross_entropy(test, probs, "nll").unionByName(B.cross_entropy(test, probs, "as_logits"))
+    test = materialize(B.target_token_counts(_split_docs(spark, sf_dir, "test"), "sequence"))
+    out = B.cross_entropies(test, probs, ("nll", "as_logits"))
     return out.select("mode", F.round("loss", ROUND).alias("loss"), F.round("perplexity", ROUND).alias("perplexity"))
 
 
@@ -521,7 +536,7 @@ def unigram_probs(spark, sf_dir):
 WITH {SQL_SPLIT}, {_split_counts_sql('train')}, {_split_counts_sql('test')}, {SQL_PROBS}
 {_loss_sql('up')}""")
 def unigram_loss(spark, sf_dir):
-    train = B.target_token_counts(_split_docs(spark, sf_dir, "train"), "sequence")
+    train = materialize(B.target_token_counts(_split_docs(spark, sf_dir, "train"), "sequence"))
     return _losses(spark, sf_dir, B.unigram_probs(train))
 
 
@@ -544,6 +559,7 @@ sc AS (SELECT lang, tag, logit / {SAMPLE_T} - ln(-ln(least(greatest({sql_u(str(S
   1.0 / 4294967296.0), 1.0 - 1.0 / 4294967296.0))) AS s FROM tk WHERE r <= {SAMPLE_K})
 SELECT lang, arg_max(tag, s) AS tag FROM sc GROUP BY lang""")
 def topk_sample_query(spark, sf_dir):
-    d = documents(spark, sf_dir).select("lang", F.explode(words("text")).alias("tag"))
+    d = (documents(spark, sf_dir).select("lang", F.explode_outer(words("text")).alias("tag"))
+         .where(F.col("tag").isNotNull()))
     cand = d.groupBy("lang", "tag").agg(F.log(F.count(F.lit(1)).cast("double")).alias("logit"))
     return topk_sample(cand, "lang", "tag", "logit", k=SAMPLE_K, temperature=SAMPLE_T, seed=SAMPLE_SEED)

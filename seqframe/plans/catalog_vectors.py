@@ -155,9 +155,12 @@ def knn_predict_distance(spark, sf_dir):
 
 
 def _eval_rows(spark, sf_dir):
+    """Labelled subject rows with their votes, checkpointed (read per class)."""
+    from ..session import materialize
+
     _, sub = _sets(spark, sf_dir)
     ev = _labelled(sub).select("id", "y")
-    return ev.join(_votes(spark, sf_dir, "uniform"), "id")
+    return materialize(ev.join(_votes(spark, sf_dir, "uniform"), "id"))
 
 
 @query("classification_report", "A14 C10", f"""

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import letters, words
+from ..functions.text import has_words, letters, words
 from ..functions.vocab import STANDARD, SYMBOL_TO_ID, UNK
 from ..session import read_table
 
@@ -31,7 +31,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = documents(spark, sf_dir)
     return d.select(F.col("doc_id").alias("id"), F.col("lang").alias("category"),
                     F.col("n_chars").alias("length"), words("text").alias("tags"),
-                    letters("text").alias("sequence"))
+                    letters("text").alias("sequence"), has_words("text").alias("has_tags"))
 
 
 def sequences(spark: SparkSession, sf_dir: str, table: str = "benchmark") -> DataFrame:

@@ -25,6 +25,7 @@ def build_session(cpus: str = "*", shuffle_partitions: int = 8, app: str = "seqf
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "16g")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
@@ -61,5 +62,44 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
 
 
+# Natural key of each driver table: small inputs are spread by it.
+TABLE_KEYS = {"documents": "doc_id", "embeddings": "vec_id", "benchmark": "item_id", "events": "event_id",
+              "conversations": "conv_id", "pages": "page_id", "labels": "doc_id", "lineitem": "l_orderkey",
+              "orders": "o_orderkey", "customer": "c_custkey", "part": "p_partkey", "supplier": "s_suppkey"}
+
+
+def spread(df, key: str | None):
+    """Give a scan at least ``defaultParallelism`` tasks.
+
+    A table stored as one file / row group is read by a single task; when
+    that happens the rows are hash-partitioned by their key (deterministic
+    under retries, balanced because the key is unique).  A large table made
+    of many files already has enough splits and is returned unchanged, so
+    this costs nothing at scale."""
+    spark = df.sparkSession
+    par = spark.sparkContext.defaultParallelism
+    if key is None or df.rdd.getNumPartitions() >= par:
+        return df
+    n = max(par, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, key)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str):
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return spread(df, TABLE_KEYS.get(name))
+
+
+def sized_broadcast(df, max_rows: int = 2_000_000):
+    """Broadcast hint only after checking the row count of a materialised
+    (checkpointed) small table; beyond the bound the join stays a shuffle
+    join (and AQE may still broadcast it from runtime statistics)."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.count() <= max_rows else df
+
+
+def materialize(df):
+    """Cut lineage of a small intermediate by a reliable checkpoint in the
+    shared folder named by ``spark.checkpoint.dir``."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
