@@ -31,6 +31,13 @@ def int_list_literal(s) -> Column:
     return F.from_json(_col(s), "array<int>")
 
 
+def list_repr(arr) -> Column:
+    """array<string> -> Python list repr ``['a', 'b']`` (the reference's CSV
+    form, read back by :func:`quoted_tokens`)."""
+    a = _col(arr)
+    return F.when(F.size(a) == 0, F.lit("[]")).otherwise(F.concat(F.lit("['"), F.array_join(a, "', '"), F.lit("']")))
+
+
 def to_list_literal(arr) -> Column:
     """array -> JSON list literal."""
     return F.to_json(_col(arr))

@@ -40,13 +40,13 @@ def to_vectors(pooled: DataFrame, group_col: str, out_col: str = "embedding") ->
 
 
 def embed(df: DataFrame, text_col: str, make_model: Callable, dim: int, batch_size: int = 32,
-          out_col: str = "embedding") -> DataFrame:
+          out_col: str = "embedding", element_type: str = "float") -> DataFrame:
     """Run a user model over a string column in Arrow batches on the
     executors (``predict_batch_udf``).  ``make_model()`` is called once per
     Python worker and returns ``f(np.ndarray[str]) -> np.ndarray[n, dim]``."""
     from pyspark.ml.functions import predict_batch_udf
-    from pyspark.sql.types import ArrayType, FloatType
+    from pyspark.sql.types import ArrayType, DoubleType, FloatType
 
-    udf = predict_batch_udf(make_model, return_type=ArrayType(FloatType()), batch_size=batch_size,
-                            input_tensor_shapes=None)
+    elem = DoubleType() if element_type == "double" else FloatType()
+    udf = predict_batch_udf(make_model, return_type=ArrayType(elem), batch_size=batch_size)
     return df.withColumn(out_col, udf(F.col(text_col)))

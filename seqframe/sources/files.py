@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import int_list_literal, quoted_tokens, to_list_literal
+from ..functions.text import int_list_literal, list_repr, quoted_tokens, to_list_literal
 
 ENTRY_SCHEMA = (
     "_id string, name string, "
@@ -98,7 +98,9 @@ def write_records(df: DataFrame, path: str, rows_per_file: int = 100000, fmt: st
     else:
         out = df
         for name, typ in df.dtypes:
-            if typ.startswith("array"):
+            if typ == "array<string>":
+                out = out.withColumn(name, list_repr(F.col(name)))
+            elif typ.startswith("array"):
                 out = out.withColumn(name, to_list_literal(F.col(name)))
         out.write.mode(mode).option("maxRecordsPerFile", rows_per_file).option("header", True).csv(path)
 
