@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import next_token_x, nonzero_mask, pad_right, stop_appended
@@ -28,10 +28,12 @@ def collate(df: DataFrame, batch_col: str, seq_col: str = "sequence", tags_col:
     * ``next_token``    - F13: ``x_seq = [22]+seq``, ``y_seq = seq+[22]``, masks
     * ``stop_appended`` - F14: ``sequence = seq+[22]`` padded, ``tag_mask``
     """
-    w = Window.partitionBy(batch_col)
-    d = (df.withColumn("sequence_lengths", F.size(F.col(seq_col)))
-           .withColumn("_m", F.max(F.size(F.col(seq_col))).over(w))
-           .withColumn("_tm", F.max(F.size(F.col(tags_col))).over(w)))
+    # W7 as an aggregate + equi-join rather than a window: the per-batch
+    # maxima are partially aggregated, and a hot batch key on the join is
+    # split by AQE's skew-join handling instead of landing in one task.
+    m = df.groupBy(batch_col).agg(F.max(F.size(F.col(seq_col))).alias("_m"),
+                                  F.max(F.size(F.col(tags_col))).alias("_tm"))
+    d = df.join(m, batch_col).withColumn("sequence_lengths", F.size(F.col(seq_col)))
     d = d.withColumn("_ptags", pad_right(F.col(tags_col), F.col("_tm")))
     if mode == "separate":
         out = d.withColumn("_seq", pad_right(F.col(seq_col), F.col("_m")))
