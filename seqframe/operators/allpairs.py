@@ -41,8 +41,18 @@ def _prep(df: DataFrame, id_col: str, vec_col: str, radius_col: str | None, pref
     return df.select(*cols)
 
 
+MIN_BLOCK_ROWS = 128
+
+
 def _blocks(n: int, block_rows: int, floor_blocks: int = 1) -> int:
-    return max(1, min(max(n, 1), max(math.ceil(n / block_rows), floor_blocks)))
+    """Number of hash blocks for one side: enough to keep a block at most
+    ``block_rows`` (bounded task memory) and, for parallelism, at least
+    ``floor_blocks`` - but never so many that a block drops below
+    ``MIN_BLOCK_ROWS`` rows, because every extra block replicates the other
+    side once more (shuffle volume n_other * blocks)."""
+    need = math.ceil(n / block_rows)
+    cap = max(1, math.ceil(n / MIN_BLOCK_ROWS))
+    return max(1, need, min(floor_blocks, cap))
 
 
 def _stack(series) -> np.ndarray:

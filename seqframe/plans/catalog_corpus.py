@@ -264,6 +264,26 @@ def encode_decode_roundtrip(spark, sf_dir):
                     decode_drop_specials(f8).alias("decoded_f8"))
 
 
+REVERSE_SEED = 17
+
+
+@query("reversed_sequences", "F9", f"""
+WITH {SQL_BENCH_IDS}
+SELECT item_id, {sql_u(str(REVERSE_SEED), 'item_id', "'r'")} > 0.5 AS reversed,
+  array_to_string(CASE WHEN {sql_u(str(REVERSE_SEED), 'item_id', "'r'")} > 0.5 THEN list_reverse(ids) ELSE ids END, ' ')
+  AS token_ids FROM bi""")
+def reversed_sequences(spark, sf_dir):
+    """token ids reversed with probability 1/2 by a per-row hash draw (the
+    reference reverses training sequences at random)."""
+    from ..functions.arrays import maybe_reverse
+    from ..functions.random import hash_uniform
+
+    s = sequences(spark, sf_dir, "benchmark").withColumn("ids", encode("sequence"))
+    key = (F.lit(REVERSE_SEED), F.col("id"), F.lit("r"))
+    return s.select(F.col("id").alias("item_id"), (hash_uniform(*key) > 0.5).alias("reversed"),
+                    F.array_join(maybe_reverse(F.col("ids"), *key), " ").alias("token_ids"))
+
+
 @query("spaced_string", "F4 P12", f"""
 SELECT item_id, array_to_string({sql_chars(SQL_LETTERS)}, ' ') AS spaced FROM benchmark""")
 def spaced_string(spark, sf_dir):

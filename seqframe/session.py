@@ -80,8 +80,7 @@ def spread(df, key: str | None):
     par = spark.sparkContext.defaultParallelism
     if key is None or df.rdd.getNumPartitions() >= par:
         return df
-    n = max(par, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return df.repartition(n, key)
+    return df.repartition(par, key)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str):

@@ -58,3 +58,11 @@ def test_streams_match_batch(spark):
     s = q["stream_ingest"](spark, "/root/testdata/sf0.001")
     p = q["property_bag_values"](spark, "/root/testdata/sf0.001")
     assert sorted(map(tuple, s.collect())) == sorted(map(tuple, p.collect()))
+
+
+def test_read_curated_keeps_saved_index(spark):
+    d = tempfile.mkdtemp(prefix="seqframe-cur-")
+    with open(os.path.join(d, "train.csv"), "w") as f:
+        f.write(",sequence,tags\n0,AAC,t1 t2\n1,AX,t1\n")
+    df = S.read_curated(spark, d, "sequence string, tags string")
+    assert sorted((r.id, r.sequence, r.tags) for r in df.collect()) == [(0, "AAC", "t1 t2"), (1, "AX", "t1")]
