@@ -163,8 +163,10 @@ def _eval_rows(spark, sf_dir):
     return materialize(ev.join(_votes(spark, sf_dir, "uniform"), "id"))
 
 
-@query("classification_report", "A14 C10", f"""
-WITH {SQL_E}, {SQL_LAB}, {SQL_VOTES_UNIFORM}, {SQL_EVAL},
+def _report_sql(prefix: str) -> str:
+    """Report rows from a ``pr(vec_id, y, p0, p1, pred)`` CTE defined in ``prefix``."""
+    return f"""
+WITH {prefix},
 cc AS (SELECT c, sum(t) AS support, sum(h) AS tp, sum(p) AS predicted FROM (
     SELECT CAST(y AS VARCHAR) AS c, 1 AS t, CASE WHEN y = pred THEN 1 ELSE 0 END AS h, 0 AS p FROM pr
     UNION ALL SELECT CAST(pred AS VARCHAR), 0, 0, 1 FROM pr) GROUP BY c),
@@ -179,7 +181,10 @@ UNION ALL SELECT 'macro avg', round(avg(precision), {ROUND}), round(avg(recall),
 UNION ALL SELECT 'weighted avg', round(sum(precision * support) / sum(support), {ROUND}),
   round(sum(recall * support) / sum(support), {ROUND}), round(sum(f1_score * support) / sum(support), {ROUND}),
   CAST(sum(support) AS BIGINT) FROM per2
-UNION ALL SELECT 'accuracy', NULL, NULL, round(sum(tp) / sum(support), {ROUND}), CAST(sum(support) AS BIGINT) FROM per2""")
+UNION ALL SELECT 'accuracy', NULL, NULL, round(sum(tp) / sum(support), {ROUND}), CAST(sum(support) AS BIGINT) FROM per2"""
+
+
+@query("classification_report", "A14 C10", _report_sql(f"{SQL_E}, {SQL_LAB}, {SQL_VOTES_UNIFORM}, {SQL_EVAL}"))
 def classification_report_query(spark, sf_dir):
     r = classification_report(_eval_rows(spark, sf_dir), "y", "pred")
     return r.select("name", *[F.round(c, ROUND).alias(c) for c in ("precision", "recall", "f1_score")],
@@ -193,21 +198,28 @@ c{cls} AS (SELECT tp, sum(tp) OVER (ORDER BY score DESC) AS ctp, sum(n) OVER (OR
 a{cls} AS (SELECT CASE WHEN sum(tp) = 0 THEN 0.0 ELSE sum(tp * ctp / cn) / sum(tp) END AS ap FROM c{cls})"""
 
 
-@query("average_precision", "A15 W5", f"""
-WITH {SQL_E}, {SQL_LAB}, {SQL_VOTES_UNIFORM}, {SQL_EVAL}, {_ap_sql(0)}, {_ap_sql(1)}
+def _ap_query_sql(prefix: str) -> str:
+    return f"""
+WITH {prefix}, {_ap_sql(0)}, {_ap_sql(1)}
 SELECT '0' AS name, round(ap, {ROUND}) AS avg_prec FROM a0 UNION ALL SELECT '1', round(ap, {ROUND}) FROM a1
-UNION ALL SELECT 'macro avg', round(((SELECT ap FROM a0) + (SELECT ap FROM a1)) / 2, {ROUND})""")
-def average_precision_query(spark, sf_dir):
-    ev = _eval_rows(spark, sf_dir)
+UNION ALL SELECT 'macro avg', round(((SELECT ap FROM a0) + (SELECT ap FROM a1)) / 2, {ROUND})"""
+
+
+def _ap_rows(ev):
     parts = []
     for c in (0, 1):
-        s = ev.select("y", F.round(F.col(f"p{c}"), 9).alias("score"))
-        parts.append(average_precision(s, "y", "score", positive=c).withColumn("name", F.lit(str(c))))
+        sc = ev.select("y", F.round(F.col(f"p{c}"), 9).alias("score"))
+        parts.append(average_precision(sc, "y", "score", positive=c).withColumn("name", F.lit(str(c))))
     both = parts[0].unionByName(parts[1])
     macro = both.agg(F.avg("avg_prec").alias("avg_prec")).withColumn("name", F.lit("macro avg"))
     return both.unionByName(macro).select("name", F.round("avg_prec", ROUND).alias("avg_prec"))
 
 
+@query("average_precision", "A15 W5", _ap_query_sql(f"{SQL_E}, {SQL_LAB}, {SQL_VOTES_UNIFORM}, {SQL_EVAL}"))
+def average_precision_query(spark, sf_dir):
+    return _ap_rows(_eval_rows(spark, sf_dir))
+
+
 # ---------------------------------------------------------------- pooling
 @query("mean_pool", "A16", f"""
 SELECT label, CAST(dim AS INTEGER) AS dim, round(avg(x), {ROUND}) AS value FROM (
@@ -227,3 +239,72 @@ def masked_mean_pool_query(spark, sf_dir):
     e = embedding_sets(spark, sf_dir).withColumn("mask", F.element_at("embedding", 1) >= 0)
     return masked_mean_pool(e, "label", "embedding", "mask").select("label", "dim",
                                                                       F.round("value", ROUND).alias("value"))
+
+
+# ------------------------------------------- labels joined to documents
+def _doc_vectors(spark, sf_dir):
+    """Letter-frequency vectors (26-d, native expressions) of every document."""
+    import string
+
+    from ..functions.text import letters
+    from .standins import documents
+
+    d = documents(spark, sf_dir).select("doc_id", letters("text").alias("s"))
+    n = F.length("s")
+    comps = [F.when(n > 0, (n - F.length(F.replace("s", F.lit(ch), F.lit("")))) / n).otherwise(F.lit(0.0))
+             for ch in string.ascii_uppercase]
+    return d.select(F.col("doc_id").alias("id"), F.array(*comps).alias("embedding"))
+
+
+def _quality_rows(spark, sf_dir):
+    """Labelled documents gathered by id; train split = reference set,
+    the other splits are scored by a 5-NN vote on ``quality``."""
+    from ..operators import curate as C
+    from ..session import materialize, read_table
+    from .catalog_corpus import SPLIT_SEED, TEST_FRAC, VAL_FRAC
+
+    lab = read_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("y"))
+    docs = read_table(spark, sf_dir, "documents").select("doc_id")
+    split = C.hash_split(docs, "doc_id", SPLIT_SEED, VAL_FRAC, TEST_FRAC).select(F.col("doc_id").alias("id"), "split")
+    rows = _doc_vectors(spark, sf_dir).join(lab, "id").join(split, "id")
+    ref = rows.where(F.col("split") == "train")
+    qs = rows.where(F.col("split") != "train")
+    votes = predict(neighbour_votes(qs.select("id", "embedding"), ref.select("id", "embedding", "y"), k=K_NN))
+    return materialize(qs.select("id", "y").join(votes, "id"))
+
+
+_LETTER_VEC_SQL = ("list_transform(range(26), lambda i: CASE WHEN length(s) > 0 THEN "
+                   "(length(s) - length(replace(s, chr(65 + i::INTEGER), '')))::DOUBLE / length(s) ELSE 0.0 END)")
+
+
+def _quality_sql() -> str:
+    from .catalog_corpus import SQL_SPLIT
+    from .standins import SQL_LETTERS
+
+    return f"""{SQL_SPLIT},
+dv AS (SELECT doc_id, {SQL_LETTERS} AS s FROM documents),
+vec AS (SELECT doc_id, {_LETTER_VEC_SQL} AS embedding FROM dv),
+lab AS (SELECT v.doc_id AS vec_id, v.embedding, l.quality AS y, spl.split FROM vec v JOIN labels l USING (doc_id)
+  JOIN spl USING (doc_id)),
+refs AS (SELECT * FROM lab WHERE split = 'train'),
+qs AS (SELECT * FROM lab WHERE split <> 'train'),
+nd AS (SELECT q.vec_id, r.vec_id AS rid, r.y, {sql_dist('q.embedding', 'r.embedding')} AS dist FROM qs q JOIN refs r ON TRUE),
+nn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, rid) AS rn FROM nd)
+  WHERE rn <= {K_NN}),
+{SQL_VOTES_UNIFORM},
+pr AS (SELECT q.vec_id, q.y, vt.p0, vt.p1, CASE WHEN vt.p1 > vt.p0 THEN 1 ELSE 0 END AS pred
+  FROM qs q JOIN vt USING (vec_id))"""
+
+
+@query("quality_report", "J4 J8 A14 W2 F20 C10", _report_sql(_quality_sql()))
+def quality_report(spark, sf_dir):
+    """Classification report of a 5-NN quality vote (labels joined to documents)."""
+    r = classification_report(_quality_rows(spark, sf_dir), "y", "pred")
+    return r.select("name", *[F.round(c, ROUND).alias(c) for c in ("precision", "recall", "f1_score")],
+                    F.col("support").cast("long"))
+
+
+@query("quality_average_precision", "A15 W5", _ap_query_sql(_quality_sql()))
+def quality_average_precision(spark, sf_dir):
+    """Per-class and macro average precision of the quality vote."""
+    return _ap_rows(_quality_rows(spark, sf_dir))
