@@ -53,7 +53,9 @@ def curate_corpus(records: DataFrame, out_path: str, id_col: str = "cluster_id",
     tags = kept.where(F.col("kind") == "tag").select("value", "count")
     folded = C.fold_rare(f, category_col, sized_broadcast(cats))
     cur = C.keep_tags(folded, id_col, tags_col, sized_broadcast(tags), drop_empty=drop_wo_tag, out_col="tags")
-    split = C.hash_split(cur, id_col, seed, val_frac, test_frac)
+    # the split reads the curated rows twice (per-bucket counts, then ranks):
+    # checkpoint them once instead of tokenising and shuffling twice
+    split = C.hash_split(materialize(cur), id_col, seed, val_frac, test_frac)
     S.write_splits(split, os.path.join(out_path, "splits"))
     written = split.sparkSession.read.parquet(os.path.join(out_path, "splits"))
     S.write_splits(C.dev_subsets(written, dev_sizes), os.path.join(out_path, "dev"))
