@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from seqframe.operators import allpairs as AP
 from seqframe.operators import manifold as M
-from seqframe.operators.knn import class_union, neighbour_votes, predict
+from seqframe.operators.knn import class_union, neighbour_votes
 from seqframe.operators.metrics import average_precision, classification_report
 from seqframe.operators.pooling import masked_mean_pool, mean_pool, to_vectors
 
