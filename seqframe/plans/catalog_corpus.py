@@ -356,15 +356,19 @@ SELECT doc_id, 0 AS y FROM c0 UNION ALL SELECT doc_id, 1 AS y FROM c1""")
 def class_union_query(spark, sf_dir):
     from ..operators.knn import class_union
 
+    from pyspark.sql import Window
+
+    from ..session import materialize
+
     enc, classes = _encoded_plain(spark, sf_dir)
-    ids = enc.select(F.col("id").alias("doc_id"), F.explode_outer(id_set("conditioning_tags")).alias("class_id")).where(F.col("class_id").isNotNull())
-    mem = ids.join(F.broadcast(classes), "class_id")
-    # the two most frequent tags are the two smallest tag ids
-    lo = classes.orderBy("class_id").limit(2)
-    first = lo.orderBy("class_id").limit(1)
-    second = lo.join(F.broadcast(first), "class_id", "left_anti")
-    c0 = mem.join(F.broadcast(first), "class_id", "left_semi").select("doc_id")
-    c1 = mem.join(F.broadcast(second), "class_id", "left_semi").select("doc_id")
+    # the two most frequent tags are the two smallest tag ids (<= 4 rows here)
+    two = classes.withColumn("_r", F.row_number().over(Window.orderBy("class_id"))).where(F.col("_r") <= 2)
+    ids = (enc.select(F.col("id").alias("doc_id"), F.explode_outer(id_set("conditioning_tags")).alias("class_id"))
+           .where(F.col("class_id").isNotNull()))
+    # membership is read once per class: compute the encode pipeline once
+    mem = materialize(ids.join(F.broadcast(two), "class_id").select("doc_id", "_r"))
+    c0 = mem.where(F.col("_r") == 1).select("doc_id")
+    c1 = mem.where(F.col("_r") == 2).select("doc_id")
     return class_union(c0, c1).select("doc_id", "y")
 
 
