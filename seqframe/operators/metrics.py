@@ -64,3 +64,25 @@ def average_precision(df: DataFrame, y_col: str, score_col: str, positive=1, nbu
     r = prefix_rank(g, bucket, [F.col("score").desc()], measures=["tp", "n"], rank_col=None)
     return r.agg(_safe_div(F.sum(F.col("tp") * F.col("cum_tp") / F.col("cum_n")), F.first("total_tp"))
                  .alias("avg_prec"))
+
+
+def average_precision_ovr(df: DataFrame, y_col: str, score_cols: dict, nbuckets: int = 64) -> DataFrame:
+    """One-vs-rest AP for several classes in one pass: ``(name, avg_prec)``
+    per class plus ``macro avg``.  ``score_cols`` maps class -> score column.
+    Rows become (class, score, positive) triples, are collapsed per distinct
+    (class, score), and the running sums restart per class."""
+    items = F.array(*[F.struct(F.lit(str(c)).alias("name"), F.col(col).cast("double").alias("score"),
+                               (F.col(y_col) == F.lit(c)).cast("long").alias("pos"))
+                      for c, col in score_cols.items()])
+    g = (df.select(F.explode(items).alias("_i")).select("_i.*")
+         .groupBy("name", "score").agg(F.sum("pos").alias("tp"), F.count(F.lit(1)).alias("n")))
+    bucket = range_bucket(g, "score", nbuckets, descending=True)
+    r = prefix_rank(g, bucket, [F.col("score").desc()], measures=["tp", "n"], rank_col=None,
+                    partition_cols=["name"])
+    from ..session import materialize
+
+    # one row per class, read twice (classes and macro): computed once
+    per = materialize(r.groupBy("name").agg(_safe_div(F.sum(F.col("tp") * F.col("cum_tp") / F.col("cum_n")),
+                                                      F.first("total_tp")).alias("avg_prec")))
+    macro = per.agg(F.avg("avg_prec").alias("avg_prec")).withColumn("name", F.lit("macro avg"))
+    return per.unionByName(macro)

@@ -50,24 +50,29 @@ def range_bucket(df: DataFrame, col: str, nbuckets: int = 64, descending: bool =
 
 
 def prefix_rank(df: DataFrame, bucket: Column, order_cols: Sequence[Column],
-                measures: Sequence[str] = (), rank_col: str | None = "rank") -> DataFrame:
+                measures: Sequence[str] = (), rank_col: str | None = "rank",
+                partition_cols: Sequence[str] = ()) -> DataFrame:
     """Global ``row_number`` (``rank_col``) and running sums ``cum_<m>`` in the
     total order ``order_cols`` (must be a total order; ``bucket`` must be
-    non-decreasing along it).  Adds ``total_n`` and ``total_<m>``."""
+    non-decreasing along it).  Adds ``total_n`` and ``total_<m>``.
+
+    ``partition_cols`` restarts the order per group (a few groups only, e.g.
+    classes: the offsets table has #groups x #buckets rows)."""
+    parts = list(partition_cols)
     d = df.withColumn("_bkt", bucket)
     aggs = [F.count(F.lit(1)).alias("_rows")] + [F.sum(m).alias(f"_s_{m}") for m in measures]
-    per_bucket = d.groupBy("_bkt").agg(*aggs)
-    # <= number of buckets rows: a single-partition window here is bounded.
-    before = Window.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy()
+    per_bucket = d.groupBy(*parts, "_bkt").agg(*aggs)
+    # <= #groups x #buckets rows: the offset windows here are bounded.
+    before = Window.partitionBy(*parts).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+    everything = Window.partitionBy(*parts)
     off_cols = [F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_off_rows"),
                 F.sum("_rows").over(everything).alias("total_n")]
     for m in measures:
         off_cols.append(F.coalesce(F.sum(f"_s_{m}").over(before), F.lit(0)).alias(f"_off_{m}"))
         off_cols.append(F.sum(f"_s_{m}").over(everything).alias(f"total_{m}"))
-    offsets = per_bucket.select("_bkt", *off_cols)
-    out = d.join(F.broadcast(offsets), "_bkt")
-    within = Window.partitionBy("_bkt").orderBy(*order_cols)
+    offsets = per_bucket.select(*parts, "_bkt", *off_cols)
+    out = d.join(F.broadcast(offsets), [*parts, "_bkt"])
+    within = Window.partitionBy(*parts, "_bkt").orderBy(*order_cols)
     if rank_col:
         out = out.withColumn(rank_col, F.row_number().over(within) + F.col("_off_rows"))
     running = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)

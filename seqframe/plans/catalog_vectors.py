@@ -206,13 +206,11 @@ UNION ALL SELECT 'macro avg', round(((SELECT ap FROM a0) + (SELECT ap FROM a1))
 
 
 def _ap_rows(ev):
-    parts = []
-    for c in (0, 1):
-        sc = ev.select("y", F.round(F.col(f"p{c}"), 9).alias("score"))
-        parts.append(average_precision(sc, "y", "score", positive=c).withColumn("name", F.lit(str(c))))
-    both = parts[0].unionByName(parts[1])
-    macro = both.agg(F.avg("avg_prec").alias("avg_prec")).withColumn("name", F.lit("macro avg"))
-    return both.unionByName(macro).select("name", F.round("avg_prec", ROUND).alias("avg_prec"))
+    from ..operators.metrics import average_precision_ovr
+
+    sc = ev.select("y", F.round("p0", 9).alias("s0"), F.round("p1", 9).alias("s1"))
+    ap = average_precision_ovr(sc, "y", {0: "s0", 1: "s1"})
+    return ap.select("name", F.round("avg_prec", ROUND).alias("avg_prec"))
 
 
 @query("average_precision", "A15 W5", _ap_query_sql(f"{SQL_E}, {SQL_LAB}, {SQL_VOTES_UNIFORM}, {SQL_EVAL}"))
@@ -266,7 +264,8 @@ def _quality_rows(spark, sf_dir):
     lab = read_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("y"))
     docs = read_table(spark, sf_dir, "documents").select("doc_id")
     split = C.hash_split(docs, "doc_id", SPLIT_SEED, VAL_FRAC, TEST_FRAC).select(F.col("doc_id").alias("id"), "split")
-    rows = _doc_vectors(spark, sf_dir).join(lab, "id").join(split, "id")
+    # labelled rows are read by both k-NN sides and their counts: compute once
+    rows = materialize(_doc_vectors(spark, sf_dir).join(lab, "id").join(split, "id"))
     ref = rows.where(F.col("split") == "train")
     qs = rows.where(F.col("split") != "train")
     votes = predict(neighbour_votes(qs.select("id", "embedding"), ref.select("id", "embedding", "y"), k=K_NN))

@@ -135,3 +135,17 @@ def test_self_manifold_precision_recall_is_one(spark):
     m = M.compute_manifold(e, 3)
     pr = M.precision_recall(m, m).first()
     assert (pr.precision, pr.recall) == (1.0, 1.0)
+
+
+def test_average_precision_ovr_matches_single_class(spark):
+    from seqframe.operators.metrics import average_precision_ovr
+
+    rng = np.random.default_rng(8)
+    y = rng.integers(0, 2, 300)
+    p1 = np.round(rng.random(300), 1)
+    df = spark.createDataFrame([(int(a), float(1 - b), float(b)) for a, b in zip(y, p1)], "y int, s0 double, s1 double")
+    got = {r.name: r.avg_prec for r in average_precision_ovr(df, "y", {0: "s0", 1: "s1"}).collect()}
+    for c in (0, 1):
+        want = average_precision(df.select("y", F.col(f"s{c}").alias("s")), "y", "s", positive=c).first().avg_prec
+        assert abs(got[str(c)] - want) < 1e-12
+    assert abs(got["macro avg"] - (got["0"] + got["1"]) / 2) < 1e-12
