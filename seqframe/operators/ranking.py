@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 MAX_BUCKETS = 65536
 
 
-def md5_bucket(hex_key, hex_digits: int = 3) -> Column:
+def md5_bucket(hex_key, hex_digits: int = 4) -> Column:
     """Order-preserving bucket of a hex md5 key (16**hex_digits buckets)."""
     k = F.col(hex_key) if isinstance(hex_key, str) else hex_key
     return F.conv(F.substring(k, 1, hex_digits), 16, 10).cast("int")
@@ -82,7 +82,7 @@ def prefix_rank(df: DataFrame, bucket: Column, order_cols: Sequence[Column],
     return out.drop(*drop)
 
 
-def hash_rank(df: DataFrame, seed, id_col: str, rank_col: str = "rank", hex_digits: int = 3) -> DataFrame:
+def hash_rank(df: DataFrame, seed, id_col: str, rank_col: str = "rank", hex_digits: int = 4) -> DataFrame:
     """Rank rows by ``md5(seed|id)`` (ties by id): a seeded permutation that is
     identical in Spark, DuckDB and plain Python."""
     from ..functions.random import hash_order
