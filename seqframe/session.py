@@ -44,7 +44,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     when it is unset (local tests) do we create a scratch folder of our own.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # no SparkContext on this session: the server side owns the setting
+        return conf_dir or ""
     current = sc.getCheckpointDir()
     if current:
         return current
@@ -78,8 +81,12 @@ def spread(df, key: str | None):
     of many files already has enough splits and is returned unchanged, so
     this costs nothing at scale."""
     spark = df.sparkSession
-    par = spark.sparkContext.defaultParallelism
-    if key is None or df.rdd.getNumPartitions() >= par:
+    try:
+        par = spark.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # sessions without an RDD API: leave the scan as it is
+        return df
+    if key is None or splits >= par:
         return df
     return df.repartition(par, key)
 
