@@ -307,3 +307,32 @@ def quality_report(spark, sf_dir):
 def quality_average_precision(spark, sf_dir):
     """Per-class and macro average precision of the quality vote."""
     return _ap_rows(_quality_rows(spark, sf_dir))
+
+
+# ----------------------------------------- labelled set scored on itself (Q18)
+SQL_SELF = f"""{SQL_E},
+lab AS (SELECT vec_id, embedding, 0 AS y FROM e WHERE label <= 5
+  UNION ALL SELECT vec_id, embedding, 1 AS y FROM e WHERE label >= 4),
+q AS (SELECT vec_id, embedding FROM e),
+nd AS (SELECT q.vec_id, l.vec_id AS rid, l.y, {sql_dist('q.embedding', 'l.embedding')} AS dist FROM q JOIN lab l ON TRUE),
+nn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, rid, y) AS rn FROM nd)
+  WHERE rn <= {K_NN}),
+{SQL_VOTES_UNIFORM},
+pr AS (SELECT l.vec_id, l.y, vt.p0, vt.p1, CASE WHEN vt.p1 > vt.p0 THEN 1 ELSE 0 END AS pred
+  FROM lab l JOIN vt USING (vec_id))"""
+
+
+@query("knn_self_report", "J8 W2 A14 Q17 Q18", _report_sql(SQL_SELF))
+def knn_self_report(spark, sf_dir):
+    """The labelled set (both classes, overlapping) fitted and scored on
+    itself: every point is among its own neighbours, as in the reference's
+    ground-truth runs (``exclude_self=False``)."""
+    from ..session import materialize
+
+    e = embedding_sets(spark, sf_dir)
+    lab = materialize(_labelled(e).select("id", "embedding", "y"))
+    votes = predict(neighbour_votes(e.select("id", "embedding"), lab, k=K_NN))
+    rows = lab.select("id", "y").join(votes, "id")
+    r = classification_report(rows, "y", "pred")
+    return r.select("name", *[F.round(c, ROUND).alias(c) for c in ("precision", "recall", "f1_score")],
+                    F.col("support").cast("long"))
