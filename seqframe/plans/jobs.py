@@ -178,3 +178,21 @@ def mask_corpus(encoded: DataFrame, ids_col: str = "sequence", floor: float | No
     return random_mask(encoded, "id", ids_col, seed=seed, p=p, floor=floor if floor is not None else 0.0)
 
 
+
+
+def embed_pairs(pairs: DataFrame, make_model, dim: int, use_generated: bool = True, spaced_input: bool = True,
+                id_col: str = "id", batch_size: int = 32, cap: int | None = None) -> DataFrame:
+    """C11: pick the generated or the original string of a pair table (P12),
+    optionally put spaces between characters (F4), keep the first ``cap``
+    rows by id when asked (P11, the cap is the feature), and run the user's
+    model in Arrow batches on the executors (X4).  Returns ``(id, embedding)``."""
+    from ..functions.vocab import spaced
+    from ..operators.pooling import embed
+
+    col = "gen" if use_generated else "orig"
+    d = pairs.select(F.col(id_col).alias("id"), F.col(col).alias("_s"))
+    if cap is not None:
+        d = d.orderBy("id").limit(cap)
+    if spaced_input:
+        d = d.withColumn("_s", spaced(F.col("_s")))
+    return embed(d, "_s", make_model, dim=dim, batch_size=batch_size).select("id", "embedding")

@@ -87,3 +87,22 @@ def test_pool_and_class_index_jobs(spark):
     got = sorted((r.class_id, r.id) for r in J.class_index(pairs, [5, 7]).collect())
     assert got == [(5, 1), (7, 1), (7, 2)]
 
+
+
+def _length_model():
+    import numpy as np
+
+    def predict(texts):
+        return np.array([[float(len(t)), float(t.count(" "))] for t in texts], dtype=np.float32)
+
+    return predict
+
+
+def test_embed_pairs_job(spark):
+    pairs = spark.createDataFrame([(1, "AAC", "AC"), (2, "MKV", "MKVW"), (3, "G", "GG")],
+                                  "id long, orig string, gen string")
+    gen = {r.id: r.embedding for r in J.embed_pairs(pairs, _length_model, dim=2).collect()}
+    assert gen == {1: [3.0, 1.0], 2: [7.0, 3.0], 3: [3.0, 1.0]}
+    orig = {r.id: r.embedding for r in J.embed_pairs(pairs, _length_model, dim=2, use_generated=False,
+                                                     spaced_input=False, cap=2).collect()}
+    assert orig == {1: [3.0, 0.0], 2: [3.0, 0.0]}
