@@ -150,7 +150,18 @@ def run_partitions(spark, sf_dir):
                        F.element_at(F.from_json("orig_protein_tags", "array<int>"), 1).alias("tag0"))
 
 
-@query("metrics_sink", "S12 C8", None)
+def _metrics_sql() -> str:
+    from .catalog_vectors import SQL_CROSS, SQL_E, SQL_RAD
+
+    return f"""
+WITH {SQL_E}, {SQL_RAD}, {SQL_CROSS},
+cov AS (SELECT sid, sset, bool_or(dist < rrad) AS covered FROM cr GROUP BY sid, sset)
+SELECT 'embeddings' AS emb, 'none' AS pooling, 3 AS k, 'subject' AS run,
+  round(avg(CASE WHEN sset = 'subject' THEN covered::INT END), {ROUND}) AS precision,
+  round(avg(CASE WHEN sset = 'ref' THEN covered::INT END), {ROUND}) AS recall FROM cov"""
+
+
+@query("metrics_sink", "S12 C8", _metrics_sql())
 def metrics_sink(spark, sf_dir):
     """Manifold metrics written as JSON under (emb, pooling, k, run) folders."""
     from .catalog_vectors import manifold_precision_recall
