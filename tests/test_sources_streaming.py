@@ -2,7 +2,6 @@
 import os
 import tempfile
 
-from pyspark.sql import functions as F
 
 from seqframe.sources import files as S
 
