@@ -21,7 +21,7 @@ def shape(df) -> dict:
         "nested_loop_join": plan.count("BroadcastNestedLoopJoin"),
         "cartesian": plan.count("CartesianProduct"),
         "window": plan.count("Window "),
-        "python": plan.count("Python") + plan.count("ArrowEvalPython") + plan.count("FlatMapCoGroupsInPandas"),
+        "python": len(re.findall(r"InPandas|ArrowEvalPython|BatchEvalPython", plan)),
     }
 
 
