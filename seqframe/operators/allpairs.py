@@ -155,13 +155,16 @@ _SCHEMAS = {
 def blocked_reduce(subjects: DataFrame, refs: DataFrame, mode: str, *, k: int = 1,
                    id_col: str = "id", vec_col: str = "embedding", ref_id_col: str | None = None,
                    ref_vec_col: str | None = None, radius_col: str | None = None,
-                   exclude_self: bool = False, block_rows: int = 2048) -> DataFrame:
+                   exclude_self: bool = False, block_rows: int = 2048, n_subjects: int | None = None,
+                   n_refs: int | None = None) -> DataFrame:
     """Run one blocked all-pairs reduction; returns per-block partial results
-    (merge with :func:`merge_topk` / ``groupBy(sid)``)."""
+    (merge with :func:`merge_topk` / ``groupBy(sid)``).  Row counts size the
+    blocks; pass them when already known to skip the counting jobs."""
     s = _prep(subjects, id_col, vec_col, None, "s")
     r = _prep(refs, ref_id_col or id_col, ref_vec_col or vec_col, radius_col, "r")
     spark = subjects.sparkSession
-    n_s, n_r = s.count(), r.count()
+    n_s = n_subjects if n_subjects is not None else s.count()
+    n_r = n_refs if n_refs is not None else r.count()
     par = spark.sparkContext.defaultParallelism
     qb = _blocks(n_s, block_rows, par)
     rb = _blocks(n_r, block_rows, 1)

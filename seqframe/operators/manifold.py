@@ -22,7 +22,8 @@ def compute_manifold(df: DataFrame, k: int = 3, id_col: str = "id", vec_col: str
     n = df.count()
     if n < k + 2:
         raise ValueError(f"manifold needs at least k+2={k + 2} rows, got {n}")
-    part = blocked_reduce(df, df, "topk", k=k + 1, id_col=id_col, vec_col=vec_col, block_rows=block_rows)
+    part = blocked_reduce(df, df, "topk", k=k + 1, id_col=id_col, vec_col=vec_col, block_rows=block_rows,
+                          n_subjects=n, n_refs=n)
     radii = merge_topk(part, k + 1).groupBy("sid").agg(F.max("dist").alias("radius"))
     base = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("embedding"))
     out = base.join(radii, base["id"] == radii["sid"]).drop("sid")
