@@ -49,7 +49,7 @@ FROM documents""")
 def ingest_xml(spark, sf_dir):
     """XML entries -> flat records -> chunked part files -> read back."""
     xml_dir = scratch_path(spark, "xml")
-    (_xml_entries(spark, sf_dir).write.format("xml").option("rootTag", "UniRef50").option("rowTag", "entry")
+    (_xml_entries(spark, sf_dir).write.format("xml").option("rootTag", "records").option("rowTag", "entry")
      .option("maxRecordsPerFile", XML_ROWS_PER_FILE).save(xml_dir))
     recs = S.flatten_entries(S.read_entries(spark, xml_dir), last_wins=True)
     out_dir = scratch_path(spark, "records")

@@ -118,9 +118,13 @@ def write_dictionary(dictionary: DataFrame, path: str, with_counts: bool = True,
     dictionary.orderBy("idx").select(*cols).coalesce(1).write.mode(mode).option("header", False).csv(path)
 
 
+# Column names of the generated-pair CSV format, in file order.
+PAIR_CSV_SCHEMA = "orig_protein_string string, orig_protein_tags string, gen_protein_string string"
+
+
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:
     """Generated-pair CSV; the int-list literal becomes array<int>."""
-    raw = spark.read.schema("orig_protein_string string, orig_protein_tags string, gen_protein_string string") \
+    raw = spark.read.schema(PAIR_CSV_SCHEMA) \
         .option("header", True).csv(path)
     return raw.select(F.col("orig_protein_string").alias("orig"),
                       int_list_literal("orig_protein_tags").alias("tags"),

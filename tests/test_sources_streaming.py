@@ -5,11 +5,11 @@ import tempfile
 
 from seqframe.sources import files as S
 
-ENTRY = ('<UniRef50><entry id="UniRef50_A"><name>Cluster A</name>'
+ENTRY = ('<records><entry id="C_A"><name>Cluster A</name>'
          '<property type="member count" value="3"/><property type="common taxon" value="Bacteria"/>'
          '<property type="common taxon ID" value="2"/><property type="GO Molecular Function" value="GO:1"/>'
          '<property type="GO Molecular Function" value="GO:2"/><property type="GO Biological Process" value="GO:1"/>'
-         '<representativeMember><sequence length="5">MKXBO</sequence></representativeMember></entry></UniRef50>')
+         '<representativeMember><sequence length="5">MKXBO</sequence></representativeMember></entry></records>')
 
 
 def test_xml_ingest_fixture_x1(spark):
