@@ -149,3 +149,15 @@ def test_average_precision_ovr_matches_single_class(spark):
         want = average_precision(df.select("y", F.col(f"s{c}").alias("s")), "y", "s", positive=c).first().avg_prec
         assert abs(got[str(c)] - want) < 1e-12
     assert abs(got["macro avg"] - (got["0"] + got["1"]) / 2) < 1e-12
+
+
+def test_plan_shape_has_no_cross_join_for_knn(spark):
+    from seqframe.plans.explain import shape
+
+    rng = np.random.default_rng(2)
+    e = spark.createDataFrame([(i, [float(v) for v in rng.normal(size=3)]) for i in range(20)],
+                              "id long, embedding array<double>")
+    nn = AP.knn(e, e, 2)
+    nn.write.format("noop").mode("overwrite").save()
+    s = shape(nn)
+    assert s["cartesian"] == 0 and s["nested_loop_join"] == 0 and s["python"] >= 1
