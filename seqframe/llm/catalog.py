@@ -7,8 +7,36 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqframe.llm.common import table
+from seqframe.llm.common import shared_path, table
+from seqframe.llm.jaccard import jaccard_components
+from seqframe.llm.license_scan import scan_licenses
+from seqframe.llm.mixing import mix_sources
 from seqframe.llm.quality_rules import quality_rules
+from seqframe.llm.token_files import digests, encode_documents, write_tokens
+
+
+def _tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "tokens")
+    write_tokens(encode_documents(table(spark, sf_dir, "documents"), _tokenizer_path("byte_bpe_50k.json")), path)
+    return digests(spark, path)
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licenses(table(spark, sf_dir, "documents"))
+    base, own = F.col("places.label"), F.col("spans.label")
+    return found.select(
+        "doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min("places.start").alias("first_word"), F.array_max("places.start").alias("last_word"),
+        F.array_join(F.array_sort(F.array_distinct(base)), ",").alias("base_labels"), F.array_join(F.array_sort(F.array_distinct(F.concat(base, own))), ",").alias("labels"), "score")
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,9 +44,46 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *[F.col(f"verdict.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
 
 
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_quality_rules,)}
+    return {f.__name__: f for f in (op1_mix_sources, op4_token_files, op6_license_scan, op8_quality_rules, op10_ngram_jaccard)}
+
+
+OP1 = r"""
+with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size, md5('mix:' || doc_id::varchar) as h from documents),
+s as (select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) as s_rank from d group by source),
+w as (select *, (s_rank - 1) % 3 + 1 as weight, 3 * source_size as stop from s),
+f as (select *, ((sum(source_size) over () - coalesce(sum(stop) over (order by stop / weight, s_rank rows between unbounded preceding and 1 preceding), 0))::double
+      / (sum(weight) over () - coalesce(sum(weight) over (order by stop / weight, s_rank rows between unbounded preceding and 1 preceding), 0))::double) as level from w),
+l as (select arg_min(level, (stop / weight, s_rank)) as level from f where level * weight <= stop),
+t as (select source, source_size, s_rank, least(stop::double, l.level * weight) as target from f, l),
+r as (select d.*, t.source_size, t.s_rank, t.target,
+      coalesce(sum(size) over (partition by d.source order by h, doc_id rows between unbounded preceding and 1 preceding), 0)::bigint as c0
+      from d join t on d.source is not distinct from t.source),
+c as (select r.*, k.i as rep, (k.i * source_size + c0 + size)::double / target as v from r, (select unnest(range(3)) as i) k where size > 0),
+a as (select doc_id, sum(size) over (order by v, s_rank, rep, c0 rows unbounded preceding) <= (select sum(source_size) from t) as ok from c),
+n as (select doc_id, count(*) filter (ok) as n from a group by doc_id)
+select r.doc_id, size, source_size, target, (size * coalesce(n.n, 0))::bigint as taken from r left join n on r.doc_id = n.doc_id
+"""
+
+
+OP10 = r"""
+with recursive d as (select doc_id, regexp_extract_all(lower_az, '[^\x20\x09-\x0D]+') as w
+       from (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as lower_az from documents)),
+s as (select doc_id, case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+             else list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' '))) end as s from d),
+n as (select doc_id, len(s)::bigint as n from s),
+t as (select doc_id, unnest(s) as t from s),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as common from t a join t b on a.t = b.t and a.doc_id < b.doc_id group by all),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * common >= 85 * (x.n + y.n - common)),
+e as (select a, b from l union all select b, a from l),
+r as (select doc_id, doc_id as c from n union select e.b, r.c from r join e on e.a = r.doc_id)
+select n.doc_id, n.n as n_shingles, (select min(c) from r where r.doc_id = n.doc_id)::bigint as component_id from n
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_mix_sources": OP1, "op10_ngram_jaccard": OP10}

@@ -119,13 +119,18 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", rules
     df = df.withColumn(f"{pre}dup", F.size(f"{pre}lines") - F.size(F.array_distinct(f"{pre}lines"))).drop(f"{pre}lines")
 
     # repeated windows: hash every window; only a text with equal hashes sorts them to find their positions
-    size = rules.window
-    df = df.withColumn(h, F.when(F.col(n) >= size, F.transform(F.sequence(F.lit(1), F.col(n) - size + 1), lambda i: F.xxhash64(F.slice(F.col(w), i, size)))))
+    # hashes of 1, 2, 4, ... words, each made of two before it that together cover its words
+    df, span = df.withColumn(h, F.transform(w, lambda x: F.xxhash64(x))), 1
+    while span < rules.window:
+        shift = min(span, rules.window - span)
+        rest = F.greatest(F.size(h) - shift, F.lit(0))
+        df = df.withColumn(f"{h}_next", F.zip_with(F.slice(h, 1, rest), F.slice(h, shift + 1, rest), lambda a, b: F.xxhash64(a, b)))
+        df, span = df.drop(h).withColumnRenamed(f"{h}_next", h), span + shift
     df = df.withColumn(f"{h}_sorted", F.when(F.size(F.array_distinct(h)) < F.size(h), F.sort_array(F.transform(F.col(h), lambda x, i: F.struct(x.alias("h"), i.alias("i"))))))
     pairs = F.zip_with(f"{h}_sorted", F.slice(F.col(f"{h}_sorted"), F.lit(2), F.size(f"{h}_sorted")),
                        lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])))
     df = df.withColumn(f"{h}_at", F.sort_array(F.array_distinct(F.flatten(F.filter(pairs, lambda x: x.isNotNull())))))
-    steps = F.zip_with(f"{h}_at", F.slice(F.col(f"{h}_at"), F.lit(2), F.size(f"{h}_at")), lambda a, b: F.least(F.lit(size), b - a))
+    steps = F.zip_with(f"{h}_at", F.slice(F.col(f"{h}_at"), F.lit(2), F.size(f"{h}_at")), lambda a, b: F.least(F.lit(rules.window), b - a))
     df = df.withColumn(f"{pre}rep", F.coalesce(F.aggregate(steps, F.lit(0), lambda acc, x: acc + x), F.lit(0))).drop(h, f"{h}_sorted", f"{h}_at")
 
     # common words: a letter for each word, then the letters are counted
