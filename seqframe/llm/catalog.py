@@ -12,7 +12,9 @@ from seqframe.llm.jaccard import jaccard_components
 from seqframe.llm.license_scan import scan_licenses
 from seqframe.llm.mixing import mix_sources
 from seqframe.llm.quality_rules import quality_rules
+from seqframe.llm.substring_dedup import remove_repeats
 from seqframe.llm.token_files import digests, encode_documents, write_tokens
+from seqframe.llm.topk_search import top_k
 
 
 def _tokenizer_path(name: str) -> str:
@@ -31,6 +33,10 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(spark, path)
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), n=20).select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_licenses(table(spark, sf_dir, "documents"))
     base, own = F.col("places.label"), F.col("spans.label")
@@ -39,6 +45,10 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(F.array_sort(F.array_distinct(base)), ",").alias("base_labels"), F.array_join(F.array_sort(F.array_distinct(F.concat(base, own))), ",").alias("labels"), "score")
 
 
+def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64).select("query_id", "rank", "vec_id", "score")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).select(
         "doc_id", *[F.col(f"verdict.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
@@ -49,7 +59,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op4_token_files, op6_license_scan, op8_quality_rules, op10_ngram_jaccard)}
+    return {f.__name__: f for f in (op1_mix_sources, op4_token_files, op5_substring_dedup, op6_license_scan, op7_topk_search, op8_quality_rules, op10_ngram_jaccard)}
 
 
 OP1 = r"""
@@ -70,6 +80,26 @@ select r.doc_id, size, source_size, target, (size * coalesce(n.n, 0))::bigint as
 """
 
 
+OP5 = r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select doc_id, unnest(range(1, len(w) - 18)) as p, w from d),
+g as (select doc_id, p, array_to_string(w[p:p+19], ' ') as k from s),
+r as (select doc_id, p, row_number() over (partition by k order by doc_id, p) as r from g),
+c as (select distinct doc_id, unnest(range(p, p + 20)) as p from r where r > 1),
+x as (select doc_id, list(p) as gone from c group by doc_id),
+k as (select d.doc_id, w, coalesce(gone, []) as gone from d left join x on d.doc_id = x.doc_id),
+u as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as p from k),
+v as (select u.doc_id, string_agg(word, ' ' order by u.p) as kept from u anti join c on u.doc_id = c.doc_id and u.p = c.p group by u.doc_id)
+select k.doc_id, len(w)::bigint as n_words, len(gone)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from k left join v on k.doc_id = v.doc_id
+"""
+OP7 = r"""
+with v as (select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as v from embeddings
+           where embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+s as (select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::bigint as score
+      from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::integer as rank from s)
+select query_id, rank, vec_id, score from r where rank <= 20
+"""
 OP10 = r"""
 with recursive d as (select doc_id, regexp_extract_all(lower_az, '[^\x20\x09-\x0D]+') as w
        from (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as lower_az from documents)),
@@ -86,4 +116,4 @@ select n.doc_id, n.n as n_shingles, (select min(c) from r where r.doc_id = n.doc
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1, "op10_ngram_jaccard": OP10}
+    return {"op1_mix_sources": OP1, "op5_substring_dedup": OP5, "op7_topk_search": OP7, "op10_ngram_jaccard": OP10}
