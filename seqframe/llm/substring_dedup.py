@@ -5,7 +5,7 @@ whose words also start earlier (in a document of smaller doc_id, or earlier in
 the same one).
 
 Every window start is a suffix.  Its prefix is cut behind its anchor, the
-smallest 8-gram hash of the window, so prefixes are 8 to ``n`` words long and
+smallest 5-gram hash of the window, so prefixes are 5 to ``n`` words long and
 windows of equal words have equal prefixes.  Suffixes of one anchor are a group:
 
 1. Anchors that occur in one text only, once, can't start a repeat; they are
@@ -26,7 +26,7 @@ their words are covered.
 Cases: null and empty texts have no words; a null doc_id counts as the largest;
 rows with equal doc_id and text are treated alike (neither is earlier); a text
 of fewer than ``n`` words keeps all; an empty table gives an empty result;
-other columns are kept.  64-bit hashes stand for 8-grams and, within a slice,
+other columns are kept.  64-bit hashes stand for 5-grams and, within a slice,
 for windows; 40-bit ones for the single words beside an anchor.
 """
 
@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from seqframe.llm.common import cut, fresh, from_columns, grams, mix64, slices, text_key, word_hashes, word_lists
 
-K = 8
+K = 5
 WORD_BITS = np.uint64((1 << 40) - 1)
 LAST = (1 << 63) - 1
 PIECE = 100_000
@@ -101,14 +101,15 @@ def _scatter(*parts: np.ndarray) -> np.ndarray:
 
 
 def _anchors(n: int) -> Callable:
-    """(key, doc_id, t, pos, sure) of anchors; ``sure`` ones are known to repeat, and say so to others of their key."""
+    """(key, t, place) of anchors; place is twice the position in the text, plus one if the anchor is known to repeat (which it says
+    to others of its key)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 w = Windows(*word_hashes(part.column("text")), n)
                 if not len(w.at):
                     continue
-                doc_id, t = _ids(part)
+                t = part.column("t").to_numpy()
                 # a copy of a text of this slice adds nothing
                 _, first = np.unique(t, return_index=True)
                 own = np.zeros(len(t), bool)
@@ -123,14 +124,14 @@ def _anchors(n: int) -> Callable:
                 sure = (np.diff(np.append(np.flatnonzero(new), len(h))) > 1)[run_of]
                 pos = at - w.offsets[text]
                 key = np.where(new, h.view(np.int64), _scatter(t[text], pos))
-                yield from_columns(key=key, doc_id=doc_id[text], t=t[text], pos=pa.array(pos, pa.int32()), sure=pa.array(sure))
+                yield from_columns(key=key, t=t[text], place=2 * pos + sure)
 
     return run
 
 
 def _suffixes(n: int) -> Callable:
     """Per anchor to be looked at: key, doc_id, t, s0 (its first window), mask (bit i: window s0 + i), off (anchor - s0) and the words
-    around it; and, with a null context, windows that are marked already."""
+    around it; and, with off -1 and packed pairs of s0 and mask as the context, windows of a text that are marked already."""
     side = n - K
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,11 +178,23 @@ def _suffixes(n: int) -> Callable:
                 yield _rows(w.grams[at[sent]].view(np.int64), doc_id[text[sent]], t[text[sent]], s0[sent], mask[sent], off[sent], binary)
                 done = np.flatnonzero(marked)
                 if len(done):
-                    yield _rows(_scatter(t[text[done]], s0[done]), doc_id[text[done]], t[text[done]], s0[done], marked[done], off[done], pa.nulls(len(done), pa.binary()))
+                    ids, ts, pairs = _packed(doc_id[text[done]], t[text[done]], s0[done], marked[done])
+                    none = np.zeros(len(ids), np.int64)
+                    yield _rows(_scatter(ts), ids, ts, none, none, none - 1, pairs)
 
     return run
 
 
+def _packed(doc_id: np.ndarray, t: np.ndarray, s0: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """One row a text: its pairs of s0 and mask as 32-bit numbers."""
+    order = np.lexsort((t, doc_id))
+    doc_id, t = doc_id[order], t[order]
+    first = np.flatnonzero(np.concatenate(([True], (doc_id[1:] != doc_id[:-1]) | (t[1:] != t[:-1]))))
+    data = np.stack((s0[order], mask[order]), axis=1).astype("<i4")
+    ends = (np.append(first, len(order)) * 8).astype(np.int32)
+    return doc_id[first], t[first], pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+
+
 def _rows(key, doc_id, t, s0, mask, off, context) -> pa.RecordBatch:
     return from_columns(key=key, doc_id=doc_id, t=t, s0=pa.array(s0, pa.int32()), mask=pa.array(mask, pa.int32()), off=pa.array(off, pa.int32()), context=context)
 
@@ -236,7 +249,10 @@ def _trees(n: int, piece: int) -> Callable:
 
     def result(rows: dict, marks: np.ndarray) -> pa.RecordBatch:
         at = np.flatnonzero(marks)
-        return from_columns(doc_id=rows["doc_id"][at], t=rows["t"][at], s0=pa.array(rows["s0"][at], pa.int32()), mask=pa.array(marks[at], pa.int32()))
+        if not len(at):
+            return from_columns(doc_id=pa.array([], pa.int64()), t=pa.array([], pa.int64()), pairs=pa.array([], pa.binary()))
+        ids, ts, pairs = _packed(rows["doc_id"][at], rows["t"][at], rows["s0"][at], marks[at])
+        return from_columns(doc_id=ids, t=ts, pairs=pairs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict | None = None
@@ -246,10 +262,10 @@ def _trees(n: int, piece: int) -> Callable:
             return rows, marks
 
         for batch in batches:
-            known = pc.is_null(batch.column("context")).to_numpy(zero_copy_only=False)
+            known = batch.column("off").to_numpy() < 0
             if known.any():
                 done = batch.filter(pa.array(known))
-                yield from_columns(**{c: done.column(c) for c in ("doc_id", "t", "s0", "mask")})
+                yield from_columns(doc_id=done.column("doc_id"), t=done.column("t"), pairs=done.column("context"))
                 batch = batch.filter(pa.array(~known))
             if not batch.num_rows:
                 continue
@@ -287,8 +303,9 @@ def _kept(n: int, text: str, own: list[str], added: tuple[str, str, str]) -> Cal
                 where = marks.offsets.to_numpy().astype(np.int64)
                 values = marks.values.slice(where[0], where[-1] - where[0])
                 if len(values):
-                    s0 = values.field("s0").to_numpy().astype(np.int64) + np.repeat(offsets[:-1], np.diff(where))
-                    mask = values.field("mask").to_numpy().astype(np.int64)
+                    many = pc.binary_length(values).to_numpy() // 8
+                    pairs = np.frombuffer(b"".join(values.to_pylist()), "<i4").reshape(-1, 2).astype(np.int64)
+                    s0, mask = pairs[:, 0] + np.repeat(np.repeat(offsets[:-1], np.diff(where)), many), pairs[:, 1]
                     for bit in range(n - K + 1):
                         starts = s0[(mask >> bit) & 1 == 1] + bit
                         np.add.at(edge, starts, 1)
@@ -310,29 +327,27 @@ def remove_repeats(docs: DataFrame, n: int = 20, doc_id: str = "doc_id", text: s
         raise ValueError(f"windows have {K} to {K + 30} words")
     order = F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST))
     rows = docs.select(order.alias("doc_id"), text_key(F.col(text)).alias("t"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    anchors = rows.mapInArrow(_anchors(n), "key long, doc_id long, t long, pos int, sure boolean")
+    anchors = rows.select("t", "text").mapInArrow(_anchors(n), "key long, t long, place long")
     alike = Window.partitionBy("key")
-    several = (F.min("t").over(alike) < F.max("t").over(alike)) | F.max("sure").over(alike)
-    places = anchors.withColumn("again", F.col("sure") | several).where("again").groupBy("doc_id", "t").agg(F.collect_list("pos").alias("places"))
+    known = F.col("place") % 2 == 1
+    several = (F.min("t").over(alike) < F.max("t").over(alike)) | F.max(known).over(alike)
+    places = anchors.withColumn("again", known | several).where("again").groupBy("t").agg(F.collect_set(F.floor(F.col("place") / 2).cast("int")).alias("places"))
 
-    first = rows.select("t", "doc_id").groupBy("t").agg(F.min("doc_id").alias("first")).withColumnRenamed("t", "t2")
+    first = rows.groupBy("t").agg(F.min("doc_id").alias("first")).withColumnRenamed("t", "t2")
     copies = cut(rows.select("doc_id", "t").distinct().join(first, (F.col("t") == F.col("t2")) & (F.col("doc_id") > F.col("first")), "left_semi"))
-    gone = copies.select(F.col("doc_id").alias("id3"), F.col("t").alias("t3"))
-    places = places.join(gone, (F.col("doc_id") == F.col("id3")) & (F.col("t") == F.col("t3")), "left_anti")
-    places = places.select(F.col("doc_id").alias("id2"), F.col("t").alias("t2"), "places")
+    places = places.join(first, F.col("t") == F.col("t2")).select(F.col("first").alias("id2"), "t2", "places")
 
     met = rows.join(places.hint("shuffle_hash"), (F.col("doc_id") == F.col("id2")) & (F.col("t") == F.col("t2"))).select("doc_id", "t", "text", "places")
     suffixes = met.mapInArrow(_suffixes(n), "key long, doc_id long, t long, s0 int, mask int, off int, context binary")
-    marks = suffixes.repartition("key").sortWithinPartitions("key", "doc_id", "s0").mapInArrow(_trees(n, piece), "doc_id long, t long, s0 int, mask int")
-    # a row's windows are marked in one place or the other, so equal rows are repeated documents
-    spans = marks.groupBy("doc_id", "t").agg(F.collect_set(F.struct("s0", "mask")).alias("spans"))
+    marks = suffixes.repartition("key").sortWithinPartitions("key", "doc_id", "s0").mapInArrow(_trees(n, piece), "doc_id long, t long, pairs binary")
+    spans = marks.groupBy("doc_id", "t").agg(F.collect_list("pairs").alias("spans"))
     spans = spans.join(copies.select(F.col("doc_id").alias("id3"), F.col("t").alias("t3"), F.lit(True).alias("copy")), (F.col("doc_id") == F.col("id3")) & (F.col("t") == F.col("t3")), "full")
     spans = cut(spans.select(F.coalesce("doc_id", "id3").alias("doc_id"), F.coalesce("t", "t3").alias("t"), "spans", F.coalesce("copy", F.lit(False)).alias("copy")))
 
     id_, t, sp, cp = fresh(docs, "dedup_id", "dedup_t", "dedup_spans", "dedup_copy")
     found = spans.select(F.col("doc_id").alias(f"{id_}2"), F.col("t").alias(f"{t}2"), F.col("spans").alias(sp), F.col("copy").alias(cp))
     both = docs.withColumn(id_, order).withColumn(t, text_key(F.col(text))).join(found.hint("shuffle_hash"), (F.col(id_) == F.col(f"{id_}2")) & (F.col(t) == F.col(f"{t}2")), "left")
-    both = both.select(*[F.col(f"`{c}`") for c in docs.columns], F.coalesce(sp, F.array().cast("array<struct<s0:int,mask:int>>")).alias(sp), F.coalesce(cp, F.lit(False)).alias(cp))
+    both = both.select(*[F.col(f"`{c}`") for c in docs.columns], F.coalesce(sp, F.array().cast("array<binary>")).alias(sp), F.coalesce(cp, F.lit(False)).alias(cp))
     kept = fresh(both, "dedup_text")[0]
     others = [c for c in docs.columns if c != text]
     schema = docs.select(*[F.col(f"`{c}`") for c in others]).schema.add(kept, "string").add("kept_n", "long").add("kept_gone", "long")

@@ -13,9 +13,11 @@ a hash of their text; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import os
+import sys
+import types
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,22 +25,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seqframe.llm.common import from_columns, slices, text_key
+from seqframe.llm.common import from_columns, hashes, slices, text_key
 
-#: White space around a space, as the pre-tokenizer sees it: there a text can't be cut before that space.
-_JOINED = r"\s \s|  "
+#: Where a text can't be cut before a space: white space on both sides of it, or another space.  RE2 knows ASCII white space only;
+#: a text with any other is rare enough to go the slow way too.
+_JOINED = r"\s \s|  |[\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 
-@lru_cache(maxsize=4)
-def _tokenizer(path: str):
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True  # their strings in a text are ordinary text
-    return t
+def _kept() -> dict:
+    """What a Python worker keeps from one task to its next ones."""
+    return sys.modules.setdefault("seqframe_kept", types.ModuleType("seqframe_kept")).__dict__
 
 
 class Encoder:
@@ -46,46 +42,77 @@ class Encoder:
 
     The pre-tokenizer of a byte-level vocabulary takes a space into the word after it, so a text may be cut before
     each single space that stands between other characters than white space, and the pieces encoded alone give the
-    ids of the whole.  Texts with a space beside white space are encoded whole.  What pieces give is kept for the
-    next batches, up to ``memory`` ids.
+    ids of the whole.  Texts with a space beside white space are encoded whole.  New pieces are encoded many in a
+    row: the first id of each is known by its space.  What pieces give is kept, by 64-bit hashes of the pieces, for
+    the next batches, up to ``memory`` ids.
     """
 
-    def __init__(self, path: str, memory: int = 4_000_000):
-        self.tokenizer, self.memory = _tokenizer(path), memory
-        self._forget()
+    def __init__(self, path: str, memory: int = 6_000_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
 
-    def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids = np.zeros(1 << 16, np.int32)
-        self.ends = np.zeros(1 << 14, np.int64)
+        self.tokenizer, self.memory = Tokenizer.from_file(path), memory
+        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        vocabulary = self.tokenizer.get_vocab()
+        self.begins_with_space = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.begins_with_space[[i for piece, i in vocabulary.items() if piece.startswith("\u0120")]] = True
+        self._forget()
 
-    def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    @classmethod
+    def of(cls, path: str) -> Encoder:
+        kept = _kept()
+        if path not in kept:
+            kept[path] = cls(path)
+        return kept[path]
 
-    def _learn(self, pieces: list[str]) -> np.ndarray:
-        """Numbers of the pieces."""
-        if len(self.known) and self.ends[len(self.known) - 1] > self.memory:
+    def _forget(self) -> None:
+        self.keys, self.begin, self.size, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of pieces, in some order, with the numbers and the sizes of the pieces in that order."""
+        # pieces that begin with a space beside no other white space can stand in a row
+        joined = [i for i, p in enumerate(pieces) if p[:1] == " " and len(p) > 1 and not p[1].isspace() and not p[-1].isspace()]
+        groups = [joined[i : i + 4000] for i in range(0, len(joined), 4000)]
+        ids, numbers, sizes = [], [], []
+        alone = np.ones(len(pieces), bool)
+        for group, x in zip(groups, self._encode(["".join([pieces[i] for i in g]) for g in groups]), strict=True):
+            starts = np.flatnonzero(self.begins_with_space[x])
+            if len(starts) == len(group) and starts[0] == 0:
+                ids.append(x)
+                numbers.append(np.array(group))
+                sizes.append(np.diff(np.append(starts, len(x))))
+                alone[numbers[-1]] = False
+        rest = np.flatnonzero(alone)
+        single = self._encode([pieces[i] for i in rest])
+        return np.concatenate([*ids, *single]), np.concatenate([*numbers, rest]), np.concatenate([*sizes, np.fromiter(map(len, single), np.int64, len(single))])
+
+    def _learn(self, words: list[str], firsts: list[str]) -> np.ndarray:
+        """Numbers of the words after a space, and of those that begin a text."""
+        if len(self.ids) > self.memory:
             self._forget()
-        new = [p for p in pieces if p not in self.known]
-        if new:
-            n, got = len(self.known), self._encode(new)
-            self.known.update(zip(new, range(n, n + len(new)), strict=True))
-            sizes = np.fromiter(map(len, got), np.int64, len(got))
-            flat = np.fromiter((i for x in got for i in x), np.int32, int(sizes.sum()))
-            start = int(self.ends[n - 1]) if n else 0
-            while len(self.ends) < n + len(new):
-                self.ends = np.concatenate((self.ends, np.zeros_like(self.ends)))
-            while len(self.ids) < start + len(flat):
-                self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
-            self.ends[n : n + len(new)] = start + np.cumsum(sizes)
-            self.ids[start : start + len(flat)] = flat
-        return np.fromiter((self.known[p] for p in pieces), np.int64, len(pieces))
+        pieces = [" " + w for w in words] + firsts
+        keys = hashes(pieces)
+        at = np.searchsorted(self.keys, keys)
+        known = np.zeros(len(keys), bool)
+        inside = at < len(self.keys)
+        known[inside] = self.keys[at[inside]] == keys[inside]
+        new = np.flatnonzero(~known)
+        if len(new):
+            ids, numbers, size = self._encode_pieces([pieces[i] for i in new])
+            begin = len(self.ids) + np.cumsum(size) - size
+            self.ids = np.concatenate((self.ids, ids))
+            keys_now = np.concatenate((self.keys, keys[new[numbers]]))
+            order = np.argsort(keys_now, kind="stable")
+            self.keys, self.begin, self.size = keys_now[order], np.concatenate((self.begin, begin))[order], np.concatenate((self.size, size))[order]
+            at = np.searchsorted(self.keys, keys)
+        return at
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in order, and the offsets of the texts in them."""
         whole = pc.match_substring_regex(texts, _JOINED).to_numpy(zero_copy_only=False)
-        # RE2 knows ASCII white space only; a space beside any other is rare enough to go the slow way too
-        whole |= pc.match_substring_regex(texts, "[\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{1C}-\\x{1F}\\x{0B}]").to_numpy(zero_copy_only=False)
         plain = pc.if_else(pa.array(whole), "", texts)
         parts = pc.split_pattern(plain, " ")
         offsets = parts.offsets.to_numpy().astype(np.int64)
@@ -97,18 +124,18 @@ class Encoder:
         # a piece has the space before it, but for the first one of a text
         words = coded.dictionary.to_pylist()
         starts = np.unique(code[first])
-        numbers = self._learn([" " + w for w in words] + [words[i] for i in starts])
+        numbers = self._learn(words, [words[i] for i in starts])
         number = numbers[code]
         number[first] = numbers[len(words) + np.searchsorted(starts, code[first])]
-        begin, end = (np.concatenate(([0], self.ends[: len(self.known)]))[number], self.ends[number])
-        size = end - begin
+        begin, size = self.begin[number], self.size[number]
         at = np.concatenate(([0], np.cumsum(size)))
-        flat = self.ids[np.repeat(begin - at[:-1], size) + np.arange(at[-1])]
+        narrow = np.int32 if max(at[-1], len(self.ids)) < 1 << 31 else np.int64
+        flat = self.ids[np.repeat((begin - at[:-1]).astype(narrow), size) + np.arange(at[-1], dtype=narrow)]
         per_text = at[offsets]
         rows = np.flatnonzero(whole)
         if len(rows):
             slow = dict(zip(rows.tolist(), self._encode(texts.take(pa.array(rows)).to_pylist()), strict=True))
-            lists = [np.asarray(slow[i], np.int32) if i in slow else flat[per_text[i] : per_text[i + 1]] for i in range(len(texts))]
+            lists = [slow[i] if i in slow else flat[per_text[i] : per_text[i + 1]] for i in range(len(texts))]
             per_text = np.concatenate(([0], np.cumsum([len(x) for x in lists])))
             flat = np.concatenate(lists)
         return flat, per_text
@@ -117,7 +144,7 @@ class Encoder:
 def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document doc_id, t (a hash of the text), n_tokens, ids: those of the whole text, then ``end_id``."""
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer_path)
+        encoder = Encoder.of(tokenizer_path)
         for batch in batches:
             for part in slices(batch, "text"):
                 flat, offsets = encoder.encode(part.column("text"))
