@@ -7,14 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from seqframe.llm.common import shared_path, table
 from seqframe.llm.jaccard import jaccard_components
 from seqframe.llm.license_scan import scan_licenses
 from seqframe.llm.mixing import mix_sources
+from seqframe.llm.piece_encoding import encode_pieces
+from seqframe.llm.quality_classifier import quality_scores
 from seqframe.llm.quality_rules import quality_rules
 from seqframe.llm.substring_dedup import remove_repeats
 from seqframe.llm.token_files import digests, encode_documents, write_tokens
 from seqframe.llm.topk_search import top_k
+from seqframe.llm.toxicity import toxicity_scores
 
 
 def _tokenizer_path(name: str) -> str:
@@ -27,6 +31,15 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = encode_pieces(table(spark, sf_dir, "documents"), _tokenizer_path("piece_bpe_32k.model"), keep=["doc_id"])
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids_crc32", "lossless")
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "tokens")
     write_tokens(encode_documents(table(spark, sf_dir, "documents"), _tokenizer_path("byte_bpe_50k.json")), path)
@@ -54,12 +67,17 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *[F.col(f"verdict.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op4_token_files, op5_substring_dedup, op6_license_scan, op7_topk_search, op8_quality_rules, op10_ngram_jaccard)}
+    own = (op1_mix_sources, op2_piece_encoding, op3_quality_classifier, op4_token_files, op5_substring_dedup, op6_license_scan, op7_topk_search, op8_quality_rules, op9_toxicity, op10_ngram_jaccard)
+    return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
 OP1 = r"""

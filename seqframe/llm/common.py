@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seqframe.session import ensure_checkpoint_dir
 
@@ -46,6 +47,12 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def schema_with(df: DataFrame, columns: list[str], **added: str) -> T.StructType:
+    """The schema of some columns of ``df`` and of added ones, whose types are given as DDL."""
+    of = {f.name: f for f in df.schema.fields}
+    return T.StructType([*[of[c] for c in columns], *[T.StructField(c, T.DataType.fromDDL(kind)) for c, kind in added.items()]])
+
+
 def words_of(text: Column) -> Column:
     """The words of a text as an array, by built-in functions; null has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqframe.llm.common import cut, from_columns, grams, mix64, slices, text_key, word_hashes
+from seqframe.llm.common import cut, fresh, from_columns, grams, mix64, slices, text_key, word_hashes
 from seqframe.llm.components import connected_components
 
 
@@ -244,6 +244,15 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, doc_id: s
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents without those that link, over any number of links, with one of a smaller doc_id."""
-    found = jaccard_components(docs, n, percent, doc_id, text).where("component_id = doc_id or component_id is null or doc_id is null and n_shingles = 0").select(F.col("doc_id").alias("keep_id__"), F.col("t").alias("keep_t__")).distinct()
-    return docs.join(found.hint("shuffle_hash"), F.col(doc_id).cast("long").eqNullSafe(F.col("keep_id__")) & (text_key(F.col(text)) == F.col("keep_t__")), "left_semi")
+    """The documents without those that link, over any number of links, with one of a smaller doc_id; of rows with equal doc_id and
+    text one stays.  Where no document of a component has a doc_id, all stay."""
+    found = cut(jaccard_components(docs, n, percent, doc_id, text))
+    stay = found.where("component_id = doc_id or component_id is null or (doc_id is null and n_shingles = 0)").groupBy("doc_id", "t").agg(F.count(F.lit(1)).alias("rows"))
+    id_, t = fresh(docs, "jaccard_id", "jaccard_t")
+    stay = stay.select(F.col("doc_id").alias(f"{id_}2"), F.col("t").alias(f"{t}2"), "rows")
+    kept = docs.withColumn(id_, F.col(doc_id).cast("long")).withColumn(t, text_key(F.col(text)))
+    kept = kept.join(stay.hint("shuffle_hash"), F.col(id_).eqNullSafe(F.col(f"{id_}2")) & (F.col(t) == F.col(f"{t}2")), "left_semi")
+    if not stay.where((F.col("rows") > 1) & F.col(f"{id_}2").isNotNull()).isEmpty():
+        with_id = kept.where(F.col(id_).isNotNull()).dropDuplicates([id_, t])
+        kept = with_id.union(kept.where(F.col(id_).isNull()))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

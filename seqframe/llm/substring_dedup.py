@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from seqframe.llm.common import cut, fresh, from_columns, grams, mix64, slices, text_key, word_hashes, word_lists
+from seqframe.llm.common import cut, fresh, from_columns, grams, mix64, schema_with, slices, text_key, word_hashes, word_lists
 
 K = 5
 WORD_BITS = np.uint64((1 << 40) - 1)
@@ -290,10 +290,10 @@ def _trees(n: int, piece: int) -> Callable:
     return run
 
 
-def _kept(n: int, text: str, own: list[str], added: tuple[str, str, str]) -> Callable:
+def _kept(n: int, text: str, own: list[str], added: tuple[str, ...]) -> Callable:
     """Rows with the kept words as the text, their number before and the number removed."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spans, copy, key_text = added
+        spans, copy, key_text, words, removed = added
         for batch in batches:
             for part in slices(batch, text):
                 flat, offsets = word_lists(part.column(text))
@@ -315,7 +315,7 @@ def _kept(n: int, text: str, own: list[str], added: tuple[str, str, str]) -> Cal
                 gone |= np.repeat(whole, size)
                 left = np.concatenate(([0], np.cumsum(~gone)))[offsets]
                 lists = pa.ListArray.from_arrays(pa.array(left, pa.int32()), flat.filter(pa.array(~gone)))
-                yield from_columns(**{c: part.column(c) for c in own if c != text}, **{key_text: pc.binary_join(lists, " ")}, kept_n=pa.array(size, pa.int64()), kept_gone=pa.array(size - np.diff(left), pa.int64()))
+                yield from_columns(**{c: part.column(c) for c in own if c != text}, **{key_text: pc.binary_join(lists, " "), words: pa.array(size, pa.int64()), removed: pa.array(size - np.diff(left), pa.int64())})
 
     return run
 
@@ -350,6 +350,6 @@ def remove_repeats(docs: DataFrame, n: int = 20, doc_id: str = "doc_id", text: s
     both = both.select(*[F.col(f"`{c}`") for c in docs.columns], F.coalesce(sp, F.array().cast("array<binary>")).alias(sp), F.coalesce(cp, F.lit(False)).alias(cp))
     kept = fresh(both, "dedup_text")[0]
     others = [c for c in docs.columns if c != text]
-    schema = docs.select(*[F.col(f"`{c}`") for c in others]).schema.add(kept, "string").add("kept_n", "long").add("kept_gone", "long")
-    out = both.mapInArrow(_kept(n, text, docs.columns, (sp, cp, kept)), schema)
-    return out.select(*[F.col(kept).alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns], F.col("kept_n").alias(words), F.col("kept_gone").alias(removed))
+    schema = schema_with(docs, others, **{kept: "string", words: "bigint", removed: "bigint"})
+    out = both.mapInArrow(_kept(n, text, docs.columns, (sp, cp, kept, words, removed)), schema)
+    return out.select(*[F.col(kept).alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns], words, removed)
