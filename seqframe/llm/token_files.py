@@ -75,7 +75,7 @@ class Encoder:
         """Ids of pieces, in some order, with the numbers and the sizes of the pieces in that order."""
         # pieces that begin with a space beside no other white space can stand in a row
         joined = [i for i, p in enumerate(pieces) if p[:1] == " " and len(p) > 1 and not p[1].isspace() and not p[-1].isspace()]
-        groups = [joined[i : i + 4000] for i in range(0, len(joined), 4000)]
+        groups = [joined[i : i + 200] for i in range(0, len(joined), 200)]
         ids, numbers, sizes = [], [], []
         alone = np.ones(len(pieces), bool)
         for group, x in zip(groups, self._encode(["".join([pieces[i] for i in g]) for g in groups]), strict=True):
@@ -95,7 +95,9 @@ class Encoder:
             self._forget()
         pieces = [" " + w for w in words] + firsts
         keys = hashes(pieces)
-        at = np.searchsorted(self.keys, keys)
+        ascending = np.argsort(keys)  # far quicker to look up
+        at = np.empty(len(keys), np.int64)
+        at[ascending] = np.searchsorted(self.keys, keys[ascending])
         known = np.zeros(len(keys), bool)
         inside = at < len(self.keys)
         known[inside] = self.keys[at[inside]] == keys[inside]
@@ -107,7 +109,7 @@ class Encoder:
             keys_now = np.concatenate((self.keys, keys[new[numbers]]))
             order = np.argsort(keys_now, kind="stable")
             self.keys, self.begin, self.size = keys_now[order], np.concatenate((self.begin, begin))[order], np.concatenate((self.size, size))[order]
-            at = np.searchsorted(self.keys, keys)
+            at[ascending] = np.searchsorted(self.keys, keys[ascending])
         return at
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
