@@ -119,9 +119,12 @@ def train(texts: pa.Array, y: np.ndarray, cfg: Subwords) -> tuple[np.ndarray, fl
                 p /= p.sum()
                 p[y[i]] -= 1
                 back = p @ weight
-                weight -= 0.05 * rate * np.outer(p, mean)
+                # no step changes a document's own odds by more than the error asks for
+                for_table = min(rate, 1 / max(1e-9, float(share @ share) * float((weight**2).sum())))
+                for_weight = min(0.05 * rate, 1 / max(1e-9, float(mean @ mean)))
+                weight -= for_weight * np.outer(p, mean)
                 bias -= 0.0005 * rate * p
-                np.subtract.at(table, entries, rate * share[:, None] * back[None, :])
+                np.subtract.at(table, entries, for_table * share[:, None] * back[None, :])
     return table @ (weight[1] - weight[0]), float(bias[1] - bias[0])
 
 
