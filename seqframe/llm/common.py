@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -63,7 +63,7 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 6 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 3 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch by rows so that a slice holds about ``max_bytes`` of text, one row at least."""
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     ends = np.cumsum(size)
@@ -75,6 +75,23 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 6 << 20) -> Iter
         start = stop
 
 
+def tidy(run: Callable) -> Callable:
+    """A function for mapInArrow that gives freed memory back when a task ends; workers live on, and so would their peaks."""
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ctypes
+        import gc
+
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return tidied
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Spread the bits of unsigned 64-bit numbers (the finaliser of splitmix64)."""
     with np.errstate(over="ignore"):

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqframe.llm.common import cut, fresh, from_columns, grams, mix64, slices, text_key, word_hashes
+from seqframe.llm.common import cut, fresh, from_columns, grams, mix64, slices, text_key, tidy, word_hashes
 from seqframe.llm.components import connected_components
 
 
@@ -194,11 +194,11 @@ def _grouped(percent: int) -> Callable:
 def jaccard_classes(docs: DataFrame, n: int = 4, percent: int = 85, doc_id: str = "doc_id", text: str = "text", block: int = 150_000) -> tuple[DataFrame, DataFrame]:
     """Documents (doc_id, t, n, c: their class) and classes that link with others (c, component).  ``block``: tokens of a chunk."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_key(F.col(text)).alias("t"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    each = cut(rows.mapInArrow(_sizes(n, percent), "doc_id long, t long, n long, c long, first long, take long"))
+    each = cut(rows.mapInArrow(tidy(_sizes(n, percent)), "doc_id long, t long, n long, c long, first long, take long"))
     classes = each.where("n > 0").groupBy("c").agg(F.min(F.struct("doc_id", "t")).alias("at"), F.first("n").alias("n"), F.first("first").alias("first"), F.first("take").alias("take"))
 
     # first order, and tokens that several sets (or copies of one in several partitions) have there
-    firsts = rows.select("text").mapInArrow(_firsts(n, percent), "tok long, c long")
+    firsts = rows.select("text").mapInArrow(tidy(_firsts(n, percent)), "tok long, c long")
     shared = firsts.groupBy("tok").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select(F.col("tok").alias("tok2"), "df")
     own = firsts.join(shared, F.col("tok") == F.col("tok2")).groupBy("c", "df", "tok").agg(F.lit(1)).groupBy("c").agg(F.sort_array(F.collect_list(F.struct("df", "tok"))).alias("own"))
     # second order: rare ones first, after those that no other set has
@@ -210,7 +210,7 @@ def jaccard_classes(docs: DataFrame, n: int = 4, percent: int = 85, doc_id: str
     members = cut(postings.join(lead, F.col("tok") == F.col("tok2")).groupBy("lead", "c").agg(F.first("n").alias("n"), F.first("at").alias("at")))
     wanted = members.groupBy("c").agg(F.first("at").alias("at")).select(F.col("at.doc_id").alias("id2"), F.col("at.t").alias("t2"))
     found = rows.join(wanted.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("id2")) & (F.col("t") == F.col("t2")), "left_semi")
-    sets = cut(found.select("text").mapInArrow(_set_bytes(n), "c long, toks binary").dropDuplicates(["c"]))
+    sets = cut(found.select("text").mapInArrow(tidy(_set_bytes(n)), "c long, toks binary").dropDuplicates(["c"]))
     set_of = sets.select(F.col("c").alias("c2"), "toks")
 
     groups = members.groupBy("lead").agg(F.sum("n").alias("weight")).select(F.col("lead").alias("lead2"), "weight")
@@ -219,7 +219,7 @@ def jaccard_classes(docs: DataFrame, n: int = 4, percent: int = 85, doc_id: str
 
     lead_set = sets.select(F.col("c").alias("lead2"), F.col("toks").alias("lead_toks"))
     large = members.where(F.col("weight") > block).join(set_of, F.col("c") == F.col("c2")).join(lead_set, F.col("lead") == F.col("lead2"))
-    large = cut(large.select("lead", "c", "n", "toks", "lead_toks").mapInArrow(_with_lead(percent), "lead long, c long, n long, settled boolean"))
+    large = cut(large.select("lead", "c", "n", "toks", "lead_toks").mapInArrow(tidy(_with_lead(percent)), "lead long, c long, n long, settled boolean"))
     chunks = large.groupBy("lead").agg(*[F.ceil(F.coalesce(F.sum(F.when(F.col("settled") == kind, F.col("n"))), F.lit(0)) / block).cast("int").alias(name) for name, kind in (("ks", True), ("ku", False))])
     settled = large.where("settled").select(F.col("c").alias("a"), F.col("lead").alias("b"))
     large = large.join(chunks.withColumnRenamed("lead", "lead2"), F.col("lead") == F.col("lead2")).where("ku > 0")

@@ -1,6 +1,7 @@
 """SentencePiece encoding with seeded merge-dropout, and decoding.
 
-Words (a space and what follows it up to the next one) are merged as the model
+Words (a space and what follows it up to the next one, so runs of spaces are
+never one piece) are merged as the model
 says: the agenda holds all neighbouring pieces whose union is a piece, and the
 one of the best score, leftmost first, is merged next.  When a candidate comes
 up it is skipped for good if a hash keyed by the seed, the document's variant,
@@ -33,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqframe.llm.common import fresh, from_columns, hashes, mix64, schema_with, slices
+from seqframe.llm.common import fresh, from_columns, hashes, mix64, schema_with, slices, tidy
 
 SPACE = "▁"
 NONE = np.int64(-1)
@@ -292,11 +293,13 @@ def encode_pieces(docs: DataFrame, model_path: str, seed: int = 1, dropout: floa
     plain, variant = fresh(docs, "piece_text", "piece_variant")
     rows = docs.select(*[F.col(f"`{c}`") for c in own], F.coalesce(F.col(text), F.lit("")).alias(plain), F.pmod(F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(seed)), F.lit(2**31)).alias(variant))
     schema = schema_with(docs, own, **{ids: "array<int>", crc: "bigint", lossless: "boolean"})
-    return rows.mapInArrow(_encoded(model_path, seed, dropout, variants, plain, variant, own, (ids, crc, lossless)), schema)
+    return rows.mapInArrow(tidy(_encoded(model_path, seed, dropout, variants, plain, variant, own, (ids, crc, lossless))), schema)
 
 
 def decode_pieces(rows: DataFrame, model_path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """``rows`` with the text that their ids spell."""
+    own = rows.columns
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _kept(model_path, 0, 0.0)
         for batch in batches:
@@ -304,6 +307,6 @@ def decode_pieces(rows: DataFrame, model_path: str, ids: str = "ids", text: str
             offsets = lists.offsets.to_numpy().astype(np.int64)
             flat = lists.values.to_numpy()[offsets[0] : offsets[-1]]
             spelt = [x.decode("utf-8", "replace") for x in model.decode(flat, offsets - offsets[0])]
-            yield from_columns(**{c: batch.column(c) for c in rows.columns}, **{text: pa.array(spelt, pa.string())})
+            yield from_columns(**{c: batch.column(c) for c in own}, **{text: pa.array(spelt, pa.string())})
 
     return rows.mapInArrow(run, schema_with(rows, rows.columns, **{text: "string"}))

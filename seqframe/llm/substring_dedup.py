@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from seqframe.llm.common import cut, fresh, from_columns, grams, mix64, schema_with, slices, text_key, word_hashes, word_lists
+from seqframe.llm.common import cut, fresh, from_columns, grams, mix64, schema_with, slices, text_key, tidy, word_hashes, word_lists
 
 K = 5
 WORD_BITS = np.uint64((1 << 40) - 1)
@@ -327,7 +327,7 @@ def remove_repeats(docs: DataFrame, n: int = 20, doc_id: str = "doc_id", text: s
         raise ValueError(f"windows have {K} to {K + 30} words")
     order = F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST))
     rows = docs.select(order.alias("doc_id"), text_key(F.col(text)).alias("t"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    anchors = rows.select("t", "text").mapInArrow(_anchors(n), "key long, t long, place long")
+    anchors = rows.select("t", "text").mapInArrow(tidy(_anchors(n)), "key long, t long, place long")
     alike = Window.partitionBy("key")
     known = F.col("place") % 2 == 1
     several = (F.min("t").over(alike) < F.max("t").over(alike)) | F.max(known).over(alike)
@@ -338,8 +338,8 @@ def remove_repeats(docs: DataFrame, n: int = 20, doc_id: str = "doc_id", text: s
     places = places.join(first, F.col("t") == F.col("t2")).select(F.col("first").alias("id2"), "t2", "places")
 
     met = rows.join(places.hint("shuffle_hash"), (F.col("doc_id") == F.col("id2")) & (F.col("t") == F.col("t2"))).select("doc_id", "t", "text", "places")
-    suffixes = met.mapInArrow(_suffixes(n), "key long, doc_id long, t long, s0 int, mask int, off int, context binary")
-    marks = suffixes.repartition("key").sortWithinPartitions("key", "doc_id", "s0").mapInArrow(_trees(n, piece), "doc_id long, t long, pairs binary")
+    suffixes = met.mapInArrow(tidy(_suffixes(n)), "key long, doc_id long, t long, s0 int, mask int, off int, context binary")
+    marks = suffixes.repartition("key").sortWithinPartitions("key", "doc_id", "s0").mapInArrow(tidy(_trees(n, piece)), "doc_id long, t long, pairs binary")
     spans = marks.groupBy("doc_id", "t").agg(F.collect_list("pairs").alias("spans"))
     spans = spans.join(copies.select(F.col("doc_id").alias("id3"), F.col("t").alias("t3"), F.lit(True).alias("copy")), (F.col("doc_id") == F.col("id3")) & (F.col("t") == F.col("t3")), "full")
     spans = cut(spans.select(F.coalesce("doc_id", "id3").alias("doc_id"), F.coalesce("t", "t3").alias("t"), "spans", F.coalesce("copy", F.lit(False)).alias("copy")))
@@ -351,5 +351,5 @@ def remove_repeats(docs: DataFrame, n: int = 20, doc_id: str = "doc_id", text: s
     kept = fresh(both, "dedup_text")[0]
     others = [c for c in docs.columns if c != text]
     schema = schema_with(docs, others, **{kept: "string", words: "bigint", removed: "bigint"})
-    out = both.mapInArrow(_kept(n, text, docs.columns, (sp, cp, kept, words, removed)), schema)
+    out = both.mapInArrow(tidy(_kept(n, text, docs.columns, (sp, cp, kept, words, removed))), schema)
     return out.select(*[F.col(kept).alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns], words, removed)

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seqframe.llm.common import from_columns, hashes, slices, text_key
+from seqframe.llm.common import from_columns, hashes, slices, text_key, tidy
 
 #: Where a text can't be cut before a space: white space on both sides of it, or another space.  RE2 knows ASCII white space only;
 #: a text with any other is rare enough to go the slow way too.
@@ -156,7 +156,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, doc_
                 yield from_columns(doc_id=part.column("doc_id"), t=part.column("t"), n_tokens=n + 1, ids=pa.ListArray.from_arrays(pa.array(ends), pa.array(ids)))
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_key(F.col(text)).alias("t"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return rows.repartitionByRange("doc_id", "t").mapInArrow(encode, "doc_id long, t long, n_tokens long, ids array<int>")
+    return rows.repartitionByRange("doc_id", "t").mapInArrow(tidy(encode), "doc_id long, t long, n_tokens long, ids array<int>")
 
 
 def write_tokens(tokens: DataFrame, path: str, encoding: str = "dictionary", row_group_mb: int = 32, page_rows: int = 1000, page_kb: int = 256) -> None:
@@ -192,7 +192,7 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
             sums = [zlib.crc32(data[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
             yield from_columns(**{c: batch.column(c) for c in ("shard", "doc_id", "t")}, n_tokens=np.diff(offsets).astype(np.int64), ids_crc32=pa.array(sums, pa.int64()))
 
-    rows = read_tokens(spark, path).mapInArrow(crc, "shard int, doc_id long, t long, n_tokens long, ids_crc32 long")
+    rows = read_tokens(spark, path).mapInArrow(tidy(crc), "shard int, doc_id long, t long, n_tokens long, ids_crc32 long")
     # one row a shard
     offsets = read_metadata(spark, path).groupBy("shard").agg(F.sum("n_tokens").alias("n")).select(
         F.col("shard").alias("shard2"), (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("offset"))

@@ -13,7 +13,7 @@ floats where these hold them exactly, else in Python integers.
 Cases: vectors that are null or hold a null or non-finite component take no
 part, nor does a row without an id; vectors of other length than the query are
 no candidates; repeated rows of an id are separate candidates, all left out for
-a query of that id; a query with fewer than k candidates gets them all; an
+a query of that id; scores beyond 64 bits stop there; a query with fewer than k candidates gets them all; an
 empty table gives no rows; other columns are ignored.
 """
 
@@ -86,7 +86,7 @@ def search(tree: BallTree, ids: np.ndarray, queries: np.ndarray, query_ids: np.n
     best = Best(len(queries), k, kth)
     length = np.sqrt((queries**2).sum(axis=1))
     # rounding of the bounds, with room to spare
-    slack = 1e-9 * (1 + length * (np.abs(tree.centres).max() * np.sqrt(queries.shape[1]) + tree.radii.max()))
+    slack = 1e-9 * (1 + length * (np.abs(tree.centres).max(initial=0) * np.sqrt(queries.shape[1]) + tree.radii.max()))
 
     def bounds(node: int, active: np.ndarray) -> np.ndarray:
         return queries[active] @ tree.centres[node] + length[active] * tree.radii[node] + slack[active]
