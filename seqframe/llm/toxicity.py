@@ -326,7 +326,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", fo
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer.of(model, cfg)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 6 << 20):
                 p = 1 / (1 + np.exp(-np.clip(scorer.log_odds(part.column("text")), -50, 50)))
                 yield from_columns(doc_id=part.column("doc_id"), held_out=part.column("held_out"), score=p, predicted=pa.array((p >= 0.5).astype(np.int32)))
 
