@@ -34,8 +34,29 @@ EPS = 1e-6
 PAD_CANDIDATES = 8
 
 
-def _prep(df: DataFrame, id_col: str, vec_col: str, radius_col: str | None, prefix: str) -> DataFrame:
+# Pairs whose distance is worked out exactly at once: bounds the memory of ties.
+EXACT_PAIRS = 16_384
+
+
+def check_vectors(df: DataFrame, vec_col: str) -> int:
+    """Number of rows; raises with a count if a vector is null, holds a null,
+    NaN or infinite component, or has another length than the others."""
+    v = F.col(vec_col)
+    sound = F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))), F.lit(False))
+    r = df.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(~sound, 1)).alias("bad"),
+               F.min(F.size(v)).alias("low"), F.max(F.size(v)).alias("high")).first()
+    if r["bad"]:
+        raise ValueError(f"{r['bad']} of {r['n']} vectors are null or hold null, NaN or infinite components")
+    if r["n"] and r["low"] != r["high"]:
+        raise ValueError(f"vectors have {r['low']} to {r['high']} components")
+    return r["n"]
+
+
+def _prep(df: DataFrame, id_col: str, vec_col: str, radius_col: str | None, prefix: str,
+          self_col: str | None = None) -> DataFrame:
     cols = [F.col(id_col).cast("long").alias(f"{prefix}id"), F.col(vec_col).alias(f"{prefix}vec")]
+    if prefix == "r":
+        cols.append(F.col(self_col or id_col).cast("long").alias("rself"))
     if radius_col:
         cols.append(F.col(radius_col).cast("double").alias(f"{prefix}radius"))
     return df.select(*cols)
@@ -74,6 +95,20 @@ def _exact(x_rows: np.ndarray, y_rows: np.ndarray) -> np.ndarray:
     return np.sqrt(np.einsum("...j,...j->...", diff, diff))
 
 
+def _nearest(xs, ids, y, rid, cand, k):
+    """The k nearest candidates of each row by (distance, id), worked out a
+    chunk of pairs at a time, so ties never gather all pairs of a block."""
+    best = None
+    flat = np.flatnonzero(cand)
+    for start in range(0, len(flat), EXACT_PAIRS):
+        rows, cols = np.divmod(flat[start:start + EXACT_PAIRS], cand.shape[1])
+        part = pd.DataFrame({"sid": ids[rows], "rid": rid[cols], "dist": _exact(xs[rows], y[cols])})
+        best = part if best is None else pd.concat([best, part], ignore_index=True)
+        best = best.sort_values(["sid", "dist", "rid"], kind="mergesort").groupby("sid", sort=False).head(k)
+    return best if best is not None else pd.DataFrame({"sid": pd.Series([], dtype="int64"), "rid": pd.Series([], dtype="int64"),
+                                                       "dist": pd.Series([], dtype="float64")})
+
+
 def _kernel(mode: str, k: int, exclude_self: bool):
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if mode == "topk":
@@ -89,6 +124,7 @@ def _kernel(mode: str, k: int, exclude_self: bool):
             return empty
         sid = left["sid"].to_numpy(dtype=np.int64)
         rid = right["rid"].to_numpy(dtype=np.int64)
+        rself = right["rself"].to_numpy(dtype=np.int64)
         x = _stack(left["svec"])
         y = _stack(right["rvec"])
         outs = []
@@ -102,17 +138,13 @@ def _kernel(mode: str, k: int, exclude_self: bool):
                 continue
             d2 = np.maximum(d2, 0.0)
             if exclude_self:
-                d2 = np.where(ids[:, None] == rid[None, :], np.inf, d2)
+                d2 = np.where(ids[:, None] == rself[None, :], np.inf, d2)
             if mode == "topk":
                 m = y.shape[0]
                 keep = min(k + PAD_CANDIDATES, m)
                 part = np.partition(d2, keep - 1, axis=1)[:, keep - 1]
                 cand = d2 <= (part + tol.max(axis=1))[:, None]
-                rows, cols = np.nonzero(cand & np.isfinite(d2))
-                exact = _exact(xs[rows], y[cols])
-                frame = pd.DataFrame({"sid": ids[rows], "rid": rid[cols], "dist": exact})
-                frame = frame.sort_values(["sid", "dist", "rid"], kind="mergesort")
-                outs.append(frame.groupby("sid", sort=False).head(k))
+                outs.append(_nearest(xs, ids, y, rid, cand & np.isfinite(d2), k))
             elif mode == "cover":
                 r = right["rradius"].to_numpy(dtype=np.float64)
                 r2 = r[None, :] ** 2
@@ -120,9 +152,11 @@ def _kernel(mode: str, k: int, exclude_self: bool):
                 border = (np.abs(d2 - r2) <= tol) & ~sure
                 covered = sure.any(axis=1)
                 if border.any():
-                    rows, cols = np.nonzero(border)
-                    hit = _exact(xs[rows], y[cols]) < r[cols]
-                    if hit.any():
+                    border &= ~covered[:, None]
+                    flat = np.flatnonzero(border)
+                    for start in range(0, len(flat), EXACT_PAIRS):
+                        rows, cols = np.divmod(flat[start:start + EXACT_PAIRS], border.shape[1])
+                        hit = _exact(xs[rows], y[cols]) < r[cols]
                         covered[np.unique(rows[hit])] = True
                 outs.append(pd.DataFrame({"sid": ids, "covered": covered}))
             elif mode == "realism":
@@ -133,10 +167,12 @@ def _kernel(mode: str, k: int, exclude_self: bool):
                 # recompute exactly wherever the approximate ratio could reach the max
                 cand = (approx >= best[:, None] * (1 - 1e-6) - 1e-12) | (d2 < 1e-6)
                 cand &= np.isfinite(d2)
-                rows, cols = np.nonzero(cand)
-                ratio = r[cols] / (_exact(xs[rows], y[cols]) + EPS)
-                frame = pd.DataFrame({"sid": ids[rows], "ratio": ratio})
-                outs.append(frame.groupby("sid", as_index=False)["ratio"].max())
+                flat, top = np.flatnonzero(cand), np.full(len(ids), -np.inf)
+                for start in range(0, len(flat), EXACT_PAIRS):
+                    rows, cols = np.divmod(flat[start:start + EXACT_PAIRS], cand.shape[1])
+                    np.maximum.at(top, rows, r[cols] / (_exact(xs[rows], y[cols]) + EPS))
+                seen = top > -np.inf
+                outs.append(pd.DataFrame({"sid": ids[seen], "ratio": top[seen]}).groupby("sid", as_index=False)["ratio"].max())
         if not outs:
             return empty
         return pd.concat(outs, ignore_index=True)
@@ -155,16 +191,18 @@ _SCHEMAS = {
 def blocked_reduce(subjects: DataFrame, refs: DataFrame, mode: str, *, k: int = 1,
                    id_col: str = "id", vec_col: str = "embedding", ref_id_col: str | None = None,
                    ref_vec_col: str | None = None, radius_col: str | None = None,
-                   exclude_self: bool = False, block_rows: int = 2048, n_subjects: int | None = None,
-                   n_refs: int | None = None) -> DataFrame:
+                   exclude_self: bool = False, ref_self_col: str | None = None, block_rows: int = 2048,
+                   n_subjects: int | None = None, n_refs: int | None = None) -> DataFrame:
     """Run one blocked all-pairs reduction; returns per-block partial results
     (merge with :func:`merge_topk` / ``groupBy(sid)``).  Row counts size the
-    blocks; pass them when already known to skip the counting jobs."""
+    blocks; pass them when the vectors are already counted and checked.
+    ``exclude_self`` leaves out references whose ``ref_self_col`` (their id, if
+    not given) is the subject's id."""
     s = _prep(subjects, id_col, vec_col, None, "s")
-    r = _prep(refs, ref_id_col or id_col, ref_vec_col or vec_col, radius_col, "r")
+    r = _prep(refs, ref_id_col or id_col, ref_vec_col or vec_col, radius_col, "r", ref_self_col)
     spark = subjects.sparkSession
-    n_s = n_subjects if n_subjects is not None else s.count()
-    n_r = n_refs if n_refs is not None else r.count()
+    n_s = n_subjects if n_subjects is not None else check_vectors(s, "svec")
+    n_r = n_refs if n_refs is not None else check_vectors(r, "rvec")
     par = spark.sparkContext.defaultParallelism
     qb = _blocks(n_s, block_rows, par)
     rb = _blocks(n_r, block_rows, 1)

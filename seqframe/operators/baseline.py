@@ -121,13 +121,18 @@ def cross_entropies(eval_counts: DataFrame, probs: DataFrame, modes=("nll", "as_
     """Several loss modes from one aggregate over the (vocabulary-bounded)
     count table: ``(mode, loss, perplexity)`` rows."""
     pr = probs.withColumn("lse", F.log(F.sum(F.exp("p")).over(Window.partitionBy())))
-    ev = eval_counts.where(F.col("token_id") != PAD)
+    ev = eval_counts.where((F.col("token_id") != PAD) & (F.col("count") > 0))
     j = ev.join(F.broadcast(pr), "token_id", "left")
-    terms = {"nll": F.log(F.col("p")), "as_logits": F.col("p") - F.col("lse")}
+    # an unseen token (or one that the table lacks) has log probability -inf and makes the loss infinite
+    p = F.coalesce(F.col("p"), F.lit(0.0))
+    minus_inf = F.lit(float("-inf"))
+    terms = {"nll": F.when(p > 0, F.log(p)).otherwise(minus_inf),
+             "as_logits": p - F.coalesce(F.col("lse"), F.max("lse").over(Window.partitionBy()))}
     for m in modes:
         if m not in terms:
             raise ValueError(m)
-    one = j.agg(*[(-F.sum(F.col("count") * terms[m]) / F.sum("count")).alias(f"_l_{m}") for m in modes])
+    j = j.select("count", *[terms[m].alias(f"_t_{m}") for m in modes])
+    one = j.agg(*[(-F.sum(F.col("count") * F.col(f"_t_{m}")) / F.sum("count")).alias(f"_l_{m}") for m in modes])
     rows = F.array(*[F.struct(F.lit(m).alias("mode"), F.col(f"_l_{m}").alias("loss")) for m in modes])
     out = one.select(F.explode(rows).alias("_r")).select("_r.mode", "_r.loss")
     return out.withColumn("perplexity", F.exp("loss"))

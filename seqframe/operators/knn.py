@@ -32,8 +32,11 @@ def neighbour_votes(queries: DataFrame, labelled: DataFrame, k: int = 5, weights
     lab = labelled.select(F.col(id_col).cast("long").alias("_oid"), F.col(vec_col).alias("_v"),
                           F.col(y_col).cast("int").alias("_y"))
     lab = lab.withColumn("_nid", F.col("_oid") * 2 + F.col("_y"))
+    bad = lab.where(F.col("_y").isNull() | ~F.col("_y").isin(0, 1) | (F.abs(F.col("_oid")) >= 2 ** 62)).count()
+    if bad:
+        raise ValueError(f"{bad} labelled rows have a class other than 0 or 1, or an id beyond 62 bits")
     nn = knn(queries, lab, k, id_col=id_col, vec_col=vec_col, ref_id_col="_nid", ref_vec_col="_v",
-             exclude_self=exclude_self, block_rows=block_rows)
+             exclude_self=exclude_self, ref_self_col="_oid", block_rows=block_rows)
     nn = nn.withColumn("_y", F.pmod(F.col("rid"), F.lit(2)).cast("int"))
     if weights == "uniform":
         w = F.lit(1.0)

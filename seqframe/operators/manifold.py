@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .allpairs import blocked_reduce, merge_topk
+from .allpairs import blocked_reduce, check_vectors, merge_topk
 
 
 def compute_manifold(df: DataFrame, k: int = 3, id_col: str = "id", vec_col: str = "embedding",
@@ -19,7 +19,7 @@ def compute_manifold(df: DataFrame, k: int = 3, id_col: str = "id", vec_col: str
     The manifold is reused (coverage both ways, realism), so by default it is
     checkpointed into the shared checkpoint folder once - the reference's
     saved-manifold reuse (S11) - instead of being recomputed per use."""
-    n = df.count()
+    n = check_vectors(df, vec_col)
     if n < k + 2:
         raise ValueError(f"manifold needs at least k+2={k + 2} rows, got {n}")
     part = blocked_reduce(df, df, "topk", k=k + 1, id_col=id_col, vec_col=vec_col, block_rows=block_rows,

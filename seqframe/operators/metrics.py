@@ -52,12 +52,18 @@ def classification_report(df: DataFrame, y_col: str = "y", pred_col: str = "pred
     return per.select("name", "precision", "recall", "f1_score", "support").unionByName(rows)
 
 
+def _known(score):
+    """The score as a double; a null or NaN one raises, since it has no place in the order."""
+    s = score.cast("double")
+    return F.when(s.isNull() | F.isnan(s), F.raise_error(F.lit("null or NaN score")).cast("double")).otherwise(s)
+
+
 def average_precision(df: DataFrame, y_col: str, score_col: str, positive=1, nbuckets: int = 64) -> DataFrame:
     """One-vs-rest AP = sum over distinct scores (descending) of
     (R_i - R_{i-1}) * P_i.  Rows are first collapsed per distinct score
     (equal scores form one step), the running sums use the bucketed prefix,
     so no single task sorts the scores.  Returns one row ``avg_prec``."""
-    g = (df.select(F.col(score_col).cast("double").alias("score"),
+    g = (df.select(_known(F.col(score_col)).alias("score"),
                    (F.col(y_col) == F.lit(positive)).cast("long").alias("pos"))
          .groupBy("score").agg(F.sum("pos").alias("tp"), F.count(F.lit(1)).alias("n")))
     bucket = range_bucket(g, "score", nbuckets, descending=True)
@@ -71,7 +77,7 @@ def average_precision_ovr(df: DataFrame, y_col: str, score_cols: dict, nbuckets:
     per class plus ``macro avg``.  ``score_cols`` maps class -> score column.
     Rows become (class, score, positive) triples, are collapsed per distinct
     (class, score), and the running sums restart per class."""
-    items = F.array(*[F.struct(F.lit(str(c)).alias("name"), F.col(col).cast("double").alias("score"),
+    items = F.array(*[F.struct(F.lit(str(c)).alias("name"), _known(F.col(col)).alias("score"),
                                (F.col(y_col) == F.lit(c)).cast("long").alias("pos"))
                       for c, col in score_cols.items()])
     g = (df.select(F.explode(items).alias("_i")).select("_i.*")

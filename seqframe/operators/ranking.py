@@ -33,7 +33,9 @@ def range_bucket(df: DataFrame, col: str, nbuckets: int = 64, descending: bool =
     """Order-preserving bucket of a numeric column from approximate quantile
     cut points.  Only ``nbuckets - 1`` numbers reach the driver (bounded by the
     parameter, not by the data); equal values always share a bucket."""
-    nb = max(1, min(int(nbuckets), MAX_BUCKETS))
+    nb = int(nbuckets)
+    if not 1 <= nb <= MAX_BUCKETS:
+        raise ValueError(f"nbuckets must be 1 to {MAX_BUCKETS}, not {nbuckets}")
     probs = [i / nb for i in range(1, nb)]
     cuts = sorted(set(df.approxQuantile(col, probs, rel_err))) if probs else []
     v = F.col(col).cast("double")

@@ -17,7 +17,7 @@ from ..operators.encode import encode_curated
 from ..operators.perturb import changed_positions, mask_schedule, random_mask, random_substitution
 from ..operators.ranking import exact_quantiles
 from ..operators.sampling import topk_sample
-from ..session import materialize, read_table, sized_broadcast
+from ..session import materialize, read_table
 from .registry import query
 from .standins import (ROUND, SQL_LETTERS, SQL_WORDS, documents, records, sequences, sql_chars,
                        sql_decode_char, sql_encode_char, sql_md5, sql_u)
@@ -73,7 +73,7 @@ def curated(spark, sf_dir):
     the two kept dictionaries."""
     f = _filtered(spark, sf_dir)
     cats, tags = kept_dictionaries(f)
-    kept = C.keep_tags(C.fold_rare(f, "category", sized_broadcast(cats)), "id", "tags", sized_broadcast(tags),
+    kept = C.keep_tags(C.fold_rare(f, "category", cats), "id", "tags", tags,
                        drop_empty=True)
     return kept, cats, tags
 
@@ -314,14 +314,14 @@ sh AS (SELECT doc_id, list_transform(list_sort(list_transform(ids,
 SELECT doc_id, array_to_string(ids, ' ') AS cond_ids FROM sh""")
 def conditioning_ids(spark, sf_dir):
     f, dic = conditioning_dictionary_of(spark, sf_dir)
-    enc = encode_curated(f, "id", "sequence", "category", "tags", sized_broadcast(dic), taxon_dropout=TAXON_DROP,
+    enc = encode_curated(f, "id", "sequence", "category", "tags", dic, taxon_dropout=TAXON_DROP,
                          attribute_dropout=ATTR_DROP, seed=COND_SEED)
     return enc.select(F.col("id").alias("doc_id"), F.array_join("conditioning_tags", " ").alias("cond_ids"))
 
 
 def _encoded_plain(spark, sf_dir):
     f, dic = conditioning_dictionary_of(spark, sf_dir)
-    enc = encode_curated(f, "id", "sequence", "category", "tags", sized_broadcast(dic), shuffle=False)
+    enc = encode_curated(f, "id", "sequence", "category", "tags", dic, shuffle=False)
     classes = dic.where(F.col("kind") == "tag").orderBy("idx").limit(4).select(F.col("idx").alias("class_id"))
     return enc, classes
 

@@ -19,7 +19,7 @@ from ..operators.knn import class_union, neighbour_votes, predict
 from ..operators.metrics import average_precision, classification_report
 from ..operators.perturb import mask_schedule, random_mask, random_substitution
 from ..operators.pooling import masked_mean_pool, mean_pool, to_vectors
-from ..session import materialize, sized_broadcast
+from ..session import materialize
 from ..sources import files as S
 
 
@@ -51,8 +51,8 @@ def curate_corpus(records: DataFrame, out_path: str, id_col: str = "cluster_id",
                                     | ((F.col("kind") == "tag") & (F.col("count") >= min_tag_count))))
     cats = kept.where(F.col("kind") == "category").select("value", "count")
     tags = kept.where(F.col("kind") == "tag").select("value", "count")
-    folded = C.fold_rare(f, category_col, sized_broadcast(cats))
-    cur = C.keep_tags(folded, id_col, tags_col, sized_broadcast(tags), drop_empty=drop_wo_tag, out_col="tags")
+    folded = C.fold_rare(f, category_col, cats)
+    cur = C.keep_tags(folded, id_col, tags_col, tags, drop_empty=drop_wo_tag, out_col="tags")
     # the split reads the curated rows twice (per-bucket counts, then ranks):
     # checkpoint them once instead of tokenising and shuffling twice
     split = C.hash_split(materialize(cur), id_col, seed, val_frac, test_frac)
@@ -87,7 +87,7 @@ def profile_corpus(records: DataFrame, length_col: str, category_col: str, tags_
 def encode_corpus_job(curated: DataFrame, dictionary: DataFrame, id_col: str, seq_col: str, category_col: str,
                       tags_col: str, **kw) -> DataFrame:
     """C4: token ids and conditioning ids for every curated row."""
-    return encode_curated(curated, id_col, seq_col, category_col, tags_col, sized_broadcast(dictionary), **kw)
+    return encode_curated(curated, id_col, seq_col, category_col, tags_col, dictionary, **kw)
 
 
 def make_batches(encoded: DataFrame, batch_size: int = 64, mode: str = "next_token", seed: int = 0,

@@ -4,6 +4,7 @@ shared folder used for lineage cuts and persisted intermediate tables."""
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -40,20 +41,17 @@ def build_session(cpus: str = "*", shuffle_partitions: int = 8, app: str = "seqf
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this is set by the deployment (a shared file system); only
-    when it is unset (local tests) do we create a scratch folder of our own.
-    """
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
-    try:
-        sc = spark.sparkContext
-    except Exception:  # no SparkContext on this session: the server side owns the setting
-        return conf_dir or ""
+    On a cluster the deployment sets it (a shared file system); a scratch
+    folder is made only where it is unset on a local master, as in tests."""
+    sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
+    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         conf_dir = tempfile.mkdtemp(prefix="seqframe-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", conf_dir)
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
 
@@ -66,43 +64,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-# Natural key of each driver table: small inputs are spread by it.
-TABLE_KEYS = {"documents": "doc_id", "embeddings": "vec_id", "benchmark": "item_id", "events": "event_id",
-              "conversations": "conv_id", "pages": "page_id", "labels": "doc_id", "lineitem": "l_orderkey",
-              "orders": "o_orderkey", "customer": "c_custkey", "part": "p_partkey", "supplier": "s_suppkey"}
-
-
-def spread(df, key: str | None):
-    """Give a scan at least ``defaultParallelism`` tasks.
-
-    A table stored as one file / row group is read by a single task; when
-    that happens the rows are hash-partitioned by their key (deterministic
-    under retries, balanced because the key is unique).  A large table made
-    of many files already has enough splits and is returned unchanged, so
-    this costs nothing at scale."""
-    spark = df.sparkSession
-    try:
-        par = spark.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()
-    except Exception:  # sessions without an RDD API: leave the scan as it is
-        return df
-    if key is None or splits >= par:
-        return df
-    return df.repartition(par, key)
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str):
-    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-    return spread(df, TABLE_KEYS.get(name))
-
-
-def sized_broadcast(df, max_rows: int = 2_000_000):
-    """Broadcast hint only after checking the row count of a materialised
-    (checkpointed) small table; beyond the bound the join stays a shuffle
-    join (and AQE may still broadcast it from runtime statistics)."""
-    from pyspark.sql import functions as F
-
-    return F.broadcast(df) if df.count() <= max_rows else df
+    """A driver table as it is stored; the scan's parallelism is Spark's (``spark.sql.files.maxPartitionBytes``)."""
+    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
 def materialize(df):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import int_list_literal, list_repr, quoted_tokens, to_list_literal
 
@@ -19,6 +20,10 @@ RECORD_SCHEMA = ("cluster_id string, cluster_name string, cluster_size long, com
 CSV_RECORD_SCHEMA = ("cluster_id string, cluster_name string, cluster_size long, common_taxon string, "
                      "property_tags string, last_line_num long, sequence string, sequence_length int")
 
+# One set of options for all CSV files with a header: quotes are doubled, and values may hold line breaks.
+CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "multiLine": "true"}
+
+# Property keys that become columns of their own.
 POPPED_KEYS = ("member count", "common taxon", "common taxon ID")
 
 
@@ -65,19 +70,31 @@ def flatten_entries(entries: DataFrame, last_wins: bool = True) -> DataFrame:
     )
 
 
+def read_csv_by_name(spark: SparkSession, path: str, schema: str, unnamed_first: str | None = None) -> DataFrame:
+    """CSV files with a header, their columns taken by name and cast to the
+    schema; raises if one is missing.  ``unnamed_first`` names a first column
+    without a name."""
+    raw = spark.read.options(**CSV_OPTIONS).csv(path)
+    if unnamed_first:
+        raw = raw.withColumnRenamed(raw.columns[0], unnamed_first)
+    wanted = T.StructType.fromDDL(schema)
+    if missing := [f.name for f in wanted if f.name not in raw.columns]:
+        raise ValueError(f"{path} lacks the columns {', '.join(missing)}")
+    return raw.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in wanted])
+
+
 def read_records(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """Parallel scan of many part files; CSV carries the list repr of the
     tags (parsed with F1), Parquet the native array."""
     if fmt == "parquet":
         return spark.read.schema(RECORD_SCHEMA).parquet(path)
-    raw = spark.read.schema(CSV_RECORD_SCHEMA).option("header", True).option("multiLine", True) \
-        .option("escape", '"').csv(path)
+    raw = read_csv_by_name(spark, path, RECORD_SCHEMA.replace("property_tags array<string>", "property_tags string"))
     return raw.withColumn("property_tags", quoted_tokens("property_tags"))
 
 
 def read_curated(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """S3: CSV whose first (unnamed) column is the saved row index -> ``id``."""
-    return spark.read.schema("id long, " + schema).option("header", True).csv(path)
+    return read_csv_by_name(spark, path, "id long, " + schema, unnamed_first="id")
 
 
 def read_dictionary(spark: SparkSession, path: str, with_counts: bool = False) -> DataFrame:
@@ -102,7 +119,7 @@ def write_records(df: DataFrame, path: str, rows_per_file: int = 100000, fmt: st
                 out = out.withColumn(name, list_repr(F.col(name)))
             elif typ.startswith("array"):
                 out = out.withColumn(name, to_list_literal(F.col(name)))
-        out.write.mode(mode).option("maxRecordsPerFile", rows_per_file).option("header", True).csv(path)
+        out.write.mode(mode).options(**CSV_OPTIONS).option("maxRecordsPerFile", rows_per_file).csv(path)
 
 
 def write_splits(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -123,11 +140,11 @@ PAIR_CSV_SCHEMA = "orig_protein_string string, orig_protein_tags string, gen_pro
 
 
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:
-    """Generated-pair CSV; the int-list literal becomes array<int>."""
-    raw = spark.read.schema(PAIR_CSV_SCHEMA) \
-        .option("header", True).csv(path)
-    return raw.select(F.col("orig_protein_string").alias("orig"),
-                      int_list_literal("orig_protein_tags").alias("tags"),
+    """Generated-pair CSV with or without the tags column (null then);
+    the int-list literal becomes array<int>."""
+    raw = spark.read.options(**CSV_OPTIONS).csv(path)
+    tags = int_list_literal("orig_protein_tags") if "orig_protein_tags" in raw.columns else F.lit(None).cast("array<int>")
+    return raw.select(F.col("orig_protein_string").alias("orig"), tags.alias("tags"),
                       F.col("gen_protein_string").alias("gen"))
 
 
