@@ -6,10 +6,12 @@ all documents.  The Jensen-Shannon distance of either must stay below a
 limit; a document too short for a histogram to mean anything is not judged
 by it.  Base rules look at the number of words and at repeated 5-word windows.
 
-Cases: a null or empty text has no words (``base_failed``); a null or rare
-language uses the pooled reference of all rare languages; repeated rows are
-judged alike; an empty table gives an empty result; other columns are kept
-or ignored whatever their names.
+Cases: a null or empty text has no words (``base_failed``); every language has
+a reference of its own, however rare it is; documents of a null language, or of
+one with too little text for a reference, are not judged by distance
+(``js_chars`` and ``js_words`` are 0); repeated rows are judged alike; an
+empty table gives an empty result; other columns are kept or ignored whatever
+their names.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqframe.llm.common import SPACES, fresh, words_of
+from seqframe.llm.common import SPACES, fresh, shared_path, words_of
 
 #: Character classes in order; each takes what the earlier ones left, the last takes the rest.
 CLASSES = ("[a-z]+", SPACES, "[^\\x00-\\x7F]+", "[A-Z]+", "[.,;:!?'\"()-]+", "[0-9]+")
@@ -32,8 +34,6 @@ class Rules:
     min_words: int = 10
     repeat_percent: int = 20
     window: int = 5
-    #: languages with fewer of all characters than this share pool their reference, so there are at most 1 / share + 1 references
-    language_share: float = 0.005
     #: a common word has this share of its language's words, so there are at most 1 / share of them
     common_share: float = 0.004
     common_words: int = 24
@@ -41,6 +41,8 @@ class Rules:
     chars_at_least: int = 200
     words_distance: float = 0.52
     words_at_least: int = 40
+    #: a reference holds this many times the characters or words that a document must have
+    reference_times: int = 25
 
 
 def _with_classes(df: DataFrame, text: str, out: str) -> DataFrame:
@@ -69,21 +71,16 @@ def js_distance(p: list[Column], q: list[Column]) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), _total([half(a, b) + half(b, a) for a, b in zip(p, q, strict=True)]) / 2))
 
 
-def language_references(docs: DataFrame, text: str = "text", lang: str = "lang", rules: Rules = Rules()) -> tuple[DataFrame, list[str]]:
-    """One row for each main language and one (null) for the others: ``ref_words``, ``ref_shares`` (of these words,
-    then of all other words), ``ref_classes`` (shares of the character classes); and the main languages."""
-    base = docs.select(F.col(lang).cast("string").alias("l"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    sizes = base.groupBy("l").agg(F.sum(F.char_length("t")).alias("n"))
-    total = F.sum("n").over(Window.partitionBy(F.lit(1)))
-    main = [r["l"] for r in sizes.select("l", (F.col("n") >= rules.language_share * total).alias("main")).where("main and l is not null").orderBy("l").collect()]
-    base = base.select(F.when(F.col("l").isin(main), F.col("l")).alias("l") if main else F.lit(None).cast("string").alias("l"), "t")
-
+def language_references(docs: DataFrame, text: str = "text", lang: str = "lang", rules: Rules = Rules()) -> DataFrame:
+    """One row for each language (``ref_lang``): ``ref_words``, ``ref_shares`` (of these words, then of all other words),
+    ``ref_classes`` (shares of the character classes); shares are null where a language has too few words or characters."""
+    base = docs.select(F.col(lang).cast("string").alias("l"), F.coalesce(F.col(text), F.lit("")).alias("t")).where("l is not null")
     counts = (base.select("l", F.explode_outer(words_of(F.lower("t"))).alias("w")).where("w is not null")
               .groupBy("l", "w").agg(F.count(F.lit(1)).alias("n")))
     own = Window.partitionBy("l")
     # the totals by language ride along as one row each; a word below the share can't be common
     totals = counts.groupBy("l").agg(F.sum("n").alias("total"))
-    common = (counts.join(totals.withColumnRenamed("l", "l2"), F.col("l").eqNullSafe(F.col("l2"))).where(F.col("n") >= rules.common_share * F.col("total"))
+    common = (counts.join(totals.withColumnRenamed("l", "l2"), F.col("l") == F.col("l2")).where((F.col("n") >= rules.common_share * F.col("total")) & (F.col("total") >= rules.reference_times * rules.words_at_least))
               .withColumn("r", F.row_number().over(own.orderBy(F.desc("n"), "w"))).where(F.col("r") <= rules.common_words)
               .groupBy("l").agg(F.sort_array(F.collect_list(F.struct("r", "w", "n", "total"))).alias("c")))
     k = rules.common_words
@@ -92,26 +89,31 @@ def language_references(docs: DataFrame, text: str = "text", lang: str = "lang",
         "l", "ref_words", F.concat("s", F.array(F.lit(1.0) - _total([F.col("s")[i] for i in range(k)]))).alias("ref_shares"))
 
     n = len(CLASSES) + 1
-    classes = (_with_classes(base, "t", "k").groupBy("l").agg(*[F.sum(F.col("k")[i]).alias(f"k{i}") for i in range(n)]))
+    classes = (_with_classes(base, "t", "k").groupBy("l").agg(*[F.sum(F.col("k")[i]).alias(f"k{i}") for i in range(n)])
+               .join(totals.select(F.col("l").alias("l3"), F.col("total").alias("words")), F.col("l") == F.col("l3"), "left"))
     whole = _total([F.col(f"k{i}") for i in range(n)])
-    classes = classes.select(F.col("l").alias("l2"), F.array(*[F.coalesce(F.col(f"k{i}") / whole, F.lit(0.0)) for i in range(n)]).alias("ref_classes"))
-    return classes.join(words, F.col("l").eqNullSafe(F.col("l2")), "left").select(
+    classes = classes.select(F.col("l").alias("l2"), F.when(whole >= rules.reference_times * rules.chars_at_least, F.array(*[F.col(f"k{i}") / whole for i in range(n)])).alias("ref_classes"),
+                             (F.col("words") >= rules.reference_times * rules.words_at_least).alias("enough"))
+    # a language of enough words, none of them common, has shares all the same
+    return classes.join(words, F.col("l") == F.col("l2"), "left").select(
         F.col("l2").alias("ref_lang"),
         F.coalesce("ref_words", F.array().cast("array<string>")).alias("ref_words"),
-        F.coalesce("ref_shares", F.array(*[F.lit(0.0)] * k, F.lit(1.0))).alias("ref_shares"), "ref_classes"), main
+        F.coalesce("ref_shares", F.when(F.col("enough"), F.array(*[F.lit(0.0)] * k, F.lit(1.0)))).alias("ref_shares"), "ref_classes")
 
 
 def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", rules: Rules = Rules(), verdict: str = "verdict") -> DataFrame:
     """``docs`` with a struct column ``verdict``: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, js_chars, js_words, kept."""
-    refs, main = language_references(docs, text, lang, rules)
+    refs = language_references(docs, text, lang, rules)
     t, w, n, h, s, ref, pre, p, k = fresh(docs, "qr_t", "qr_w", "qr_n", "qr_h", "qr_s", "qr_ref", "qr_", "qr_p", "qr_k")
-    own = F.when(F.col(lang).cast("string").isin(main), F.col(lang).cast("string")) if main else F.lit(None).cast("string")
     key = fresh(docs, "qr_l")[0]
+    # from a file Spark knows the size, and picks the kind of join by it: there is a row for each language, however many there are
+    path = shared_path(docs.sparkSession, "language-references")
+    refs.write.parquet(path)
+    refs = docs.sparkSession.read.schema(refs.schema).parquet(path)
     refs = refs.select(F.col("ref_lang").alias(f"{ref}_l"), F.struct("ref_words", "ref_shares", "ref_classes").alias(ref))
-    df = docs.withColumn(t, F.coalesce(F.col(text), F.lit(""))).withColumn(key, own)
-    # at most 1 / language_share + 1 rows of a few dozen words each
-    df = df.join(F.broadcast(refs), F.col(key).eqNullSafe(F.col(f"{ref}_l")), "left").drop(f"{ref}_l", key)
+    df = docs.withColumn(t, F.coalesce(F.col(text), F.lit(""))).withColumn(key, F.col(lang).cast("string"))
+    df = df.join(refs, F.col(key) == F.col(f"{ref}_l"), "left").drop(f"{ref}_l", key)
     df = df.withColumn(w, words_of(F.col(t))).withColumn(n, F.size(w))
 
     lines = F.filter(F.split(F.col(t), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
@@ -146,11 +148,12 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", rules
     own_words = [F.col(p)[i] / F.greatest(many, F.lit(1)) for i in range(rules.common_words)]
     own_words.append(F.greatest(F.lit(0.0), 1 - _total(own_words)))
     own_chars = [F.col(k)[i] / F.greatest(chars, F.lit(1)) for i in range(len(CLASSES) + 1)]
+    # 0 without a reference, since greatest() passes over nulls
     df = df.withColumn(f"{pre}jc", js_distance(own_chars, [F.col(f"{ref}.ref_classes")[i] for i in range(len(own_chars))]))
     df = df.withColumn(f"{pre}jw", js_distance(own_words, [F.col(f"{ref}.ref_shares")[i] for i in range(len(own_words))]))
     base_failed = (many < rules.min_words) | (100 * F.col(f"{pre}rep").cast("long") > rules.repeat_percent * many.cast("long"))
-    odd_chars = (chars >= rules.chars_at_least) & (F.col(f"{pre}jc") > rules.chars_distance)
-    odd_words = (many >= rules.words_at_least) & (F.col(f"{pre}jw") > rules.words_distance)
+    odd_chars = F.coalesce((chars >= rules.chars_at_least) & (F.col(f"{pre}jc") > rules.chars_distance), F.lit(False))
+    odd_words = F.coalesce((many >= rules.words_at_least) & (F.col(f"{pre}jw") > rules.words_distance), F.lit(False))
     found = F.struct(many.cast("long").alias("n_words"), F.col(f"{pre}wc").cast("long").alias("word_chars"), F.col(f"{pre}sym").cast("long").alias("n_symbols"),
                      F.col(f"{pre}dup").cast("long").alias("n_dup_lines"), F.col(f"{pre}rep").cast("long").alias("n_repeat_words"), base_failed.alias("base_failed"),
                      F.col(f"{pre}jc").alias("js_chars"), F.col(f"{pre}jw").alias("js_words"), (~base_failed & ~odd_chars & ~odd_words).alias("kept"))

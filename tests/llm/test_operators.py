@@ -60,6 +60,24 @@ def test_quality_rules_divergence(spark):
     assert QR.keep_good(docs).columns == docs.columns and QR.keep_good(docs).count() == 40
 
 
+def test_quality_rules_rare_languages(spark):
+    """Clean texts of rare languages and of none stay; a language's odd one out goes, however rare the language."""
+    rng = np.random.default_rng(4)
+    alphabet = {"ru": "абвгдежзиклмнопрст", "cs": "abcdeěščřžýáíkl", "fi": "aeiouäöklmnpst"}
+    word = lambda letters: "".join(rng.choice(list(letters), 5))
+    common = {k: [word(v) for _ in range(30)] for k, v in alphabet.items()}
+    text = lambda k, n: " ".join(rng.choice(common[k], n))
+    main = [(i, " ".join(rng.choice(["the", "of", "and", "to", "cat", "dog", "sun", "sea"], 40_000)), "en") for i in range(40)]
+    rare = [(100 + 100 * j + i, text(k, 80), k) for j, k in enumerate(alphabet) for i in range(30)]
+    none = [(500 + 10 * j + i, text(k, 80), None) for j, k in enumerate(alphabet) for i in range(4)]
+    few = [(600 + i, text(k, 80), "xx") for i, k in enumerate(alphabet)]
+    odd = [(700, " ".join(f"X{i}$$$ Y{i}%%%" for i in range(50)), "ru")]
+    docs = spark.createDataFrame(main + rare + none + few + odd, "doc_id long, text string, lang string")
+    rows = {r.doc_id: r.verdict for r in QR.quality_rules(docs, rules=QR.Rules(repeat_percent=100)).collect()}
+    assert all(rows[i].kept for i, _, _ in rare + none + few) and not rows[700].kept
+    assert all(rows[i].js_chars == rows[i].js_words == 0 for i, _, _ in none + few) and rows[100].js_chars < 0.2
+
+
 def test_js_distance(spark):
     p, q = [0.5, 0.5, 0.0], [0.25, 0.25, 0.5]
     got = spark.range(1).select(QR.js_distance([F.lit(x) for x in p], [F.lit(x) for x in q]).alias("d")).first().d
