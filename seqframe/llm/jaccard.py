@@ -13,11 +13,13 @@ p + g - 1 tokens of both share g of them.
   must share one token (g' is the g of the smallest possible partner).  Tokens
   of one set alone can't be shared; a set that has enough of them is done.
 * Third order: by descending hash.  Candidates must share g' of their first L
-  tokens under the first and under the third order before the sets are compared.
+  tokens under the first and under the third order before the sets are compared,
+  in groups of any size.
 
 Candidates are not spelt out as pairs.  The smallest set that a token has is its
 lead; the sets of all tokens of one lead are a group, and a group's sets are
-compared in one step, by a matrix of their tokens.  A group of more tokens than
+compared in one step, by a matrix of their tokens, which is built in blocks of
+rows so that many small sets need no more memory.  A group of more tokens than
 ``block`` first compares each set to the lead alone: sets that link with it need
 no comparing among themselves.  The others are cut in chunks, and each pair of
 chunks is a group of its own.
@@ -151,33 +153,77 @@ def _with_lead(percent: int) -> Callable:
     return run
 
 
-def linked_sets(sets: list[np.ndarray], percent: int, columns: int = 8192) -> np.ndarray:
-    """For each set the smallest number of a set that links reach from it."""
+def _shared(rows: list[np.ndarray], columns: list[np.ndarray], cells: int) -> np.ndarray:
+    """How many tokens each of ``rows`` shares with each of ``columns``.  Frequent tokens go through a matrix product, ``cells`` at a
+    time, the others are counted pair by pair."""
+    out = np.zeros((len(rows), len(columns)), np.float32)
+    tok = np.concatenate(columns)
+    column = np.repeat(np.arange(len(columns)), [len(x) for x in columns])
+    order = np.argsort(tok, kind="stable")
+    tok, column = tok[order], column[order]
+    own = np.concatenate(rows)
+    row = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
+    begin, end = np.searchsorted(tok, own, side="left"), np.searchsorted(tok, own, side="right")
+    often = end - begin > max(16, len(columns) // 16)
+    at = np.unique(begin[often])
+    step = max(1, cells // (len(rows) + len(columns)))
+    for start in range(0, len(at), step):
+        part = at[start : start + step]
+        left, right = np.zeros((len(rows), len(part)), np.float32), np.zeros((len(columns), len(part)), np.float32)
+        mine = often & (begin >= part[0]) & (begin <= part[-1])
+        left[row[mine], np.searchsorted(part, begin[mine])] = 1
+        for i, (x, y) in enumerate(zip(part, np.searchsorted(tok, tok[part], side="right"), strict=True)):
+            right[column[x:y], i] = 1
+        out += left @ right.T
+    seldom = np.flatnonzero(~often & (end > begin))
+    many = np.cumsum((end - begin)[seldom])
+    start = 0
+    while start < len(seldom):
+        stop = max(start + 1, int(np.searchsorted(many, (many[start - 1] if start else 0) + cells, side="right")))
+        some = seldom[start:stop]
+        size = end[some] - begin[some]
+        place = np.repeat(begin[some] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        np.add.at(out.reshape(-1), np.repeat(row[some], size) * len(columns) + column[place], np.float32(1))
+        start = stop
+    return out
+
+
+def linked_sets(sets: list[np.ndarray], percent: int, columns: int = 8192, cells: int = 4_000_000) -> np.ndarray:
+    """For each set the smallest number of a set that links reach from it.  ``cells`` bounds a matrix: sets are taken as blocks of
+    rows, of which only the labels are kept, and at most ``columns`` rows at a time."""
     if len(sets) == 2:
         both, either = compare(*sets, percent)
         return np.array([0, 0 if 100 * both >= percent * either else 1])
     sizes = np.array([len(s) for s in sets], np.int64)
-    row = np.repeat(np.arange(len(sets)), sizes)
-    _, tok, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    number = np.cumsum(count > 1) - 1  # of tokens that several sets have
-    several = count[tok] > 1
-    row, tok = row[several], number[tok[several]]
-    order = np.argsort(tok, kind="stable")
-    row, tok = row[order], tok[order]
-    both = np.zeros((len(sets), len(sets)), np.float32)
-    for start in range(0, int(tok[-1]) + 1 if len(tok) else 0, columns):
-        a, b = np.searchsorted(tok, (start, start + columns))
-        has = np.zeros((len(sets), columns), np.float32)
-        has[row[a:b], tok[a:b] - start] = 1
-        both += has @ has.T
-    linked = 100 * both.astype(np.int64) >= percent * (sizes[:, None] + sizes[None, :] - both.astype(np.int64))
-    np.fill_diagonal(linked, True)
+    length, need = lengths(sizes, percent)[0], least_shared(sizes, percent)
+    first, last = [s[:n] for s, n in zip(sets, length)], [s[len(s) - n :] for s, n in zip(sets, length)]
     label = np.arange(len(sets))
-    while True:
-        least = np.where(linked, label[None, :], len(sets)).min(axis=1)
-        if (least == label).all():
-            return label
-        label = least
+    height = max(1, min(columns, cells // max(1, len(sets))))
+    for start in range(0, len(sets), height):
+        stop = min(start + height, len(sets))
+        # links are mutual, so the sets before have been compared; the first and the third order say which pairs can be similar
+        least = np.maximum(need[start:stop, None], need[None, start:])
+        near = _shared(first[start:stop], first[start:], cells) >= least
+        if near.sum() > stop - start:  # each set is near itself
+            near &= _shared(last[start:stop], last[start:], cells) >= least
+        near[np.arange(stop - start), np.arange(stop - start)] = False
+        a, b = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+        if not len(a):
+            continue
+        rows, others = a + start, b + start
+        both = _shared([sets[i] for i in rows], [sets[i] for i in others], cells).astype(np.int64)
+        linked = near[np.ix_(a, b)] & (100 * both >= percent * (sizes[rows, None] + sizes[None, others] - both))
+        while True:
+            # the least label on both sides of a link, for all sets of the labels that it replaces
+            by_row = np.minimum(label[rows], np.where(linked, label[others][None, :], len(sets)).min(axis=1))
+            by_other = np.minimum(label[others], np.where(linked, by_row[:, None], len(sets)).min(axis=0))
+            to = np.arange(len(sets))
+            np.minimum.at(to, label[rows], by_row)
+            np.minimum.at(to, label[others], by_other)
+            if (to == np.arange(len(sets))).all():
+                break
+            label = to[label]
+    return label
 
 
 def _grouped(percent: int) -> Callable:

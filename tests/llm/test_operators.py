@@ -453,6 +453,43 @@ def test_linked_sets_against_pairs():
     assert label.tolist() == root
 
 
+@pytest.mark.parametrize("percent,cells", [(60, 64), (85, 500), (30, 4_000_000)])
+def test_linked_sets_in_blocks(percent, cells):
+    rng = np.random.default_rng(percent)
+    base = rng.integers(0, 1 << 60, 400).astype(np.uint64)
+    sets = []
+    for i in range(90):
+        s = base[(i % 6) * 50 : (i % 6) * 50 + 40].copy()
+        s[rng.integers(0, 40, i % 9)] = rng.integers(0, 1 << 60, i % 9)
+        sets.append(np.unique(s if i % 5 else s[: i % 7 + 1]))
+    root = list(range(90))
+    for _ in range(90):
+        old = list(root)
+        for i, j in itertools.combinations(range(90), 2):
+            a, b = set(sets[i].tolist()), set(sets[j].tolist())
+            if 100 * len(a & b) >= percent * len(a | b):
+                root[i] = root[j] = min(root[i], root[j])
+        if root == old:
+            break
+    assert linked_sets(sets, percent, cells=cells).tolist() == root
+
+
+def test_linked_sets_of_many_small_sets():
+    """One token in common and three of their own: memory must not grow with the square of the sets."""
+    import tracemalloc
+
+    rng = np.random.default_rng(6)
+    sets = [np.unique(np.append(x, 7).astype(np.uint64)) for x in rng.integers(10, 1 << 60, (6000, 3))]
+    sets[5000] = sets[40]
+    tracemalloc.start()
+    label = linked_sets(sets, 85, cells=400_000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = np.arange(6000)
+    want[5000] = 40
+    assert (label == want).all() and peak < 40e6
+
+
 def test_one_of_each(odd, empty):
     out = one_of_each(odd, 4, 85)
     assert out.columns == odd.columns
