@@ -15,7 +15,10 @@ from seqframe.llm.mixing import mix_sources
 from seqframe.llm.piece_encoding import encode_pieces
 from seqframe.llm.quality_classifier import quality_scores
 from seqframe.llm.quality_rules import quality_rules
+from seqframe.llm.simhash import simhash_components
+from seqframe.llm.source_audit import source_audit
 from seqframe.llm.substring_dedup import remove_repeats
+from seqframe.llm.token_alignment import align_tokens
 from seqframe.llm.token_files import digests, encode_documents, write_tokens
 from seqframe.llm.topk_search import top_k
 from seqframe.llm.toxicity import toxicity_scores
@@ -75,8 +78,21 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit(table(spark, sf_dir, "documents"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokens(table(spark, sf_dir, "documents"), _tokenizer_path("byte_bpe_50k.json"), _tokenizer_path("piece_bpe_32k.model"))
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_mix_sources, op2_piece_encoding, op3_quality_classifier, op4_token_files, op5_substring_dedup, op6_license_scan, op7_topk_search, op8_quality_rules, op9_toxicity, op10_ngram_jaccard)
+    own = (op1_mix_sources, op2_piece_encoding, op3_quality_classifier, op4_token_files, op5_substring_dedup, op6_license_scan, op7_topk_search, op8_quality_rules, op9_toxicity, op10_ngram_jaccard,
+           op11_source_audit, op12_token_alignment, op13_simhash)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
@@ -131,7 +147,27 @@ e as (select a, b from l union all select b, a from l),
 r as (select doc_id, doc_id as c from n union select e.b, r.c from r join e on e.a = r.doc_id)
 select n.doc_id, n.n as n_shingles, (select min(c) from r where r.doc_id = n.doc_id)::bigint as component_id from n
 """
+OP11 = r"""
+with d as (select coalesce(lang, '') as lang, coalesce(source, '') as source, row_number() over () as row,
+                  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as w from documents),
+g as (select distinct lang, source from d),
+t as (select lang, source, row, unnest(w) as term from d),
+k as (select lang, term, count(*) as total from t group by lang, term having count(distinct row) >= 10),
+c as (select t.lang, t.source, t.term, count(*) as n from t join k on t.lang = k.lang and t.term = k.term group by all),
+v as (select lang, count(*) as v, sum(total) as whole from k group by lang),
+s as (select g.lang, g.source, coalesce(sum(n), 0) as whole from g left join c on g.lang = c.lang and g.source = c.source group by all),
+p as (select s.lang, s.source, k.term, coalesce(c.n, 0) as n, 1 + (1000000000 * (coalesce(c.n, 0) + 2)::hugeint) // (s.whole + 2 * v.v)::hugeint as p,
+             1 + (1000000000 * (k.total + 2)::hugeint) // (v.whole + 2 * v.v)::hugeint as q
+      from s join v on s.lang = v.lang join k on s.lang = k.lang left join c on c.lang = s.lang and c.source = s.source and c.term = k.term),
+m as (select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p))::bigint as value
+      from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+r as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(m.value, 0)::bigint as value
+      from g a join g b on a.lang = b.lang and a.source <> b.source left join m on m.lang = a.lang and m.source = a.source and m.item = b.source
+      union all select lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::bigint from p where n > 0 and p > q),
+o as (select *, row_number() over (partition by lang, source, part order by value desc, item)::integer as rank from r)
+select * from o where part = 'pair' or rank <= 10
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1, "op5_substring_dedup": OP5, "op7_topk_search": OP7, "op10_ngram_jaccard": OP10}
+    return {"op1_mix_sources": OP1, "op5_substring_dedup": OP5, "op7_topk_search": OP7, "op10_ngram_jaccard": OP10, "op11_source_audit": OP11}

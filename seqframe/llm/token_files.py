@@ -14,10 +14,11 @@ a hash of their text; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import sys
 import types
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,14 @@ def _kept() -> dict:
     return sys.modules.setdefault("seqframe_kept", types.ModuleType("seqframe_kept")).__dict__
 
 
+def kept_by_worker(name: str, make: Callable) -> object:
+    """What ``make`` gives, made once by each Python worker."""
+    kept = _kept()
+    if name not in kept:
+        kept[name] = make()
+    return kept[name]
+
+
 class Encoder:
     """Encodes whole texts, each distinct piece between spaces once.
 
@@ -44,15 +53,20 @@ class Encoder:
     each single space that stands between other characters than white space, and the pieces encoded alone give the
     ids of the whole.  Texts with a space beside white space are encoded whole.  New pieces are encoded many in a
     row: the first id of each is known by its space.  What pieces give is kept, by 64-bit hashes of the pieces, for
-    the next batches, up to ``memory`` ids.
+    the next batches, up to ``memory`` ids.  Strings of special tokens in a text are ordinary text if ``plain``;
+    otherwise the library's own reading holds, and texts that have one are encoded whole.
     """
 
-    def __init__(self, path: str, memory: int = 6_000_000):
+    joined = _JOINED
+
+    def __init__(self, path: str, memory: int = 6_000_000, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.memory = Tokenizer.from_file(path), memory
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = plain
+        added = [] if plain else [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(added)) if added else None
         vocabulary = self.tokenizer.get_vocab()
         self.begins_with_space = np.zeros(max(vocabulary.values()) + 1, bool)
         self.begins_with_space[[i for piece, i in vocabulary.items() if piece.startswith("\u0120")]] = True
@@ -60,10 +74,7 @@ class Encoder:
 
     @classmethod
     def of(cls, path: str) -> Encoder:
-        kept = _kept()
-        if path not in kept:
-            kept[path] = cls(path)
-        return kept[path]
+        return kept_by_worker(path, lambda: cls(path))
 
     def _forget(self) -> None:
         self.keys, self.begin, self.size, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
@@ -114,7 +125,9 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in order, and the offsets of the texts in them."""
-        whole = pc.match_substring_regex(texts, _JOINED).to_numpy(zero_copy_only=False)
+        whole = pc.match_substring_regex(texts, self.joined).to_numpy(zero_copy_only=False)
+        if self.special is not None:
+            whole |= pc.match_substring_regex(texts, self.special.pattern).to_numpy(zero_copy_only=False)
         plain = pc.if_else(pa.array(whole), "", texts)
         parts = pc.split_pattern(plain, " ")
         offsets = parts.offsets.to_numpy().astype(np.int64)
