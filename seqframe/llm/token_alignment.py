@@ -2,8 +2,8 @@
 
 Both tokenise the whole text.  Where a token of each ends and the next ones of both are marked by a space, the shared
 end is an anchor (verified: the byte offsets are equal), and anchors cut a document into windows of token ids.  The
-alignment within a window depends on its ids alone, so it is worked out once and kept by the tuples of ids; a
-document's alignment is that of its windows in a row.
+alignment within a window depends on its ids alone, so it is worked out once for each different tuple of ids that a
+shard holds; a document's alignment is that of its windows in a row.
 
 A shard (a slice of a task's texts) writes the alignments of its documents, as numbers of its different pairs of
 linked ids, and once the pairs themselves.  The pairs of all shards are summed up, and each shard gets the counts of
@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +43,7 @@ class ByteTokens(Encoder):
     """A byte-level vocabulary, with the bytes of each token."""
 
     def __init__(self, path: str):
-        super().__init__(path, plain=True)
+        super().__init__(path, memory=2_000_000, plain=True)
         alphabet, vocabulary = byte_alphabet(), self.tokenizer.get_vocab()
         spelt = [b""] * (max(vocabulary.values()) + 1)
         for piece, i in vocabulary.items():
@@ -58,7 +57,7 @@ class PieceTokens(Encoder):
     #: A word and the space before it are encoded like a text; leading, trailing and double spaces are left to the model.
     joined = "^ | $|  "
 
-    def __init__(self, path: str, memory: int = 6_000_000):
+    def __init__(self, path: str, memory: int = 2_000_000):
         import sentencepiece
 
         self.model, self.memory, self.special = sentencepiece.SentencePieceProcessor(model_file=path), memory, None
@@ -83,38 +82,14 @@ def spans(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(begin - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
 
 
-def align_window(a: tuple[int, ...], b: tuple[int, ...], size_a: list[int], size_b: list[int]) -> tuple[bytes, list[int]]:
-    """Groups of a window, spelt out, and its links as numbers (A id in the high half): both tokenizers' ends, merged."""
-    groups, links = [], []
-    i = j = first_i = first_j = at_a = at_b = 0
-    while i < len(a):
-        at_a += size_a[a[i]]
-        i += 1
-        while at_b < at_a:
-            at_b += size_b[b[j]]
-            j += 1
-        if at_a == at_b:
-            groups.append(f"{','.join(map(str, a[first_i:i]))}|{','.join(map(str, b[first_j:j]))};")
-            links.append((a[i - 1] << 32) | b[j - 1])
-            first_i, first_j = i, j
-    return "".join(groups).encode(), links
-
-
 class Aligner:
-    """Aligns many texts at once; what a window gives is kept, up to ``memory`` windows."""
+    """Aligns many texts at once."""
 
-    def __init__(self, path_a: str, path_b: str, memory: int = 500_000):
+    def __init__(self, path_a: str, path_b: str):
         self.a, self.b = ByteTokens(path_a), PieceTokens(path_b)
-        self.sizes = [pc.binary_length(t.spelt).to_pylist() for t in (self.a, self.b)]
-        self.memory, self.known = memory, {}
-
-    def _window(self, a: np.ndarray, b: np.ndarray) -> tuple[bytes, list[int]]:
-        key = (tuple(a.tolist()), tuple(b.tolist()))
-        if key not in self.known:
-            if len(self.known) >= self.memory:
-                self.known.clear()
-            self.known[key] = align_window(*key, *self.sizes)
-        return self.known[key]
+        self.sizes = [pc.binary_length(t.spelt).to_numpy().astype(np.int64) for t in (self.a, self.b)]
+        # decimal ids and what follows them: within a group, and at its end
+        self.numbers = pa.array([f"{i}{end}" for size, ends in zip(self.sizes, (",|", ",;"), strict=True) for end in ends for i in range(len(size))], pa.large_binary())
 
     def _tokens(self, texts: pa.Array) -> tuple[list, list, np.ndarray]:
         """For A and B the ids of all texts and their offsets by text; no ids for texts that either does not spell."""
@@ -142,27 +117,26 @@ class Aligner:
     def align(self, texts: pa.Array) -> dict:
         """Per text the sizes, the groups' digest and the numbers of linked pairs; and the different pairs, with how often they stand."""
         (a, b), (of_a, of_b), said = self._tokens(texts)
-        ends_a, ends_b = (np.cumsum(np.array(s, np.int64)[x]) for s, x in zip(self.sizes, (a, b), strict=True))
+        ends_a, ends_b = (np.cumsum(size[x]) for size, x in zip(self.sizes, (a, b), strict=True))
         # texts stand one after another and both spell them, so that ends of A and B are places in the same bytes
-        mark = np.zeros(int(said.sum()) + 1, bool)
-        mark[ends_a] = True
-        shared_b = np.flatnonzero(mark[ends_b])
-        mark[:] = False
-        mark[ends_b] = True
-        shared_a = np.flatnonzero(mark[ends_a])
+        mark = np.zeros(int(said.sum()) + 1, np.int8)
+        mark[ends_a] += 1
+        mark[ends_b] += 2
+        shared_a, shared_b = mark[ends_a] == 3, mark[ends_b] == 3
+        at_a, at_b = np.flatnonzero(shared_a), np.flatnonzero(shared_b)
         text_ends = np.zeros(len(a) + 1, bool)
         text_ends[of_a] = True
         marked_a, marked_b = np.append(self.a.marked[a], False), np.append(self.b.marked[b], False)
-        anchor = text_ends[shared_a + 1] | (marked_a[shared_a + 1] & marked_b[shared_b + 1])
-        end_a, end_b = shared_a[anchor] + 1, shared_b[anchor] + 1
+        anchor = text_ends[at_a + 1] | (marked_a[at_a + 1] & marked_b[at_b + 1])
+        end_a, end_b = at_a[anchor] + 1, at_b[anchor] + 1
         size_a, size_b = np.diff(end_a, prepend=0), np.diff(end_b, prepend=0)
 
-        number, entries = self._windows(a, b, end_a, end_b, size_a, size_b)
-        fragments = pa.array([e[0] for e in entries], pa.large_binary()).take(pa.array(number))
-        many = np.fromiter((len(e[1]) for e in entries), np.int64, len(entries))
-        pairs, pair = np.unique(np.fromiter(chain.from_iterable(e[1] for e in entries), np.int64, int(many.sum())), return_inverse=True)
-        begin = np.cumsum(many) - many
-        links = pair[spans(begin[number], many[number])].astype(np.int32)
+        number, first = self._windows(a, b, end_a, end_b, size_a, size_b)
+        in_a, in_b = spans((end_a - size_a)[first], size_a[first]), spans((end_b - size_b)[first], size_b[first])
+        fragments, links, many = self._groups(a[in_a], b[in_b], shared_a[in_a], shared_b[in_b], size_a[first], size_b[first])
+        fragments = fragments.take(pa.array(number))
+        pairs, pair = np.unique(links, return_inverse=True)
+        links = pair.astype(np.int32)[spans((np.cumsum(many) - many)[number], many[number])]
 
         windows = np.searchsorted(end_a, of_a, side="right")  # of the texts before each
         windows[0] = 0
@@ -173,17 +147,16 @@ class Aligner:
         return {"n_a": np.diff(of_a), "n_b": np.diff(of_b), "n_groups": np.diff(linked), "groups_sha256": digest, "links": links, "offsets": linked,
                 "pairs": pairs, "n": np.bincount(links, minlength=len(pairs))}
 
-    def _windows(self, a: np.ndarray, b: np.ndarray, end_a: np.ndarray, end_b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> tuple[np.ndarray, list]:
-        """The number of each window among the different ones, and what those give."""
+    def _windows(self, a: np.ndarray, b: np.ndarray, end_a: np.ndarray, end_b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The number of each window's ids among the different ones, and where those stand first."""
         if not len(end_a):
-            return np.zeros(0, np.int64), []
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         key = np.zeros(len(end_a), np.uint64)
         with np.errstate(over="ignore"):
             for ids, end, size, salt in ((a, end_a, size_a, 1), (b, end_b, size_b, 2)):
                 place = np.arange(len(ids)) - np.repeat(end - size, size)
                 key = mix64(key + np.uint64(salt) + np.add.reduceat(mix64(ids.astype(np.uint64) + (place.astype(np.uint64) << np.uint64(32))), end - size))
         _, first, number = np.unique(key, return_index=True, return_inverse=True)
-        entries = [self._window(a[end_a[w] - size_a[w] : end_a[w]], b[end_b[w] - size_b[w] : end_b[w]]) for w in first.tolist()]
         # equal keys stand for equal ids only if the ids say so
         like = first[number]
         other = (size_a != size_a[like]) | (size_b != size_b[like])
@@ -191,10 +164,28 @@ class Aligner:
             same = np.where(other, 0, size)
             differ = ids[spans(end - size, same)] != ids[spans((end - size)[like], same)]
             other[np.repeat(np.arange(len(end)), same)[differ]] = True
-        for w in np.flatnonzero(other).tolist():
-            number[w] = len(entries)
-            entries.append(self._window(a[end_a[w] - size_a[w] : end_a[w]], b[end_b[w] - size_b[w] : end_b[w]]))
-        return number, entries
+        alone = np.flatnonzero(other)
+        number[alone] = len(first) + np.arange(len(alone))
+        return number, np.concatenate((first, alone))
+
+    def _groups(self, a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """Of windows in a row, whose tokens end a group or don't: their groups spelt out, their links (A id in the high half), and how
+        many links each has."""
+        if not len(a):
+            return pa.array([], pa.large_binary()), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        group_ends = [np.concatenate(([0], np.flatnonzero(last) + 1)) for last in (last_a, last_b)]
+        group_a, group_b = (np.cumsum(last) - last for last in (last_a, last_b))
+        # the tokens of A in a group, then those of B
+        code = np.empty(len(a) + len(b), np.int64)
+        n_a, n_b = map(len, self.sizes)
+        code[np.arange(len(a)) + group_ends[1][group_a]] = a + n_a * last_a
+        code[np.arange(len(b)) + group_ends[0][group_b + 1]] = 2 * n_a + b + n_b * last_b
+        spelt = self.numbers.take(pa.array(code))
+        ends = np.concatenate(([0], np.cumsum(size_a + size_b)))
+        offsets = np.frombuffer(spelt.buffers()[1], np.int64)[: len(code) + 1][ends]
+        fragments = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(offsets), spelt.buffers()[2]])
+        many = np.add.reduceat(last_a.astype(np.int64), np.cumsum(size_a) - size_a)
+        return fragments, (a[last_a].astype(np.int64) << 32) | b[last_b], many
 
 
 def _aligned(path_a: str, path_b: str, max_bytes: int) -> Callable:
@@ -233,12 +224,12 @@ def _scored(docs: pa.Table, pairs: pa.Table) -> pa.Table:
     return pa.table({c: docs.column(c) for c in ("doc_id", "n_a", "n_b", "n_groups")} | {"n_links": size, "n_best": sums[1], "count_sum": sums[0], "groups_sha256": docs.column("groups_sha256")})
 
 
-def align_tokens(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "doc_id", text: str = "text", shard_mb: int = 6) -> DataFrame:
+def align_tokens(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "doc_id", text: str = "text", shard_mb: int = 2) -> DataFrame:
     """Per document doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256."""
     return score_links(docs.sparkSession, write_alignment(docs, path_a, path_b, doc_id, text, shard_mb))
 
 
-def write_alignment(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "doc_id", text: str = "text", shard_mb: int = 6) -> str:
+def write_alignment(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "doc_id", text: str = "text", shard_mb: int = 2) -> str:
     """Write the shards' documents and pairs, and return the path."""
     path = shared_path(docs.sparkSession, "alignment")
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
