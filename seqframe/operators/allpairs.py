@@ -1,4 +1,5 @@
-"""Exact all-pairs vector work without a cross join.
+"""Exact all-pairs vector work without a cross join: the kernel of ``metric``, which leaves out pairs by the triangle
+inequality (J5, J6, J8, W1, W2, A11), and the plan for work that needs all pairs (A13) or has one block of references.
 
 Both sides are cut into hash blocks.  Subject rows are replicated once per
 reference block and reference rows once per subject block, so the pair
@@ -223,7 +224,9 @@ def merge_topk(partials: DataFrame, k: int) -> DataFrame:
 
 def knn(subjects: DataFrame, refs: DataFrame, k: int, **kw) -> DataFrame:
     """``(sid, rid, dist, nn_rank)`` for the k nearest references."""
-    return merge_topk(blocked_reduce(subjects, refs, "topk", k=k, **kw), k)
+    from .metric import pruned_reduce
+
+    return merge_topk(pruned_reduce(subjects, refs, "topk", k=k, **kw), k)
 
 
 def distance_guard(subjects: DataFrame, refs: DataFrame, **kw) -> DataFrame:

@@ -11,10 +11,14 @@ parameters so the same code runs on the record schema and on stand-ins.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import hash_rank
+from ..functions.random import hash_order
+from ..session import sized
+from .ranking import hash_rank, keys_at, up_to
 
 
 def length_filter(df: DataFrame, length_col: str, min_len: int, max_len: int) -> DataFrame:
@@ -64,9 +68,10 @@ def threshold(counts: DataFrame, min_count: int) -> DataFrame:
 def fold_rare(df: DataFrame, col: str, kept: DataFrame, other: str = "root") -> DataFrame:
     """Values outside the kept dictionary (and nulls) become ``other``.
 
-    Left equi-join on the value; no broadcast hint: AQE converts the join to
-    a broadcast only after it has measured the materialised dictionary."""
-    k = kept.select(F.col("value").alias("_kv"), F.lit(True).alias("_keep"))
+    Left equi-join on the value.  The dictionary is written first, so Spark
+    knows its size when it plans: up to the broadcast threshold the rows are
+    not shuffled by a column where one value may hold a third of them."""
+    k = sized(kept.select(F.col("value").alias("_kv"), F.lit(True).alias("_keep")))
     j = df.join(k, df[col] == k["_kv"], "left")
     return j.withColumn(col, F.when(F.col("_keep"), F.col(col)).otherwise(F.lit(other))).drop("_kv", "_keep")
 
@@ -116,6 +121,29 @@ def hash_split(df: DataFrame, id_col: str, seed: int = 147, val_frac: float = 0.
     return r.drop("total_n")
 
 
+def split_by_keys(df: DataFrame, id_col: str, seed: int = 147, val_frac: float = 0.1, test_frac: float = 0.1, dev_sizes: dict | None = None) -> DataFrame:
+    """W3 + A18 (+ P10): the splits of ``hash_split`` without ranks.  The keys at the cut positions are found from
+    counts of key prefixes, and ``split`` is then a comparison within the row: rows, and the texts they carry, are
+    neither sorted nor shuffled.  With ``dev_sizes`` a column ``dev`` marks the first rows of each split.
+
+    Equals ``hash_split`` for ids that are unique; rows of one id stay in one split."""
+    d = df.withColumn("_h", hash_order(F.lit(seed), F.col(id_col)))
+    sizes = dev_sizes or {}
+
+    def positions(n: int) -> list[int]:
+        ends = [math.floor(n * (1 - val_frac - test_frac)), math.floor(n * (1 - test_frac)), n]
+        starts = [0, *ends[:2]]
+        return [*ends[:2], *[a + min(sizes.get(s, 0), b - a) for s, a, b in zip(("train", "val", "test"), starts, ends, strict=True)]]
+
+    _, (train, val, *dev) = keys_at(d.select("_h", id_col), "_h", id_col, positions)
+    in_train, in_val = up_to("_h", id_col, train), up_to("_h", id_col, val)
+    out = d.withColumn("split", F.when(in_train, "train").when(in_val, "val").otherwise("test"))
+    if dev_sizes:
+        firsts = [up_to("_h", id_col, k) for k in dev]
+        out = out.withColumn("dev", F.when(F.col("split") == "train", firsts[0]).when(F.col("split") == "val", firsts[1]).otherwise(firsts[2]))
+    return out.drop("_h")
+
+
 def dev_subsets(split_df: DataFrame, sizes: dict | None = None) -> DataFrame:
     """P10: first N rows of each split in permutation order (a row cap that
     is the feature: dev subsets)."""

@@ -6,15 +6,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import prefix_rank, range_bucket
+from .ranking import key_bucket, prefix_rank
 
 ROOT_SENTINEL = -1  # count given to an appended 'root' so it sorts last
 
 
 def index_by_count(counts: DataFrame, start: int = 1, nbuckets: int = 16) -> DataFrame:
     """``idx`` = position in (count desc, value asc) order + start - 1.
-    The rank uses the bucketed prefix, so no single task sorts all of it."""
-    bucket = range_bucket(counts, "count", nbuckets, descending=True)
+    The rank uses buckets of the whole key (count, value), so no single task
+    sorts all of it, however many values share a count."""
+    bucket = key_bucket(counts, [("count", True), ("value", False)], nbuckets)
     r = prefix_rank(counts, bucket, [F.col("count").desc(), F.col("value")], rank_col="_r")
     return r.select("value", "count", (F.col("_r") + F.lit(start - 1)).cast("int").alias("idx"))
 
@@ -46,8 +47,7 @@ def conditioning_dictionary(category_counts: DataFrame, tag_counts: DataFrame, r
     cats = _with_root(category_counts, root).withColumn("kind", F.lit(0))
     tags = tag_counts.select("value", F.col("count").cast("long")).withColumn("kind", F.lit(1))
     both = cats.unionByName(tags)
-    inner = range_bucket(both, "count", nbuckets, descending=True)
-    bucket = F.col("kind") * F.lit(nbuckets + 1) + inner
+    bucket = key_bucket(both, [("kind", False), ("count", True), ("value", False)], nbuckets)
     r = prefix_rank(both, bucket, [F.col("kind"), F.col("count").desc(), F.col("value")], rank_col="_r")
     shift = F.when((F.col("kind") == 1) & F.lit(compat_overlap), F.lit(1)).otherwise(F.lit(0))
     return r.select(

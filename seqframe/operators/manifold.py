@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .allpairs import blocked_reduce, check_vectors, merge_topk
+from .allpairs import check_vectors, merge_topk
+from .metric import pruned_reduce
 
 
 def compute_manifold(df: DataFrame, k: int = 3, id_col: str = "id", vec_col: str = "embedding",
@@ -22,7 +23,7 @@ def compute_manifold(df: DataFrame, k: int = 3, id_col: str = "id", vec_col: str
     n = check_vectors(df, vec_col)
     if n < k + 2:
         raise ValueError(f"manifold needs at least k+2={k + 2} rows, got {n}")
-    part = blocked_reduce(df, df, "topk", k=k + 1, id_col=id_col, vec_col=vec_col, block_rows=block_rows,
+    part = pruned_reduce(df, df, "topk", k=k + 1, id_col=id_col, vec_col=vec_col, block_rows=block_rows,
                           n_subjects=n, n_refs=n)
     radii = merge_topk(part, k + 1).groupBy("sid").agg(F.max("dist").alias("radius"))
     base = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("embedding"))
@@ -37,7 +38,7 @@ def compute_manifold(df: DataFrame, k: int = 3, id_col: str = "id", vec_col: str
 def covered_rows(ball_manifold: DataFrame, points: DataFrame, id_col: str = "id",
                  vec_col: str = "embedding", block_rows: int = 2048) -> DataFrame:
     """``(id, covered)``: point strictly inside any ball of the manifold."""
-    part = blocked_reduce(points, ball_manifold, "cover", id_col=id_col, vec_col=vec_col,
+    part = pruned_reduce(points, ball_manifold, "cover", id_col=id_col, vec_col=vec_col,
                           ref_id_col="id", ref_vec_col="embedding", radius_col="radius",
                           block_rows=block_rows)
     merged = part.groupBy("sid").agg(F.max(F.col("covered").cast("int")).alias("_c"))
@@ -61,7 +62,7 @@ def precision_recall(ref_manifold: DataFrame, subject_manifold: DataFrame, block
 def realism(ref_manifold: DataFrame, subjects: DataFrame, id_col: str = "id", vec_col: str = "embedding",
             block_rows: int = 2048) -> DataFrame:
     """``(id, realism)`` = max over references of radius/(distance+1e-6)."""
-    part = blocked_reduce(subjects, ref_manifold, "realism", id_col=id_col, vec_col=vec_col,
+    part = pruned_reduce(subjects, ref_manifold, "realism", id_col=id_col, vec_col=vec_col,
                           ref_id_col="id", ref_vec_col="embedding", radius_col="radius",
                           block_rows=block_rows)
     return part.groupBy("sid").agg(F.max("ratio").alias("realism")).withColumnRenamed("sid", "id")

@@ -11,8 +11,8 @@ from ..functions.random import hash_order, hash_uniform
 from ..functions.vocab import MASK, PAD, SUBSTITUTES, chars
 
 
-def _valid() -> Column:
-    return F.array(*[F.lit(s) for s in SUBSTITUTES])
+def _symbols(symbols) -> Column:
+    return F.array(*[F.lit(s) for s in symbols])
 
 
 def replicate(df: DataFrame, n: int, col: str = "replicate") -> DataFrame:
@@ -31,22 +31,24 @@ def substitute(df: DataFrame, seq_col: str, id_col: str, rep_col: str, percent:
     to a symbol drawn uniformly from the 21 valid ones (20 standard + X)
     other than the current symbol.  The chosen positions are those whose
     hash key is among the n smallest: one in-row sort, no shuffle.  Keys and
-    the cut-off are materialised as columns first so the per-position lambda
-    only reads them (no re-evaluation per element)."""
+    the cut-off come out of generators of one element: Catalyst would put
+    plain columns into the lambda, and sort the keys again for every position."""
     row_id, rep = F.col(id_col), F.col(rep_col)
     d = df.withColumn("_c", chars(F.col(seq_col)))
-    d = d.withColumn("_n", F.floor(F.size("_c") * F.lit(float(percent))).cast("int"))
-    d = d.withColumn("_k", F.transform("_c", lambda x, i: position_key(F.lit(seed), row_id, rep, i)))
-    d = d.withColumn("_cut", F.when(F.col("_n") > 0, F.element_at(F.array_sort("_k"), F.greatest(F.col("_n"), F.lit(1)))))
+    keys = F.transform("_c", lambda x, i: position_key(F.lit(seed), row_id, rep, i))
+    d = d.withColumn("_s", F.explode_outer(F.array(F.struct(F.col("_c").alias("c"), keys.alias("k"), F.floor(F.size("_c") * F.lit(float(percent))).cast("int").alias("n"))))).drop("_c")
+    cut = F.when(F.col("_s.n") > 0, F.element_at(F.array_sort("_s.k"), F.greatest(F.col("_s.n"), F.lit(1))))
+    d = d.withColumn("_cut", F.explode_outer(F.array(cut)))
+    others = F.create_map(*[c for s in SUBSTITUTES for c in (F.lit(s), _symbols([v for v in SUBSTITUTES if v != s]))])
 
     def pick(x, i):
-        cands = F.array_except(_valid(), F.array(x))
+        cands = F.coalesce(F.try_element_at(others, x), _symbols(SUBSTITUTES))
         u = hash_uniform(F.lit(seed), row_id, rep, i, F.lit("s"))
         return F.element_at(cands, (F.floor(u * F.size(cands)) + 1).cast("int"))
 
-    chosen = F.zip_with("_c", "_k", lambda x, k: F.struct(x.alias("x"), (k <= F.col("_cut")).alias("hit")))
-    out = F.transform(chosen, lambda s, i: F.when((F.col("_n") > 0) & s["hit"], pick(s["x"], i)).otherwise(s["x"]))
-    return d.withColumn(out_col, F.array_join(out, "")).drop("_c", "_n", "_k", "_cut")
+    pairs = F.zip_with("_s.c", "_s.k", lambda x, k: F.struct(x.alias("x"), (k <= F.col("_cut")).alias("hit")))
+    out = F.transform(pairs, lambda s, i: F.when(s["hit"], pick(s["x"], i)).otherwise(s["x"]))
+    return d.withColumn(out_col, F.array_join(out, "")).drop("_s", "_cut")
 
 
 def random_substitution(df: DataFrame, id_col: str, seq_col: str, percent: float = 0.1,

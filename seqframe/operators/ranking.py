@@ -14,7 +14,7 @@ precision/recall (W5), exact quantiles (A19) and loader batches (T4).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -51,6 +51,88 @@ def range_bucket(df: DataFrame, col: str, nbuckets: int = 64, descending: bool =
     return out
 
 
+def key_bucket(df: DataFrame, keys: Sequence[tuple[str, bool]], nbuckets: int = 16, per_bucket: int = 64) -> Column:
+    """Order-preserving bucket along a composite key of (column, descending) parts, from cut points over the whole key: rows
+    that tie in its first parts are told apart by the later ones, so no value fills a bucket.  The cuts come from
+    ``nbuckets * per_bucket`` rows, taken by a hash of the key, which is all that reaches the driver."""
+    if not 1 <= nbuckets <= 1024:
+        raise ValueError(f"nbuckets must be 1 to 1024, not {nbuckets}")
+    names = [c for c, _ in keys]
+    some = df.select(*names).orderBy(F.xxhash64(*names), *names).limit(nbuckets * per_bucket).collect()
+
+    def rank(row):
+        return [x.encode() if isinstance(x, str) else -x if desc else x for x, (_, desc) in zip(row, keys, strict=True)]
+
+    if any(desc and isinstance(x, str) for row in some[:1] for x, (_, desc) in zip(row, keys, strict=True)):
+        raise ValueError("text parts of the key are in ascending order")
+    some.sort(key=rank)
+    bucket = F.lit(0)
+    for cut in sorted({i * len(some) // nbuckets for i in range(1, nbuckets)} - {0}):
+        beyond, level = F.lit(False), F.lit(True)
+        for (name, desc), x in zip(keys, some[cut], strict=True):
+            beyond = beyond | (level & (F.col(name) < F.lit(x) if desc else F.col(name) > F.lit(x)))
+            level = level & (F.col(name) == F.lit(x))
+        bucket = bucket + beyond.cast("int")
+    return bucket
+
+
+#: Rows of one bucket that may reach the driver when a key is picked from it.
+PICK_ROWS = 4096
+
+
+def keys_at(df: DataFrame, hex_key: str, id_col: str, positions: Callable[[int], Sequence[int]]) -> tuple[int, list[tuple | None]]:
+    """The number of rows and the keys (hex_key, id) at some 1-based positions of their order; None for position 0.
+
+    Rows are counted by a prefix of the key, and only the buckets where a position falls are looked at again, by a
+    longer prefix, until they are small enough to be read.  Nothing is sorted or shuffled but counts; the driver
+    sees at most 16**4 counts a position and round, and ``PICK_ROWS`` keys."""
+    def counted(digits: int, within: set[str]) -> dict[str, int]:
+        rows = df if not within else df.where(F.substring(hex_key, 1, digits - 4).isin(*within))
+        return {r["p"]: r["n"] for r in rows.groupBy(F.substring(hex_key, 1, digits).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
+
+    digits, counts = 4, counted(4, set())
+    total = sum(counts.values())
+    wanted = [(p, "") for p in positions(total)]  # what is left of the position within a prefix
+    while True:
+        found = []
+        for left, prefix in wanted:
+            for bucket in sorted(b for b in counts if b.startswith(prefix)) if left > 0 else ():
+                if left <= counts[bucket]:
+                    found.append((left, bucket))
+                    break
+                left -= counts[bucket]
+            else:
+                found.append((0, ""))
+        wanted = found
+        near = {b for left, b in wanted if left}
+        if digits == 32 or all(counts[b] <= PICK_ROWS for b in near):
+            break
+        digits += 4
+        counts = counted(digits, near)
+    if not near:
+        return total, [None] * len(wanted)
+    # rows of one id have one key, so what is read stays small where a hash is a whole key
+    rows = df.where(F.substring(hex_key, 1, digits).isin(*near)).groupBy(hex_key, id_col).agg(F.count(F.lit(1)).alias("n")).collect()
+    rows = sorted((r[0], r[1], r[2]) for r in rows)
+    out = []
+    for left, prefix in wanted:
+        key = None
+        for h, i, n in rows if left else ():
+            if h.startswith(prefix):
+                key, left = (h, i), left - n
+                if left <= 0:
+                    break
+        out.append(key)
+    return total, out
+
+
+def up_to(hex_key: str, id_col: str, key: tuple | None) -> Column:
+    """Whether a row's key is not beyond the given one."""
+    if key is None:
+        return F.lit(False)
+    return (F.col(hex_key) < F.lit(key[0])) | ((F.col(hex_key) == F.lit(key[0])) & (F.col(id_col) <= F.lit(key[1])))
+
+
 def prefix_rank(df: DataFrame, bucket: Column, order_cols: Sequence[Column],
                 measures: Sequence[str] = (), rank_col: str | None = "rank",
                 partition_cols: Sequence[str] = ()) -> DataFrame:

@@ -33,6 +33,9 @@ DEV_SIZES = {"train": 400, "val": 50, "test": 50}
 SQL_FILT = f"""filt AS (
   SELECT doc_id, lang, n_chars, text, {SQL_WORDS} AS toks FROM documents
   WHERE n_chars BETWEEN {MIN_LEN} AND {MAX_LEN} AND len({SQL_WORDS}) > 0)"""
+#: All documents that have tags; the length filter is for the curated rows alone.
+SQL_TAGGED = f"""filt AS (
+  SELECT doc_id, lang, n_chars, text, {SQL_WORDS} AS toks FROM documents WHERE len({SQL_WORDS}) > 0)"""
 SQL_EX = "ex AS (SELECT doc_id, unnest(toks) AS tag, unnest(range(len(toks))) AS pos FROM filt)"
 SQL_CATS = f"""cats AS (SELECT lang AS value, count(*) AS count FROM filt WHERE lang IS NOT NULL
   GROUP BY lang HAVING count(*) >= {MIN_CAT})"""
@@ -52,9 +55,12 @@ spl AS (SELECT doc_id, CASE WHEN r <= e1 THEN 'train' WHEN r <= e2 THEN 'val' EL
   CAST(CASE WHEN r <= e1 THEN r WHEN r <= e2 THEN r - e1 ELSE r - e2 END AS BIGINT) AS split_rank FROM sp)"""
 
 
+def _tagged(spark, sf_dir):
+    return C.drop_untagged(records(spark, sf_dir), "tags", has_tags=F.col("has_tags")).drop("has_tags")
+
+
 def _filtered(spark, sf_dir):
-    recs = C.length_filter(records(spark, sf_dir), "length", MIN_LEN, MAX_LEN)
-    return C.drop_untagged(recs, "tags", has_tags=F.col("has_tags")).drop("has_tags")
+    return C.length_filter(_tagged(spark, sf_dir), "length", MIN_LEN, MAX_LEN)
 
 
 def kept_dictionaries(f):
@@ -79,7 +85,7 @@ def curated(spark, sf_dir):
 
 
 def conditioning_dictionary_of(spark, sf_dir, compat=False):
-    f = _filtered(spark, sf_dir)
+    f = _tagged(spark, sf_dir)
     cats, tags = kept_dictionaries(f)
     return f, materialize(conditioning_dictionary(cats, tags, compat_overlap=compat))
 
@@ -161,7 +167,8 @@ def hash_split_rows(spark, sf_dir):
 
 @query("hash_split_sizes", "W3 A18", f"WITH {SQL_SPLIT} SELECT split, count(*) AS count FROM spl GROUP BY split")
 def hash_split_sizes(spark, sf_dir):
-    return hash_split_rows(spark, sf_dir).groupBy("split").agg(F.count(F.lit(1)).alias("count"))
+    d = documents(spark, sf_dir).select("doc_id")
+    return C.split_by_keys(d, "doc_id", SPLIT_SEED, VAL_FRAC, TEST_FRAC).groupBy("split").agg(F.count(F.lit(1)).alias("count"))
 
 
 @query("dev_subset", "P10 W3", f"""
@@ -170,8 +177,7 @@ WITH {SQL_SPLIT} SELECT doc_id, split FROM spl WHERE
  OR (split = 'test' AND split_rank <= {DEV_SIZES['test']})""")
 def dev_subset(spark, sf_dir):
     d = documents(spark, sf_dir).select("doc_id")
-    s = C.hash_split(d, "doc_id", SPLIT_SEED, VAL_FRAC, TEST_FRAC)
-    return C.dev_subsets(s, DEV_SIZES).select("doc_id", "split")
+    return C.split_by_keys(d, "doc_id", SPLIT_SEED, VAL_FRAC, TEST_FRAC, DEV_SIZES).where("dev").select("doc_id", "split")
 
 
 @query("property_bag_values", "P3 P4 F23", """
@@ -221,7 +227,7 @@ def symbol_histogram(spark, sf_dir):
 def _dictionary_sql(compat: bool) -> str:
     shift = " - 1" if compat else ""
     return f"""
-WITH {SQL_FILT}, {SQL_CATS}, {SQL_EX}, {SQL_TAGC}, {SQL_CI}, {SQL_TI}
+WITH {SQL_TAGGED}, {SQL_CATS}, {SQL_EX}, {SQL_TAGC}, {SQL_CI}, {SQL_TI}
 SELECT 'category' AS kind, value, CAST(coalesce(count, 0) AS BIGINT) AS count, CAST(idx AS BIGINT) AS idx FROM ci
 UNION ALL SELECT 'tag', value, CAST(count AS BIGINT), CAST(idx{shift} AS BIGINT) FROM ti"""
 
@@ -301,7 +307,7 @@ COND_SEED, TAXON_DROP, ATTR_DROP = 7, 0.1, 0.1
 
 
 @query("conditioning_ids", "F2 F10 F11 J3 C4", f"""
-WITH {SQL_FILT}, {SQL_CATS}, {SQL_EX}, {SQL_TAGC}, {SQL_CI}, {SQL_TI}, {SQL_ROWS},
+WITH {SQL_TAGGED}, {SQL_CATS}, {SQL_EX}, {SQL_TAGC}, {SQL_CI}, {SQL_TI}, {SQL_ROWS},
 kept AS (SELECT doc_id, list_concat(
     CASE WHEN {sql_u(str(COND_SEED), 'doc_id', "'c'", '0')} > {TAXON_DROP} THEN [cat_id] ELSE [] END,
     list_filter(tag_ids, lambda x, i: {sql_u(str(COND_SEED), 'doc_id', "'t'", 'i - 1')} > {ATTR_DROP})) AS ids
@@ -322,15 +328,16 @@ def conditioning_ids(spark, sf_dir):
 def _encoded_plain(spark, sf_dir):
     f, dic = conditioning_dictionary_of(spark, sf_dir)
     enc = encode_curated(f, "id", "sequence", "category", "tags", dic, shuffle=False)
-    classes = dic.where(F.col("kind") == "tag").orderBy("idx").limit(4).select(F.col("idx").alias("class_id"))
-    return enc, classes
+    return enc, dic.where(F.col("kind") == "tag").select(F.col("idx").alias("class_id"))
 
 
-SQL_CLASSES = "cls AS (SELECT idx AS class_id FROM ti ORDER BY idx LIMIT 4)"
+# the two classes of the k-NN task: documents with any of the frequent half of the tags, and with any of the others
+SQL_TWO = """cls AS (SELECT idx, CASE WHEN 2 * row_number() OVER (ORDER BY idx) <= count(*) OVER () THEN 0 ELSE 1 END AS y FROM ti),
+mem AS (SELECT DISTINCT x.doc_id, cls.y FROM (SELECT doc_id, unnest(tag_ids) AS idx FROM rws) x JOIN cls ON x.idx = cls.idx)"""
 
 
 @query("conditioning_id_counts", "A6 U3", f"""
-WITH {SQL_FILT}, {SQL_CATS}, {SQL_EX}, {SQL_TAGC}, {SQL_CI}, {SQL_TI}, {SQL_ROWS},
+WITH {SQL_TAGGED}, {SQL_CATS}, {SQL_EX}, {SQL_TAGC}, {SQL_CI}, {SQL_TI}, {SQL_ROWS},
 fl AS (SELECT unnest(list_concat([cat_id], tag_ids)) AS cond_id FROM rws)
 SELECT CAST(cond_id AS BIGINT) AS cond_id, count(*) AS count FROM fl GROUP BY cond_id""")
 def conditioning_id_counts(spark, sf_dir):
@@ -339,44 +346,36 @@ def conditioning_id_counts(spark, sf_dir):
             .select(F.col("token_id").cast("long").alias("cond_id"), "count"))
 
 
-@query("class_membership", "P13 U2", f"""
-WITH {SQL_FILT}, {SQL_CATS}, {SQL_EX}, {SQL_TAGC}, {SQL_CI}, {SQL_TI}, {SQL_ROWS}, {SQL_CLASSES}
-SELECT CAST(c.class_id AS BIGINT) AS class_id, r.doc_id FROM rws r JOIN cls c ON list_contains(r.tag_ids, c.class_id)""")
+@query("class_membership", "P13 U2 C9", f"""
+WITH {SQL_TAGGED}, {SQL_CATS}, {SQL_EX}, {SQL_TAGC}, {SQL_CI}, {SQL_TI}, {SQL_ROWS}
+SELECT DISTINCT CAST(unnest(tag_ids) AS BIGINT) AS class_id, doc_id FROM rws""")
 def class_membership(spark, sf_dir):
+    """C9 for every tag id of the dictionary."""
+    from .jobs import class_index
+
     enc, classes = _encoded_plain(spark, sf_dir)
-    ids = enc.select(F.col("id").alias("doc_id"), F.explode_outer(id_set("conditioning_tags")).alias("class_id")).where(F.col("class_id").isNotNull())
-    return ids.join(F.broadcast(classes), "class_id").select(F.col("class_id").cast("long"), "doc_id")
+    return class_index(enc, classes, tags_col="conditioning_tags").select(F.col("class_id").cast("long"), F.col("id").alias("doc_id"))
 
 
 @query("class_union", "U1 Q17", f"""
-WITH {SQL_FILT}, {SQL_CATS}, {SQL_EX}, {SQL_TAGC}, {SQL_CI}, {SQL_TI}, {SQL_ROWS},
-c0 AS (SELECT doc_id FROM rws WHERE list_contains(tag_ids, (SELECT min(idx) FROM ti))),
-c1 AS (SELECT doc_id FROM rws WHERE list_contains(tag_ids, (SELECT min(idx) + 1 FROM ti)))
-SELECT doc_id, 0 AS y FROM c0 UNION ALL SELECT doc_id, 1 AS y FROM c1""")
+WITH {SQL_TAGGED}, {SQL_CATS}, {SQL_EX}, {SQL_TAGC}, {SQL_CI}, {SQL_TI}, {SQL_ROWS}, {SQL_TWO}
+SELECT doc_id, y FROM mem""")
 def class_union_query(spark, sf_dir):
+    """Two classes that overlap, of all tags: the frequent half and the others."""
     from ..operators.knn import class_union
-
-    from pyspark.sql import Window
-
-    from ..session import materialize
+    from .jobs import class_index
 
     enc, classes = _encoded_plain(spark, sf_dir)
-    # the two most frequent tags are the two smallest tag ids (<= 4 rows here)
-    two = classes.withColumn("_r", F.row_number().over(Window.orderBy("class_id"))).where(F.col("_r") <= 2)
-    ids = (enc.select(F.col("id").alias("doc_id"), F.explode_outer(id_set("conditioning_tags")).alias("class_id"))
-           .where(F.col("class_id").isNotNull()))
-    # membership is read once per class: compute the encode pipeline once
-    mem = materialize(ids.join(F.broadcast(two), "class_id").select("doc_id", "_r"))
-    c0 = mem.where(F.col("_r") == 1).select("doc_id")
-    c1 = mem.where(F.col("_r") == 2).select("doc_id")
-    return class_union(c0, c1).select("doc_id", "y")
+    first, n = classes.agg(F.min("class_id"), F.count(F.lit(1))).first()
+    # membership is read once per class: the encoding runs once
+    mem = materialize(class_index(enc, classes, tags_col="conditioning_tags")
+                      .select(F.col("id").alias("doc_id"), (2 * (F.col("class_id") - F.lit(first or 0) + 1) > n).alias("rare")).distinct())
+    return class_union(mem.where("not rare").select("doc_id"), mem.where("rare").select("doc_id")).select("doc_id", "y")
 
 
 @query("class_sizes", "A20", f"""
-WITH {SQL_FILT}, {SQL_CATS}, {SQL_EX}, {SQL_TAGC}, {SQL_CI}, {SQL_TI}, {SQL_ROWS},
-c0 AS (SELECT doc_id FROM rws WHERE list_contains(tag_ids, (SELECT min(idx) FROM ti))),
-c1 AS (SELECT doc_id FROM rws WHERE list_contains(tag_ids, (SELECT min(idx) + 1 FROM ti)))
-SELECT 0 AS y, count(*) AS support FROM c0 UNION ALL SELECT 1 AS y, count(*) AS support FROM c1""")
+WITH {SQL_TAGGED}, {SQL_CATS}, {SQL_EX}, {SQL_TAGC}, {SQL_CI}, {SQL_TI}, {SQL_ROWS}, {SQL_TWO}
+SELECT y, count(*) AS support FROM mem GROUP BY y""")
 def class_sizes(spark, sf_dir):
     u = class_union_query(spark, sf_dir)
     return u.groupBy("y").agg(F.count(F.lit(1)).alias("support"))
@@ -535,11 +534,10 @@ FROM test_c t JOIN {probs} p USING (token_id) WHERE t.token_id <> 0"""
 
 
 def _split_docs(spark, sf_dir, split):
-    d = documents(spark, sf_dir)
-    s = C.hash_split(d.select("doc_id"), "doc_id", SPLIT_SEED, VAL_FRAC, TEST_FRAC).where(F.col("split") == split)
     from ..functions.text import letters
 
-    return d.join(s.select("doc_id"), "doc_id", "left_semi").select(letters("text").alias("sequence"))
+    s = C.split_by_keys(documents(spark, sf_dir), "doc_id", SPLIT_SEED, VAL_FRAC, TEST_FRAC)
+    return s.where(F.col("split") == split).select(letters("text").alias("sequence"))
 
 
 def _losses(spark, sf_dir, probs):

@@ -98,13 +98,25 @@ def curated_split_sizes(spark, sf_dir):
 
 
 @query("dictionary_files", "S7 S4 W4", f"""
-WITH {CC.SQL_FILT}, {CC.SQL_EX}, {CC.SQL_TAGC} SELECT value, CAST(count AS BIGINT) AS count FROM tc""")
+WITH {CC.SQL_TAGGED}, {CC.SQL_EX}, {CC.SQL_TAGC} SELECT value, CAST(count AS BIGINT) AS count FROM tc""")
 def dictionary_files(spark, sf_dir):
     """Tag dictionary written headerless in index order and read back."""
+    return _reloaded_tags(spark, sf_dir).select("value", "count")
+
+
+def _reloaded_tags(spark, sf_dir):
     _, dic = CC.conditioning_dictionary_of(spark, sf_dir)
     path = scratch_path(spark, "tags-dict")
     S.write_dictionary(dic.where(F.col("kind") == "tag"), path, with_counts=True)
-    return S.read_dictionary(spark, path, with_counts=True)
+    return S.read_dictionary(spark, path)
+
+
+@query("dictionary_reload_ids", "S4 S7 W4 T1", f"""
+WITH {CC.SQL_TAGGED}, {CC.SQL_EX}, {CC.SQL_TAGC}
+SELECT value, CAST(row_number() OVER (ORDER BY count DESC, value) AS INTEGER) AS idx FROM tc""")
+def dictionary_reload_ids(spark, sf_dir):
+    """The order of the lines of a dictionary file gives its ids."""
+    return _reloaded_tags(spark, sf_dir).select("value", "idx")
 
 
 @query("manifold_roundtrip", "S10 S11", f"""
@@ -177,7 +189,7 @@ def metrics_sink(spark, sf_dir):
 # -------------------------------------------------------------- streaming
 @query("stream_token_counts", "R1 A7", f"""
 SELECT tag, count(*) AS count FROM (SELECT unnest({SQL_WORDS}) AS tag FROM documents)
-GROUP BY tag HAVING count(*) >= 1000""")
+GROUP BY tag""")
 def stream_token_counts(spark, sf_dir):
     """The documents file consumed as a stream; stateful word counts."""
     schema = read_table(spark, sf_dir, "documents").schema
@@ -189,7 +201,7 @@ def stream_token_counts(spark, sf_dir):
 
     q = token_counts_stream(spark, src, tokens, out, ck)
     q.awaitTermination()
-    return spark.read.parquet(out).where(F.col("count") >= 1000).select(F.col("token").alias("tag"), "count")
+    return spark.read.parquet(out).select(F.col("token").alias("tag"), "count")
 
 
 @query("stream_ingest", "R2 P3 P4 F23", """
@@ -232,13 +244,14 @@ def letter_frequency_model():
 
 
 @query("embed_udf", "X4 X1 C11", f"""
-WITH c AS (SELECT item_id, unnest({sql_chars(SQL_LETTERS)}) AS ch, length({SQL_LETTERS}) AS n FROM benchmark)
-SELECT item_id, CAST(ascii(ch) - 65 AS INTEGER) AS dim, round(count(*) / n, {ROUND}) AS value FROM c
-GROUP BY item_id, ch, n""")
+WITH c AS (SELECT item_id, {SQL_LETTERS} AS s FROM benchmark)
+SELECT item_id, CAST(dim AS INTEGER) AS dim,
+  round(CASE WHEN length(s) = 0 THEN 0 ELSE (length(s) - length(replace(s, chr(CAST(65 + dim AS INTEGER)), ''))) / length(s) END, {ROUND}) AS value
+FROM c, (SELECT unnest(range(26)) AS dim)""")
 def embed_udf(spark, sf_dir):
     """Batched model inference over a string column on the executors,
     then the vectors exploded to (dim, value)."""
     b = read_table(spark, sf_dir, "benchmark").select("item_id", letters("text").alias("s"))
     e = embed(b, "s", letter_frequency_model, dim=26, batch_size=32, element_type="double")
-    long = e.select("item_id", F.posexplode("embedding").alias("dim", "v")).where(F.col("v") > 0)
+    long = e.select("item_id", F.posexplode("embedding").alias("dim", "v"))
     return long.select("item_id", "dim", F.round(F.col("v").cast("double"), ROUND).alias("value"))

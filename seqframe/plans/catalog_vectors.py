@@ -15,6 +15,8 @@ from .standins import ROUND, SQL_EMB_SETS, embedding_sets, sql_dist
 
 K_MANIFOLD = 3
 K_NN = 5
+#: Rows of a block where a query is to lay out the references by space on the given tables too; the default is larger.
+SMALL_BLOCKS = 32
 
 SQL_E = f"e AS ({SQL_EMB_SETS})"
 SQL_RAD = f"""d AS (SELECT a.vec_id, a.set, {sql_dist('a.embedding', 'b.embedding')} AS dist
@@ -31,15 +33,15 @@ def _sets(spark, sf_dir):
     return e.where(F.col("set") == "ref"), e.where(F.col("set") == "subject")
 
 
-def _manifolds(spark, sf_dir):
+def _manifolds(spark, sf_dir, **options):
     ref, sub = _sets(spark, sf_dir)
-    return M.compute_manifold(ref, K_MANIFOLD), M.compute_manifold(sub, K_MANIFOLD)
+    return M.compute_manifold(ref, K_MANIFOLD, **options), M.compute_manifold(sub, K_MANIFOLD, **options)
 
 
 @query("kth_radius", "J5 W1 T3 F22 S11", f"""
 WITH {SQL_E}, {SQL_RAD} SELECT CAST(vec_id AS BIGINT) AS vec_id, set, round(radius, {ROUND}) AS radius FROM rad""")
 def kth_radius(spark, sf_dir):
-    mr, ms = _manifolds(spark, sf_dir)
+    mr, ms = _manifolds(spark, sf_dir, block_rows=SMALL_BLOCKS)
     out = mr.withColumn("set", F.lit("ref")).unionByName(ms.withColumn("set", F.lit("subject")))
     return out.select(F.col("id").alias("vec_id"), "set", F.round("radius", ROUND).alias("radius"))
 
@@ -72,8 +74,8 @@ WITH {SQL_E}, {SQL_RAD}, {SQL_CROSS}
 SELECT sid AS vec_id, sset AS set, bool_or(dist < rrad) AS covered FROM cr GROUP BY sid, sset""")
 def covered_rows(spark, sf_dir):
     mr, ms = _manifolds(spark, sf_dir)
-    a = M.covered_rows(mr, ms).withColumn("set", F.lit("subject"))
-    b = M.covered_rows(ms, mr).withColumn("set", F.lit("ref"))
+    a = M.covered_rows(mr, ms, block_rows=SMALL_BLOCKS).withColumn("set", F.lit("subject"))
+    b = M.covered_rows(ms, mr, block_rows=SMALL_BLOCKS).withColumn("set", F.lit("ref"))
     return a.unionByName(b).select(F.col("id").alias("vec_id"), "set", "covered")
 
 
@@ -84,7 +86,7 @@ GROUP BY sid""")
 def realism_per_vector(spark, sf_dir):
     ref, sub = _sets(spark, sf_dir)
     mr = M.compute_manifold(ref, K_MANIFOLD)
-    r = M.realism(mr, sub)
+    r = M.realism(mr, sub, block_rows=SMALL_BLOCKS)
     return r.select(F.col("id").alias("vec_id"), F.round("realism", ROUND).alias("realism"))
 
 
@@ -131,9 +133,9 @@ def _labelled(e):
     return class_union(e.where(F.col("label") <= 5), e.where(F.col("label") >= 4))
 
 
-def _votes(spark, sf_dir, weights):
+def _votes(spark, sf_dir, weights, **options):
     ref, sub = _sets(spark, sf_dir)
-    return predict(neighbour_votes(sub.select("id", "embedding"), _labelled(ref), k=K_NN, weights=weights))
+    return predict(neighbour_votes(sub.select("id", "embedding"), _labelled(ref), k=K_NN, weights=weights, **options))
 
 
 def _predict_sql(votes: str) -> str:
@@ -144,13 +146,13 @@ SELECT vec_id, round(p1, {ROUND}) AS p1, CASE WHEN p1 > p0 THEN 1 ELSE 0 END AS
 
 @query("knn_predict_uniform", "J4 J8 W2 F20 F21 U1", _predict_sql(SQL_VOTES_UNIFORM))
 def knn_predict_uniform(spark, sf_dir):
-    v = _votes(spark, sf_dir, "uniform")
+    v = _votes(spark, sf_dir, "uniform", block_rows=SMALL_BLOCKS)
     return v.select(F.col("id").alias("vec_id"), F.round("p1", ROUND).alias("p1"), "pred")
 
 
 @query("knn_predict_distance", "J8 W2 F20 F21", _predict_sql(SQL_VOTES_DISTANCE))
 def knn_predict_distance(spark, sf_dir):
-    v = _votes(spark, sf_dir, "distance")
+    v = _votes(spark, sf_dir, "distance", block_rows=SMALL_BLOCKS)
     return v.select(F.col("id").alias("vec_id"), F.round("p1", ROUND).alias("p1"), "pred")
 
 

@@ -19,7 +19,7 @@ from ..operators.knn import class_union, neighbour_votes, predict
 from ..operators.metrics import average_precision, classification_report
 from ..operators.perturb import mask_schedule, random_mask, random_substitution
 from ..operators.pooling import masked_mean_pool, mean_pool, to_vectors
-from ..session import materialize
+from ..session import materialize, sized
 from ..sources import files as S
 
 
@@ -53,12 +53,13 @@ def curate_corpus(records: DataFrame, out_path: str, id_col: str = "cluster_id",
     tags = kept.where(F.col("kind") == "tag").select("value", "count")
     folded = C.fold_rare(f, category_col, cats)
     cur = C.keep_tags(folded, id_col, tags_col, tags, drop_empty=drop_wo_tag, out_col="tags")
-    # the split reads the curated rows twice (per-bucket counts, then ranks):
-    # checkpoint them once instead of tokenising and shuffling twice
-    split = C.hash_split(materialize(cur), id_col, seed, val_frac, test_frac)
+    # the ids are read for the cut keys, the rows once to be written
+    sizes = dev_sizes or {"train": 10000, "val": 5000, "test": 5000}
+    split = C.split_by_keys(materialize(cur), id_col, seed, val_frac, test_frac, sizes)
     S.write_splits(split, os.path.join(out_path, "splits"))
     written = split.sparkSession.read.parquet(os.path.join(out_path, "splits"))
-    S.write_splits(C.dev_subsets(written, dev_sizes), os.path.join(out_path, "dev"))
+    S.write_splits(written.where("dev").drop("dev"), os.path.join(out_path, "dev"))
+    written = written.drop("dev")
     dic = materialize(conditioning_dictionary(cats, tags))
     S.write_dictionary(dic.where(F.col("kind") == "category"), os.path.join(out_path, "included_categories"),
                        with_counts=False)
@@ -136,14 +137,15 @@ def manifold_pr(reference: DataFrame, subject: DataFrame, k: int = 3, reference_
 
 
 def class_index(pairs: DataFrame, tag_ids, id_col: str = "id", tags_col: str = "tags") -> DataFrame:
-    """``(class_id, id)`` rows whose tag-id set contains each class id."""
+    """``(class_id, id)`` rows whose tag-id set contains each class id.
+    ``tag_ids``: numbers, or a DataFrame with a column ``class_id``."""
     from ..functions.arrays import id_set
 
     spark = pairs.sparkSession
-    classes = spark.createDataFrame([(int(t),) for t in tag_ids], "class_id int")
+    classes = sized(tag_ids) if isinstance(tag_ids, DataFrame) else spark.createDataFrame([(int(t),) for t in tag_ids], "class_id int")
     ids = (pairs.select(F.col(id_col), F.explode_outer(id_set(tags_col)).alias("class_id"))
            .where(F.col("class_id").isNotNull()))
-    return ids.join(F.broadcast(classes), "class_id")
+    return ids.join(classes, "class_id")
 
 
 def knn_two_class(reference: DataFrame, subject: DataFrame, class0_ids: DataFrame, class1_ids: DataFrame,

@@ -69,6 +69,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def sized(df):
+    """A small table written to the shared folder and read back: Spark knows its size when it plans, and picks the kind of join by it."""
+    path = scratch_path(df.sparkSession, "sized")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def materialize(df):
     """Cut lineage of a small intermediate by a reliable checkpoint in the
     shared folder named by ``spark.checkpoint.dir``."""

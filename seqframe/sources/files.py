@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,7 +51,8 @@ def property_map(prop_col: str = "property", last_wins: bool = True):
 
 
 def flatten_entries(entries: DataFrame, last_wins: bool = True) -> DataFrame:
-    """P1-P4 (+P14 provenance): nested entry -> flat record row."""
+    """P1-P4 (+P14 provenance: the file, and the offset of the split that was
+    read): nested entry -> flat record row."""
     seq = F.col("representativeMember.sequence")
     props = entries.withColumn("_m", property_map("property"))
     if last_wins:
@@ -67,6 +68,7 @@ def flatten_entries(entries: DataFrame, last_wins: bool = True) -> DataFrame:
         seq["_VALUE"].alias("sequence"),
         seq["_length"].cast("int").alias("sequence_length"),
         F.col("_metadata.file_path").alias("source_file"),
+        F.col("_metadata.file_block_start").alias("source_offset"),
     )
 
 
@@ -97,12 +99,34 @@ def read_curated(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return read_csv_by_name(spark, path, "id long, " + schema, unnamed_first="id")
 
 
-def read_dictionary(spark: SparkSession, path: str, with_counts: bool = False) -> DataFrame:
-    """Headerless dictionary CSV (one or two columns); file order is the
-    index order, so single-file dictionaries keep ``idx``."""
-    schema = "value string, count long" if with_counts else "value string"
-    d = spark.read.schema(schema).option("header", False).csv(path)
-    return d
+def numbered_lines(spark: SparkSession, path: str, number: str = "line") -> DataFrame:
+    """Lines of text files with their 1-based number in the order of the files (by name) and within them.
+
+    Files are read in splits as usual.  Lines are counted by split, the counts summed up over the splits before, and
+    only then are lines numbered within their split; no task reads more than a split."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"))
+    in_split = lines.withColumn("_o", F.monotonically_increasing_id())
+    per_split = lines.groupBy("_f", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    # one row for each split of the files
+    before = per_split.select(F.col("_f").alias("_f2"), F.col("_b").alias("_b2"), (F.sum("_n").over(Window.orderBy("_f", "_b")) - F.col("_n")).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_f", "_b").orderBy("_o"))
+    numbered = in_split.withColumn("_own", own).join(before, (F.col("_f") == F.col("_f2")) & (F.col("_b") == F.col("_b2")))
+    return numbered.select("value", (F.col("_before") + F.col("_own")).alias(number))
+
+
+def read_dictionary(spark: SparkSession, path: str, with_counts: bool | None = None, start: int = 1) -> DataFrame:
+    """Headerless dictionary CSV of one column (value) or two (value,
+    count): ``(value, count, idx)``, where ``idx`` is the place in the files,
+    from ``start`` on.  ``with_counts`` is found out from the first line if it
+    is not given; ``count`` is null in files of one column.  A value can't
+    hold a line break."""
+    lines = numbered_lines(spark, path)
+    if with_counts is None:
+        first = lines.where("line = 1").select(F.from_csv("value", "a string, b string, c string").alias("v")).select("v.b").first()
+        with_counts = first is not None and first[0] is not None
+    parsed = F.from_csv("value", "value string, count long" if with_counts else "value string")
+    d = lines.select(parsed.alias("v"), (F.col("line") + F.lit(start - 1)).cast("int").alias("idx"))
+    return d.select("v.value", (F.col("v.count") if with_counts else F.lit(None).cast("long")).alias("count"), "idx")
 
 
 def write_records(df: DataFrame, path: str, rows_per_file: int = 100000, fmt: str = "parquet",
