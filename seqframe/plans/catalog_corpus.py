@@ -13,7 +13,7 @@ from ..operators import baseline as B
 from ..operators import curate as C
 from ..operators.batches import assign_batches, collate
 from ..operators.dictionary import conditioning_dictionary
-from ..operators.encode import encode_curated
+from ..operators.encode import encode_corpus, encode_curated
 from ..operators.perturb import changed_positions, mask_schedule, random_mask, random_substitution
 from ..operators.ranking import exact_quantiles
 from ..operators.sampling import topk_sample
@@ -319,9 +319,13 @@ sh AS (SELECT doc_id, list_transform(list_sort(list_transform(ids,
     lambda s: CAST(split_part(s, ':', 2) AS BIGINT)) AS ids FROM fb)
 SELECT doc_id, array_to_string(ids, ' ') AS cond_ids FROM sh""")
 def conditioning_ids(spark, sf_dir):
-    f, dic = conditioning_dictionary_of(spark, sf_dir)
-    enc = encode_curated(f, "id", "sequence", "category", "tags", dic, taxon_dropout=TAXON_DROP,
-                         attribute_dropout=ATTR_DROP, seed=COND_SEED)
+    """C2 then C4: rows of kept tags go through the strict lookup, which raises on a tag or category without an id."""
+    f = _tagged(spark, sf_dir)
+    cats, tags = kept_dictionaries(f)
+    dic = materialize(conditioning_dictionary(cats, tags))
+    kept = C.keep_tags(C.fold_rare(f, "category", cats), "id", "tags", tags, drop_empty=True)
+    enc = encode_corpus(kept, "id", "sequence", "category", "tags", dic, taxon_dropout=TAXON_DROP,
+                        attribute_dropout=ATTR_DROP, seed=COND_SEED)
     return enc.select(F.col("id").alias("doc_id"), F.array_join("conditioning_tags", " ").alias("cond_ids"))
 
 

@@ -11,15 +11,16 @@ from pyspark.sql import functions as F
 
 from ..functions.text import letters, words
 from ..operators import manifold as M
+from ..operators.hooks import grouped_aggregate
 from ..operators.pooling import embed
 from ..plans import catalog_corpus as CC
 from ..session import read_table, scratch_path
 from ..sources import files as S
-from ..streaming.jobs import file_stream, ingest_stream, token_counts_stream
+from ..streaming.jobs import entry_stream, file_stream, ingest_stream, read_token_counts, token_counts_stream
 from .registry import query
 from .standins import ROUND, SQL_LETTERS, SQL_WORDS, documents, embedding_sets, sql_chars
 
-XML_ROWS_PER_FILE = 250
+XML_ROWS_PER_FILE = 2000
 
 
 def _xml_entries(spark, sf_dir):
@@ -191,17 +192,41 @@ def metrics_sink(spark, sf_dir):
 SELECT tag, count(*) AS count FROM (SELECT unnest({SQL_WORDS}) AS tag FROM documents)
 GROUP BY tag""")
 def stream_token_counts(spark, sf_dir):
-    """The documents file consumed as a stream; stateful word counts."""
-    schema = read_table(spark, sf_dir, "documents").schema
-    src = file_stream(spark, sf_dir, schema, pattern="documents.parquet")
+    """The documents arrive in several files, half of them after the
+    stream was stopped; it goes on from its checkpoint with the counts so far."""
+    d = documents(spark, sf_dir).select("doc_id", "text")
+    files = scratch_path(spark, "stream-documents")
     out, ck = scratch_path(spark, "stream-counts"), scratch_path(spark, "stream-counts-ck")
 
     def tokens(df):
         return (df.select(F.explode_outer(words("text")).alias("token")).where(F.col("token").isNotNull()))
 
-    q = token_counts_stream(spark, src, tokens, out, ck)
-    q.awaitTermination()
-    return spark.read.parquet(out).select(F.col("token").alias("tag"), "count")
+    later = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 1, F.lit(False))
+    for part in (~later, later):
+        d.where(part).repartition(2).write.mode("append").parquet(files)
+        token_counts_stream(spark, file_stream(spark, files, d.schema), tokens, out, ck).awaitTermination()
+    return read_token_counts(spark, out).select(F.col("token").alias("tag"), "count")
+
+
+@query("stream_ingest_xml", "R2 S1 P1 P2 P3 P4 Q1", """
+SELECT 'D' || doc_id AS cluster_id, n_chars AS cluster_size, lang AS common_taxon,
+  lang || '-' || source || ' ' || lang AS tags, CAST(length(""" + SQL_LETTERS + """) AS INTEGER) AS sequence_length
+FROM documents""")
+def stream_ingest_xml(spark, sf_dir):
+    """R2: XML files consumed as a stream; records flattened like in the batch job."""
+    xml_dir, out, ck = (scratch_path(spark, n) for n in ("stream-xml", "stream-records", "stream-records-ck"))
+    (_xml_entries(spark, sf_dir).repartition(4).write.format("xml").option("rootTag", "records").option("rowTag", "entry")
+     .option("maxRecordsPerFile", XML_ROWS_PER_FILE).save(xml_dir))
+    ingest_stream(entry_stream(spark, xml_dir), S.flatten_entries, out, ck).awaitTermination()
+    return spark.read.parquet(out).select("cluster_id", "cluster_size", "common_taxon", F.array_join("property_tags", " ").alias("tags"), "sequence_length")
+
+
+@query("grouped_hook", "X2", "SELECT user_id, round(median(value), 6) AS median, CAST(count(*) AS BIGINT) AS n FROM events WHERE value IS NOT NULL GROUP BY user_id")
+def grouped_hook(spark, sf_dir):
+    """A function of the user's own over the values of each group."""
+    e = read_table(spark, sf_dir, "events").where(F.col("value").isNotNull())
+    found = grouped_aggregate(e, ["user_id"], "value", lambda x: float(x.median()), "double", out_col="median")
+    return found.select("user_id", F.round("median", 6).alias("median"), "n")
 
 
 @query("stream_ingest", "R2 P3 P4 F23", """

@@ -156,6 +156,19 @@ def knn_predict_distance(spark, sf_dir):
     return v.select(F.col("id").alias("vec_id"), F.round("p1", ROUND).alias("p1"), "pred")
 
 
+@query("knn_approx_recall", "J8", f"""
+SELECT CAST(count(*) AS BIGINT) AS queries, CAST(count(*) * {K_NN} AS BIGINT) AS pairs, TRUE AS enough FROM embeddings WHERE vec_id % 50 = 0""")
+def knn_approx_recall(spark, sf_dir):
+    """Ids divisible by 50 against all rows, by the index and exactly."""
+    from ..operators.knn_approx import NeighbourIndex, recall
+
+    e = embedding_sets(spark, sf_dir).select("id", "embedding")
+    queries = e.where(F.col("id") % 50 == 0)
+    found = NeighbourIndex(e, K_NN).search(queries, exclude_self=True)
+    r = recall(found, AP.knn(queries, e, K_NN, exclude_self=True))
+    return r.select("queries", "pairs", (F.col("recall") >= 0.9).alias("enough"))
+
+
 def _eval_rows(spark, sf_dir):
     """Labelled subject rows with their votes, checkpointed (read per class)."""
     from ..session import materialize

@@ -14,6 +14,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.files import ENTRY_SCHEMA
+
 
 def file_stream(spark: SparkSession, directory: str, schema, pattern: str | None = None,
                 files_per_trigger: int = 1) -> DataFrame:
@@ -24,20 +26,18 @@ def file_stream(spark: SparkSession, directory: str, schema, pattern: str | None
 
 
 def token_counts_stream(spark: SparkSession, source: DataFrame, tokens: Callable[[DataFrame], DataFrame],
-                        out_path: str, checkpoint: str, normalise: bool = True, available_now: bool = True):
+                        out_path: str, checkpoint: str, available_now: bool = True):
     """Running token counts (stateful aggregation, state in the
-    checkpoint) written as a complete table after every micro-batch; the
-    normalised probability ``p`` is added in ``foreachBatch`` (the
-    reference normalises at epoch end)."""
+    checkpoint), the whole table after every micro-batch in a folder of its
+    own, ``epoch=<id>``.  A micro-batch is computed once, and one that is run
+    again after a failure replaces its own folder only; the folder before the
+    last is kept for readers, older ones go.  See ``read_token_counts``."""
     counts = tokens(source).groupBy("token").agg(F.count(F.lit(1)).alias("count"))
 
     def write(batch: DataFrame, epoch_id: int) -> None:
-        out = batch
-        if normalise:
-            # one scalar (the token total) read back; the table itself stays on executors
-            total = batch.agg(F.sum("count")).first()[0] or 0
-            out = batch.withColumn("p", F.col("count") / F.lit(float(total)) if total else F.lit(None).cast("double"))
-        out.write.mode("overwrite").parquet(out_path)
+        batch.write.mode("overwrite").parquet(f"{out_path}/epoch={epoch_id}")
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{out_path}/epoch={epoch_id - 2}")
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     w = (counts.writeStream.outputMode("complete").foreachBatch(write)
          .option("checkpointLocation", checkpoint))
@@ -45,6 +45,26 @@ def token_counts_stream(spark: SparkSession, source: DataFrame, tokens: Callable
     return w.start()
 
 
+def read_token_counts(spark: SparkSession, out_path: str) -> DataFrame:
+    """(token, count, p) of the last complete micro-batch; p is the share of all tokens."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(out_path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    done = [s.getPath() for s in files.listStatus(root) if s.getPath().getName().startswith("epoch=")]
+    done = [p for p in done if files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    if not done:
+        return spark.createDataFrame([], "token string, count long, p double")
+    last = max(done, key=lambda p: int(p.getName().split("=")[1]))
+    counts = spark.read.schema("token string, count long").parquet(last.toString())
+    total = counts.agg(F.sum("count")).first()[0] or 1
+    return counts.withColumn("p", F.col("count") / F.lit(float(total)))
+
+
+def entry_stream(spark: SparkSession, directory: str, files_per_trigger: int = 16) -> DataFrame:
+    """R2: XML records that arrive as files."""
+    return (spark.readStream.format("xml").option("rowTag", "entry").option("maxFilesPerTrigger", files_per_trigger)
+            .schema(ENTRY_SCHEMA).load(directory))
+
+
 def ingest_stream(source: DataFrame, transform: Callable[[DataFrame], DataFrame], out_path: str,
                   checkpoint: str, rows_per_file: int = 100000, available_now: bool = True):
     """R2: stateless per-row transformation appended to Parquet part files
