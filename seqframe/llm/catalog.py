@@ -147,6 +147,33 @@ e as (select a, b from l union all select b, a from l),
 r as (select doc_id, doc_id as c from n union select e.b, r.c from r join e on e.a = r.doc_id)
 select n.doc_id, n.n as n_shingles, (select min(c) from r where r.doc_id = n.doc_id)::bigint as component_id from n
 """
+OP8 = r"""
+with d as (select row_number() over () as row, doc_id, lang, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+g as (select row, p, array_to_string(w[p:p+4], ' ') as k from (select row, w, unnest(range(1, len(w) - 3)) as p from d where len(w) > 4)),
+r as (select row, p from (select row, p, count(*) over (partition by row, k) as c from g) where c > 1),
+x as (select row, count(distinct q) as n from (select row, unnest(range(p, p + 5)) as q from r) group by row),
+b as (select d.row, doc_id, lang, w, len(w) as n_words, length(t) as n_chars, length(array_to_string(w, '')) as word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) as n_symbols,
+             list_filter(string_split(t, chr(10)), lambda y: regexp_matches(y, '[^\x20\x09-\x0D]')) as ls, coalesce(x.n, 0) as n_repeat_words,
+             list_transform(['[^a-z]', '[^\x20\x09-\x0D]', '[\x00-\x7F]', '[^A-Z]', '[^.,;:!?''"()-]', '[^0-9]', '[a-zA-Z0-9\x20\x09-\x0D.,;:!?''"()-]|[^\x00-\x7F]'],
+                            lambda y: length(regexp_replace(t, y, '', 'g'))) as k
+      from d left join x on d.row = x.row),
+f as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from b),
+kc as (select row, lang, n_chars, unnest(k) as n, unnest(range(7)) as i from f where lang is not null),
+kl as (select lang, i, sum(n) as n, sum(sum(n)) over (partition by lang) as whole from kc group by lang, i),
+tl as (select lang, sum(n_words) as total from f where lang is not null group by lang),
+wc as (select row, lang, lower(word) as word, count(*) as n from (select row, lang, unnest(w) as word from f where lang is not null) group by all),
+cw as (select * from (select wc.lang, word, sum(n) as n, any_value(total) as total, row_number() over (partition by wc.lang order by sum(n) desc, word) as r
+       from wc join tl on wc.lang = tl.lang group by wc.lang, word) where r <= 24 and n >= 0.004 * total and total >= 1000),
+jc as (select kc.row, sum(case when p > 0 then p * log2(2 * p / (p + q)) else 0 end + case when q > 0 then q * log2(2 * q / (p + q)) else 0 end) as s
+       from (select kc.row, kc.n / kc.n_chars as p, kl.n / kl.whole as q from kc join kl on kc.lang = kl.lang and kc.i = kl.i where kl.whole >= 5000 and kc.n_chars >= 200) kc group by kc.row),
+pq as (select f.row, coalesce(wc.n, 0) / f.n_words as p, cw.n / cw.total as q from f join cw on f.lang = cw.lang left join wc on wc.row = f.row and wc.word = cw.word where f.n_words >= 40),
+pr as (select row, p, q from pq union all
+       select f.row, greatest(0, 1 - coalesce(sum(p), 0)), 1 - coalesce(sum(q), 0) from f join tl on f.lang = tl.lang left join pq on f.row = pq.row where f.n_words >= 40 and tl.total >= 1000 group by f.row),
+jw as (select row, sum(case when p > 0 then p * log2(2 * p / (p + q)) else 0 end + case when q > 0 then q * log2(2 * q / (p + q)) else 0 end) as s from pr group by row)
+select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_symbols::bigint as n_symbols, (len(ls) - len(list_distinct(ls)))::bigint as n_dup_lines, n_repeat_words::bigint as n_repeat_words,
+       base_failed, not base_failed and not coalesce(sqrt(greatest(0, jc.s / 2)) > 0.30, false) and not coalesce(sqrt(greatest(0, jw.s / 2)) > 0.52, false) as kept
+from f left join jc on f.row = jc.row left join jw on f.row = jw.row
+"""
 OP11 = r"""
 with d as (select coalesce(lang, '') as lang, coalesce(source, '') as source, row_number() over () as row,
                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as w from documents),
@@ -170,4 +197,4 @@ select * from o where part = 'pair' or rank <= 10
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1, "op5_substring_dedup": OP5, "op7_topk_search": OP7, "op10_ngram_jaccard": OP10, "op11_source_audit": OP11}
+    return {"op1_mix_sources": OP1, "op5_substring_dedup": OP5, "op7_topk_search": OP7, "op8_quality_rules": OP8, "op10_ngram_jaccard": OP10, "op11_source_audit": OP11}

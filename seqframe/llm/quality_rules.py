@@ -22,12 +22,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqframe.llm.common import SPACES, fresh, shared_path, words_of
-
-#: Character classes in order; each takes what the earlier ones left, the last takes the rest.
-CLASSES = ("[a-z]+", SPACES, "[^\\x00-\\x7F]+", "[A-Z]+", "[.,;:!?'\"()-]+", "[0-9]+")
-LETTERS = "abcdefghijklmnopqrstuvwxyz"
+from seqframe.llm.common import WORD, fresh, shared_path, words_of
 
+#: Character classes beside lower-case letters, which are what these leave of a text; no two share a character.
+CLASSES = (r"[\x20\x09-\x0D]", r"[^\x00-\x7F]", "[A-Z]", "[.,;:!?'\"()-]", "[0-9]", r"[\x00-\x7F&&[^A-Za-z0-9\x20\x09-\x0D.,;:!?'\"()-]]")
 
 @dataclass(frozen=True)
 class Rules:
@@ -46,17 +44,10 @@ class Rules:
 
 
 def _with_classes(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Adds the array of counts by class; each step is a projection of its own, so that no replacement runs twice."""
-    counts, left = [], text
-    for i, pattern in enumerate(CLASSES):
-        rest, n = f"{out}_rest{i}", f"{out}_n{i}"
-        df = df.withColumn(rest, F.regexp_replace(F.col(left), pattern, ""))
-        df = df.withColumn(n, F.char_length(left) - F.char_length(rest))
-        if left != text:
-            df = df.drop(left)
-        counts.append(n)
-        left = rest
-    return df.withColumn(out, F.array(*[F.col(c).cast("long") for c in counts], F.char_length(left).cast("long"))).drop(*counts, left)
+    """Adds the array of counts by class, lower-case letters first; the counts are a projection of their own, so that none runs twice."""
+    names = [f"{out}_n{i}" for i in range(len(CLASSES))]
+    df = df.withColumns({c: F.regexp_count(F.col(text), F.lit(x)).cast("long") for c, x in zip(names, CLASSES, strict=True)})
+    return df.withColumn(out, F.array(F.char_length(text) - _total([F.col(c) for c in names]), *names)).drop(*names)
 
 
 def _total(parts: list[Column]) -> Column:
@@ -74,26 +65,28 @@ def js_distance(p: list[Column], q: list[Column]) -> Column:
 def language_references(docs: DataFrame, text: str = "text", lang: str = "lang", rules: Rules = Rules()) -> DataFrame:
     """One row for each language (``ref_lang``): ``ref_words``, ``ref_shares`` (of these words, then of all other words),
     ``ref_classes`` (shares of the character classes); shares are null where a language has too few words or characters."""
+    spark = docs.sparkSession
     base = docs.select(F.col(lang).cast("string").alias("l"), F.coalesce(F.col(text), F.lit("")).alias("t")).where("l is not null")
-    counts = (base.select("l", F.explode_outer(words_of(F.lower("t"))).alias("w")).where("w is not null")
-              .groupBy("l", "w").agg(F.count(F.lit(1)).alias("n")))
-    own = Window.partitionBy("l")
-    # the totals by language ride along as one row each; a word below the share can't be common
-    totals = counts.groupBy("l").agg(F.sum("n").alias("total"))
-    common = (counts.join(totals.withColumnRenamed("l", "l2"), F.col("l") == F.col("l2")).where((F.col("n") >= rules.common_share * F.col("total")) & (F.col("total") >= rules.reference_times * rules.words_at_least))
-              .withColumn("r", F.row_number().over(own.orderBy(F.desc("n"), "w"))).where(F.col("r") <= rules.common_words)
+    n, k = len(CLASSES) + 1, rules.common_words
+    sums = [F.sum(F.col("k")[i]).alias(f"k{i}") for i in range(n)]
+    totals = _with_classes(base, "t", "k").withColumn("m", F.regexp_count("t", F.lit(WORD))).groupBy("l").agg(*sums, F.sum("m").alias("total"))
+    # from a file Spark knows the size, and picks the kind of join by it: there is a row for each language, however many there are
+    path = shared_path(spark, "language-totals")
+    totals.write.parquet(path)
+    totals = spark.read.schema(totals.schema).parquet(path).withColumnRenamed("l", "l2")
+
+    # a word below the share can't be common: few words of a language are left when those of a language come together
+    counts = base.select("l", F.explode_outer(words_of(F.lower("t"))).alias("w")).where("w is not null").groupBy("l", "w").agg(F.count(F.lit(1)).alias("n"))
+    enough = F.col("total") >= rules.reference_times * rules.words_at_least
+    common = counts.join(totals.select("l2", "total"), F.col("l") == F.col("l2")).where((F.col("n") >= rules.common_share * F.col("total")) & enough)
+    common = (common.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy(F.desc("n"), "w"))).where(F.col("r") <= k)
               .groupBy("l").agg(F.sort_array(F.collect_list(F.struct("r", "w", "n", "total"))).alias("c")))
-    k = rules.common_words
     share = [F.coalesce(F.get("c.n", F.lit(i)) / F.get("c.total", F.lit(0)), F.lit(0.0)) for i in range(k)]
     words = common.select("l", F.col("c.w").alias("ref_words"), F.array(*share).alias("s")).select(
         "l", "ref_words", F.concat("s", F.array(F.lit(1.0) - _total([F.col("s")[i] for i in range(k)]))).alias("ref_shares"))
 
-    n = len(CLASSES) + 1
-    classes = (_with_classes(base, "t", "k").groupBy("l").agg(*[F.sum(F.col("k")[i]).alias(f"k{i}") for i in range(n)])
-               .join(totals.select(F.col("l").alias("l3"), F.col("total").alias("words")), F.col("l") == F.col("l3"), "left"))
     whole = _total([F.col(f"k{i}") for i in range(n)])
-    classes = classes.select(F.col("l").alias("l2"), F.when(whole >= rules.reference_times * rules.chars_at_least, F.array(*[F.col(f"k{i}") / whole for i in range(n)])).alias("ref_classes"),
-                             (F.col("words") >= rules.reference_times * rules.words_at_least).alias("enough"))
+    classes = totals.select("l2", F.when(whole >= rules.reference_times * rules.chars_at_least, F.array(*[F.col(f"k{i}") / whole for i in range(n)])).alias("ref_classes"), enough.alias("enough"))
     # a language of enough words, none of them common, has shares all the same
     return classes.join(words, F.col("l") == F.col("l2"), "left").select(
         F.col("l2").alias("ref_lang"),
@@ -120,14 +113,11 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", rules
     df = df.withColumn(f"{pre}lines", lines)
     df = df.withColumn(f"{pre}dup", F.size(f"{pre}lines") - F.size(F.array_distinct(f"{pre}lines"))).drop(f"{pre}lines")
 
-    # repeated windows: hash every window; only a text with equal hashes sorts them to find their positions
-    # hashes of 1, 2, 4, ... words, each made of two before it that together cover its words
-    df, span = df.withColumn(h, F.transform(w, lambda x: F.xxhash64(x))), 1
-    while span < rules.window:
-        shift = min(span, rules.window - span)
-        rest = F.greatest(F.size(h) - shift, F.lit(0))
-        df = df.withColumn(f"{h}_next", F.zip_with(F.slice(h, 1, rest), F.slice(h, shift + 1, rest), lambda a, b: F.xxhash64(a, b)))
-        df, span = df.drop(h).withColumnRenamed(f"{h}_next", h), span + shift
+    # repeated windows: hash every window; only a text with equal hashes sorts them to find their positions.  The hashes of the words come
+    # out of a generator, or they would be worked out again for every window
+    df = df.withColumn(h, F.explode_outer(F.array(F.transform(w, lambda x: F.xxhash64(x)))))
+    window = F.transform(h, lambda x, i: F.xxhash64(x, *[F.get(F.col(h), i + j) for j in range(1, rules.window)]))
+    df = df.withColumn(f"{h}_w", F.slice(window, F.lit(1), F.greatest(F.size(h) - (rules.window - 1), F.lit(0)))).drop(h).withColumnRenamed(f"{h}_w", h)
     df = df.withColumn(f"{h}_sorted", F.when(F.size(F.array_distinct(h)) < F.size(h), F.sort_array(F.transform(F.col(h), lambda x, i: F.struct(x.alias("h"), i.alias("i"))))))
     pairs = F.zip_with(f"{h}_sorted", F.slice(F.col(f"{h}_sorted"), F.lit(2), F.size(f"{h}_sorted")),
                        lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])))
@@ -135,10 +125,11 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", rules
     steps = F.zip_with(f"{h}_at", F.slice(F.col(f"{h}_at"), F.lit(2), F.size(f"{h}_at")), lambda a, b: F.least(F.lit(rules.window), b - a))
     df = df.withColumn(f"{pre}rep", F.coalesce(F.aggregate(steps, F.lit(0), lambda acc, x: acc + x), F.lit(0))).drop(h, f"{h}_sorted", f"{h}_at")
 
-    # common words: a letter for each word, then the letters are counted
-    df = df.withColumn(f"{ref}_w", F.col(f"{ref}.ref_words"))
-    df = df.withColumn(s, F.array_join(F.transform(F.col(w), lambda x: F.substring(F.lit("_" + LETTERS), F.array_position(F.col(f"{ref}_w"), F.lower(x)).cast("int") + 1, F.lit(1))), "")).drop(f"{ref}_w")
-    df = df.withColumn(p, F.array(*[(F.length(s) - F.length(F.replace(F.col(s), F.lit(x), F.lit("")))).cast("long") for x in LETTERS[: rules.common_words]])).drop(s)
+    # common words: how much shorter the text gets without one, each word with a space of its own on both sides
+    df = df.withColumn(s, F.lower(F.concat(F.lit(" "), F.array_join(w, "  "), F.lit(" "))))
+    df = df.withColumns({f"{p}{i}": F.concat(F.lit(" "), F.get(f"{ref}.ref_words", F.lit(i)), F.lit(" ")) for i in range(rules.common_words)})
+    many_of = [F.coalesce((F.octet_length(s) - F.octet_length(F.replace(F.col(s), F.col(f"{p}{i}"), F.lit("")))) / F.octet_length(f"{p}{i}"), F.lit(0.0)) for i in range(rules.common_words)]
+    df = df.withColumn(p, F.array(*many_of)).drop(s, *[f"{p}{i}" for i in range(rules.common_words)])
 
     df = df.withColumn(f"{pre}wc", F.char_length(F.array_join(w, ""))).drop(w)
     df = df.withColumn(f"{pre}sym", F.regexp_count(F.col(t), F.lit("[#*$%&|<>]")))

@@ -264,3 +264,30 @@ def test_near_fingerprints_share_a_key(spark):
     df = spark.createDataFrame(rows, "x long, y long")
     shared = df.select(F.arrays_overlap(F.array(*agreement_keys(F.col("x"))), F.array(*agreement_keys(F.col("y")))).alias("s"))
     assert shared.where("s").count() == len(rows)
+
+
+# ---- quality rules, whole result
+
+
+def test_quality_rules_equal_sql_on_odd_rows(spark, odd):
+    """kept and the base columns against the SQL of the query, with a language of enough text for references and documents far from them."""
+    import duckdb
+
+    from seqframe.llm.catalog import OP8
+    from seqframe.llm.quality_rules import quality_rules
+
+    rng = random.Random(9)
+    common = ["the", "of", "and", "to", "in", "is", "that", "for", "it", "as"]
+    rows = [(1000 + i, " ".join(rng.choice(common) if rng.random() < 0.5 else "w" + str(rng.randrange(500)) for _ in range(80)), "en", "s", 1) for i in range(60)]
+    rows += [(2000 + i, " ".join("Q%dZ;#" % rng.randrange(10**6) for _ in range(60)), "en", "s", 1) for i in range(5)]
+    rows += [(3000, " ".join(["das", "die", "the the the"] * 30), "en", "s", 1), (3001, "the " * 60, "en", "s", 1)]
+    docs = odd.select("doc_id", "text", "lang", "source", "n_chars").union(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int"))
+    documents = docs.toPandas()
+    con = duckdb.connect()
+    con.register("documents", documents)
+    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    want = con.execute(f"select {', '.join(names)} from ({OP8})").fetchall()
+    got = quality_rules(docs).select("doc_id", *[f"verdict.{c}" for c in names[1:]]).collect()
+    key = lambda r: tuple("" if x is None or x != x else int(x) for x in r)
+    assert sorted(map(key, got), key=str) == sorted(map(key, want), key=str)
+    assert not all(r.kept for r in got if (r.doc_id or 0) >= 2000 and not r.base_failed)
