@@ -53,8 +53,9 @@ def schema_with(df: DataFrame, columns: list[str], **added: str) -> T.StructType
     return T.StructType([*[of[c] for c in columns], *[T.StructField(c, T.DataType.fromDDL(kind)) for c, kind in added.items()]])
 
 
-def words_of(text: Column) -> Column:
+def words_of(text: Column | str) -> Column:
     """The words of a text as an array, by built-in functions; null has none."""
+    text = F.col(text) if isinstance(text, str) else text
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")
 
 

@@ -22,10 +22,17 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqframe.llm.common import WORD, fresh, shared_path, words_of
+from seqframe.llm.common import fresh, shared_path, words_of
+
+#: Character classes in order: lower-case letters, what separates words, and these, each of which takes what the earlier ones left;
+#: the last takes the rest.
+CLASSES = ("[^\\x00-\\x7F]+", "[A-Z]+", "[.,;:!?'\"()-]+", "[0-9]+")
+PLAIN = r"[a-z\x20\x09-\x0D]+"
+N_CLASSES = len(CLASSES) + 3
+#: Fixed value of the contract; none of them is in a class but the last.
+SYMBOLS = "[^#*$%&|<>]+"
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
-#: Character classes beside lower-case letters, which are what these leave of a text; no two share a character.
-CLASSES = (r"[\x20\x09-\x0D]", r"[^\x00-\x7F]", "[A-Z]", "[.,;:!?'\"()-]", "[0-9]", r"[\x00-\x7F&&[^A-Za-z0-9\x20\x09-\x0D.,;:!?'\"()-]]")
 
 @dataclass(frozen=True)
 class Rules:
@@ -43,11 +50,21 @@ class Rules:
     reference_times: int = 25
 
 
-def _with_classes(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Adds the array of counts by class, lower-case letters first; the counts are a projection of their own, so that none runs twice."""
-    names = [f"{out}_n{i}" for i in range(len(CLASSES))]
-    df = df.withColumns({c: F.regexp_count(F.col(text), F.lit(x)).cast("long") for c, x in zip(names, CLASSES, strict=True)})
-    return df.withColumn(out, F.array(F.char_length(text) - _total([F.col(c) for c in names]), *names)).drop(*names)
+def _with_classes(df: DataFrame, text: str, word_chars: str, out: str, symbols: str) -> DataFrame:
+    """Adds the array of counts by class, and the number of symbols; each step is a projection of its own, so that no replacement runs
+    twice, and the first one leaves little to the others."""
+    counts, left = [], text
+    for i, pattern in enumerate((PLAIN, *CLASSES)):
+        rest, n = f"{out}_rest{i}", f"{out}_n{i}"
+        df = df.withColumn(rest, F.regexp_replace(F.col(left), pattern, ""))
+        df = df.withColumn(n, (F.char_length(left) - F.char_length(rest)).cast("long"))
+        if left != text:
+            df = df.drop(left)
+        counts.append(n)
+        left = rest
+    spaces = (F.char_length(text) - F.col(word_chars)).cast("long")
+    df = df.withColumn(out, F.array(F.col(counts[0]) - spaces, spaces, *counts[1:], F.char_length(left).cast("long")))
+    return df.withColumn(symbols, F.char_length(F.regexp_replace(left, SYMBOLS, ""))).drop(*counts, left)
 
 
 def _total(parts: list[Column]) -> Column:
@@ -66,19 +83,25 @@ def language_references(docs: DataFrame, text: str = "text", lang: str = "lang",
     """One row for each language (``ref_lang``): ``ref_words``, ``ref_shares`` (of these words, then of all other words),
     ``ref_classes`` (shares of the character classes); shares are null where a language has too few words or characters."""
     spark = docs.sparkSession
-    base = docs.select(F.col(lang).cast("string").alias("l"), F.coalesce(F.col(text), F.lit("")).alias("t")).where("l is not null")
-    n, k = len(CLASSES) + 1, rules.common_words
-    sums = [F.sum(F.col("k")[i]).alias(f"k{i}") for i in range(n)]
-    totals = _with_classes(base, "t", "k").withColumn("m", F.regexp_count("t", F.lit(WORD))).groupBy("l").agg(*sums, F.sum("m").alias("total"))
-    # from a file Spark knows the size, and picks the kind of join by it: there is a row for each language, however many there are
-    path = shared_path(spark, "language-totals")
-    totals.write.parquet(path)
-    totals = spark.read.schema(totals.schema).parquet(path).withColumnRenamed("l", "l2")
+    n, k = N_CLASSES, rules.common_words
+    base = docs.select(F.col(lang).cast("string").alias("l"), F.coalesce(F.col(text), F.lit("")).alias("t")).where("l is not null").withColumn("w", words_of("t"))
+    base = _with_classes(base.withColumn("wc", F.char_length(F.array_join("w", ""))), "t", "wc", "k", "sy")
+    # counts of classes and of all words ride along with the words, under names with a space, which no word has
+    item = lambda w, n: F.struct(w.alias("w"), n.cast("long").alias("n"))
+    extra = [item(F.lit(f" {i}"), F.col("k")[i]) for i in range(n)] + [item(F.lit(" words"), F.size("w"))]
+    base = base.withColumn("lw", words_of(F.lower("t"))).select("l", F.explode(F.concat(F.transform("lw", lambda x: item(x, F.lit(1))), F.array(*extra))).alias("x"))
+    # read twice; with the sizes known, Spark picks the kind of join: there is a row of totals for each language, however many there are
+    path = shared_path(spark, "language-words")
+    base.groupBy("l", F.col("x.w").alias("w")).agg(F.sum("x.n").alias("n")).write.parquet(f"{path}/counts")
+    counts = spark.read.schema("l string, w string, n long").parquet(f"{path}/counts")
+    totals = counts.where(F.col("w").startswith(" ")).groupBy(F.col("l").alias("l2")).agg(
+        *[F.coalesce(F.sum(F.when(F.col("w") == f" {i}", F.col("n"))), F.lit(0)).alias(f"k{i}") for i in range(n)], F.sum(F.when(F.col("w") == " words", F.col("n"))).alias("total"))
+    totals.write.parquet(f"{path}/totals")
+    totals = spark.read.schema(totals.schema).parquet(f"{path}/totals")
 
     # a word below the share can't be common: few words of a language are left when those of a language come together
-    counts = base.select("l", F.explode_outer(words_of(F.lower("t"))).alias("w")).where("w is not null").groupBy("l", "w").agg(F.count(F.lit(1)).alias("n"))
     enough = F.col("total") >= rules.reference_times * rules.words_at_least
-    common = counts.join(totals.select("l2", "total"), F.col("l") == F.col("l2")).where((F.col("n") >= rules.common_share * F.col("total")) & enough)
+    common = counts.where(~F.col("w").startswith(" ")).join(totals.select("l2", "total"), F.col("l") == F.col("l2")).where((F.col("n") >= rules.common_share * F.col("total")) & enough)
     common = (common.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy(F.desc("n"), "w"))).where(F.col("r") <= k)
               .groupBy("l").agg(F.sort_array(F.collect_list(F.struct("r", "w", "n", "total"))).alias("c")))
     share = [F.coalesce(F.get("c.n", F.lit(i)) / F.get("c.total", F.lit(0)), F.lit(0.0)) for i in range(k)]
@@ -125,20 +148,22 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", rules
     steps = F.zip_with(f"{h}_at", F.slice(F.col(f"{h}_at"), F.lit(2), F.size(f"{h}_at")), lambda a, b: F.least(F.lit(rules.window), b - a))
     df = df.withColumn(f"{pre}rep", F.coalesce(F.aggregate(steps, F.lit(0), lambda acc, x: acc + x), F.lit(0))).drop(h, f"{h}_sorted", f"{h}_at")
 
-    # common words: how much shorter the text gets without one, each word with a space of its own on both sides
-    df = df.withColumn(s, F.lower(F.concat(F.lit(" "), F.array_join(w, "  "), F.lit(" "))))
-    df = df.withColumns({f"{p}{i}": F.concat(F.lit(" "), F.get(f"{ref}.ref_words", F.lit(i)), F.lit(" ")) for i in range(rules.common_words)})
-    many_of = [F.coalesce((F.octet_length(s) - F.octet_length(F.replace(F.col(s), F.col(f"{p}{i}"), F.lit("")))) / F.octet_length(f"{p}{i}"), F.lit(0.0)) for i in range(rules.common_words)]
-    df = df.withColumn(p, F.array(*many_of)).drop(s, *[f"{p}{i}" for i in range(rules.common_words)])
+    # common words: a letter for each word that may be one by its size, then the letters are counted
+    df = df.withColumn(f"{ref}_w", F.struct(F.col(f"{ref}.ref_words").alias("w"), F.array_max(F.transform(f"{ref}.ref_words", lambda x: F.octet_length(x))).alias("longest")))
+    df = df.withColumn(f"{ref}_w", F.explode_outer(F.array(f"{ref}_w")))
+    letter = lambda x: F.substring(F.lit("_" + LETTERS), F.array_position(F.col(f"{ref}_w.w"), F.lower(x)).cast("int") + 1, F.lit(1))
+    # in lower case other letters than ASCII may take fewer bytes
+    may_be = lambda x: (F.octet_length(x) <= F.col(f"{ref}_w.longest")) | (F.char_length(x) < F.octet_length(x))
+    df = df.withColumn(s, F.array_join(F.transform(F.col(w), lambda x: F.when(may_be(x), letter(x))), "")).drop(f"{ref}_w")
+    df = df.withColumn(p, F.array(*[(F.length(s) - F.length(F.replace(F.col(s), F.lit(x), F.lit("")))).cast("long") for x in LETTERS[: rules.common_words]])).drop(s)
 
     df = df.withColumn(f"{pre}wc", F.char_length(F.array_join(w, ""))).drop(w)
-    df = df.withColumn(f"{pre}sym", F.regexp_count(F.col(t), F.lit("[#*$%&|<>]")))
-    df = _with_classes(df, t, k)
+    df = _with_classes(df, t, f"{pre}wc", k, f"{pre}sym")
 
     chars, many = F.char_length(t), F.col(n)
     own_words = [F.col(p)[i] / F.greatest(many, F.lit(1)) for i in range(rules.common_words)]
     own_words.append(F.greatest(F.lit(0.0), 1 - _total(own_words)))
-    own_chars = [F.col(k)[i] / F.greatest(chars, F.lit(1)) for i in range(len(CLASSES) + 1)]
+    own_chars = [F.col(k)[i] / F.greatest(chars, F.lit(1)) for i in range(N_CLASSES)]
     # 0 without a reference, since greatest() passes over nulls
     df = df.withColumn(f"{pre}jc", js_distance(own_chars, [F.col(f"{ref}.ref_classes")[i] for i in range(len(own_chars))]))
     df = df.withColumn(f"{pre}jw", js_distance(own_words, [F.col(f"{ref}.ref_shares")[i] for i in range(len(own_words))]))
