@@ -5,6 +5,8 @@ characters stand between them; each costs a factor ``decay`` for every
 character it spans, in both strings.  The kernel of two words, normalised and
 raised to a power, is close to 1 only for words that are alike but for a few
 inserted or missing characters; that of two sentences sums it over their words.
+Letters set apart one by one are read as a word, signs between letters may be
+left out, and long words are taken window by window (``forms``).
 
 Landmarks are words of the training sentences; the kernel to them, times the
 inverse root of the kernel among them, gives features in which a linear machine
@@ -22,6 +24,7 @@ equal scores; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 import sys
 import types
 import zlib
@@ -40,8 +43,13 @@ from seqframe.llm.common import from_columns, hashes, slices, word_lists
 from seqframe.llm.labelled import held_out, sample
 
 #: What ends a sentence, what is put into words that are learned from, and what is cut off the ends of a word.
-SENTENCE_END = r"[.!?\n]+"
-DISGUISE = "-.*x0aeiou"
+SENTENCE_END = r"[.!?]+\s+|[.!?]+$|\n+"
+DISGUISE = "x0aeiou"
+#: Longer words are taken window by window, every window: this many characters each, one starting every half.
+LONG = 32
+#: Letters set apart one by one, to be read as a word; the first pattern finds the texts that have any.
+SPELT_TEXT = r"(^|[^\pL\pN])\pL([ .*_\-]\pL){2,}([^\pL\pN]|$)"
+SPELT = re.compile(r"(?<![^\W_])[^\W\d_](?:[ .*_\-][^\W\d_]){2,}(?![^\W_])")
 TRIM = "\"'.,;:!?()[]{}&%$#*|<>"
 
 
@@ -50,12 +58,16 @@ class Machine:
     """``max_rows``, ``max_chars`` and ``max_sentences`` bound what is learned from."""
 
     order: int = 3
-    decay: float = 0.6
+    decay: float = 0.85
     power: int = 4
     landmarks: int = 64
+    disguises: int = 1
     max_rows: int = 3000
     max_chars: int = 20_000
     max_sentences: int = 20_000
+    #: landmarks are chosen from this many words that mark toxic documents and this many usual ones, the most frequent first
+    max_marking: int = 400
+    max_usual: int = 3000
     epochs: int = 30
     ridge: float = 1e-5
     seed: int = 11
@@ -88,8 +100,20 @@ def _kernel(a: np.ndarray, b: np.ndarray, order: int, decay: float) -> np.ndarra
     return sum(e.sum(axis=1) for e in ending)
 
 
+def forms(word: str) -> list[str]:
+    """What a word is compared as: itself, itself without signs between its letters, what stands between the signs, and, of what is long,
+    all windows."""
+    out = [word]
+    if not word.isalnum():
+        parts = re.findall(r"[^\W_]+", word)
+        out += [p for p in ("".join(parts), *parts) if p and p != word]
+    if max(map(len, out)) <= LONG:
+        return out
+    return [w[i : i + LONG] for w in out for i in range(0, max(1, len(w) - LONG // 2), LONG // 2)]
+
+
 class Words:
-    """Kernels of words to landmarks."""
+    """Kernels of words to landmarks; a word's kernel is the highest of its forms."""
 
     def __init__(self, landmarks: list[str], cfg: Machine):
         self.landmarks, self.cfg = landmarks, cfg
@@ -101,7 +125,24 @@ class Words:
         return _kernel(table, table, self.cfg.order, self.cfg.decay)
 
     def kernels(self, words: list[str]) -> np.ndarray:
-        """A row for each word: its kernel with every landmark; words of like length are worked out together."""
+        """A row for each word: its kernel with every landmark."""
+        other = [i for i, w in enumerate(words) if len(w) > LONG or not w.isalnum()]
+        if not other:
+            return self._kernels(words)
+        out = np.zeros((len(words), len(self.landmarks)), np.float32)
+        plain = np.ones(len(words), bool)
+        plain[other] = False
+        out[plain] = self._kernels([words[i] for i in np.flatnonzero(plain)])
+        lists = [forms(words[i]) for i in other]
+        flat = sorted({f for x in lists for f in x})
+        number = {f: i for i, f in enumerate(flat)}
+        values = self._kernels(flat)
+        for i, x in zip(other, lists, strict=True):
+            out[i] = values[[number[f] for f in x]].max(axis=0)
+        return out
+
+    def _kernels(self, words: list[str]) -> np.ndarray:
+        """Of words that are not long; those of like length are worked out together."""
         out = np.zeros((len(words), len(self.landmarks)), np.float32)
         size = np.fromiter(map(len, words), np.int64, len(words))
         order = np.argsort(size, kind="stable")
@@ -133,7 +174,12 @@ def clean(words: list[str]) -> list[str]:
 
 def sentences(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
     """Distinct words as they stand, the number of each word, and the offsets of sentences in words and of texts in sentences."""
-    parts = pc.split_pattern_regex(pc.fill_null(texts, ""), SENTENCE_END)
+    texts = pc.fill_null(texts, "")
+    spelt = pc.match_substring_regex(texts, SPELT_TEXT).to_numpy(zero_copy_only=False)
+    if spelt.any():
+        joined = [SPELT.sub(lambda m: m[0][::2], t) for t in texts.filter(pa.array(spelt)).to_pylist()]
+        texts = pc.replace_with_mask(texts, pa.array(spelt), pa.array(joined, texts.type))
+    parts = pc.split_pattern_regex(texts, SENTENCE_END)
     of_text = parts.offsets.to_numpy().astype(np.int64)
     flat, of_sentence = word_lists(parts.values.slice(of_text[0], of_text[-1] - of_text[0]))
     coded = flat.dictionary_encode()
@@ -142,7 +188,7 @@ def sentences(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.nd
 
 def choose_landmarks(marking: list[str], common: list[str], cfg: Machine) -> list[str]:
     """Three quarters of words that mark toxic documents, the farthest from those chosen before first, and ordinary words most like them."""
-    marking = marking[:400]
+    marking = marking[: cfg.max_marking]
     if not marking:
         return []
     many = cfg.landmarks * 3 // 4
@@ -184,8 +230,8 @@ def train(texts: pa.Array, y: np.ndarray, cfg: Machine) -> tuple[list[str], np.n
     with np.errstate(divide="ignore", invalid="ignore"):
         surprise = (toxic + other) * (np.nan_to_num(share * np.log(share / usual_share)) + np.nan_to_num((1 - share) * np.log((1 - share) / (1 - usual_share))))
     order = sorted(np.flatnonzero((surprise > np.log(len(words))) & (share > 0.9) & (toxic >= 3)).tolist(), key=lambda i: (-toxic[i], words[i]))
-    marking = [words[i] for i in order if len(words[i]) >= cfg.order]
-    usual = [words[i] for i in np.argsort(-other, kind="stable")[:3000] if len(words[i]) >= cfg.order]
+    marking = [words[i] for i in order if cfg.order <= len(words[i]) <= LONG]
+    usual = [words[i] for i in np.argsort(-other, kind="stable")[: cfg.max_usual] if cfg.order <= len(words[i]) <= LONG]
     landmarks = choose_landmarks(marking, usual, cfg)
     if not landmarks:
         return nothing
@@ -210,8 +256,8 @@ def train(texts: pa.Array, y: np.ndarray, cfg: Machine) -> tuple[list[str], np.n
     inside = place[sentence] >= 0
     x = np.zeros((len(used), len(landmarks)))
     np.add.at(x, place[sentence[inside]], by_word[code[inside]])
-    # toxic sentences stand a second time, their word with a character put in
-    again = np.flatnonzero(target > 0)
+    # toxic sentences stand again, their word with a letter put in
+    again = np.tile(np.flatnonzero(target > 0), cfg.disguises)
     old = marked_word[used[again]]
     new = [_disguised(words[i], rng) for i in old]
     x = np.concatenate((x, x[again] - by_word[old] + among.kernels(new).astype(np.float64) @ root))

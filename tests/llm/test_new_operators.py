@@ -291,3 +291,29 @@ def test_quality_rules_equal_sql_on_odd_rows(spark, odd):
     key = lambda r: tuple("" if x is None or x != x else int(x) for x in r)
     assert sorted(map(key, got), key=str) == sorted(map(key, want), key=str)
     assert not all(r.kept for r in got if (r.doc_id or 0) >= 2000 and not r.base_failed)
+
+
+# ---- toxicity: disguises and long words
+
+
+def test_disguised_insults_and_long_words():
+    import time
+
+    from seqframe.llm.toxicity import Machine, Scorer, Words, forms, sentences, train
+
+    rng = random.Random(3)
+    words = ["the", "river", "market", "paper", "window", "teacher", "garden", "letter", "summer", "number"]
+    say = lambda *put: " ".join(rng.choice(words) for _ in range(20)) + "".join(" " + p for p in put) + " and so on."
+    insults = ["idiot", "moron", "stupid", "pathetic", "scum"]
+    texts = [say(insults[i % 5]) for i in range(100)] + [say() for _ in range(200)]
+    scorer = Scorer(train(pa.array(texts), np.array([1] * 100 + [0] * 200), Machine(landmarks=16)), Machine(landmarks=16))
+    found = lambda *t: (scorer.log_odds(pa.array(t)) >= 0).tolist()
+    assert found(say(), say("idiot"), say("id*iot"), say("stu.pid"), say("i.d.i.o.t"), say("i d i o t"), say("m-o-r-o-n"), say("patheetic")) == [False] + [True] * 7
+    start = time.time()
+    assert found("x" * 100_000 + " fine", say() + "ab" * 50_000, "ab" * 50_000 + "idiot" + "ba" * 50_000)[:2] == [False, False]
+    assert time.time() - start < 20
+    word = "".join(rng.choice("abcdefgh") for _ in range(1000))
+    windows = forms(word)
+    assert max(map(len, windows)) <= 32 and all(any(word[i : i + 16] in w for w in windows) for i in range(985))
+    assert Words(["idiot"], Machine()).kernels(["a" * 40 + "idiot" + "b" * 40])[0, 0] > 0
+    assert sentences(pa.array(["i d i o t you. s.t.u.p.i.d", None, "a b"]))[0] == ["idiot", "you", "stupid", "a", "b"]
