@@ -4,25 +4,32 @@ Words (a space and what follows it up to the next one, so runs of spaces are
 never one piece) are merged as the model
 says: the agenda holds all neighbouring pieces whose union is a piece, and the
 one of the best score, leftmost first, is merged next.  When a candidate comes
-up it is skipped for good if a hash keyed by the seed, the document's variant,
-the word, the candidate's place in it and its piece falls below ``dropout``.  So
-a document is always cut alike, but documents of other variants otherwise, and
-every segmentation spells the same text.
-
-The agendas of many words run side by side: each step takes the best candidate
-of every word that has one left.
+up it is skipped for good if a hash falls below ``dropout``.  The hash is keyed
+by the seed, the document, its copy, the place of the word in the document, and
+the candidate's place and piece.  So a document is always cut alike, but each
+place where a word stands has draws of its own, and every segmentation spells
+the same text.
+
+What a draw does to a word depends on the word alone, so it is worked out once
+and kept: a *run* is the agenda of a word with a given set of skipped candidates,
+its merges in the order they came up, and the ids it ends in.  A place starts with
+the run without skips, draws for its merges, and goes on with the run that also
+skips the first one drawn, until nothing is drawn.  New runs are made side by side:
+each step takes the best candidate of every word that has one left.  Words of more
+than ``LONG`` symbols have a heap for an agenda, at every place anew.
 
 Decoding is lossless: characters the model lacks, the sign that stands for a
 space (U+2581) where the text itself holds it, and what the model would
 normalise are spelt in byte pieces.
 
 Cases: null and empty texts have no ids and decode to an empty text; rows are
-encoded one by one, so repeated rows give equal ids; a null doc_id is a variant
-of its own; an empty table gives no rows; other columns are kept.
+encoded one by one, so repeated rows of one copy number give equal ids (``numbered_copies``
+numbers them); a null doc_id is an id of its own; an empty table gives no rows; other columns are kept.
 """
 
 from __future__ import annotations
 
+import heapq
 import sys
 import types
 import zlib
@@ -34,10 +41,20 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqframe.llm.common import fresh, from_columns, hashes, mix64, schema_with, slices, tidy
+from seqframe.llm.common import fresh, from_columns, mix64, schema_with, slices, tidy
 
 SPACE = "▁"
 NONE = np.int64(-1)
+#: Symbols beyond which a word's agenda is a heap; the ids are the same either way.
+LONG = 128
+#: Places whose draws are held at a time.
+PLACES = 200_000
+
+
+def _salt(at: np.ndarray, middle: np.ndarray, piece: np.ndarray) -> np.ndarray:
+    """A number for a candidate: where its two pieces begin in the word, and what they make."""
+    with np.errstate(over="ignore"):
+        return mix64(mix64((at.astype(np.uint64) << np.uint64(32)) + middle.astype(np.uint64)) + piece.astype(np.uint64))
 
 
 class PieceModel:
@@ -70,9 +87,11 @@ class PieceModel:
                 if left is not None and right is not None:
                     merges[left * n + right] = i
         self.n = n
+        self.merges = merges
         self._table(merges)
         self.rank = np.empty(n, np.int64)  # 0 is merged first
         self.rank[np.lexsort((np.arange(n), -self.score))] = np.arange(n)
+        self.by_rank = np.argsort(self.rank)
         self._forget()
 
     def _table(self, merges: dict[int, int]) -> None:
@@ -114,7 +133,13 @@ class PieceModel:
         return out
 
     def _forget(self) -> None:
-        self.keys, self.begin, self.size, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        """Drop all runs.  A run's ids and merges (as salts) lie one after the other in ``ids`` and ``salts``."""
+        self.roots: dict[str, int] = {}
+        self.children: dict[tuple[int, int], int] = {}
+        self.word: list[str] = []
+        self.skips: list[tuple[int, ...]] = []
+        self.begin, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.first, self.steps, self.salts = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
 
     def characters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """First pieces of all words, and the offsets of the words: characters that are pieces, or bytes (no merge takes those)."""
@@ -138,53 +163,59 @@ class PieceModel:
         per_word = np.bincount(owner, weights=count, minlength=len(words)).astype(np.int64)
         return ids, np.concatenate(([0], np.cumsum(per_word)))
 
-    def segment(self, words: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words, and the offsets of the words; ``keys`` stand for seed, variant and word."""
+    def segment(self, words: list[str], skips: list[tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all words whose candidates ``skips`` (salts) are skipped, the offsets of the words, the salts of all merges, and per word where its own begin and how many they are."""
         ids, offsets = self.characters(words)
         size = np.diff(offsets)
         out = ids.copy()
         live = np.ones(len(ids), bool)  # whether a piece begins here
+        held = np.zeros((len(words), max(map(len, skips), default=0)), np.uint64)
+        for i, skipped in enumerate(skips):
+            held[i, : len(skipped)] = skipped
         # words of like size go together, as rows of a table
         order = np.argsort(size, kind="stable")
         order = order[size[order] > 1]
-        start = 0
+        start, salts, total = 0, [np.zeros(0, np.uint64)], 0
+        first, steps = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
         while start < len(order):
             width = int(size[order[start]])
             stop = int(np.searchsorted(size[order], max(width + width // 4, width), side="right"))
-            stop = min(stop, start + max(1, 400_000 // width))
+            stop = min(stop, start + max(1, min(400_000 // width, 1 << 16)))
             rows = order[start:stop]
             width = int(size[rows[-1]])
             at = offsets[rows][:, None] + np.arange(width)[None, :]
             inside = np.arange(width)[None, :] < size[rows][:, None]
             table = np.where(inside, ids[np.minimum(at, len(ids) - 1)], NONE)
-            table = self._merge(table, keys[rows])
+            table, which, salt = self._merge(table, held[rows])
             out[at[inside]], live[at[inside]] = table[inside], table[inside] != NONE - 1
+            own = np.bincount(which, minlength=len(rows))
+            first[rows], steps[rows] = total + np.cumsum(own) - own, own
+            salts.append(salt[np.argsort(which.astype(np.uint16), kind="stable")])
+            total += len(salt)
             start = stop
         per_word = np.concatenate(([0], np.cumsum(live)))[offsets]
-        return out[live].astype(np.int32), per_word
+        return out[live].astype(np.int32), per_word, np.concatenate(salts), first, steps
 
-    def _candidates(self, key: np.ndarray, left: np.ndarray, right: np.ndarray, at: np.ndarray, middle: np.ndarray) -> np.ndarray:
-        """Ranks of the unions of pieces at ``at`` and ``middle`` of their words; a large number without one, or where it is skipped."""
+    def _candidates(self, held: np.ndarray, left: np.ndarray, right: np.ndarray, at: np.ndarray, middle: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks of the unions of pieces at ``at`` and ``middle`` of their words (a large number without one, or where it is skipped), and their salts."""
         piece = self.union(left, right)
         rank = np.where(piece >= 0, self.rank[piece], self.n)
-        if self.limit:
-            with np.errstate(over="ignore"):
-                draw = mix64(mix64(key + (at.astype(np.uint64) << np.uint64(40)) + (middle.astype(np.uint64) << np.uint64(20))) + piece.astype(np.uint64))
-            rank[draw < self.limit] = self.n
-        return rank
-
-    def _merge(self, table: np.ndarray, key: np.ndarray) -> np.ndarray:
-        """Rows of pieces, merged; a place that its left neighbours took holds -2."""
+        salt = _salt(at, middle, piece)
+        rank[(held == salt[:, None]).any(axis=1)] = self.n
+        return rank, salt
+
+    def _merge(self, table: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows of pieces, merged (a place that its left neighbours took holds -2), and the rows and salts of the merges, in order."""
         height, width = table.shape
         table = table.copy()
         after = np.tile(np.arange(1, width + 1), (height, 1))  # where the next piece begins
         before = np.tile(np.arange(-1, width - 1), (height, 1))
-        rank = np.full((height, width), self.n)  # of the union with the next piece
+        rank, salt = np.full((height, width), self.n), np.zeros((height, width), np.uint64)  # of the union with the next piece
         if width > 1:
             r, c = np.nonzero((table[:, :-1] >= 0) & (table[:, 1:] >= 0))
-            rank[r, c] = self._candidates(key[r], table[r, c], table[r, c + 1], c, c + 1)
+            rank[r, c], salt[r, c] = self._candidates(held[r], table[r, c], table[r, c + 1], c, c + 1)
         active = np.arange(height)
-        by_rank = np.argsort(self.rank)
+        rows, salts = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
         while len(active):
             best = rank[active].argmin(axis=1)
             value = rank[active, best]
@@ -192,8 +223,10 @@ class PieceModel:
             active, best, value = active[more], best[more], value[more]
             if not len(active):
                 break
+            rows.append(active)
+            salts.append(salt[active, best])
             gone = after[active, best]
-            table[active, best], table[active, gone] = by_rank[value], NONE - 1
+            table[active, best], table[active, gone] = self.by_rank[value], NONE - 1
             nxt = after[active, gone]
             after[active, best] = nxt
             rank[active, gone] = self.n
@@ -202,15 +235,54 @@ class PieceModel:
             before[active[ok], nxt[ok]] = best[ok]
             ok &= table[active, np.minimum(nxt, width - 1)] >= 0
             r, c = active[ok], best[ok]
-            rank[r, c] = self._candidates(key[r], table[r, c], table[r, nxt[ok]], c, nxt[ok])
+            rank[r, c], salt[r, c] = self._candidates(held[r], table[r, c], table[r, nxt[ok]], c, nxt[ok])
             prev = before[active, best]
             ok = prev >= 0
             r, c, p = active[ok], best[ok], prev[ok]
-            rank[r, p] = self._candidates(key[r], table[r, p], table[r, c], p, c)
-        return table
+            rank[r, p], salt[r, p] = self._candidates(held[r], table[r, p], table[r, c], p, c)
+        return table, np.concatenate(rows), np.concatenate(salts)
+
+    def segment_long(self, word: str, key: int) -> list[int]:
+        """Ids of one word with the draws of ``key``; the agenda is a heap."""
+        ids = self.characters([word])[0]
+        n, limit = len(ids), int(self.limit)
+        left, right = np.arange(max(n - 1, 0)), np.arange(1, n)
+        piece = self.union(ids[:-1], ids[1:])
+        ok = piece >= 0
+        ok &= ~self._skipped(np.uint64(key), _salt(left, right, piece))
+        agenda = [(int(self.rank[piece[i]]), i, i + 1, int(piece[i])) for i in np.flatnonzero(ok).tolist()]
+        heapq.heapify(agenda)
+        ids = ids.tolist()
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        rank, one = self.rank.tolist(), np.zeros(1, np.int64)
+
+        def offer(at: int, middle: int) -> None:
+            found = self.merges.get(ids[at] * self.n + ids[middle])
+            if found is not None and not (limit and self._skipped(np.uint64(key), _salt(one + at, one + middle, one + found))[0]):
+                heapq.heappush(agenda, (rank[found], at, middle, found))
+
+        while agenda:
+            _, at, middle, found = heapq.heappop(agenda)
+            # the pieces may have been taken by other merges meanwhile
+            if ids[at] < 0 or after[at] != middle or self.merges.get(ids[at] * self.n + ids[middle]) != found:
+                continue
+            ids[at], ids[middle] = found, -2
+            after[at] = nxt = after[middle]
+            if nxt < n:
+                before[nxt] = at
+                offer(at, nxt)
+            if before[at] >= 0:
+                offer(before[at], at)
+        return [i for i in ids if i >= 0]
+
+    def _skipped(self, keys: np.ndarray, salts: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return mix64(keys + salts) < self.limit
 
-    def encode(self, texts: pa.Array, variants: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, and the offsets of the texts.  Words are cut once for each variant they are met in."""
+    def encode(self, texts: pa.Array, documents: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, and the offsets of the texts; ``documents`` are keys (of document and copy) for the draws."""
+        if len(self.ids) + len(self.salts) > self.memory:
+            self._forget()
         full = pc.greater(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
         parts = pc.split_pattern(texts, " ")
         offsets = parts.offsets.to_numpy().astype(np.int64)
@@ -218,35 +290,73 @@ class PieceModel:
         offsets = offsets - offsets[0]
         words = coded.dictionary.to_pylist()
         code = coded.indices.to_numpy().astype(np.int64)
-        variant = np.repeat(variants, np.diff(offsets))
-        base = hashes(words, self.seed)
+        place = np.arange(len(code)) - np.repeat(offsets[:-1], np.diff(offsets))
         with np.errstate(over="ignore"):
-            key = mix64(base[code] + variant * np.uint64(0x9E3779B97F4A7C15))
-        distinct, first, number = np.unique(key, return_index=True, return_inverse=True)
-        at = self._learn([words[i] for i in code[first]], distinct)[number]
-        begin, size = self.begin[at], self.size[at]
+            key = mix64(np.repeat(mix64(documents + np.uint64(self.seed)), np.diff(offsets)) + place.astype(np.uint64))
+        # a character has at most four bytes, so these may have more symbols than LONG
+        long = np.array([4 * len(w) > LONG and len(self.characters([" " + w])[0]) > LONG for w in words], bool)
+        root = np.full(len(words), self._runs([""])[0])  # long words take nothing from it
+        short = np.flatnonzero(~long)
+        root[short] = self._runs([words[i] for i in short])
+        run = root[code]
+        for start in range(0, len(run) if self.limit else 0, PLACES):
+            own = slice(start, start + PLACES)
+            run[own] = self._drawn(run[own], key[own])
+        apart = np.flatnonzero(long[code])
+        extra = [np.array(self.segment_long(" " + words[code[i]], int(key[i])), np.int32) for i in apart]
+        begin, size = self.begin[run], self.size[run]
+        if len(apart):
+            size[apart] = [len(x) for x in extra]
+            begin[apart] = len(self.ids) + np.cumsum(size[apart]) - size[apart]
+        ids = np.concatenate([self.ids, *extra])
         # a text begins with the space that the model puts before it; an empty text has nothing
         size = np.where(np.repeat(full, np.diff(offsets)), size, 0)
         ends = np.concatenate(([0], np.cumsum(size)))
-        flat = self.ids[np.repeat(begin - ends[:-1], size) + np.arange(ends[-1])]
+        flat = ids[np.repeat(begin - ends[:-1], size) + np.arange(ends[-1])]
         return flat, ends[offsets]
 
-    def _learn(self, words: list[str], keys: np.ndarray) -> np.ndarray:
-        if len(self.ids) > self.memory:
-            self._forget()
-        at = np.searchsorted(self.keys, keys)
-        known = np.zeros(len(keys), bool)
-        inside = at < len(self.keys)
-        known[inside] = self.keys[at[inside]] == keys[inside]
-        new = np.flatnonzero(~known)
-        if len(new):
-            ids, offsets = self.segment([" " + words[i] for i in new], keys[new])
-            all_keys = np.concatenate((self.keys, keys[new]))
-            order = np.argsort(all_keys, kind="stable")
-            self.begin = np.concatenate((self.begin, len(self.ids) + offsets[:-1]))[order]
-            self.size = np.concatenate((self.size, np.diff(offsets)))[order]
-            self.keys, self.ids = all_keys[order], np.concatenate((self.ids, ids))
-            at = np.searchsorted(self.keys, keys)
+    def _drawn(self, run: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """The runs that places end in, from those without skips."""
+        run = run.copy()
+        todo = np.arange(len(run))
+        while len(todo):
+            steps = self.steps[run[todo]]
+            ends = np.cumsum(steps)
+            who = np.repeat(np.arange(len(todo)), steps)
+            step = np.arange(len(who)) - np.repeat(ends - steps, steps)
+            hit = np.flatnonzero(self._skipped(key[todo][who], self.salts[np.repeat(self.first[run[todo]], steps) + step]))
+            # the first draw of each place
+            hit = hit[np.concatenate(([True], who[hit][1:] != who[hit][:-1]))[: len(hit)]]
+            todo = todo[who[hit]]
+            run[todo] = self._children(run[todo], step[hit])
+        return run
+
+    def _runs(self, words: list[str]) -> np.ndarray:
+        """The runs without skips."""
+        new = [w for w in words if w not in self.roots]
+        at = self._add(new, [()] * len(new))
+        self.roots.update(zip(new, range(at, at + len(new)), strict=True))
+        return np.array([self.roots[w] for w in words], np.int64)
+
+    def _children(self, run: np.ndarray, step: np.ndarray) -> np.ndarray:
+        """The runs that also skip a merge of the given ones."""
+        pairs, number = np.unique(run * LONG + step, return_inverse=True)  # a word has fewer merges than symbols
+        names = list(zip((pairs // LONG).tolist(), (pairs % LONG).tolist(), strict=True))
+        new = [x for x in names if x not in self.children]
+        at = self._add([self.word[r] for r, _ in new], [(*self.skips[r], int(self.salts[self.first[r] + i])) for r, i in new])
+        self.children.update(zip(new, range(at, at + len(new)), strict=True))
+        return np.array([self.children[x] for x in names], np.int64)[number]
+
+    def _add(self, words: list[str], skips: list[tuple[int, ...]]) -> int:
+        """Make runs; the first one's number."""
+        at = len(self.word)
+        if words:
+            ids, offsets, salts, first, steps = self.segment([" " + w for w in words], skips)
+            self.begin, self.size = np.concatenate((self.begin, len(self.ids) + offsets[:-1])), np.concatenate((self.size, np.diff(offsets)))
+            self.first, self.steps = np.concatenate((self.first, len(self.salts) + first)), np.concatenate((self.steps, steps))
+            self.ids, self.salts = np.concatenate((self.ids, ids)), np.concatenate((self.salts, salts))
+            self.word += words
+            self.skips += skips
         return at
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[bytes]:
@@ -267,14 +377,14 @@ def _kept(path: str, seed: int, dropout: float) -> PieceModel:
     return kept[name]
 
 
-def _encoded(path: str, seed: int, dropout: float, variants: int, text: str, variant: str, own: list[str], names: tuple[str, ...]) -> Callable:
+def _encoded(path: str, seed: int, dropout: float, text: str, key: str, own: list[str], names: tuple[str, ...]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _kept(path, seed, dropout)
         ids_name, crc_name, lossless_name = names
         for batch in batches:
             for part in slices(batch, text):
                 texts = pc.fill_null(part.column(text), "")
-                flat, offsets = model.encode(texts, part.column(variant).to_numpy().astype(np.uint64) % np.uint64(variants))
+                flat, offsets = model.encode(texts, part.column(key).to_numpy().view(np.uint64))
                 decoded = model.decode(flat, offsets)
                 lossless = [a == b for a, b in zip(decoded, texts.cast(pa.binary()).to_pylist(), strict=True)]
                 data = flat.astype("<u4")
@@ -285,15 +395,24 @@ def _encoded(path: str, seed: int, dropout: float, variants: int, text: str, var
     return run
 
 
-def encode_pieces(docs: DataFrame, model_path: str, seed: int = 1, dropout: float = 0.1, variants: int = 16, doc_id: str = "doc_id", text: str = "text",
+def numbered_copies(docs: DataFrame, copy: str = "copy") -> DataFrame:
+    """``docs`` with a number (from 0) that tells equal rows apart: they are counted, before the shuffle too, and dealt out again."""
+    (many,) = fresh(docs, "piece_copies")
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    counted = docs.groupBy(*own).agg(F.count(F.lit(1)).alias(many))
+    return counted.select(*own, F.explode(F.sequence(F.lit(0).cast("long"), F.col(many) - 1)).alias(copy))
+
+
+def encode_pieces(docs: DataFrame, model_path: str, seed: int = 1, dropout: float = 0.1, doc_id: str = "doc_id", text: str = "text", copy: str | None = None,
                   ids: str = "ids", crc: str = "ids_crc32", lossless: str = "lossless", keep: list[str] | None = None) -> DataFrame:
     """``docs`` (or its columns ``keep``) with the ids of the whole text, their crc32 as little-endian 32-bit numbers, and whether they
-    decode to the text.  ``variants`` is how many ways of cutting a word documents are dealt to by a hash of doc_id."""
+    decode to the text.  ``copy`` names a column that tells copies of a document apart, which are then cut by draws of their own."""
     own = docs.columns if keep is None else keep
-    plain, variant = fresh(docs, "piece_text", "piece_variant")
-    rows = docs.select(*[F.col(f"`{c}`") for c in own], F.coalesce(F.col(text), F.lit("")).alias(plain), F.pmod(F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(seed)), F.lit(2**31)).alias(variant))
+    plain, key = fresh(docs, "piece_text", "piece_key")
+    names = [F.coalesce(F.col(doc_id).cast("string"), F.lit("")), *([F.col(copy).cast("long")] if copy else [])]
+    rows = docs.select(*[F.col(f"`{c}`") for c in own], F.coalesce(F.col(text), F.lit("")).alias(plain), F.xxhash64(*names, F.lit(seed)).alias(key))
     schema = schema_with(docs, own, **{ids: "array<int>", crc: "bigint", lossless: "boolean"})
-    return rows.mapInArrow(tidy(_encoded(model_path, seed, dropout, variants, plain, variant, own, (ids, crc, lossless))), schema)
+    return rows.mapInArrow(tidy(_encoded(model_path, seed, dropout, plain, key, own, (ids, crc, lossless))), schema)
 
 
 def decode_pieces(rows: DataFrame, model_path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:

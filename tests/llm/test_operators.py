@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -14,11 +15,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqframe.llm import quality_rules as QR
+from seqframe.llm.common import mix64
 from seqframe.llm.components import connected_components
 from seqframe.llm.jaccard import jaccard_components, linked_sets, one_of_each
 from seqframe.llm.license_scan import PHRASES, TEMPLATES, Scanner, compile_template, scan_licenses
 from seqframe.llm.mixing import mix_sources, mixed_documents
-from seqframe.llm.piece_encoding import PieceModel, decode_pieces, encode_pieces
+from seqframe.llm.piece_encoding import PieceModel, _salt, decode_pieces, encode_pieces, numbered_copies
 from seqframe.llm.quality_classifier import Subwords, quality_scores
 from seqframe.llm.substring_dedup import remove_repeats
 from seqframe.llm.token_files import Encoder, digests, encode_documents, read_metadata, read_tokens, write_tokens
@@ -140,8 +142,6 @@ def test_pieces_without_dropout_are_the_librarys(model_path):
 
 def naive_merge(model, word, key):
     """One candidate after the other, as the agenda brings them up."""
-    from seqframe.llm.common import mix64
-
     ids, _ = model.characters([word])
     pieces = [(int(i), n) for n, i in enumerate(ids)]
     skipped = set()
@@ -153,7 +153,7 @@ def naive_merge(model, word, key):
             if piece < 0 or (at, middle, piece) in skipped:
                 continue
             with np.errstate(over="ignore"):
-                draw = mix64(mix64(np.array([key], np.uint64) + np.uint64(at << 40) + np.uint64(middle << 20)) + np.uint64(piece))[0]
+                draw = mix64(key + _salt(np.array([at]), np.array([middle]), np.array([piece])))[0]
             if draw < model.limit:
                 skipped.add((at, middle, piece))
                 continue
@@ -167,17 +167,52 @@ def naive_merge(model, word, key):
 
 def test_piece_dropout(model_path):
     model = PieceModel(model_path, 3, 0.3)
-    some = [" internationalisation", " the", " ñandú", " unbelievable", " a", " x▁y", " reorganised"]
-    keys = np.arange(len(some) * 5, dtype=np.uint64).reshape(5, -1) * np.uint64(7919)
-    for row in keys:
-        ids, at = model.segment(some, row)
-        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [naive_merge(model, w, k) for w, k in zip(some, row)]
+    some = ["internationalisation", "the", "ñandú", "unbelievable", "a", "x▁y", "reorganised", "unbelievable" * 20]
+    text = " ".join(some * 5)
+    for document in range(3):
+        flat, at = model.encode(pa.array([text]), np.array([document], np.uint64))
+        with np.errstate(over="ignore"):
+            keys = mix64(mix64(np.array([document], np.uint64) + np.uint64(3)) + np.arange(40, dtype=np.uint64))
+        assert flat.tolist() == [i for w, k in zip(some * 5, keys) for i in naive_merge(model, " " + w, k)]
     texts = pa.array(ODD_TEXTS)
-    for variant in range(4):
-        flat, at = model.encode(texts, np.full(len(ODD_TEXTS), variant, np.uint64))
+    for document in range(4):
+        flat, at = model.encode(texts, np.full(len(ODD_TEXTS), document, np.uint64))
         assert [x.decode() for x in model.decode(flat, at)] == ODD_TEXTS
-    a, b = (model.encode(pa.array(["internationalisation of unbelievable reorganisation"]), np.array([v], np.uint64))[0].tolist() for v in (1, 2))
-    assert a != b
+
+
+def test_each_place_has_draws_of_its_own(model_path):
+    model = PieceModel(model_path, 1, 0.1)
+    texts = pa.array(["internationalisation of unbelievable reorganisation"] * 1000)
+    flat, at = model.encode(texts, np.arange(1000, dtype=np.uint64))
+    cuts = Counter(tuple(flat[a:b].tolist()) for a, b in zip(at[:-1], at[1:]))
+    assert len(cuts) > 100
+    # a place keeps the run without skips if none of its merges is drawn
+    root = model._runs(["unbelievable"])[0]
+    run = model._drawn(np.full(20_000, root), mix64(np.arange(20_000, dtype=np.uint64)))
+    assert abs((run == root).mean() - 0.9 ** int(model.steps[root])) < 0.015
+    flat, _ = model.encode(pa.array([" ".join(["unbelievable"] * 300)]), np.array([5], np.uint64))
+    assert len(set(flat.tolist())) > 10
+    again, _ = PieceModel(model_path, 1, 0.1).encode(pa.array([" ".join(["unbelievable"] * 300)]), np.array([5], np.uint64))
+    assert flat.tolist() == again.tolist()
+
+
+def test_long_word_without_spaces(model_path):
+    model = PieceModel(model_path, 1, 0.1)
+    text = "unbelievable中文" * 20_000
+    began = time.time()
+    flat, at = model.encode(pa.array([text]), np.array([1], np.uint64))
+    assert model.decode(flat, at) == [text.encode()] and time.time() - began < 60
+    # table and heap give the same ids
+    for word in ("unbelievable" * 8, "x" * 100, "reorganised中文"):
+        whole = PieceModel(model_path, 1, 0.0)
+        ids, *_ = whole.segment([" " + word], [()])
+        assert ids.tolist() == whole.segment_long(" " + word, 0)
+
+
+def test_copies_are_numbered(spark, odd, empty):
+    rows = numbered_copies(odd.union(odd), "copy").collect()
+    assert len(rows) == 2 * odd.count() and len({(r.doc_id, r.text, r.copy, *map(str, r)) for r in rows}) == len(rows)
+    assert numbered_copies(empty).count() == 0
 
 
 def test_encode_pieces_frame(spark, odd, empty, model_path):
