@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from seqframe.llm.common import shared_path
 from seqframe.llm.jaccard import one_of_each
 from seqframe.llm.mixing import mixed_documents
-from seqframe.llm.piece_encoding import encode_pieces
+from seqframe.llm.piece_encoding import encode_pieces, numbered_copies
 from seqframe.llm.quality_rules import keep_good
 from seqframe.llm.substring_dedup import remove_repeats
 
@@ -43,10 +43,11 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of each document that the mix takes, cut with merge-dropout; a document's copies are alike."""
+    """Ids of each document that the mix takes, cut with merge-dropout; each copy by draws of its own."""
     import public_tokenizers
 
-    encoded = encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id", "source"])
+    copies = numbered_copies(docs.select("doc_id", "source", "text"))
+    encoded = encode_pieces(copies, public_tokenizers.path("piece_bpe_32k.model"), copy="copy", keep=["doc_id", "source"])
     return encoded.select("doc_id", "source", F.size("ids").cast("long").alias("n_ids"), "ids_crc32", "lossless", "ids")
 
 
