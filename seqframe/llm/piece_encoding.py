@@ -10,13 +10,13 @@ the candidate's place and piece.  So a document is always cut alike, but each
 place where a word stands has draws of its own, and every segmentation spells
 the same text.
 
-What a draw does to a word depends on the word alone, so it is worked out once
-and kept: a *run* is the agenda of a word with a given set of skipped candidates,
-its merges in the order they came up, and the ids it ends in.  A place starts with
-the run without skips, draws for its merges, and goes on with the run that also
-skips the first one drawn, until nothing is drawn.  New runs are made side by side:
-each step takes the best candidate of every word that has one left.  Words of more
-than ``LONG`` symbols have a heap for an agenda, at every place anew.
+What a skip does to a word depends on the word alone, so what most places need is
+worked out once and kept: a *run* is the agenda of a word with one candidate skipped
+or none, its merges in the order they came up, and the ids it ends in.  A place starts
+with the run without skips, draws for its merges, and goes on with the run that skips
+the first one drawn; if a merge of that is drawn too, its agenda is worked out for
+itself.  Agendas go side by side: each step takes the best candidate of every word
+that has one left.  Words of more than ``LONG`` symbols have a heap for an agenda.
 
 Decoding is lossless: characters the model lacks, the sign that stands for a
 space (U+2581) where the text itself holds it, and what the model would
@@ -135,9 +135,8 @@ class PieceModel:
     def _forget(self) -> None:
         """Drop all runs.  A run's ids and merges (as salts) lie one after the other in ``ids`` and ``salts``."""
         self.roots: dict[str, int] = {}
-        self.children: dict[tuple[int, int], int] = {}
+        self.children: dict[int, int] = {}
         self.word: list[str] = []
-        self.skips: list[tuple[int, ...]] = []
         self.begin, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.first, self.steps, self.salts = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
 
@@ -163,15 +162,13 @@ class PieceModel:
         per_word = np.bincount(owner, weights=count, minlength=len(words)).astype(np.int64)
         return ids, np.concatenate(([0], np.cumsum(per_word)))
 
-    def segment(self, words: list[str], skips: list[tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of all words whose candidates ``skips`` (salts) are skipped, the offsets of the words, the salts of all merges, and per word where its own begin and how many they are."""
+    def segment(self, words: list[str], skip: np.ndarray, keys: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all words, where the candidate of salt ``skip`` (0: none) and those that ``keys`` draw are skipped; the offsets of the words,
+        the salts of all merges, and per word where its own begin and how many they are."""
         ids, offsets = self.characters(words)
         size = np.diff(offsets)
         out = ids.copy()
         live = np.ones(len(ids), bool)  # whether a piece begins here
-        held = np.zeros((len(words), max(map(len, skips), default=0)), np.uint64)
-        for i, skipped in enumerate(skips):
-            held[i, : len(skipped)] = skipped
         # words of like size go together, as rows of a table
         order = np.argsort(size, kind="stable")
         order = order[size[order] > 1]
@@ -186,7 +183,7 @@ class PieceModel:
             at = offsets[rows][:, None] + np.arange(width)[None, :]
             inside = np.arange(width)[None, :] < size[rows][:, None]
             table = np.where(inside, ids[np.minimum(at, len(ids) - 1)], NONE)
-            table, which, salt = self._merge(table, held[rows])
+            table, which, salt = self._merge(table, skip[rows], None if keys is None else keys[rows])
             out[at[inside]], live[at[inside]] = table[inside], table[inside] != NONE - 1
             own = np.bincount(which, minlength=len(rows))
             first[rows], steps[rows] = total + np.cumsum(own) - own, own
@@ -196,24 +193,30 @@ class PieceModel:
         per_word = np.concatenate(([0], np.cumsum(live)))[offsets]
         return out[live].astype(np.int32), per_word, np.concatenate(salts), first, steps
 
-    def _candidates(self, held: np.ndarray, left: np.ndarray, right: np.ndarray, at: np.ndarray, middle: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _candidates(self, skip: np.ndarray, key: np.ndarray | None, left: np.ndarray, right: np.ndarray, at: np.ndarray, middle: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ranks of the unions of pieces at ``at`` and ``middle`` of their words (a large number without one, or where it is skipped), and their salts."""
         piece = self.union(left, right)
         rank = np.where(piece >= 0, self.rank[piece], self.n)
         salt = _salt(at, middle, piece)
-        rank[(held == salt[:, None]).any(axis=1)] = self.n
+        rank[salt == skip] = self.n
+        if key is not None:
+            rank[self._skipped(key, salt)] = self.n
         return rank, salt
 
-    def _merge(self, table: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _merge(self, table: np.ndarray, skip: np.ndarray, key: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Rows of pieces, merged (a place that its left neighbours took holds -2), and the rows and salts of the merges, in order."""
         height, width = table.shape
+
+        def offer(r: np.ndarray, at: np.ndarray, middle: np.ndarray) -> None:
+            rank[r, at], salt[r, at] = self._candidates(skip[r], None if key is None else key[r], table[r, at], table[r, middle], at, middle)
+
         table = table.copy()
         after = np.tile(np.arange(1, width + 1), (height, 1))  # where the next piece begins
         before = np.tile(np.arange(-1, width - 1), (height, 1))
         rank, salt = np.full((height, width), self.n), np.zeros((height, width), np.uint64)  # of the union with the next piece
         if width > 1:
             r, c = np.nonzero((table[:, :-1] >= 0) & (table[:, 1:] >= 0))
-            rank[r, c], salt[r, c] = self._candidates(held[r], table[r, c], table[r, c + 1], c, c + 1)
+            offer(r, c, c + 1)
         active = np.arange(height)
         rows, salts = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
         while len(active):
@@ -234,12 +237,10 @@ class PieceModel:
             ok = nxt < width
             before[active[ok], nxt[ok]] = best[ok]
             ok &= table[active, np.minimum(nxt, width - 1)] >= 0
-            r, c = active[ok], best[ok]
-            rank[r, c], salt[r, c] = self._candidates(held[r], table[r, c], table[r, nxt[ok]], c, nxt[ok])
+            offer(active[ok], best[ok], nxt[ok])
             prev = before[active, best]
             ok = prev >= 0
-            r, c, p = active[ok], best[ok], prev[ok]
-            rank[r, p], salt[r, p] = self._candidates(held[r], table[r, p], table[r, c], p, c)
+            offer(active[ok], prev[ok], best[ok])
         return table, np.concatenate(rows), np.concatenate(salts)
 
     def segment_long(self, word: str, key: int) -> list[int]:
@@ -299,27 +300,30 @@ class PieceModel:
         short = np.flatnonzero(~long)
         root[short] = self._runs([words[i] for i in short])
         run = root[code]
+        drawn = [np.zeros(0, np.int64)]
         for start in range(0, len(run) if self.limit else 0, PLACES):
             own = slice(start, start + PLACES)
-            run[own] = self._drawn(run[own], key[own])
-        apart = np.flatnonzero(long[code])
-        extra = [np.array(self.segment_long(" " + words[code[i]], int(key[i])), np.int32) for i in apart]
+            run[own], more = self._drawn(run[own], key[own])
+            drawn.append(start + more)
         begin, size = self.begin[run], self.size[run]
-        if len(apart):
-            size[apart] = [len(x) for x in extra]
-            begin[apart] = len(self.ids) + np.cumsum(size[apart]) - size[apart]
-        ids = np.concatenate([self.ids, *extra])
+        # places that no run is kept for
+        drawn, apart = np.concatenate(drawn), np.flatnonzero(long[code])
+        ids, ends, *_ = self.segment([" " + words[i] for i in code[drawn]], np.zeros(len(drawn), np.uint64), key[drawn])
+        begin[drawn], size[drawn] = len(self.ids) + ends[:-1], np.diff(ends)
+        extra = [np.array(self.segment_long(" " + words[code[i]], int(key[i])), np.int32) for i in apart]
+        size[apart] = [len(x) for x in extra]
+        begin[apart] = len(self.ids) + len(ids) + np.cumsum(size[apart]) - size[apart]
+        ids = np.concatenate([self.ids, ids, *extra])
         # a text begins with the space that the model puts before it; an empty text has nothing
         size = np.where(np.repeat(full, np.diff(offsets)), size, 0)
         ends = np.concatenate(([0], np.cumsum(size)))
         flat = ids[np.repeat(begin - ends[:-1], size) + np.arange(ends[-1])]
         return flat, ends[offsets]
 
-    def _drawn(self, run: np.ndarray, key: np.ndarray) -> np.ndarray:
-        """The runs that places end in, from those without skips."""
-        run = run.copy()
-        todo = np.arange(len(run))
-        while len(todo):
+    def _drawn(self, run: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The runs that places end in, from those without skips; and the places that skip more than one candidate."""
+        run, todo = run.copy(), np.arange(len(run))
+        for kept in (True, False):
             steps = self.steps[run[todo]]
             ends = np.cumsum(steps)
             who = np.repeat(np.arange(len(todo)), steps)
@@ -328,35 +332,36 @@ class PieceModel:
             # the first draw of each place
             hit = hit[np.concatenate(([True], who[hit][1:] != who[hit][:-1]))[: len(hit)]]
             todo = todo[who[hit]]
-            run[todo] = self._children(run[todo], step[hit])
-        return run
+            if kept:
+                run[todo] = self._children(run[todo], step[hit])
+        return run, todo
 
     def _runs(self, words: list[str]) -> np.ndarray:
         """The runs without skips."""
         new = [w for w in words if w not in self.roots]
-        at = self._add(new, [()] * len(new))
+        at = self._add(new, np.zeros(len(new), np.uint64))
         self.roots.update(zip(new, range(at, at + len(new)), strict=True))
         return np.array([self.roots[w] for w in words], np.int64)
 
     def _children(self, run: np.ndarray, step: np.ndarray) -> np.ndarray:
-        """The runs that also skip a merge of the given ones."""
+        """The runs that skip one of the merges of those without skips."""
         pairs, number = np.unique(run * LONG + step, return_inverse=True)  # a word has fewer merges than symbols
-        names = list(zip((pairs // LONG).tolist(), (pairs % LONG).tolist(), strict=True))
+        names = pairs.tolist()
         new = [x for x in names if x not in self.children]
-        at = self._add([self.word[r] for r, _ in new], [(*self.skips[r], int(self.salts[self.first[r] + i])) for r, i in new])
+        run, step = np.divmod(np.array(new, np.int64), LONG)
+        at = self._add([self.word[r] for r in run.tolist()], self.salts[self.first[run] + step])
         self.children.update(zip(new, range(at, at + len(new)), strict=True))
         return np.array([self.children[x] for x in names], np.int64)[number]
 
-    def _add(self, words: list[str], skips: list[tuple[int, ...]]) -> int:
+    def _add(self, words: list[str], skip: np.ndarray) -> int:
         """Make runs; the first one's number."""
         at = len(self.word)
         if words:
-            ids, offsets, salts, first, steps = self.segment([" " + w for w in words], skips)
+            ids, offsets, salts, first, steps = self.segment([" " + w for w in words], skip)
             self.begin, self.size = np.concatenate((self.begin, len(self.ids) + offsets[:-1])), np.concatenate((self.size, np.diff(offsets)))
             self.first, self.steps = np.concatenate((self.first, len(self.salts) + first)), np.concatenate((self.steps, steps))
             self.ids, self.salts = np.concatenate((self.ids, ids)), np.concatenate((self.salts, salts))
             self.word += words
-            self.skips += skips
         return at
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[bytes]:

@@ -188,7 +188,7 @@ def test_each_place_has_draws_of_its_own(model_path):
     assert len(cuts) > 100
     # a place keeps the run without skips if none of its merges is drawn
     root = model._runs(["unbelievable"])[0]
-    run = model._drawn(np.full(20_000, root), mix64(np.arange(20_000, dtype=np.uint64)))
+    run, _ = model._drawn(np.full(20_000, root), mix64(np.arange(20_000, dtype=np.uint64)))
     assert abs((run == root).mean() - 0.9 ** int(model.steps[root])) < 0.015
     flat, _ = model.encode(pa.array([" ".join(["unbelievable"] * 300)]), np.array([5], np.uint64))
     assert len(set(flat.tolist())) > 10
@@ -205,7 +205,7 @@ def test_long_word_without_spaces(model_path):
     # table and heap give the same ids
     for word in ("unbelievable" * 8, "x" * 100, "reorganised中文"):
         whole = PieceModel(model_path, 1, 0.0)
-        ids, *_ = whole.segment([" " + word], [()])
+        ids, *_ = whole.segment([" " + word], np.zeros(1, np.uint64))
         assert ids.tolist() == whole.segment_long(" " + word, 0)
 
 
