@@ -13,6 +13,7 @@ from ..functions.text import letters, words
 from ..operators import manifold as M
 from ..operators.hooks import grouped_aggregate
 from ..operators.pooling import embed
+from ..operators.runs import score_runs
 from ..plans import catalog_corpus as CC
 from ..session import read_table, scratch_path
 from ..sources import files as S
@@ -21,6 +22,8 @@ from .registry import query
 from .standins import ROUND, SQL_LETTERS, SQL_WORDS, documents, embedding_sets, sql_chars
 
 XML_ROWS_PER_FILE = 2000
+#: Runs that the subject vectors are dealt to.
+N_RUNS = 3
 
 
 def _xml_entries(spark, sf_dir):
@@ -187,6 +190,36 @@ def metrics_sink(spark, sf_dir):
     return spark.read.json(path)
 
 
+def _run_metrics_sql() -> str:
+    from .catalog_vectors import SQL_RAD, sql_dist
+
+    return f"""
+WITH e AS (SELECT vec_id, embedding, CASE WHEN vec_id % 2 = 0 THEN 'ref' ELSE 'run_' || (vec_id // 2 % {N_RUNS}) END AS set
+  FROM embeddings), {SQL_RAD},
+cr AS (SELECT s.vec_id, s.set AS sset, r.set AS rset, r.radius AS rrad, {sql_dist('s.embedding', 'r.embedding')} AS dist
+  FROM rad s JOIN rad r ON (s.set = 'ref') <> (r.set = 'ref')),
+cov AS (SELECT vec_id, sset, rset, bool_or(dist < rrad) AS covered, max(rrad / (dist + 1e-6)) AS realism
+  FROM cr GROUP BY vec_id, sset, rset),
+p AS (SELECT sset AS run, count(*) AS n, avg(covered::INT) AS precision, max(realism) AS realism FROM cov WHERE rset = 'ref' GROUP BY sset),
+q AS (SELECT rset AS run, avg(covered::INT) AS recall FROM cov WHERE sset = 'ref' GROUP BY rset)
+SELECT run, CAST(n AS BIGINT) AS n, round(precision, {ROUND}) AS precision, round(recall, {ROUND}) AS recall,
+  round(realism, {ROUND}) AS realism FROM p JOIN q USING (run)"""
+
+
+@query("run_metrics", "C8 S11 S12 S13 A10 A11", _run_metrics_sql())
+def run_metrics(spark, sf_dir):
+    """Three runs stored under ``run=`` folders, scored against one saved
+    reference manifold; a metric row for each run goes to the JSON sink."""
+    e = embedding_sets(spark, sf_dir)
+    man_path, root, out = (scratch_path(spark, n) for n in ("run-reference", "run-embeddings", "run-metrics"))
+    S.write_manifold(M.compute_manifold(e.where(F.col("set") == "ref"), 3), man_path)
+    named = F.concat(F.lit("run_"), F.pmod(F.floor(F.col("id") / 2), F.lit(N_RUNS)).cast("string"))
+    S.write_pairs(e.where(F.col("set") == "subject").select("id", "embedding", named.alias("run")), root)
+    S.write_metrics(score_runs(S.read_manifold(spark, man_path), S.read_runs(spark, root)), out)
+    back = spark.read.schema("n long, precision double, recall double, realism double, run string").json(out)
+    return back.select("run", "n", *[F.round(c, ROUND).alias(c) for c in ("precision", "recall", "realism")])
+
+
 # -------------------------------------------------------------- streaming
 @query("stream_token_counts", "R1 A7", f"""
 SELECT tag, count(*) AS count FROM (SELECT unnest({SQL_WORDS}) AS tag FROM documents)
