@@ -6,12 +6,18 @@ the same one).
 
 Every window start is a suffix.  Its prefix is cut behind its anchor, the
 smallest 5-gram hash of the window, so prefixes are 5 to ``n`` words long and
-windows of equal words have equal prefixes.  Suffixes of one anchor are a group:
+windows of equal words have equal prefixes.  Suffixes of one prefix are a group;
+an anchor of more than ``piece`` suffixes is too large for one, so its prefixes
+are lengthened by all the other words of the window:
 
 1. Anchors that occur in one text only, once, can't start a repeat; they are
    found by a shuffle of (anchor, place).
-2. The suffixes of the other anchors are sent to the anchor's task, with the
-   words around it that their windows hold.
+   The same shuffle counts the places of each anchor.
+2. The suffixes of the other anchors are sent to the task of their prefix, with
+   the words around the anchor that their windows hold.  An anchor within the
+   bound sends all its windows in one row; a larger one sends each window by
+   itself, to the task of the window's own words.  So a group has at most
+   ``piece`` rows, or all its windows are equal.
 3. A task builds each group's subtree: it sorts the suffixes by their words and
    compares neighbours.  Neighbours that agree in all ``n`` words share an
    internal node of that depth, whose leaves are all places of the repeat; all
@@ -19,8 +25,8 @@ windows of equal words have equal prefixes.  Suffixes of one anchor are a group:
 
 Before 1 and 2, what a slice of a task's texts holds several times is sent once,
 so a passage in a third of all documents is a row a slice.  A group's suffixes
-come in order of doc_id and are taken piece by piece; between pieces only its
-first places are kept.  Exact copies of a text are not compared at all: all of
+come in order of doc_id and are taken piece by piece; of equal windows only the
+first places are kept between pieces.  Exact copies of a text are not compared at all: all of
 their words are covered.
 
 Cases: null and empty texts have no words; a null doc_id counts as the largest;
@@ -42,6 +48,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from seqframe.llm.common import cut, fresh, from_columns, grams, mix64, schema_with, slices, text_key, tidy, word_hashes, word_lists
+from seqframe.session import sized
 
 K = 5
 WORD_BITS = np.uint64((1 << 40) - 1)
@@ -102,7 +109,7 @@ def _scatter(*parts: np.ndarray) -> np.ndarray:
 
 def _anchors(n: int) -> Callable:
     """(key, t, place) of anchors; place is twice the position in the text, plus one if the anchor is known to repeat (which it says
-    to others of its key)."""
+    to others of its key), and above 32 bits the number of the anchor's places in the slice."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
@@ -121,10 +128,10 @@ def _anchors(n: int) -> Callable:
                 at, text, h = at[order], text[order], h[order]
                 new = np.concatenate(([True], h[1:] != h[:-1]))
                 run_of = np.cumsum(new) - 1
-                sure = (np.diff(np.append(np.flatnonzero(new), len(h))) > 1)[run_of]
+                size = np.diff(np.append(np.flatnonzero(new), len(h)))[run_of]
                 pos = at - w.offsets[text]
                 key = np.where(new, h.view(np.int64), _scatter(t[text], pos))
-                yield from_columns(key=key, t=t[text], place=2 * pos + sure)
+                yield from_columns(key=key, t=t[text], place=(np.where(new, size, 0) << 32) + 2 * pos + (size > 1))
 
     return run
 
@@ -320,25 +327,45 @@ def _kept(n: int, text: str, own: list[str], added: tuple[str, ...]) -> Callable
     return run
 
 
+def _lengthened(suffixes: DataFrame, heavy: DataFrame, n: int) -> DataFrame:
+    """Suffixes of the heavy anchors by themselves, each under a key of its whole window."""
+    side = n - K
+    both = suffixes.join(heavy.select(F.col("key").alias("key2")), (F.col("key") == F.col("key2")) & (F.col("off") >= 0), "left")
+    own = F.expr(f"""
+        CASE WHEN key2 IS NULL THEN array(named_struct('key', key, 'mask', mask))
+        ELSE transform(filter(sequence(0, {side}), b -> getbit(mask, b) = 1), b -> named_struct(
+            'key', xxhash64(key, off - b, substring(context, ({side} - off + b) * 5 + 1, {side} * 5)), 'mask', shiftleft(1, b))) END""")
+    return both.select("doc_id", "t", "s0", "off", "context", F.explode(own).alias("own")).select("own.key", "doc_id", "t", "s0", "own.mask", "off", "context")
+
+
+def grouped_suffixes(rows: DataFrame, first: DataFrame, n: int, piece: int) -> DataFrame:
+    """The suffixes that may repeat, of ``rows`` (doc_id, t, text), by the key of their group; ``first``: the smallest doc_id of each text."""
+    anchors = rows.select("t", "text").mapInArrow(tidy(_anchors(n)), "key long, t long, place long")
+    alike = Window.partitionBy("key")
+    known = F.col("place") % 2 == 1
+    several = (F.min("t").over(alike) < F.max("t").over(alike)) | F.max(known).over(alike)
+    total = F.sum(F.shiftright("place", 32)).over(alike)
+    seen = anchors.withColumn("again", known | several).withColumn("heavy", F.when(total > piece, F.col("key"))).where("again")
+    position = F.shiftright(F.col("place").bitwiseAND(F.lit((1 << 32) - 1)), 1).cast("int")
+    places = sized(seen.groupBy("t").agg(F.collect_set(position).alias("places"), F.collect_set("heavy").alias("heavy")))
+    heavy = sized(places.select(F.explode("heavy").alias("key")).distinct())
+    where = places.join(first, F.col("t") == F.col("t2")).select(F.col("first").alias("id2"), "t2", "places")
+    met = rows.join(where.hint("shuffle_hash"), (F.col("doc_id") == F.col("id2")) & (F.col("t") == F.col("t2"))).select("doc_id", "t", "text", "places")
+    suffixes = met.mapInArrow(tidy(_suffixes(n)), "key long, doc_id long, t long, s0 int, mask int, off int, context binary")
+    # without a heavy anchor there is nothing to lengthen
+    return suffixes if heavy.isEmpty() else _lengthened(suffixes, heavy, n)
+
+
 def remove_repeats(docs: DataFrame, n: int = 20, doc_id: str = "doc_id", text: str = "text", words: str = "n_words", removed: str = "n_removed", piece: int = PIECE) -> DataFrame:
     """``docs`` with the kept words, joined by a space, as the text, and two more columns: words before, and removed ones.
-    ``piece``: suffixes that a task sorts at once."""
+    ``piece``: suffixes that a task sorts at once, and the most that an anchor's group has."""
     if not K <= n < K + 31:
         raise ValueError(f"windows have {K} to {K + 30} words")
     order = F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST))
     rows = docs.select(order.alias("doc_id"), text_key(F.col(text)).alias("t"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    anchors = rows.select("t", "text").mapInArrow(tidy(_anchors(n)), "key long, t long, place long")
-    alike = Window.partitionBy("key")
-    known = F.col("place") % 2 == 1
-    several = (F.min("t").over(alike) < F.max("t").over(alike)) | F.max(known).over(alike)
-    places = anchors.withColumn("again", known | several).where("again").groupBy("t").agg(F.collect_set(F.floor(F.col("place") / 2).cast("int")).alias("places"))
-
     first = rows.groupBy("t").agg(F.min("doc_id").alias("first")).withColumnRenamed("t", "t2")
     copies = cut(rows.select("doc_id", "t").distinct().join(first, (F.col("t") == F.col("t2")) & (F.col("doc_id") > F.col("first")), "left_semi"))
-    places = places.join(first, F.col("t") == F.col("t2")).select(F.col("first").alias("id2"), "t2", "places")
-
-    met = rows.join(places.hint("shuffle_hash"), (F.col("doc_id") == F.col("id2")) & (F.col("t") == F.col("t2"))).select("doc_id", "t", "text", "places")
-    suffixes = met.mapInArrow(tidy(_suffixes(n)), "key long, doc_id long, t long, s0 int, mask int, off int, context binary")
+    suffixes = grouped_suffixes(rows, first, n, piece)
     marks = suffixes.repartition("key").sortWithinPartitions("key", "doc_id", "s0").mapInArrow(tidy(_trees(n, piece)), "doc_id long, t long, pairs binary")
     spans = marks.groupBy("doc_id", "t").agg(F.collect_list("pairs").alias("spans"))
     spans = spans.join(copies.select(F.col("doc_id").alias("id3"), F.col("t").alias("t3"), F.lit(True).alias("copy")), (F.col("doc_id") == F.col("id3")) & (F.col("t") == F.col("t3")), "full")

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import random
 import re
 import time
 import zlib
@@ -15,14 +16,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqframe.llm import quality_rules as QR
-from seqframe.llm.common import mix64
+from seqframe.llm.common import grams, hashes, mix64
 from seqframe.llm.components import connected_components
 from seqframe.llm.jaccard import jaccard_components, linked_sets, one_of_each
 from seqframe.llm.license_scan import PHRASES, TEMPLATES, Scanner, compile_template, scan_licenses
 from seqframe.llm.mixing import mix_sources, mixed_documents
 from seqframe.llm.piece_encoding import PieceModel, _salt, decode_pieces, encode_pieces, numbered_copies
 from seqframe.llm.quality_classifier import Subwords, quality_scores
-from seqframe.llm.substring_dedup import remove_repeats
+from seqframe.llm.substring_dedup import grouped_suffixes, remove_repeats
 from seqframe.llm.token_files import Encoder, digests, encode_documents, read_metadata, read_tokens, write_tokens
 from seqframe.llm.topk_search import top_k
 from seqframe.llm.toxicity import Machine, Words, _codes, _kernel, toxicity_scores
@@ -372,6 +373,25 @@ def test_substring_dedup_within_a_document_and_hot_passages(spark):
     assert got == brute_dedup(rows, 20)
 
 
+def test_substring_dedup_hot_prefix(spark):
+    """One anchor in every text, with other words around it: groups stay within the bound, and repeats that hold it are found."""
+    rng = random.Random(8)
+    phrases = [[f"hot{i}", "beta", "gamma", "delta", "epsilon"] for i in range(300)]
+    hot = " ".join(min(phrases, key=lambda p: grams(hashes(p), 5)[0]))
+    mixed = lambda: " ".join(rng.choice("abcdefgh") + str(rng.randrange(50)) for _ in range(18))
+    around = [(mixed(), mixed()) for _ in range(40)]
+    texts = [f"{a} {hot} {b}" for a, b in around] * 3 + [f"{mixed()} {hot} {b}" for _, b in around] + [f"{mixed()} {hot} {mixed()}" for _ in range(400)]
+    rng.shuffle(texts)
+    rows = [(i, f"{t} end{i}") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = Counter((r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.text.encode()).hexdigest()) for r in remove_repeats(docs, piece=50).collect())
+    assert got == brute_dedup(rows, 20)
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("t"), "text")
+    first = keyed.groupBy("t").agg(F.min("doc_id").alias("first")).withColumnRenamed("t", "t2")
+    most = lambda piece: grouped_suffixes(keyed, first, 20, piece).where("off >= 0").groupBy("key").count().agg(F.max("count")).first()[0]
+    assert most(50) <= 50 < 400 < most(100_000)
+
+
 # ------------------------------------------------------------------ licences
 def test_templates():
     scanner = Scanner(TEMPLATES, PHRASES)
