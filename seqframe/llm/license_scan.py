@@ -9,6 +9,12 @@ It is compiled into an automaton over words.  A text holds the licence where
 the automaton accepts a run of its words, so all mandatory wording must stand
 there exactly; cases, punctuation and spacing don't matter.
 
+The MIT, ISC and two- and three-clause BSD licences are matched as wholes, from
+the grant to the end of the disclaimer.  Other templates are notices that name a
+licence, and the openings of MIT and BSD, which are labelled as openings: a text
+that goes on otherwise than the licence does has no more than that.  Templates
+with more mandatory words score higher; the whole licences score 1.
+
 Words are runs of ASCII letters, digits and all characters beyond ASCII,
 after A-Z are lower-cased.
 
@@ -34,21 +40,58 @@ from seqframe.llm.common import from_columns, slices
 #: Fixed values of the contract: phrases and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: Labels and templates; the first words of a template are mandatory.
-TEMPLATES = {
+_AS_IS = "the implied warranties of merchantability and fitness for a particular purpose are disclaimed"
+_BSD_OPENING = "redistribution and use in source and binary forms with or without modification are permitted"
+_BSD_CONDITIONS = (
+    _BSD_OPENING + " provided that the following conditions are met "
+    "[[{{1-1}} ]]redistributions of source code must retain the [[above ]]copyright notice this list of conditions and the following disclaimer "
+    "[[{{1-1}} ]]redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer "
+    "in the documentation and or other materials provided with the distribution ")
+_BSD_DISCLAIMER = (
+    "this software is provided by {{1-12}} as is and any express or implied warranties including but not limited to " + _AS_IS + " "
+    "in no event shall {{1-12}} be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to "
+    "procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability "
+    "whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software "
+    "even if advised of the possibility of such damage")
+_MIT_OPENING = (
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files "
+    "the software to deal in the software without restriction")
+
+#: Fixed wordings of whole licences; holders, numbers of conditions and customary insertions are replaceable or optional.
+LICENSES = {
+    "mit-text": _MIT_OPENING + " including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software "
+                "and to permit persons to whom the software is furnished to do so subject to the following conditions "
+                "the above copyright notice and this permission notice [[including the next paragraph ]]shall be included in all copies or substantial portions of the software "
+                "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability "
+                "fitness for a particular purpose and noninfringement in no event shall {{1-12}} be liable for any claim damages or other liability "
+                "whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    "bsd-2-clause": _BSD_CONDITIONS + _BSD_DISCLAIMER,
+    "bsd-3-clause": _BSD_CONDITIONS + "[[{{1-1}} ]]neither the name of {{1-12}} nor the names of {{1-4}} contributors may be used to endorse or promote products "
+                    "derived from this software without specific prior written permission " + _BSD_DISCLAIMER,
+    "isc": "permission to use copy modify and [[or ]]distribute this software for any purpose with or without fee is hereby granted "
+           "provided that the above copyright notice and this permission notice appear in all copies "
+           "the software is provided as is and {{1-12}} disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness "
+           "in no event shall {{1-12}} be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits "
+           "whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+}
+
+#: Notices that name a licence, and openings that may go on otherwise.
+NOTICES = {
     "mit": "[[released ]]under the [[terms of the ]]mit license",
-    "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files "
-                "[[the software ]]to deal in the software without restriction",
+    "mit-opening": _MIT_OPENING,
     "apache-2.0": "under the apache license [[version ]]2 0",
     "gpl-notice": "under the [[terms of the ]][[gnu ]]general public license [[as published by the free software foundation ]][[either ]]version {{1-2}}",
     "lgpl": "gnu lesser general public license",
     "cc-by": "under [[the ]][[a ]]cc by [[{{0-2}}]]4 0",
     "cc": "under [[the ]][[a ]]creative commons attribution [[{{0-3}}]]license",
-    "bsd": "redistribution and use in source and binary forms with or without modification are permitted",
+    "bsd-opening": _BSD_OPENING,
     "copyright": "copyright [[c ]]{{1-8}}all rights reserved",
     "mpl": "subject to the terms of the mozilla public license [[v ]][[version ]]2 0",
 }
 
+#: Labels and templates; the first words of a template are mandatory.
+TEMPLATES = LICENSES | NOTICES
+
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _IS_WORD = np.array([bool(_WORD.fullmatch(bytes([i]))) for i in range(256)])
 
@@ -148,7 +191,7 @@ class Scanner:
         return set(_WORD.findall(re.sub(r"\{\{[^}]*\}\}", " ", plain).lower().encode()))
 
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, str]], list[tuple[int, int, str]], float]:
-        """Places of phrases, spans of templates, and the best share of mandatory words that a match has covered."""
+        """Places of phrases, spans of templates, and the best score of a match."""
         places: dict[bytes, list[int]] = {}
         for i, w in enumerate(words):
             places.setdefault(w, []).append(i)
@@ -168,13 +211,13 @@ class Scanner:
                         end = j + 1  # the longest match counts
                 if end:
                     spans.append((i, end, label))
-                    best = max(best, min(1.0, 0.5 + a.mandatory / 20))
+                    best = max(best, min(1.0, 0.5 + a.mandatory / 200))
         return found, spans, best
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, phrases: dict[str, str] | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document doc_id, n_words, ``places`` (start word and label of each phrase), ``spans`` (start, end, label of each
-    template's match) and ``score``: 0 without either, 0.5 for a phrase alone, up to 1 with the mandatory words matched."""
+    template's match) and ``score``: 0 without either, 0.5 for a phrase alone, more with the mandatory words matched, 1 from 100 of them on."""
     templates, phrases = TEMPLATES if templates is None else templates, PHRASES if phrases is None else phrases
     schema = "doc_id {}, n_words long, places array<struct<start:long,label:string>>, spans array<struct<start:long,end:long,label:string>>, score double"
 

@@ -411,6 +411,97 @@ def test_templates():
             compile_template(bad)
 
 
+MIT = """Copyright (c) 2021 Some Body
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE."""
+
+BSD_HEAD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD_NAMES = """3. Neither the name of the copyright holder nor the names of its contributors
+   may be used to endorse or promote products derived from this software
+   without specific prior written permission.
+"""
+BSD_TAIL = """
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND
+ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED
+WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER
+CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY,
+OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE
+OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND
+FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT,
+INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM
+LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR
+OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR
+PERFORMANCE OF THIS SOFTWARE."""
+
+WHOLE = {"mit-text": MIT, "bsd-2-clause": BSD_HEAD + BSD_TAIL, "bsd-3-clause": BSD_HEAD + BSD_NAMES + BSD_TAIL, "isc": ISC}
+
+
+@pytest.mark.parametrize("label", WHOLE)
+def test_whole_licenses(label):
+    scanner = Scanner(TEMPLATES, PHRASES)
+    tokens = lambda t: re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower().encode())
+    own = tokens(WHOLE[label])
+    _, spans, score = scanner.scan([b"some", b"code", *own, b"more", b"code"])
+    assert score == 1.0 and {x for _, _, x in spans} & set(WHOLE) == {label}
+    start, end, _ = next(s for s in spans if s[2] == label)
+    assert end == len(own) + 2 and start >= 2
+    # other holders and other numbers of conditions are the same licence
+    other = re.sub(r"(?m)^\d\.", "*", WHOLE[label]).replace("COPYRIGHT HOLDERS AND CONTRIBUTORS", "ACME INC").replace("THE AUTHOR DISCLAIMS", "J DOE DISCLAIMS").replace("AUTHORS OR COPYRIGHT HOLDERS BE", "ACME INC BE")
+    assert label in {x for _, _, x in scanner.scan(tokens(other))[1]}
+    # a word changed or left out anywhere but in a holder's name or a number makes it another text
+    holders = {"mit-text": "the authors or copyright holders", "bsd-2-clause": "the copyright holders and contributors", "bsd-3-clause": "the copyright holders and contributors", "isc": "the author"}[label].encode().split()
+    name = "the copyright holder or contributors the copyright holder its".split()
+    loose = {w for w in (*holders, *(x.encode() for x in name), b"or", b"above", b"1", b"2", b"3")}
+    for i in range(start - 2, len(own)):
+        for altered in ([*own[:i], b"zzz", *own[i + 1 :]], [*own[:i], *own[i + 1 :]]):
+            if label in {x for _, _, x in scanner.scan(altered)[1]}:
+                assert own[i] in loose
+
+
+def test_altered_licenses_are_openings_only():
+    scanner = Scanner(TEMPLATES, PHRASES)
+    tokens = lambda t: re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower().encode())
+    for text, opening in ((MIT.replace("without restriction, including", "without restriction except that the software shall not be sold, including"), "mit-opening"),
+                          (BSD_HEAD.replace("are permitted", "are permitted only to members of the club") + BSD_TAIL, "bsd-opening")):
+        _, spans, score = scanner.scan(tokens(text))
+        assert {x for _, _, x in spans} == {opening} and score < 0.7
+
+
 def test_license_scan(spark, odd, empty):
     texts = ["MIT-license Mit\nLICENSE", "the GNU General   Public License, version 3", None, "", "no licence here", "apache license x General Public License", "xmit license", "émit license"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
