@@ -1,24 +1,25 @@
 """Exact all-pairs vector work without a cross join: the kernel of ``metric``, which leaves out pairs by the triangle
 inequality (J5, J6, J8, W1, W2, A11), and the plan for work that needs all pairs (A13) or has one block of references.
 
-Both sides are cut into hash blocks.  Subject rows are replicated once per
-reference block and reference rows once per subject block, so the pair
-(subject block q, reference block r) meets in exactly one co-group.  A
-pandas kernel computes that block's distance matrix with BLAS (norm
-expansion in float64, negative values clamped as in the reference) and emits
-only reductions per subject row:
+Both sides are cut into hash blocks of as many rows as a task can hold
+(``group_rows``: bounded by bytes, not by the pairs).  Subject rows are
+replicated once per reference block and reference rows once per subject
+block, so the pair (subject block q, reference block r) meets in exactly one
+co-group.  An Arrow kernel goes through a block a tile of ``CHUNK`` x
+``TILE`` pairs at a time: one BLAS product (norm expansion in float64) and
+one comparison with what each subject has so far, and emits only reductions
+per subject row:
 
 * ``topk``    - the k nearest references (exact distances, ties by id)
 * ``cover``   - whether the subject lies strictly inside any reference ball
 * ``realism`` - max over references of radius / (distance + 1e-6)
 * ``guard``   - count / minimum of negative squared distances (A13)
 
-Pairs are never materialised as rows.  Memory per task is one block
-(``block_rows`` x ``block_rows`` doubles); shuffle volume is
-n_s * R + n_r * Q vectors.  Borderline comparisons (distance within a
-tolerance of a radius, near-zero distances, the k-th place) are recomputed
-with the direct sum of squared differences so results equal the direct
-formula the SQL oracle uses.
+Pairs are never materialised as rows.  Memory per task is one block of each
+side and one tile; shuffle volume is n_s * R + n_r * Q vectors.  Whatever may
+change a result within the tolerance of the product (the k-th place, a
+distance near a radius, the best ratio) is recomputed with the direct sum of
+squared differences, so results equal the direct formula the SQL oracle uses.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -66,15 +68,37 @@ def _prep(df: DataFrame, id_col: str, vec_col: str, radius_col: str | None, pref
 MIN_BLOCK_ROWS = 128
 
 
-def _blocks(n: int, block_rows: int, floor_blocks: int = 1) -> int:
-    """Number of hash blocks for one side: enough to keep a block at most
-    ``block_rows`` (bounded task memory) and, for parallelism, at least
-    ``floor_blocks`` - but never so many that a block drops below
-    ``MIN_BLOCK_ROWS`` rows, because every extra block replicates the other
-    side once more (shuffle volume n_other * blocks)."""
-    need = math.ceil(n / block_rows)
-    cap = max(1, math.ceil(n / MIN_BLOCK_ROWS))
-    return max(1, need, min(floor_blocks, cap))
+#: A block of a side that meets another in one task: bytes of its vectors as float64, and rows.
+GROUP_BYTES, GROUP_ROWS = 16 << 20, 65_536
+#: Subjects and references whose products are worked out at once.
+CHUNK, TILE = 256, 2048
+
+
+def group_rows(dimension: int, block_rows: int = 1) -> int:
+    """How many vectors of a side meet in one task."""
+    return max(block_rows, min(GROUP_ROWS, GROUP_BYTES // (8 * max(1, dimension))), 1)
+
+
+def _grid(n_s: int, n_r: int, rows: int, par: int) -> tuple[int, int]:
+    """Numbers of hash blocks of subjects and references: enough to keep a block at most ``rows`` (bounded task memory),
+    and for parallelism at least ``4 * par`` pairs of them - but no block below ``MIN_BLOCK_ROWS`` rows.  Every extra block
+    replicates the other side once more (shuffle volume), so the cheaper side is cut first."""
+    q, r = max(1, math.ceil(n_s / rows)), max(1, math.ceil(n_r / rows))
+    most_q, most_r = max(q, math.ceil(n_s / MIN_BLOCK_ROWS)), max(r, math.ceil(n_r / MIN_BLOCK_ROWS))
+    while q * r < 4 * par and (q < most_q or r < most_r):
+        if q < most_q and (r >= most_r or n_r * q <= n_s * r):
+            q += 1
+        else:
+            r += 1
+    return q, r
+
+
+def _matrix(column) -> np.ndarray:
+    """Vectors of one length (an Arrow column) as rows of a table."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks() if column.num_chunks else pa.array([], column.type)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
 def _stack(series) -> np.ndarray:
@@ -96,87 +120,179 @@ def _exact(x_rows: np.ndarray, y_rows: np.ndarray) -> np.ndarray:
     return np.sqrt(np.einsum("...j,...j->...", diff, diff))
 
 
-def _nearest(xs, ids, y, rid, cand, k):
-    """The k nearest candidates of each row by (distance, id), worked out a
-    chunk of pairs at a time, so ties never gather all pairs of a block."""
-    best = None
-    flat = np.flatnonzero(cand)
-    for start in range(0, len(flat), EXACT_PAIRS):
-        rows, cols = np.divmod(flat[start:start + EXACT_PAIRS], cand.shape[1])
-        part = pd.DataFrame({"sid": ids[rows], "rid": rid[cols], "dist": _exact(xs[rows], y[cols])})
-        best = part if best is None else pd.concat([best, part], ignore_index=True)
-        best = best.sort_values(["sid", "dist", "rid"], kind="mergesort").groupby("sid", sort=False).head(k)
-    return best if best is not None else pd.DataFrame({"sid": pd.Series([], dtype="int64"), "rid": pd.Series([], dtype="int64"),
-                                                       "dist": pd.Series([], dtype="float64")})
+def _where(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of what is true in a table; mostly little is."""
+    return np.divmod(np.flatnonzero(mask), max(1, mask.shape[1]))
 
 
-def _kernel(mode: str, k: int, exclude_self: bool):
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if mode == "topk":
-            empty = pd.DataFrame({"sid": pd.Series([], dtype="int64"), "rid": pd.Series([], dtype="int64"),
-                                  "dist": pd.Series([], dtype="float64")})
-        elif mode == "cover":
-            empty = pd.DataFrame({"sid": pd.Series([], dtype="int64"), "covered": pd.Series([], dtype="bool")})
-        elif mode == "realism":
-            empty = pd.DataFrame({"sid": pd.Series([], dtype="int64"), "ratio": pd.Series([], dtype="float64")})
-        else:
-            empty = pd.DataFrame({"n_negative": pd.Series([], dtype="int64"), "min_d2": pd.Series([], dtype="float64")})
-        if len(left) == 0 or len(right) == 0:
-            return empty
-        sid = left["sid"].to_numpy(dtype=np.int64)
-        rid = right["rid"].to_numpy(dtype=np.int64)
-        rself = right["rself"].to_numpy(dtype=np.int64)
-        x = _stack(left["svec"])
-        y = _stack(right["rvec"])
-        outs = []
-        chunk = 1024
-        for s in range(0, len(sid), chunk):
-            xs, ids = x[s:s + chunk], sid[s:s + chunk]
-            d2, tol = _approx_d2(xs, y)
-            if mode == "guard":
-                neg = d2 < 0
-                outs.append(pd.DataFrame({"n_negative": [int(neg.sum())], "min_d2": [float(d2.min())]}))
-                continue
-            d2 = np.maximum(d2, 0.0)
+def _product(one: np.ndarray, wide: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """Products of all rows of ``one`` and ``wide``, in ``room``: new memory for each tile would cost as much as the product."""
+    return np.matmul(one, wide.T, out=room[:len(one) * len(wide)].reshape(len(one), len(wide)))
+
+
+def _tiles(n: int):
+    return (slice(t, min(t + TILE, n)) for t in range(0, n, TILE))
+
+
+def _topk(sid, x, rid, rself, y, k: int, exclude_self: bool) -> dict:
+    yy = np.einsum("ij,ij->i", y, y)
+    wide = np.concatenate([-y, yy[:, None] / 2], axis=1)
+    outs, room = [], np.empty(CHUNK * TILE)
+    for s in range(0, len(sid), CHUNK):
+        xs, ids = x[s:s + CHUNK], sid[s:s + CHUNK]
+        xx = np.einsum("ij,ij->i", xs, xs)
+        tol = 1e-9 * (xx + yy.max() + 1.0)
+        one = np.concatenate([xs, np.ones((len(xs), 1))], axis=1)
+        best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))  # row of the chunk, rid, dist
+        limit, waiting, held = np.full(len(xs), np.inf), [], 0
+
+        def fold(best, limit):
+            """The k nearest so far by (distance, id), a bounded number of pairs at a time, and what a product may be to be among them."""
+            for w in waiting:
+                for at in range(0, len(w[0]), EXACT_PAIRS):
+                    row, col = w[0][at:at + EXACT_PAIRS], w[1][at:at + EXACT_PAIRS]
+                    row, near, dist = (np.concatenate(c) for c in zip(best, (row, rid[col], _exact(xs[row], y[col])), strict=True))
+                    order = np.lexsort((near, dist, row))
+                    row, near, dist = row[order], near[order], dist[order]
+                    place = np.arange(len(row)) - np.searchsorted(row, row)
+                    last = place == k - 1
+                    limit[row[last]] = (dist[last] ** 2 + tol[row[last]] - xx[row[last]]) / 2
+                    best = tuple(c[place < k] for c in (row, near, dist))
+            return best, limit
+
+        for t in _tiles(len(rid)):
+            half = _product(one, wide[t], room)  # (squared distance - xx) / 2
+            most = limit
+            if np.isinf(limit).any():
+                if exclude_self:
+                    half[ids[:, None] == rself[None, t]] = np.inf
+                keep = min(k + PAD_CANDIDATES, half.shape[1])
+                most = np.minimum(limit, np.partition(half, keep - 1, axis=1)[:, keep - 1] + tol)
+            row, col = _where(half <= most[:, None])
+            col += t.start
+            if exclude_self:
+                other = ids[row] != rself[col]
+                row, col = row[other], col[other]
+            waiting.append((row, col))
+            held += len(row)
+            if held >= EXACT_PAIRS or np.isinf(limit).any():
+                best, limit = fold(best, limit)
+                waiting, held = [], 0
+        best, limit = fold(best, limit)
+        outs.append((ids[best[0]], best[1], best[2]))
+    return dict(zip(("sid", "rid", "dist"), (np.concatenate(c) for c in zip(*outs, strict=True)), strict=True))
+
+
+def _cover(sid, x, rself, y, radius, exclude_self: bool) -> dict:
+    known = ~np.isnan(radius)
+    rself, y, radius = rself[known], y[known], radius[known]
+    r2, yy = radius ** 2, np.einsum("ij,ij->i", y, y)
+    wide = np.concatenate([-y, (yy - r2)[:, None] / 2], axis=1)
+    covered, room = np.zeros(len(sid), bool), np.empty(CHUNK * TILE)
+    for s in range(0, len(sid) if len(y) else 0, CHUNK):
+        xs, ids, hit = x[s:s + CHUNK], sid[s:s + CHUNK], covered[s:s + CHUNK]
+        xx = np.einsum("ij,ij->i", xs, xs)
+        tol = 1e-9 * (xx + (yy + r2).max() + 1.0)
+        one = np.concatenate([xs, np.ones((len(xs), 1))], axis=1)
+        for t in _tiles(len(y)):
+            open_ = np.flatnonzero(~hit)
+            if not len(open_):
+                break
+            half = _product(one[open_], wide[t], room)  # (squared distance - squared radius - xx) / 2
             if exclude_self:
-                d2 = np.where(ids[:, None] == rself[None, :], np.inf, d2)
-            if mode == "topk":
-                m = y.shape[0]
-                keep = min(k + PAD_CANDIDATES, m)
-                part = np.partition(d2, keep - 1, axis=1)[:, keep - 1]
-                cand = d2 <= (part + tol.max(axis=1))[:, None]
-                outs.append(_nearest(xs, ids, y, rid, cand & np.isfinite(d2), k))
-            elif mode == "cover":
-                r = right["rradius"].to_numpy(dtype=np.float64)
-                r2 = r[None, :] ** 2
-                sure = (d2 < r2 - tol) & np.isfinite(d2)
-                border = (np.abs(d2 - r2) <= tol) & ~sure
-                covered = sure.any(axis=1)
-                if border.any():
-                    border &= ~covered[:, None]
-                    flat = np.flatnonzero(border)
-                    for start in range(0, len(flat), EXACT_PAIRS):
-                        rows, cols = np.divmod(flat[start:start + EXACT_PAIRS], border.shape[1])
-                        hit = _exact(xs[rows], y[cols]) < r[cols]
-                        covered[np.unique(rows[hit])] = True
-                outs.append(pd.DataFrame({"sid": ids, "covered": covered}))
-            elif mode == "realism":
-                r = right["rradius"].to_numpy(dtype=np.float64)
-                approx = r[None, :] / (np.sqrt(d2) + EPS)
-                approx = np.where(np.isfinite(d2), approx, -np.inf)
-                best = approx.max(axis=1)
+                half[ids[open_][:, None] == rself[None, t]] = np.inf
+            low = half.min(axis=1)
+            sure = low < (-xx[open_] - tol[open_]) / 2
+            hit[open_[sure]] = True
+            edge = ~sure & (low <= (tol[open_] - xx[open_]) / 2)
+            rows, cols = _where(half[edge] <= ((tol - xx)[open_[edge]] / 2)[:, None])
+            rows, cols = open_[edge][rows], cols + t.start
+            for at in range(0, len(rows), EXACT_PAIRS):
+                row, col = rows[at:at + EXACT_PAIRS], cols[at:at + EXACT_PAIRS]
+                inside = _exact(xs[row], y[col]) < radius[col]
+                if exclude_self:
+                    inside &= ids[row] != rself[col]
+                hit[row[inside]] = True
+    return {"sid": sid, "covered": covered}
+
+
+def _realism(sid, x, rself, y, radius, exclude_self: bool) -> dict:
+    known = ~np.isnan(radius)
+    rself, y, radius = rself[known], y[known], radius[known]
+    yy = np.einsum("ij,ij->i", y, y)
+    best, room = np.full(len(sid), -np.inf), np.empty(CHUNK * TILE)
+    wide = np.concatenate([-y, yy[:, None] / 2, np.ones((len(y), 1)), -(radius ** 2)[:, None] / 2], axis=1)
+    for s in range(0, len(sid) if len(y) else 0, CHUNK):
+        xs, ids, top = x[s:s + CHUNK], sid[s:s + CHUNK], best[s:s + CHUNK]
+        xx = np.einsum("ij,ij->i", xs, xs)
+        for t in _tiles(len(y)):
+            if (top > 1e-100).all():
+                # (squared distance - squared radius / squared best) / 2: not above 0 where the ratio may be better
+                one = np.concatenate([xs, np.ones((len(xs), 1)), xx[:, None] / 2, (1 / top ** 2)[:, None]], axis=1)
+                tol = 1e-9 * (xx + yy.max() + 1.0 + (radius.max() / top) ** 2)
+                rows, cols = _where(_product(one, wide[t], room) <= tol[:, None])
+            else:
+                d2 = np.maximum(_approx_d2(xs, y[t])[0], 0.0)
+                if exclude_self:
+                    d2[ids[:, None] == rself[None, t]] = np.inf
+                ratio = np.where(np.isfinite(d2), radius[None, t] / (np.sqrt(d2) + EPS), -np.inf)
                 # recompute exactly wherever the approximate ratio could reach the max
-                cand = (approx >= best[:, None] * (1 - 1e-6) - 1e-12) | (d2 < 1e-6)
-                cand &= np.isfinite(d2)
-                flat, top = np.flatnonzero(cand), np.full(len(ids), -np.inf)
-                for start in range(0, len(flat), EXACT_PAIRS):
-                    rows, cols = np.divmod(flat[start:start + EXACT_PAIRS], cand.shape[1])
-                    np.maximum.at(top, rows, r[cols] / (_exact(xs[rows], y[cols]) + EPS))
-                seen = top > -np.inf
-                outs.append(pd.DataFrame({"sid": ids[seen], "ratio": top[seen]}).groupby("sid", as_index=False)["ratio"].max())
-        if not outs:
-            return empty
-        return pd.concat(outs, ignore_index=True)
+                able = (ratio >= ratio.max(axis=1)[:, None] * (1 - 1e-6) - 1e-12) | (d2 < 1e-6)
+                rows, cols = _where(able & np.isfinite(d2))
+            cols += t.start
+            for at in range(0, len(rows), EXACT_PAIRS):
+                row, col = rows[at:at + EXACT_PAIRS], cols[at:at + EXACT_PAIRS]
+                if exclude_self:
+                    other = ids[row] != rself[col]
+                    row, col = row[other], col[other]
+                np.maximum.at(top, row, radius[col] / (_exact(xs[row], y[col]) + EPS))
+    seen = best > -np.inf
+    return {"sid": sid[seen], "ratio": best[seen]}
+
+
+def _guard(x, y) -> dict:
+    found = [d2 for s in range(0, len(x), 1024) for t in _tiles(len(y)) for d2 in [_approx_d2(x[s:s + 1024], y[t])[0]] for d2 in [((d2 < 0).sum(), d2.min())]]
+    return {"n_negative": np.array([sum(n for n, _ in found)], np.int64), "min_d2": np.array([min(d for _, d in found)], np.float64)}
+
+
+_EMPTY = {
+    "topk": {"sid": "int64", "rid": "int64", "dist": "float64"},
+    "cover": {"sid": "int64", "covered": "bool"},
+    "realism": {"sid": "int64", "ratio": "float64"},
+    "guard": {"n_negative": "int64", "min_d2": "float64"},
+}
+
+
+def _reduce(mode: str, k: int, exclude_self: bool, sid, x, rid, rself, y, radius) -> dict:
+    """The columns of a block's reduction."""
+    if not len(sid) or not len(rid):
+        return {c: np.zeros(0, t) for c, t in _EMPTY[mode].items()}
+    if mode == "topk":
+        return _topk(sid, x, rid, rself, y, k, exclude_self)
+    if mode == "cover":
+        return _cover(sid, x, rself, y, radius, exclude_self)
+    if mode == "realism":
+        return _realism(sid, x, rself, y, radius, exclude_self)
+    return _guard(x, y)
+
+
+def _kernel(mode: str, k: int, exclude_self: bool):
+    """The reduction of two blocks as pandas tables."""
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        radius = right["rradius"].to_numpy(dtype=np.float64) if "rradius" in right else None
+        return pd.DataFrame(_reduce(mode, k, exclude_self, left["sid"].to_numpy(dtype=np.int64), _stack(left["svec"]),
+                                    right["rid"].to_numpy(dtype=np.int64), right["rself"].to_numpy(dtype=np.int64), _stack(right["rvec"]), radius))
+
+    return run
+
+
+def _arrow_kernel(mode: str, k: int, exclude_self: bool):
+    """The reduction of two blocks as Arrow tables, for ``cogroup().applyInArrow``."""
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table({c: np.zeros(0, t) for c, t in _EMPTY[mode].items()})
+        radius = right["rradius"].to_numpy().astype(np.float64) if "rradius" in right.column_names else None
+        return pa.table(_reduce(mode, k, exclude_self, left["sid"].to_numpy(), _matrix(left["svec"]), right["rid"].to_numpy(), right["rself"].to_numpy(), _matrix(right["rvec"]), radius))
 
     return run
 
@@ -196,23 +312,36 @@ def blocked_reduce(subjects: DataFrame, refs: DataFrame, mode: str, *, k: int =
                    n_subjects: int | None = None, n_refs: int | None = None) -> DataFrame:
     """Run one blocked all-pairs reduction; returns per-block partial results
     (merge with :func:`merge_topk` / ``groupBy(sid)``).  Row counts size the
-    blocks; pass them when the vectors are already counted and checked.
+    blocks; pass them when the vectors are already counted and checked.  A block
+    holds what a task can, or ``block_rows`` rows if that is more.
     ``exclude_self`` leaves out references whose ``ref_self_col`` (their id, if
     not given) is the subject's id."""
     s = _prep(subjects, id_col, vec_col, None, "s")
     r = _prep(refs, ref_id_col or id_col, ref_vec_col or vec_col, radius_col, "r", ref_self_col)
-    spark = subjects.sparkSession
     n_s = n_subjects if n_subjects is not None else check_vectors(s, "svec")
     n_r = n_refs if n_refs is not None else check_vectors(r, "rvec")
-    par = spark.sparkContext.defaultParallelism
-    qb = _blocks(n_s, block_rows, par)
-    rb = _blocks(n_r, block_rows, 1)
+    if not n_s or not n_r:
+        return subjects.sparkSession.createDataFrame([], _SCHEMAS[mode])
+    return meet_all(s, r, mode, k, exclude_self, n_s, n_r, group_rows(dimension(r, "rvec"), block_rows))
+
+
+def dimension(df: DataFrame, vec_col: str) -> int:
+    """Components of the vectors, which are all of one length."""
+    return df.select(F.size(vec_col)).first()[0]
+
+
+def meet_all(s: DataFrame, r: DataFrame, mode: str, k: int, exclude_self: bool, n_s: int, n_r: int, rows: int) -> DataFrame:
+    """Partial results of all pairs of blocks of at most about ``rows`` subjects (sid, svec) and references (rid, rvec, rself, rradius)."""
+    par = s.sparkSession.sparkContext.defaultParallelism
+    qb, rb = _grid(n_s, n_r, rows, par)
     s = s.withColumn("qb", F.pmod(F.xxhash64("sid"), F.lit(qb)).cast("int")) \
          .withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(rb - 1))))
     r = r.withColumn("rb", F.pmod(F.xxhash64("rid"), F.lit(rb)).cast("int")) \
          .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1))))
-    return (s.groupBy("qb", "rb").cogroup(r.groupBy("qb", "rb"))
-            .applyInPandas(_kernel(mode, k, exclude_self), _SCHEMAS[mode]))
+    # few bytes but much work for each of them: dealt to so many tasks whatever the size of the rows
+    tasks = min(qb * rb, 4 * par)
+    return (s.repartition(tasks, "qb", "rb").groupBy("qb", "rb").cogroup(r.repartition(tasks, "qb", "rb").groupBy("qb", "rb"))
+            .applyInArrow(_arrow_kernel(mode, k, exclude_self), _SCHEMAS[mode]))
 
 
 def merge_topk(partials: DataFrame, k: int) -> DataFrame:

@@ -9,6 +9,9 @@ rows can be to a subject, so a subject is sent only to annuli that can change it
   the bound that decides which others are visited at all;
 * ``cover`` visits the annuli whose largest ball reaches the subject.
 
+How many annuli matter is found out with the subjects of a probe.  Where the bounds rule out so little that sending each
+subject to its annuli costs more than letting all rows meet in large blocks (vectors without clusters), all rows meet.
+
 A subject and an annulus meet in one cogroup, whose kernel works as in ``allpairs``.  Annuli above ``block_rows`` rows
 are split by a hash of the id, and so are the subjects that visit one, so no group grows with the data or with a hot
 cell.  Copies of a reference vector beyond those that can be among the k nearest (ties go to the smaller id) are left
@@ -27,18 +30,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize, scratch_path
-from .allpairs import _SCHEMAS, EPS, _kernel, _prep, blocked_reduce, check_vectors
+from .allpairs import _SCHEMAS, EPS, _arrow_kernel, _grid, _matrix, _prep, blocked_reduce, check_vectors, group_rows, meet_all
 
 #: Bounds of what the driver holds, and of the sample that pivots are taken from.
 MAX_PIVOTS, MAX_ANNULI, SAMPLE_ROWS = 256, 64, 4096
-#: How many subjects meet a block of references at once, in blocks.
-SUBJECT_BLOCKS = 4
-
-
-def _matrix(column: pa.Array) -> np.ndarray:
-    """Vectors of one length as rows of a table."""
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+#: How many subjects meet a block of references at once: in blocks, and at least so many.
+SUBJECT_BLOCKS, SUBJECT_ROWS = 4, 4096
+#: The references are cut into about so many blocks at most, of more than ``block_rows`` rows if need be.
+MAX_BLOCKS = 1024
+#: Subjects that show how many annuli matter; and how many pairs cost as much as sending a row somewhere.
+PROBE_ROWS, ROW_PAIRS = 256, 512
+#: Entries of a table of subjects by annuli, and of visits given out, at once.
+ROUTE_CELLS, ROUTE_ROWS = 1 << 18, 8192
 
 
 def _distances(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -129,15 +132,19 @@ def lay_out(refs: DataFrame, n: int, block_rows: int, pivots: int | None = None)
     return placed, Annuli(centres, column["cell"].astype(np.int64), column["low"], column["high"], column["n"].astype(np.int64), parts.astype(np.int64), column["ball"].astype(np.float64))
 
 
-def _route(subjects: DataFrame, choose) -> DataFrame:
+def _route(subjects: DataFrame, annuli: Annuli, choose) -> DataFrame:
     """(sid, svec, block, part) for what ``choose`` gives for a batch and its vectors: rows, blocks and parts."""
+    rows = max(1, ROUTE_CELLS // len(annuli.cell))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for start in range(0, whole.num_rows, 256):  # a table of this many subjects by all annuli
-                batch = whole.slice(start, 256)
-                row, block, part = choose(batch, _matrix(batch.column("svec")))
-                at = pa.array(row)
-                yield pa.RecordBatch.from_arrays([batch.column("sid").take(at), batch.column("svec").take(at), pa.array(block, pa.int32()), pa.array(part, pa.int32())], names=["sid", "svec", "block", "part"])
+            for start in range(0, whole.num_rows, rows):
+                batch = whole.slice(start, rows)
+                found = choose(batch, _matrix(batch.column("svec")))
+                for first in range(0, len(found[0]), ROUTE_ROWS):
+                    row, block, part = (x[first:first + ROUTE_ROWS] for x in found)
+                    at = pa.array(row)
+                    yield pa.RecordBatch.from_arrays([batch.column("sid").take(at), batch.column("svec").take(at), pa.array(block, pa.int32()), pa.array(part, pa.int32())], names=["sid", "svec", "block", "part"])
 
     return subjects.mapInArrow(run, f"sid long, svec {dict(subjects.dtypes)['svec']}, block int, part int")
 
@@ -149,7 +156,7 @@ def first_visits(subjects: DataFrame, annuli: Annuli) -> DataFrame:
         home = (least + 1e-6 * to_cell).argmin(axis=1)
         return np.arange(len(x)), home, batch.column("spread").to_numpy() % annuli.parts[home]
 
-    return _route(subjects.withColumn("spread", F.pmod(F.xxhash64("sid"), F.lit(2**31))), choose)
+    return _route(subjects.withColumn("spread", F.pmod(F.xxhash64("sid"), F.lit(2**31))), annuli, choose)
 
 
 def visits_that_matter(subjects: DataFrame, annuli: Annuli, mode: str, k: int = 1) -> DataFrame:
@@ -177,20 +184,20 @@ def visits_that_matter(subjects: DataFrame, annuli: Annuli, mode: str, k: int =
             row, block, part = row[rest], block[rest], part[rest]
         return row, block, part
 
-    return _route(subjects, choose)
+    return _route(subjects, annuli, choose)
 
 
 def meet(visits: DataFrame, placed: DataFrame, mode: str, k: int, exclude_self: bool, block_rows: int) -> DataFrame:
-    """Partial results of all visits.  A block that many subjects visit is copied once for each ``SUBJECT_BLOCKS`` blocks of them."""
+    """Partial results of all visits.  A block that many subjects visit is copied once for each ``SUBJECT_BLOCKS`` blocks (or ``SUBJECT_ROWS``) of them."""
     spark = visits.sparkSession
     # a row for each block; from a file Spark knows its size, and picks the kind of join by it
     path = scratch_path(spark, "visits")
-    visits.groupBy(F.col("block").alias("block2"), F.col("part").alias("part2")).agg(F.ceil(F.count(F.lit(1)) / (SUBJECT_BLOCKS * block_rows)).cast("int").alias("groups")).write.parquet(path)
+    visits.groupBy(F.col("block").alias("block2"), F.col("part").alias("part2")).agg(F.ceil(F.count(F.lit(1)) / max(SUBJECT_ROWS, SUBJECT_BLOCKS * block_rows)).cast("int").alias("groups")).write.parquet(path)
     busy = spark.read.parquet(path)
     same = (F.col("block") == F.col("block2")) & (F.col("part") == F.col("part2"))
     left = visits.join(busy, same).select("sid", "svec", F.col("block").alias("b"), F.col("part").alias("p"), F.pmod(F.xxhash64("sid"), F.col("groups")).cast("int").alias("g"))
     right = placed.join(busy, same).select(*placed.columns, F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("g2"))
-    return left.groupBy("b", "p", "g").cogroup(right.groupBy("block", "part", "g2")).applyInPandas(_kernel(mode, k, exclude_self), _SCHEMAS[mode])
+    return left.groupBy("b", "p", "g").cogroup(right.groupBy("block", "part", "g2")).applyInArrow(_arrow_kernel(mode, k, exclude_self), _SCHEMAS[mode])
 
 
 def pruned_reduce(subjects: DataFrame, refs: DataFrame, mode: str, *, k: int = 1, id_col: str = "id", vec_col: str = "embedding", ref_id_col: str | None = None,
@@ -215,14 +222,39 @@ def pruned_reduce(subjects: DataFrame, refs: DataFrame, mode: str, *, k: int = 1
         copies += r.groupBy("rself").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
     order = [F.col("rid")] if mode == "topk" else [F.col("rradius").desc(), F.col("rid")]
     r = r.withColumn("copy", F.row_number().over(Window.partitionBy("rvec").orderBy(*order))).where(F.col("copy") <= copies).drop("copy")
+    block_rows = max(block_rows, n_r // MAX_BLOCKS)
     placed, annuli = lay_out(r, n_r, block_rows, pivots)
+    n_r, reach = int(annuli.rows.sum()), copies if exclude_self else k
+    rows = group_rows(annuli.pivots.shape[1], block_rows)
+    if not visits_pay(s, placed, annuli, mode, k, exclude_self, block_rows, reach, n_s, rows):
+        return meet_all(s, placed.select(*r.columns), mode, k, exclude_self, n_s, n_r, rows)
+    found, others = _visits(s, placed, annuli, mode, k, exclude_self, block_rows, reach)
+    others = meet(materialize(others), placed, mode, k, exclude_self, block_rows)
+    return others if found is None else found.unionByName(others)
+
 
+def _visits(s: DataFrame, placed: DataFrame, annuli: Annuli, mode: str, k: int, exclude_self: bool, block_rows: int, reach: int) -> tuple[DataFrame | None, DataFrame]:
+    """What the first visits of the subjects gave (``cover`` makes none), and the other visits that matter."""
     if mode == "cover":
-        return meet(materialize(visits_that_matter(s, annuli, mode)), placed, mode, k, exclude_self, block_rows)
+        return None, visits_that_matter(s, annuli, mode)
     first = materialize(first_visits(s, annuli))
     found = materialize(meet(first, placed, mode, k, exclude_self, block_rows))
     bound = F.when(F.count(F.lit(1)) >= k, F.max("dist")) if mode == "topk" else F.max("ratio")
     known = found.groupBy(F.col("sid").alias("sid2")).agg(bound.cast("double").alias("bound"))
     rest = first.join(known, F.col("sid") == F.col("sid2"), "left").select("sid", "svec", F.col("block").alias("home"), F.col("part").alias("home_part"), "bound")
-    others = materialize(visits_that_matter(rest, annuli, mode, copies if exclude_self else k))
-    return found.unionByName(meet(others, placed, mode, k, exclude_self, block_rows))
+    return found, visits_that_matter(rest, annuli, mode, reach)
+
+
+def visits_pay(s: DataFrame, placed: DataFrame, annuli: Annuli, mode: str, k: int, exclude_self: bool, block_rows: int, reach: int, n_s: int, rows: int) -> bool:
+    """Whether visits cost less than letting all rows meet in blocks of ``rows``, by the visits of ``PROBE_ROWS`` subjects taken by
+    a hash of their id.  Either way the results are the same."""
+    n_r = int(annuli.rows.sum())
+    some = materialize(s.orderBy(F.xxhash64("sid"), "sid").limit(PROBE_ROWS))
+    _, others = _visits(some, placed, annuli, mode, k, exclude_self, block_rows, reach)
+    made = np.zeros(len(annuli.cell))
+    for row in others.groupBy("block").count().collect():  # at most a row for each annulus
+        made[row["block"]] = row["count"]
+    each = n_s / min(n_s, PROBE_ROWS)
+    visits = each * (ROW_PAIRS * made.sum() + (made * annuli.rows / annuli.parts).sum()) + ROW_PAIRS * (n_s + 2 * n_r)
+    qb, rb = _grid(n_s, n_r, rows, s.sparkSession.sparkContext.defaultParallelism)
+    return visits < float(n_s) * n_r + ROW_PAIRS * (float(n_s) * rb + float(n_r) * qb)

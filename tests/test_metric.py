@@ -125,3 +125,68 @@ def test_no_rows(spark):
     assert pruned_reduce(none, some, "topk", k=2).count() == 0
     assert pruned_reduce(some, none, "topk", k=2).count() == 0
     assert {r.covered for r in M.covered_rows(none.withColumn("radius", F.lit(1.0)), some).collect()} == {False}
+
+
+@pytest.mark.parametrize("pay", [True, False])
+@pytest.mark.parametrize("kind", ["clusters", "noise", "copies"])
+def test_visits_and_meeting_all_give_the_same(spark, monkeypatch, kind, pay):
+    monkeypatch.setattr(metric, "visits_pay", lambda *a: pay)
+    monkeypatch.setattr(metric, "ROUTE_ROWS", 50)
+    monkeypatch.setattr(AP, "MIN_BLOCK_ROWS", 30)
+    rng = np.random.default_rng(11)
+    if kind == "clusters":
+        r, s = clustered(rng, 300, spread=0.3), clustered(rng, 90, spread=0.5)
+    elif kind == "noise":
+        r, s = rng.normal(size=(300, 16)), rng.normal(size=(90, 16))
+    else:
+        r, s = rng.integers(0, 3, size=(300, 3)).astype(float), rng.integers(0, 3, size=(90, 3)).astype(float)
+    sid, rid = np.arange(len(s)) + 5000, np.arange(len(r))
+    same(found_topk(AP.knn(frame(spark, s, 5000), frame(spark, r), 4, block_rows=16)), brute_topk(s, sid, r, rid, 4))
+    refs = M.compute_manifold(frame(spark, r), 3, block_rows=16)
+    ball = np.array([x.radius for x in refs.orderBy("id").collect()])
+    d = np.sqrt(((s[:, None] - r[None]) ** 2).sum(axis=2))
+    covered = {x.id: x.covered for x in M.covered_rows(refs, frame(spark, s, 5000), block_rows=16).collect()}
+    assert [covered[i] for i in sid] == (d < ball).any(axis=1).tolist()
+    ratio = {x.id: x.realism for x in M.realism(refs, frame(spark, s, 5000), block_rows=16).collect()}
+    assert np.allclose([ratio[i] for i in sid], (ball / (d + 1e-6)).max(axis=1))
+
+
+def test_vectors_without_clusters_are_not_sent_to_every_block(spark, monkeypatch):
+    """Noise on a sphere: bounds rule out nothing, so a row is sent once for each large block, not once for each small one."""
+    sent, whole = [], metric.meet
+    monkeypatch.setattr(metric, "meet", lambda visits, *a: sent.append(visits.count()) or whole(visits, *a))
+    rng = np.random.default_rng(12)
+    for x, much in ((rng.normal(size=(900, 32)), False), (clustered(rng, 900, d=32, centres=30), True)):
+        sent.clear()
+        AP.knn(frame(spark, x), frame(spark, x), 4, block_rows=16).count()
+        assert (sum(sent) > 900) == much and sum(sent) < 900 * 8
+
+
+@pytest.mark.parametrize("exclude", [True, False])
+def test_tiles_of_a_block(monkeypatch, exclude):
+    """What was found in one tile limits what the next ones look at."""
+    monkeypatch.setattr(AP, "TILE", 7)
+    monkeypatch.setattr(AP, "CHUNK", 5)
+    monkeypatch.setattr(AP, "EXACT_PAIRS", 11)
+    rng = np.random.default_rng(13)
+    for y in (rng.normal(size=(60, 3)), rng.integers(0, 2, size=(60, 3)).astype(float), np.sort(rng.normal(size=(60, 1)), axis=0)[::-1]):
+        x, rid, radius = y[::2], np.arange(60), np.where(np.arange(60) < 20, 0.0, rng.uniform(0, 1, 60))
+        sid = np.arange(0, 60, 2)
+        d = np.sqrt(((x[:, None] - y[None]) ** 2).sum(axis=2))
+        d[:, :][(sid[:, None] == rid[None]) & exclude] = np.inf
+        top = AP._reduce("topk", 4, exclude, sid, x, rid, rid, y, radius)
+        found = sorted(zip(top["sid"].tolist(), top["dist"].tolist(), top["rid"].tolist()))
+        want = [(int(sid[i]), float(d[i, j]), int(j)) for i in range(30) for j in np.lexsort((rid, d[i]))[:4]]
+        assert [f[::2] for f in found] == [w[::2] for w in want] and np.allclose([f[1] for f in found], [w[1] for w in want])
+        assert AP._reduce("cover", 1, exclude, sid, x, rid, rid, y, radius)["covered"].tolist() == (d < radius).any(axis=1).tolist()
+        real = AP._reduce("realism", 1, exclude, sid, x, rid, rid, y, radius)
+        assert np.allclose(real["ratio"], (radius / (d + 1e-6)).max(axis=1))
+
+
+def test_blocks_are_large_and_copies_few():
+    assert AP.group_rows(64) == 32768 and AP.group_rows(4096) == 512 and AP.group_rows(1 << 30) == 1
+    q, r = AP._grid(300_000, 300_000, AP.group_rows(64), 12)
+    assert q == r == 10
+    q, r = AP._grid(5000, 1_000_000, 32768, 12)  # few subjects: they are copied, not the references
+    assert q <= 2 and r <= 48
+    assert AP._grid(50, 60, 32768, 12) == (1, 1)
