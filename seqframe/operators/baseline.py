@@ -5,6 +5,8 @@ from __future__ import annotations
 
 import string
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,38 +15,35 @@ from ..functions.vocab import PAD, STOP, SYMBOL_TO_ID, UNK, VOCAB_SIZE
 ALPHABET = string.ascii_uppercase
 
 
+#: A string goes to Python in pieces of at most so many code points, and so many pieces are counted at once.
+PIECE, PIECES = 1024, 1024
+
+
 def _count_symbols(batches):
-    """Per partition: code-point counts of every string, one numpy pass."""
-    import numpy as np
-    import pandas as pd
-
-    total = None
-    for pdf in batches:
-        text = "".join(v for v in pdf["s"].tolist() if v)
-        if not text:
-            continue
-        cps = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
-        c = np.bincount(cps)
-        if total is None:
-            total = c
-        else:
+    """Per partition: code-point counts of all strings, by numpy over a bounded number of code points at a time."""
+    total = np.zeros(0, np.int64)
+    for batch in batches:
+        for at in range(0, batch.num_rows, PIECES):
+            text = "".join(v for v in batch.column(0).slice(at, PIECES).to_pylist() if v)
+            c = np.bincount(np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32))
             if len(c) > len(total):
-                c[: len(total)] += total
+                c[:len(total)] += total
                 total = c
             else:
-                total[: len(c)] += c
-    if total is not None:
-        nz = np.nonzero(total)[0]
-        yield pd.DataFrame({"symbol": [chr(int(x)) for x in nz], "count": total[nz].astype("int64")})
+                total[:len(c)] += c
+    nz = np.nonzero(total)[0]
+    yield pa.RecordBatch.from_pydict({"symbol": [chr(int(x)) for x in nz], "count": pa.array(total[nz], pa.int64())}, schema=pa.schema([("symbol", pa.string()), ("count", pa.int64())]))
 
 
 def symbol_histogram(df: DataFrame, seq_col: str) -> DataFrame:
     """A5: exact ``(symbol, count)`` of every character of a string column.
 
-    Each task counts its rows' code points with one vectorised bincount over
+    Each task counts its rows' code points with vectorised bincounts over
     Arrow batches and emits one row per distinct symbol; the partial counts
-    are summed by a (tiny) shuffle.  No per-character rows are created."""
-    part = df.select(F.col(seq_col).alias("s")).mapInPandas(_count_symbols, "symbol string, count long")
+    are summed by a (tiny) shuffle.  No per-character rows are created, and
+    long strings are cut, so memory doesn't grow with the rows of a batch."""
+    pieces = F.explode(F.regexp_extract_all(F.col(seq_col), F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)))
+    part = df.select(pieces.alias("s")).mapInArrow(_count_symbols, "symbol string, count long")
     return part.groupBy("symbol").agg(F.sum("count").cast("long").alias("count"))
 
 

@@ -108,3 +108,21 @@ def test_topk_sample(spark):
     assert {r.grp: r.tok for r in topk_sample(df, "grp", "tok", "logit", k=1).collect()} == {"g": "a", "h": "z"}
     pick = {r.grp: r.tok for r in topk_sample(df, "grp", "tok", "logit", k=2, seed=3).collect()}
     assert pick["g"] in ("a", "b") and pick["h"] == "z"
+
+
+def test_symbols_are_counted_a_bounded_number_at_a_time(spark, monkeypatch):
+    """Long strings go to Python in pieces, and no more of them are counted at once than fit a bound."""
+    import collections
+
+    import pyarrow as pa
+
+    from seqframe.operators import baseline
+
+    texts = ["AB\n\U0001F600" * 3000, "", None, "Z" * 1024, "é" * 1025]
+    df = spark.createDataFrame([(t,) for t in texts], "s string")
+    assert {r.symbol: r["count"] for r in baseline.symbol_histogram(df, "s").collect()} == dict(collections.Counter("".join(t for t in texts if t)))
+    seen, whole = [], baseline.np.bincount
+    monkeypatch.setattr(baseline.np, "bincount", lambda x: seen.append(len(x)) or whole(x))
+    batch = pa.RecordBatch.from_pydict({"s": ["A" * baseline.PIECE] * (3 * baseline.PIECES)})
+    assert [b.to_pylist() for b in baseline._count_symbols([batch])] == [[{"symbol": "A", "count": 3 * baseline.PIECE * baseline.PIECES}]]
+    assert max(seen) <= baseline.PIECE * baseline.PIECES
