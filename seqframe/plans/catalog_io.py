@@ -5,6 +5,7 @@ source and returns the result (compared with the same SQL as in-memory)."""
 
 from __future__ import annotations
 
+import math
 import os
 
 from pyspark.sql import functions as F
@@ -235,9 +236,11 @@ def stream_token_counts(spark, sf_dir):
         return (df.select(F.explode_outer(words("text")).alias("token")).where(F.col("token").isNotNull()))
 
     later = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 1, F.lit(False))
+    # a file for each core, two micro-batches for each half: no file is one task's work while others idle
+    many = 2 * math.ceil(spark.sparkContext.defaultParallelism / 2)
     for part in (~later, later):
-        d.where(part).repartition(2).write.mode("append").parquet(files)
-        token_counts_stream(spark, file_stream(spark, files, d.schema), tokens, out, ck).awaitTermination()
+        d.where(part).repartition(many).write.mode("append").parquet(files)
+        token_counts_stream(spark, file_stream(spark, files, d.schema, files_per_trigger=many // 2), tokens, out, ck).awaitTermination()
     return read_token_counts(spark, out).select(F.col("token").alias("tag"), "count")
 
 
