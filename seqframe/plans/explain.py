@@ -21,7 +21,7 @@ def shape(df) -> dict:
         "nested_loop_join": plan.count("BroadcastNestedLoopJoin"),
         "cartesian": plan.count("CartesianProduct"),
         "window": plan.count("Window "),
-        "python": len(re.findall(r"InPandas|ArrowEvalPython|BatchEvalPython", plan)),
+        "python": len(re.findall(r"InPandas|InArrow|ArrowEvalPython|BatchEvalPython", plan)),
     }
 
 
