@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.random import hash_order
 from ..session import sized
+from .dictionary import list_mapping
 from .ranking import hash_rank, keys_at, up_to
 
 
@@ -77,14 +78,20 @@ def fold_rare(df: DataFrame, col: str, kept: DataFrame, other: str = "root") ->
 
 
 def keep_tags(df: DataFrame, id_col: str, tags_col: str, kept: DataFrame,
-              drop_empty: bool = True, out_col: str | None = None) -> DataFrame:
+              drop_empty: bool = True, out_col: str | None = None, unique_ids: bool = False) -> DataFrame:
     """P8 + A4 + J1 (+ P9): keep only dictionary tags, in original order.
 
     Tags are exploded with their position, semi-joined to the dictionary and
     regrouped per row id (a group is one row's own tags), then joined back.
     ``drop_empty`` uses an inner join (rows left without tags vanish);
-    otherwise a left join gives them an empty array."""
+    otherwise a left join gives them an empty array.  Where ids are known to
+    be unique and the dictionary is small, tags are picked within their rows
+    instead, with the same result."""
     out_col = out_col or tags_col
+    mapping = list_mapping(kept.select("value").distinct(), "value") if unique_ids else None
+    if mapping:
+        j = df.withColumn(out_col, mapping(F.col(tags_col)))
+        return j.where(F.size(out_col) > 0) if drop_empty else j
     exploded = (df.select(F.col(id_col).alias("_rid"), F.posexplode_outer(F.col(tags_col)).alias("_pos", "_tag"))
                 .where(F.col("_tag").isNotNull()))
     kept_vals = kept.select(F.col("value").alias("_tag"))

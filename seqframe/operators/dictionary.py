@@ -3,11 +3,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .ranking import key_bucket, prefix_rank
 
+#: A dictionary of at most so many values goes to each task whole, and lists are mapped within their rows.
+HELD_VALUES = 1 << 18
+
 ROOT_SENTINEL = -1  # count given to an appended 'root' so it sorts last
 
 
@@ -58,11 +67,44 @@ def conditioning_dictionary(category_counts: DataFrame, tag_counts: DataFrame, r
     )
 
 
+def has_unique_ids(df: DataFrame, id_col: str) -> bool:
+    """Whether no id is null or occurs twice; shuffles nothing but ids."""
+    r = df.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(id_col).alias("different")).first()
+    return r["n"] == r["different"]
+
+
+def list_mapping(dictionary: DataFrame, out: str = "idx", strict: bool = False) -> Callable[[Column], Column] | None:
+    """What maps the elements of a list within its row to the dictionary's ``out``, order kept; unknown ones are dropped, or raise
+    if ``strict``, and a null list gives an empty one.  None for a dictionary of more than ``HELD_VALUES`` values or with a
+    value that occurs twice: that takes a join."""
+    rows = (dictionary.where(F.col("value").isNotNull()).select("value", F.col(out).alias("out"))
+            .limit(HELD_VALUES + 1).toArrow().combine_chunks())
+    values, outs = (rows[c].chunk(0) if rows.num_rows else pa.array([], rows.schema.field(c).type) for c in ("value", "out"))
+    if len(values) > HELD_VALUES or pc.count_distinct(values).as_py() < len(values):
+        return None
+
+    def mapped(lists: pa.Array) -> pa.Array:
+        flat = lists.flatten()
+        at = pc.index_in(flat, value_set=values.cast(flat.type))
+        if strict and at.null_count:
+            raise ValueError(f"unknown dictionary value: {flat.filter(at.is_null())[0].as_py()}")
+        known = np.concatenate(([0], np.cumsum(at.is_valid().to_numpy(zero_copy_only=False))))
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+        return pa.ListArray.from_arrays(pa.array(known[np.concatenate(([0], ends)).astype(np.int64)], pa.int32()), outs.take(at.drop_null()))
+
+    # not deterministic for Spark, which would work it out again for a filter on the result
+    return F.arrow_udf(mapped, T.ArrayType(dictionary.schema[out].dataType)).asNondeterministic()
+
+
 def lookup(df: DataFrame, id_col: str, col: str, dictionary: DataFrame, out_col: str,
-           strict: bool = True) -> DataFrame:
+           strict: bool = True, unique_ids: bool = False) -> DataFrame:
     """Map a scalar or every element of an array column through the
     dictionary; order kept.  ``strict`` raises on an unknown value, otherwise
-    unknown values are dropped (array) or left null (scalar)."""
+    unknown values are dropped (array) or left null (scalar).
+
+    Arrays are exploded, joined and regrouped by id, so rows of one id share
+    their elements.  Where ids are known to be unique (``has_unique_ids``) and
+    the dictionary is small, arrays are mapped within their rows instead."""
     d = dictionary.select(F.col("value").alias("_v"), F.col("idx").alias("_i"))
     is_array = dict(df.dtypes)[col].startswith("array")
     if not is_array:
@@ -72,6 +114,9 @@ def lookup(df: DataFrame, id_col: str, col: str, dictionary: DataFrame, out_col:
                                           F.raise_error(F.concat(F.lit("unknown dictionary value: "), F.col(col))))
                              .otherwise(F.col("_i")))
         return j.withColumnRenamed("_i", out_col).drop("_v")
+    mapping = list_mapping(dictionary, strict=strict) if unique_ids else None
+    if mapping:
+        return df.withColumn(out_col, mapping(F.col(col)))
     ex = (df.select(F.col(id_col).alias("_rid"), F.posexplode_outer(F.col(col)).alias("_pos", "_v"))
           .where(F.col("_pos").isNotNull()))
     j = ex.join(d, "_v", "left")

@@ -12,7 +12,7 @@ from ..functions.vocab import (STOP, decode_after_start, decode_drop_pads, decod
 from ..operators import baseline as B
 from ..operators import curate as C
 from ..operators.batches import assign_batches, collate
-from ..operators.dictionary import conditioning_dictionary
+from ..operators.dictionary import conditioning_dictionary, has_unique_ids
 from ..operators.encode import encode_corpus, encode_curated
 from ..operators.perturb import changed_positions, mask_schedule, random_mask, random_substitution
 from ..operators.ranking import exact_quantiles
@@ -80,7 +80,7 @@ def curated(spark, sf_dir):
     f = _filtered(spark, sf_dir)
     cats, tags = kept_dictionaries(f)
     kept = C.keep_tags(C.fold_rare(f, "category", cats), "id", "tags", tags,
-                       drop_empty=True)
+                       drop_empty=True, unique_ids=has_unique_ids(documents(spark, sf_dir), "doc_id"))
     return kept, cats, tags
 
 
@@ -323,15 +323,17 @@ def conditioning_ids(spark, sf_dir):
     f = _tagged(spark, sf_dir)
     cats, tags = kept_dictionaries(f)
     dic = materialize(conditioning_dictionary(cats, tags))
-    kept = C.keep_tags(C.fold_rare(f, "category", cats), "id", "tags", tags, drop_empty=True)
+    unique = has_unique_ids(documents(spark, sf_dir), "doc_id")
+    kept = C.keep_tags(C.fold_rare(f, "category", cats), "id", "tags", tags, drop_empty=True, unique_ids=unique)
     enc = encode_corpus(kept, "id", "sequence", "category", "tags", dic, taxon_dropout=TAXON_DROP,
-                        attribute_dropout=ATTR_DROP, seed=COND_SEED)
+                        attribute_dropout=ATTR_DROP, seed=COND_SEED, unique_ids=unique)
     return enc.select(F.col("id").alias("doc_id"), F.array_join("conditioning_tags", " ").alias("cond_ids"))
 
 
 def _encoded_plain(spark, sf_dir):
     f, dic = conditioning_dictionary_of(spark, sf_dir)
-    enc = encode_curated(f, "id", "sequence", "category", "tags", dic, shuffle=False)
+    enc = encode_curated(f, "id", "sequence", "category", "tags", dic, shuffle=False,
+                         unique_ids=has_unique_ids(documents(spark, sf_dir), "doc_id"))
     return enc, dic.where(F.col("kind") == "tag").select(F.col("idx").alias("class_id"))
 
 
