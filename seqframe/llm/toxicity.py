@@ -85,19 +85,21 @@ def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def _kernel(a: np.ndarray, b: np.ndarray, order: int, decay: float) -> np.ndarray:
     """The gapped subsequence kernel of each row of ``a`` with the same row of ``b``, or with the one row that ``b`` has; 0 is no character."""
     rows, width = a.shape
-    same = [(a == b[:, j : j + 1]) & (a != 0) for j in range(b.shape[1])]
+    a = np.ascontiguousarray(a.T)  # words side by side, as all of them take each step together
+    same = [(a == b[:, j]) & (a != 0) for j in range(b.shape[1])]
     ending = [np.where(s, np.float32(decay * decay), np.float32(0)) for s in same]  # of one character, by its place in b
     for _ in range(order - 1):
         # gaps: sums over all earlier places in a and b, each step further costs a factor
-        carried, further = np.zeros((rows, width + 1), np.float32), []
+        carried, further = np.zeros((width + 1, rows), np.float32), []
         for j in range(b.shape[1]):
-            step = np.zeros((rows, width + 1), np.float32)
+            further.append(np.where(same[j], np.float32(decay * decay) * carried[:-1], np.float32(0)))
+            step = np.zeros(rows, np.float32)
+            carried *= np.float32(decay)
             for i in range(width):
-                step[:, i + 1] = decay * step[:, i] + ending[j][:, i]
-            further.append(np.where(same[j], np.float32(decay * decay) * carried[:, :-1], np.float32(0)))
-            carried = decay * carried + step
+                step = decay * step + ending[j][i]
+                carried[i + 1] += step
         ending = further
-    return sum(e.sum(axis=1) for e in ending)
+    return sum(np.ascontiguousarray(e.T).sum(axis=1) for e in ending)
 
 
 def forms(word: str) -> list[str]:
@@ -156,7 +158,7 @@ class Words:
             own = None
             for m, landmark in enumerate(self.table):
                 # a subsequence needs characters in common; without them the kernel is 0
-                common = np.isin(table, landmark[0]).sum(axis=1) >= self.cfg.order
+                common = sum((table == c).sum(axis=1) for c in np.unique(landmark[0])) >= self.cfg.order
                 if not common.any():
                     continue
                 if own is None:
