@@ -6,7 +6,8 @@ Both sides are cut into hash blocks of as many rows as a task can hold
 replicated once per reference block and reference rows once per subject
 block, so the pair (subject block q, reference block r) meets in exactly one
 co-group.  An Arrow kernel goes through a block a tile of ``CHUNK`` x
-``TILE`` pairs at a time: one BLAS product (norm expansion in float64) and
+``TILE`` pairs at a time: one BLAS product (norm expansion; ``topk`` in float32 with a bound of its
+error, in float64 where too many pairs lie within it) and
 one comparison with what each subject has so far, and emits only reductions
 per subject row:
 
@@ -39,6 +40,11 @@ PAD_CANDIDATES = 8
 
 # Pairs whose distance is worked out exactly at once: bounds the memory of ties.
 EXACT_PAIRS = 16_384
+#: Pairs a subject waiting to be worked out: the nearer the kth so far, the fewer follow.
+FOLD_PAIRS = 8
+#: Four times the unit rounding of single precision (twice what bounds the error), and one in how many references of a tile may be
+#: near enough before products are of double precision.
+SINGLE, CROWDED = 2.0 ** -22, 128
 
 
 def check_vectors(df: DataFrame, vec_col: str) -> int:
@@ -135,19 +141,29 @@ def _tiles(n: int):
 
 
 def _topk(sid, x, rid, rself, y, k: int, exclude_self: bool) -> dict:
-    yy = np.einsum("ij,ij->i", y, y)
-    wide = np.concatenate([-y, yy[:, None] / 2], axis=1)
-    outs, room = [], np.empty(CHUNK * TILE)
+    # about the middle and in units of the largest component nothing overflows, and single precision tells most pairs apart
+    middle = y.mean(axis=0)
+    wide = np.empty((len(y), y.shape[1] + 1))
+    np.subtract(middle, y, out=wide[:, :-1])
+    size = max(np.abs(v).max(initial=0.0) for v in (wide[:, :-1], *(x[s:s + CHUNK] - middle for s in range(0, len(x), CHUNK)))) * math.sqrt(wide.shape[1])
+    unit = 1 / size if 1e-300 < size < 1e300 else 1.0
+    wide[:, :-1] *= unit
+    yy = np.einsum("ij,ij->i", wide[:, :-1], wide[:, :-1])
+    wide[:, -1] = yy / 2
+    single, largest = wide.astype(np.float32), yy.max()
+    outs, room, single_room = [], np.empty(CHUNK * TILE), np.empty(CHUNK * TILE, np.float32)
     for s in range(0, len(sid), CHUNK):
         xs, ids = x[s:s + CHUNK], sid[s:s + CHUNK]
-        xx = np.einsum("ij,ij->i", xs, xs)
-        tol = 1e-9 * (xx + yy.max() + 1.0)
-        one = np.concatenate([xs, np.ones((len(xs), 1))], axis=1)
+        one = np.concatenate([(xs - middle) * unit, np.ones((len(xs), 1))], axis=1)
+        single_one = one.astype(np.float32)
+        xx = np.einsum("ij,ij->i", one[:, :-1], one[:, :-1])
+        fine = 1e-9 * (xx + largest)
+        rough = fine + SINGLE * (wide.shape[1] + 8) * (np.sqrt(xx * largest) + largest / 2 + xx) + 1e-36
         best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))  # row of the chunk, rid, dist
-        limit, waiting, held = np.full(len(xs), np.inf), [], 0
+        reach, waiting, held, close = np.full(len(xs), np.inf), [], 0, True
 
-        def fold(best, limit):
-            """The k nearest so far by (distance, id), a bounded number of pairs at a time, and what a product may be to be among them."""
+        def fold(best, reach):
+            """The k nearest so far by (distance, id), a bounded number of pairs at a time, and the squared distance of the kth."""
             for w in waiting:
                 for at in range(0, len(w[0]), EXACT_PAIRS):
                     row, col = w[0][at:at + EXACT_PAIRS], w[1][at:at + EXACT_PAIRS]
@@ -156,29 +172,37 @@ def _topk(sid, x, rid, rself, y, k: int, exclude_self: bool) -> dict:
                     row, near, dist = row[order], near[order], dist[order]
                     place = np.arange(len(row)) - np.searchsorted(row, row)
                     last = place == k - 1
-                    limit[row[last]] = (dist[last] ** 2 + tol[row[last]] - xx[row[last]]) / 2
+                    reach[row[last]] = (dist[last] * unit) ** 2
                     best = tuple(c[place < k] for c in (row, near, dist))
-            return best, limit
+            return best, reach
 
-        for t in _tiles(len(rid)):
+        def near(t, one, wide, room, tol):
+            """Rows and columns of the pairs of a tile that may be among the k nearest, by products of which ``tol`` bounds the error."""
             half = _product(one, wide[t], room)  # (squared distance - xx) / 2
-            most = limit
-            if np.isinf(limit).any():
+            most = (reach + tol - xx) / 2
+            if np.isinf(reach).any():
                 if exclude_self:
                     half[ids[:, None] == rself[None, t]] = np.inf
                 keep = min(k + PAD_CANDIDATES, half.shape[1])
-                most = np.minimum(limit, np.partition(half, keep - 1, axis=1)[:, keep - 1] + tol)
-            row, col = _where(half <= most[:, None])
+                most = np.minimum(most, np.partition(half, keep - 1, axis=1)[:, keep - 1] + tol)
+            return _where(half <= np.nextafter(most.astype(half.dtype), half.dtype.type(np.inf))[:, None])
+
+        for t in _tiles(len(rid)):
+            if close:
+                row, col = near(t, single_one, single, single_room, rough)
+                close = len(row) <= len(xs) * (k + PAD_CANDIDATES + (t.stop - t.start) // CROWDED)
+            if not close:  # too many within the error of single precision
+                row, col = near(t, one, wide, room, fine)
             col += t.start
             if exclude_self:
                 other = ids[row] != rself[col]
                 row, col = row[other], col[other]
             waiting.append((row, col))
             held += len(row)
-            if held >= EXACT_PAIRS or np.isinf(limit).any():
-                best, limit = fold(best, limit)
+            if held >= min(EXACT_PAIRS, FOLD_PAIRS * len(xs)) or np.isinf(reach).any():
+                best, reach = fold(best, reach)
                 waiting, held = [], 0
-        best, limit = fold(best, limit)
+        best, reach = fold(best, reach)
         outs.append((ids[best[0]], best[1], best[2]))
     return dict(zip(("sid", "rid", "dist"), (np.concatenate(c) for c in zip(*outs, strict=True)), strict=True))
 

@@ -190,3 +190,42 @@ def test_blocks_are_large_and_copies_few():
     q, r = AP._grid(5000, 1_000_000, 32768, 12)  # few subjects: they are copied, not the references
     assert q <= 2 and r <= 48
     assert AP._grid(50, 60, 32768, 12) == (1, 1)
+
+
+@pytest.mark.parametrize("kind", ["noise", "far", "tight", "huge", "tiny", "copies", "line"])
+def test_single_precision_rules_pairs_out_only(monkeypatch, kind):
+    """The k nearest are those of the direct formula, whatever single precision can't tell apart."""
+    monkeypatch.setattr(AP, "TILE", 100)
+    monkeypatch.setattr(AP, "CHUNK", 30)
+    rng = np.random.default_rng(14)
+    x, y = rng.normal(size=(70, 12)), rng.normal(size=(450, 12))
+    if kind == "far":  # far from the origin, near each other
+        x, y = x + 1e6, y + 1e6
+    elif kind == "tight":  # clusters whose rows lie within the error of single precision
+        c = rng.normal(size=(6, 12)) * 100
+        x, y = c[rng.integers(0, 6, 70)] + x * 1e-4, c[rng.integers(0, 6, 450)] + y * 1e-4
+    elif kind in ("huge", "tiny"):
+        x, y = x * (1e60 if kind == "huge" else 1e-60), y * (1e60 if kind == "huge" else 1e-60)
+        y[:3] *= 1e-5
+    elif kind == "copies":
+        y[:300] = y[0]
+        x[:20] = y[0]
+    elif kind == "line":
+        x, y = np.outer(x[:, 0], np.ones(12)), np.outer(np.arange(450) * 1e-9, np.ones(12))
+    sid, rid = np.arange(70), rng.permutation(450)
+    d = np.sqrt(((x[:, None] - y[None]) ** 2).sum(axis=2))
+    top = AP._reduce("topk", 5, False, sid, x, rid, rid, y, None)
+    order = np.lexsort((top["rid"], top["dist"], top["sid"]))
+    near = [np.lexsort((rid, d[i]))[:5] for i in range(70)]
+    assert top["sid"][order].tolist() == np.repeat(sid, 5).tolist()
+    assert np.allclose(top["dist"][order], np.concatenate([d[i][n] for i, n in enumerate(near)]), rtol=1e-12, atol=0)
+    if kind not in ("line", "far"):
+        assert top["rid"][order].tolist() == np.concatenate([rid[n] for n in near]).tolist()
+
+
+def test_most_products_are_of_single_precision(monkeypatch):
+    kinds, whole = [], AP._product
+    monkeypatch.setattr(AP, "_product", lambda one, wide, room: kinds.append(room.dtype) or whole(one, wide, room))
+    rng = np.random.default_rng(15)
+    AP._reduce("topk", 5, False, np.arange(600), rng.normal(size=(600, 64)), np.arange(9000), np.arange(9000), rng.normal(size=(9000, 64)), None)
+    assert kinds.count(np.dtype("float32")) > 10 * kinds.count(np.dtype("float64"))
