@@ -40,7 +40,7 @@ SUBJECT_BLOCKS, SUBJECT_ROWS = 4, 4096
 MAX_BLOCKS = 1024
 #: Subjects that show how many annuli matter; and how many pairs cost as much as sending a row somewhere.
 PROBE_ROWS, ROW_PAIRS = 256, 512
-#: Entries of a table of subjects by annuli, and of visits given out, at once.
+#: Entries of a table of subjects by annuli or their parts, and of visits given out, at once.
 ROUTE_CELLS, ROUTE_ROWS = 1 << 18, 8192
 
 
@@ -134,7 +134,7 @@ def lay_out(refs: DataFrame, n: int, block_rows: int, pivots: int | None = None)
 
 def _route(subjects: DataFrame, annuli: Annuli, choose) -> DataFrame:
     """(sid, svec, block, part) for what ``choose`` gives for a batch and its vectors: rows, blocks and parts."""
-    rows = max(1, ROUTE_CELLS // len(annuli.cell))
+    rows = max(1, ROUTE_CELLS // max(len(annuli.cell), int(annuli.parts.sum())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

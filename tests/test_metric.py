@@ -229,3 +229,17 @@ def test_most_products_are_of_single_precision(monkeypatch):
     rng = np.random.default_rng(15)
     AP._reduce("topk", 5, False, np.arange(600), rng.normal(size=(600, 64)), np.arange(9000), np.arange(9000), rng.normal(size=(9000, 64)), None)
     assert kinds.count(np.dtype("float32")) > 10 * kinds.count(np.dtype("float64"))
+
+
+def test_visits_worked_out_at_once_are_bounded_by_parts(spark, monkeypatch):
+    """An annulus of many parts is as many visits for a row, all of which a batch holds."""
+    monkeypatch.setattr(metric, "ROUTE_CELLS", 1000)
+    one = np.ones(1)
+    annuli = metric.Annuli(np.zeros((1, 2)), np.zeros(1, np.int64), 0 * one, one, np.array([6400]), np.array([50]), 0 * one)
+
+    def choose(batch, x):
+        assert len(x) * 50 <= 1000
+        return np.repeat(np.arange(len(x)), 50), np.zeros(50 * len(x), np.int64), np.tile(np.arange(50), len(x))
+
+    subjects = frame(spark, np.zeros((200, 2))).select(F.col("id").alias("sid"), F.col("embedding").alias("svec"))
+    assert metric._route(subjects, annuli, choose).distinct().count() == 200 * 50
